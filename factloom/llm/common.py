@@ -75,10 +75,10 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_sample(docs: DataFrame, chosen: DataFrame, bound: int, seed: int, extra: list[str]) -> DataFrame:
-    """At most `bound` rows of docs whose doc_id is in `chosen`, picked by hash, with distinct texts, as a scratch table."""
+    """At most `bound` documents whose doc_id is in `chosen`, picked by hash, with distinct ids and texts, as a scratch table."""
     ids = chosen.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(bound)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return table(rows.dropDuplicates(["text"]).select("doc_id", "text", *extra).limit(bound), "sample")
+    return table(rows.dropDuplicates(["text"]).dropDuplicates(["doc_id"]).select("doc_id", "text", *extra), "sample")
 
 
 def int_lists(values: np.ndarray, lengths: list[int]) -> pa.Array:

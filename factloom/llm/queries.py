@@ -1,11 +1,13 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
-from factloom.llm import byte_bpe, mixing, token_orc
+from factloom.llm import byte_bpe, mixing, quality_pu, token_orc, toxicity
 
 QUERIES = {
     "op1_token_orc": token_orc.op1_token_orc,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op8_quality_pu": quality_pu.op8_quality_pu,
 }
 ORACLES = {
     "op4_mix_sources": mixing.OP4_SQL,
