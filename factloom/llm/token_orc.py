@@ -10,6 +10,7 @@ and each keeps its own row.  An empty table gives empty files.  Only the id and
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm import common
 
-#: Words whose ids a worker remembers; then it starts afresh, so memory is bounded.
-CACHE_WORDS = 200_000
+#: Pieces whose ids a worker remembers; beyond that it keeps those that came again, so memory is bounded.
+CACHE_PIECES = 500_000
+#: Words that the library encodes as one text.
+TOGETHER = 64
 #: Bytes of text that one pass of the encoder holds.
 BLOCK_BYTES = 8 << 20
 #: ORC writer settings: integer run-length encoding is the writer's default, Bloom filters and row indexes are named here.
@@ -37,36 +40,72 @@ ORC_OPTIONS = {
 }
 STORED = "part int, local_start long, doc_id long, n_tokens long, ids array<int>"
 
-_state: dict = {}
+#: Texts of ASCII and Latin-1 letters: normalisation leaves them, and spaces around runs of marks change no token.
+_SIMPLE = re.compile(r"[\t\n -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+#: Pieces that the tokenizer's pattern takes as one word.
+_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+")
 
 
-def _encoder(tokenizer_path: str):
-    if _state.get("path") != tokenizer_path:
+class Encoder:
+    """The library's tokenizer behind a bounded cache.
+
+    No token of this vocabulary holds white space, so texts are cut at spaces and line ends, simple ones also at marks.
+    Each new piece is encoded once.  Pieces that are one word go to the library many at a time as one text, whose ids
+    fall apart at the tokens that end a word; other pieces are encoded one by one.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True  # a text that names a special token is still text
-        _state.update(path=tokenizer_path, tokenizer=tokenizer, words={})
-    return _state["tokenizer"], _state["words"]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a text that names a special token is still text
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Pieces that the tokenizer takes apart from each other."""
+        if _SIMPLE.fullmatch(text):
+            return _MARKS.sub(r" \g<0> ", text.lower()).split()
+        return text.replace("\n", " ").split(" ")
+
+    def learn(self, new: list[str]) -> None:
+        """Put new pieces into the cache."""
+        words = [p for p in new if _WORD.fullmatch(p)]
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<i4")
+            at = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            self.pieces.update(zip(own, (raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)), strict=True))
+        rest = [p for p in new if p not in self.pieces]
+        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.pieces[p] = np.array(e.ids, "<i4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers, as the library gives for the whole text."""
+        cut = [self.cut(t) for t in texts]
+        used = set().union(*cut)
+        new = used - self.pieces.keys()
+        self.learn(list(new))
+        look = self.pieces.__getitem__
+        out = [b"".join(map(look, ws)) for ws in cut]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {p: self.pieces[p] for p in used - new}
+        return out
+
+
+_state: dict[str, Encoder] = {}
 
 
 def encode_texts(texts: list[str], tokenizer_path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers, as the library gives for the whole text.
-
-    No token of this vocabulary holds white space, so texts are cut at spaces and line ends, and each new piece is
-    encoded once by the library.
-    """
-    tokenizer, words = _encoder(tokenizer_path)
-    if len(words) > CACHE_WORDS:
-        words.clear()
-    cut = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for ws in cut for w in ws} - words.keys())
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            words[w] = np.array(e.ids, "<i4").tobytes()
-    look = words.__getitem__
-    return [b"".join(map(look, ws)) for ws in cut]
+    """The ids of each text by this worker's encoder."""
+    if tokenizer_path not in _state:
+        _state.clear()
+        _state[tokenizer_path] = Encoder(tokenizer_path)
+    return _state[tokenizer_path].encode(texts)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, partitions: int | None = None) -> DataFrame:
