@@ -3,7 +3,7 @@
 Rules name a host and a path; a rule fits the host and its subdomains if the url's path starts with its own, and the
 longest rule wins.  Where none fits, the host's reputation decides: outcomes of labelled pages are counted by host,
 registered domain (last two labels) and suffix (last label).  At each level a beta-binomial prior has the mean of the
-posterior one level up and a strength found by moments over the level's groups; a url is blocked if the lower bound of
+posterior one level up, without the group's own pages, and a strength found by moments over the level's groups; a url is blocked if the lower bound of
 its host's posterior, mean less Z standard deviations, exceeds LIMIT.  Hosts without labels inherit their domain's.
 
 A null url, or one without "://", has an empty host and path and is judged by the overall mean.  Repeated pages count
@@ -63,22 +63,22 @@ def _level(groups: DataFrame, key: str, mean: Column) -> DataFrame:
 def reputation(hosts: DataFrame) -> DataFrame:
     """hosts(host, n, bad) -> host, posterior mean and lower bound."""
     named = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
-    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tn"), F.coalesce(F.sum("bad"), F.lit(0)).alias("tb"))
-    overall = total.select(((F.col("tb") + 0.5) / (F.col("tn") + 1)).alias("overall"))
-    one = lambda df: F.broadcast(df)  # noqa: E731  a single row
-    with_mean = lambda df: df.crossJoin(one(overall))
-    sums = lambda *keys: named.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    post = lambda parent, strength: (F.col(strength) * F.col(parent) + F.col("bad")) / (F.col(strength) + F.col("n"))
-
-    suffix = with_mean(sums("suffix"))
-    suffix = suffix.crossJoin(one(_level(suffix, "suffix", F.col("overall")))).select("suffix", post("overall", "suffix_strength").alias("suffix_mean"))
-    domain = with_mean(sums("domain", "suffix"))
-    domain = domain.crossJoin(one(_level(domain, "domain", F.col("overall")))).join(suffix, "suffix").select("domain", post("suffix_mean", "domain_strength").alias("domain_mean"))
-    host = with_mean(named)
-    host = host.crossJoin(one(_level(host, "host", F.col("overall")))).join(domain, "domain")
-    mean = post("domain_mean", "host_strength")
-    weight = F.col("host_strength") + F.col("n")
-    return host.select("host", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("lower"))
+    domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tn"), F.coalesce(F.sum("bad"), F.lit(0)).alias("tb"))
+    one = total.withColumn("overall", (F.col("tb") + 0.5) / (F.col("tn") + 1))
+    for key, groups in (("suffix", suffixes), ("domain", domains), ("host", named)):  # a single row throughout
+        one = one.crossJoin(F.broadcast(_level(groups.crossJoin(F.broadcast(total.select(((F.col("tb") + 0.5) / (F.col("tn") + 1)).alias("overall")))), key, F.col("overall"))))
+    above = domains.toDF("domain", "suffix", "dn", "db").join(suffixes.toDF("suffix", "sn", "sb"), "suffix").drop("suffix")
+    rows = named.join(above, "domain").crossJoin(F.broadcast(one))
+    c = F.col
+    post = lambda prior, strength, n, bad: (c(strength) * prior + bad) / (c(strength) + n)
+    around = (c("tb") - c("sb") + 0.5) / (c("tn") - c("sn") + 1)
+    suffix = post(around, "suffix_strength", c("sn") - c("dn"), c("sb") - c("db"))
+    domain = post(suffix, "domain_strength", c("dn") - c("n"), c("db") - c("bad"))
+    mean = post(domain, "host_strength", c("n"), c("bad"))
+    found = rows.select("host", mean.alias("mean"), (c("host_strength") + c("n")).alias("weight"))
+    return found.select("host", "mean", (c("mean") - Z * F.sqrt(c("mean") * (1 - c("mean")) / (c("weight") + 1))).alias("lower"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
@@ -130,9 +130,12 @@ WITH u AS (
 sg AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix),
 dg AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain),
 {_strength_sql("s", "sg")}, {_strength_sql("d", "dg")}, {_strength_sql("h", "h")},
-sp AS (SELECT suffix, (k * overall + bad) / (k + n) AS m FROM sg, o, s_k),
-dp AS (SELECT domain, (k * sp.m + bad) / (k + n) AS m FROM dg JOIN sp USING (suffix), d_k),
-hp AS (SELECT host, (k * dp.m + bad) / (k + n) AS m, k + n AS w FROM h JOIN dp USING (domain), h_k),
+tt AS (SELECT coalesce(sum(n), 0) AS tn, coalesce(sum(bad), 0) AS tb FROM h),
+x AS (SELECT host, h.n, h.bad, dg.n AS dn, dg.bad AS db, sg.n AS sn, sg.bad AS sb, tn, tb, s_k.k AS ks, d_k.k AS kd, h_k.k AS kh
+  FROM h JOIN dg USING (domain) JOIN sg ON sg.suffix = dg.suffix, tt, s_k, d_k, h_k),
+x1 AS (SELECT *, (ks * (tb - sb + 0.5) / (tn - sn + 1) + sb - db) / (ks + sn - dn) AS m1 FROM x),
+x2 AS (SELECT *, (kd * m1 + db - bad) / (kd + dn - n) AS m2 FROM x1),
+hp AS (SELECT host, (kh * m2 + bad) / (kh + n) AS m, kh + n AS w FROM x2),
 b AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.5 AS blocked FROM hp)
 SELECT page_id, u.host, path, rule, coalesce(CASE rule WHEN 'com/' THEN 'allow' WHEN 'www.example.com/en/' THEN 'allow' WHEN 'example.com/en/' THEN 'block'
          WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block' END, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
