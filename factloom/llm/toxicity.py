@@ -37,7 +37,7 @@ INSULTS = "idiot moron stupid dumb loser trash scum worthless pathetic disgustin
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tú ti tus vosotros".split()
 
 _TO_WORDS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
-_PLAIN = bytes.maketrans(b"013457@$!", b"oieastasi")
+_PLAIN = bytes.maketrans(b"013457@$", b"oieastas")
 _LEET_WORDS = bytes(_PLAIN[c] if chr(_PLAIN[c]).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -66,7 +66,7 @@ def features(text: str, lexicon: dict[bytes, float]) -> list[float]:
     hits = [i for i, x in enumerate(found) if x]
     second = sum(map(_SECOND.__contains__, words)) if not _SECOND.isdisjoint(words) else 0
     near = sum(1 for i in hits if not _SECOND.isdisjoint(words[max(0, i - 5) : i + 6])) if second else 0
-    marked = len(low) - len(low.translate(None, b"0123456789@$!"))
+    marked = len(low) - len(low.translate(None, b"0123456789@$"))
     plain = low.translate(_LEET_WORDS).split() if marked else []
     hidden = sum(map(lexicon.__contains__, plain)) - len(hits) if plain else 0
     mixed = sum(1 for w in words if not w.isalpha() and not w.isdigit() and w.isascii()) if marked else 0
