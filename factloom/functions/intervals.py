@@ -45,15 +45,21 @@ def multiply(a: Pair, b: Pair) -> Pair:
     return _or_bottom(is_bottom(a) | is_bottom(b), (F.coalesce(F.array_min(ps), t[0]), F.coalesce(F.array_max(ps), t[1])))
 
 
-def divide(a: Pair, b: Pair) -> Pair:
-    """Anything if the divisor may be 0, nothing if it is 0, else the range of quotients."""
+def divide(a: Pair, b: Pair, compat: bool = False) -> Pair:
+    """Anything if the divisor may be 0, nothing if it is 0, else the range of the four quotients.
+
+    With compat, only two of them, which hold all results for dividends that are not negative.
+    """
     zero = (b[0] == 0) & (b[1] == 0)
     around = (b[0] <= 0) & (b[1] >= 0)
     t = top()
     q = lambda x, y: F.try_divide(x, y)
-    low = F.when(around, t[0]).when(b[0] > 0, q(a[0], b[1])).otherwise(q(a[1], b[1]))
-    high = F.when(around, t[1]).when(b[0] > 0, q(a[1], b[0])).otherwise(q(a[0], b[0]))
-    return _or_bottom(is_bottom(a) | is_bottom(b) | zero, (low, high))
+    if compat:
+        low, high = F.when(b[0] > 0, q(a[0], b[1])).otherwise(q(a[1], b[1])), F.when(b[0] > 0, q(a[1], b[0])).otherwise(q(a[0], b[0]))
+    else:
+        ps = F.array_compact(F.array(*(F.when(~F.isnan(p), p) for p in (q(a[0], b[0]), q(a[0], b[1]), q(a[1], b[0]), q(a[1], b[1])))))
+        low, high = F.coalesce(F.array_min(ps), t[0]), F.coalesce(F.array_max(ps), t[1])
+    return _or_bottom(is_bottom(a) | is_bottom(b) | zero, (F.when(around, t[0]).otherwise(low), F.when(around, t[1]).otherwise(high)))
 
 
 def join(a: Pair, b: Pair) -> Pair:

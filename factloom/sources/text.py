@@ -74,7 +74,7 @@ def folders(paths: DataFrame) -> DataFrame:
 def key_values(texts: DataFrame, key: str = "path") -> DataFrame:
     """(key, name, value) of lines name="value"."""
     split = lines(texts, key).where(F.col("value").contains("=")).select(key, F.trim(F.substring_index("value", "=", 1)).alias("name"), F.trim(F.expr("substring(value, instr(value, '=') + 1)")).alias("v"))
-    return split.select(key, "name", F.regexp_replace("v", '^"+|"+$', "").alias("value"))
+    return split.select(key, "name", F.regexp_replace(F.trim("v"), '^"+|"+$', "").alias("value"))
 
 
 def git_log(log: DataFrame) -> DataFrame:
