@@ -123,8 +123,10 @@ def posterior_safe(signals: DataFrame, key: str, prior: float = SAFE_PRIOR) -> D
 
 
 def is_test_file(path: Column) -> Column:
-    """A path below a test folder or with a test's name."""
-    return path.rlike(r"(?i)(^|/)tests?/|(^|/)test_[^/]*$|_test\.py$|(^|/)conftest\.py$")
+    """A test's file name, or a test folder anywhere in the path."""
+    from factloom.functions.intent import is_test_path
+
+    return is_test_path(path)
 
 
 def source_type(description: Column) -> Column:

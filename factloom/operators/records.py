@@ -54,8 +54,29 @@ def merge_records(df: DataFrame) -> DataFrame:
     return df.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
+#: Ranges of the order column that a table without groups is numbered in.
+RANGES = 256
+
+
 def _numbered(df: DataFrame, order: str, by: list[str]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    """Rows with their place _n from 0, within groups or over the whole table.
+
+    A whole table is cut into ranges of its numeric order column, numbered inside each, and shifted by the rows of the ranges
+    before; no task sees all rows.
+    """
+    if by:
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    bounds = sorted(set(df.stat.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
+    where = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    ranged = df.withColumn("_range", F.size(F.filter(where, lambda x: x <= F.col(order))))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = sizes.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("_n", F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+
+
+def _total(df: DataFrame, by: list[str]) -> Column:
+    return F.count("*").over(Window.partitionBy(*by)) if by else F.lit(df.count())
 
 
 def chunks(df: DataFrame, size: int, order: str = "seq", by: list[str] | None = None) -> DataFrame:
@@ -69,7 +90,7 @@ def chunks(df: DataFrame, size: int, order: str = "seq", by: list[str] | None =
 def split_evenly(df: DataFrame, parts: int, order: str = "seq", by: list[str] | None = None) -> DataFrame:
     """Rows with the number of their chunk of n div parts rows; a remainder makes chunks of its own; groups too small are dropped."""
     by = by or []
-    total = F.count("*").over(Window.partitionBy(*by))
+    total = _total(df, by)
     rows = _numbered(df, order, by).withColumn("_size", F.floor(total / parts)).where("_size > 0")
     return rows.withColumn("chunk", F.floor(F.col("_n") / F.col("_size"))).drop("_n", "_size")
 
@@ -82,7 +103,7 @@ def batch(df: DataFrame, index: int, size: int, order: str = "seq", by: list[str
 def split_train_test(df: DataFrame, ratio: float, order: str = "seq", by: list[str] | None = None) -> DataFrame:
     """Rows with is_train: the first int(n * ratio) of them."""
     by = by or []
-    total = F.count("*").over(Window.partitionBy(*by))
+    total = _total(df, by)
     return _numbered(df, order, by).withColumn("is_train", F.col("_n") < F.floor(total * ratio)).drop("_n")
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.functions import intent, pynum, scoring, taint
 from factloom.functions import intervals as iv
-from factloom.functions import pynum, scoring, taint
-from factloom.operators import baseline, concurrency, dataflow, findings, graph, history, invariants, matching, metrics, records
+from factloom.operators import baseline, concurrency, contracts, dataflow, findings, graph, history, invariants, matching, metrics, records, traces
 from factloom.plans import facts as ft
 from factloom.plans.registry import load, query
 from factloom.sources import python_source, sarif, text
@@ -677,3 +677,90 @@ def python_facts(spark, sf_dir):
     """Functions and calls of source texts made from the parts' names; parsing has no SQL."""
     names = load(spark, sf_dir, "part").select(F.concat(F.lit("pkg/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def f"), F.col("p_partkey").cast("string"), F.lit("(x):\n    if x:\n        return g("), F.col("p_size").cast("string"), F.lit(") + f"), (F.col("p_partkey") % 17).cast("string"), F.lit("(x)\n")).alias("text"))
     return python_source.facts(names)
+
+
+# contracts, intent, traces ----------------------------------------------------------------------------------------
+
+_NAMES = ["os.system", "app.requests.get", "tar.open", "db.cur.execute", "get", "x.nothing", "my.subprocess.run", "logging.info"]
+_KEYS = ["os.system", "requests.get", None, "cursor.execute", None, None, "subprocess.run", "logging.info"]
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS id, p_partkey % 8 AS k FROM part) SELECT id, CASE k {' '.join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_NAMES))} END AS name,
+  CASE k {' '.join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_KEYS) if v)} END AS key FROM n""")
+def contract_match(spark, sf_dir):
+    calls = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 8 + 1).cast("int")).alias("name"))
+    return calls.join(contracts.match(calls, contracts.sinks(spark)), "name").select("id", "name", "key")
+
+
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call, l_suppkey % 2 AS arg, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS tau, CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS kappa, l_orderkey % 2 = 0 AS sys FROM lineitem)
+SELECT call, min(arg) AS arg FROM c WHERE arg = 0 AND tau = 1 AND (sys OR kappa = 0) GROUP BY call, sys""")
+def contract_violations(spark, sf_dir):
+    """Shell and SQL calls with tainted first arguments; SQL arguments may be sanitised."""
+    c = F.col
+    bit = lambda x: F.when(x, 1).otherwise(0).cast("long")
+    calls = load(spark, sf_dir, "lineitem").select(
+        (c("l_orderkey") * 10 + c("l_linenumber")).alias("call"), F.when(c("l_orderkey") % 2 == 0, "os.system").otherwise("cursor.execute").alias("name"), (c("l_suppkey") % 2).cast("int").alias("arg"),
+        bit(c("l_partkey") % 3 == 0).alias("tau"), bit(c("l_partkey") % 5 == 0).alias("kappa"), F.lit(0).cast("long").alias("sigma"), F.lit(None).cast("boolean").alias("shell"),
+    )
+    return contracts.violations(calls, contracts.sinks(spark)).select("call", F.col("arg").cast("long").alias("arg"))
+
+
+_PATHS = ["src/app.py", "tests/a.py", "pkg/tests/test_x.py", "pkg/examples/run.py", "pkg/settings.py", "pkg/migrations/m1.py", "src/conftest.py", "demo.py"]
+_SIGNALS = ["", "", "test", "example", "config", "migration", "test", ""]
+
+
+@query(f"""SELECT event_id AS id, CASE event_id % 8 {' '.join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_SIGNALS))} END || CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 8 IN (0, 1, 7) THEN '' ELSE ',' END || 'self' ELSE '' END AS kinds,
+  event_id % 8 IN (1, 2, 6) AS is_test FROM events""")
+def intent_signals(spark, sf_dir):
+    e = F.col("event_id")
+    rows = load(spark, sf_dir, "events").select(e.alias("id"), F.element_at(F.array(*map(F.lit, _PATHS)), (e % 8 + 1).cast("int")).alias("path"), F.when(e % 3 == 0, "self").otherwise("x").alias("var"))
+    found = intent.signals(F.col("path"), F.lit("NULL_PTR"), F.col("var"), F.lit("f"))
+    return rows.select("id", F.array_join(F.transform(found, lambda s: s["kind"]), ",").alias("kinds"), intent.is_test_path(F.col("path")).alias("is_test"))
+
+
+_TRACE = """t AS (SELECT user_id AS id, event_id, event_type, 'line ' || CAST(event_id AS VARCHAR) || ': ' || upper(event_type) || ' ' || CAST(user_id AS VARCHAR) AS op FROM events)"""
+
+
+def _traces(spark, sf_dir):
+    e = F.col("event_type")
+    line = F.when(e == "error", F.concat(F.lit("UNHANDLED EXCEPTION: E"), (F.col("event_id") % 7).cast("string"), F.lit(" at top"))).when(e == "view", F.concat(F.lit("0 IMPORT_NAME m"), (F.col("event_id") % 5).cast("string")))
+    line = F.coalesce(line, F.concat(F.lit("line "), F.col("event_id").cast("string"), F.lit(": "), F.upper(e), F.lit(" "), F.col("user_id").cast("string")))
+    return load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l")).select("id", F.transform("l", lambda x: x["line"]).alias("lines"))
+
+
+@query("""SELECT kind, value, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'exception' WHEN 'view' THEN 'import' ELSE 'opcode' END AS kind,
+  CASE event_type WHEN 'error' THEN 'UNHANDLED EXCEPTION: E' || CAST(event_id % 7 AS VARCHAR) || ' at top' WHEN 'view' THEN 'm' || CAST(event_id % 5 AS VARCHAR) ELSE upper(event_type) END AS value FROM events) GROUP BY ALL""")
+def trace_patterns(spark, sf_dir):
+    return traces.trace_features(_traces(spark, sf_dir)).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id AS id, coalesce('E' || CAST(max(event_id) FILTER (event_type = 'error') % 7 AS VARCHAR), 'Unknown') AS exception FROM events GROUP BY 1""")
+def exception_types(spark, sf_dir):
+    return traces.last_exception(_traces(spark, sf_dir))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS bug, l_linenumber * 1000000 + l_partkey * 1000 + l_suppkey AS o, l_returnflag AS barrier, l_discount * 10 AS c FROM lineitem),
+p AS (SELECT bug, arg_min(barrier, o) AS barrier FROM a WHERE c >= 0.6 GROUP BY 1) SELECT k.barrier, count(p.bug) AS n FROM (VALUES ('A'), ('N'), ('R'), ('Z')) AS k(barrier) LEFT JOIN p USING (barrier) GROUP BY 1""")
+def barrier_counts(spark, sf_dir):
+    """First proof of each bug, counted by kind; a kind without any counts 0."""
+    c = F.col
+    attempts = load(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("bug"), (c("l_linenumber") * 1000000 + c("l_partkey") * 1000 + c("l_suppkey")).alias("ordinal"), c("l_returnflag").alias("barrier"), (c("l_discount") * 10).alias("confidence"))
+    return traces.proof_counts(traces.first_proof(attempts), spark.createDataFrame([("A",), ("N",), ("R",), ("Z",)], "barrier string"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS t, list_sort(list_distinct(list(l_returnflag))) AS a, list_sort(list_distinct(list(l_linestatus))) AS b FROM lineitem GROUP BY 1)
+SELECT t, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS joined, array_to_string(list_sort(list_intersect(a, b)), ',') AS met, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS below FROM s""")
+def set_lattice(spark, sf_dir):
+    from factloom.functions import sets
+
+    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("t")).agg(F.collect_set("l_returnflag").alias("a"), F.collect_set("l_linestatus").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return rows.select("t", F.array_join(sets.join(a, b), ",").alias("joined"), F.array_join(sets.meet(a, b), ",").alias("met"), sets.below(a, b).alias("below"))
+
+
+@query("""WITH c AS (SELECT DISTINCT p_partkey AS pred FROM part WHERE p_partkey < 60), i AS (SELECT p_partkey AS pred, (p_partkey * 3 + p_size) % 60 AS needs FROM part WHERE p_partkey < 60)
+, bad AS (SELECT p_partkey AS pred FROM part WHERE p_partkey < 60 AND p_size % 10 = 0), g AS (WITH RECURSIVE r AS (SELECT pred FROM bad UNION SELECT i.pred FROM i JOIN r ON i.needs = r.pred) SELECT pred FROM r) SELECT pred FROM c WHERE pred NOT IN (SELECT pred FROM g)""")
+def houdini(spark, sf_dir):
+    p = load(spark, sf_dir, "part").where("p_partkey < 60")
+    k = F.col("p_partkey")
+    return dataflow.houdini(p.select(k.alias("pred")), p.select(k.alias("pred"), ((k * 3 + F.col("p_size")) % 60).alias("needs")), p.where("p_size % 10 = 0").select(k.alias("pred")))
