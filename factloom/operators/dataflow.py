@@ -120,3 +120,41 @@ def ice_conjunction(predicates: DataFrame) -> DataFrame:
     rejected = negative.join(keep, "pred", "left_semi").groupBy("sample").agg(F.some(~F.col("holds")).alias("rejected"))
     all_rejected = negative.select("sample").distinct().join(rejected, "sample", "left").agg(F.coalesce(F.every(F.coalesce("rejected", F.lit(False))), F.lit(True)).alias("consistent"))
     return keep.crossJoin(F.broadcast(all_rejected))
+
+
+def natural_loops(succ: DataFrame, back_edges: DataFrame) -> DataFrame:
+    """(header, block): bodies of loops: the header and what reaches a back edge's source without passing it.
+
+    back_edges(src, header).  Loops with one header are one loop.
+    """
+    edges = cut(succ.select("src", "dst").distinct())
+    start = back_edges.select("header", F.col("src").alias("block")).union(back_edges.select("header", F.col("header").alias("block"))).distinct()
+    seen = frontier = cut(start)
+    while frontier.limit(1).count():
+        back = frontier.where("block <> header").join(edges, F.col("block") == F.col("dst")).select("header", F.col("src").alias("block")).distinct()
+        frontier = cut(back.join(seen, ["header", "block"], "left_anti"))
+        seen = cut(seen.union(frontier))
+    return seen
+
+
+def path_states(blocks: DataFrame, succ: DataFrame, gen: DataFrame, rounds: int = 50) -> DataFrame:
+    """(block, guards, truncated): the sets of guards that some path from the entry has gathered on a block's entry.
+
+    States, not paths, are followed, so loops end when they bring no new set; truncated tells that the rounds ran out first.
+    """
+    own = cut(gen.groupBy("block").agg(F.array_sort(F.collect_set("guard")).alias("g")))
+    edges = cut(succ.select("src", "dst").distinct())
+    seen = frontier = cut(blocks.where("is_entry").select("block", F.array().cast("array<string>").alias("guards")))
+    for _ in range(rounds):
+        out = frontier.join(own, "block", "left").select("block", F.array_sort(F.array_union("guards", F.coalesce("g", F.array().cast("array<string>")))).alias("guards"))
+        moved = out.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "guards").distinct()
+        frontier = cut(moved.join(seen, ["block", "guards"], "left_anti"))
+        if not frontier.limit(1).count():
+            return seen.withColumn("truncated", F.lit(False))
+        seen = cut(seen.union(frontier))
+    return seen.withColumn("truncated", F.lit(True))
+
+
+def guarded_on_paths(states: DataFrame, guard: str) -> DataFrame:
+    """(block, on_all, on_any): whether every or some path to a block holds a guard."""
+    return guarded_paths(states.select("block", F.array_contains("guards", guard).alias("guarded")))

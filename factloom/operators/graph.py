@@ -1,23 +1,31 @@
 """Graphs of calls and value flow: reach, closure, components, cycles, condensation order.
 
-Loops are semi-naive: each round joins the frontier only, and every round's result is written through checkpoint(), so
-lineage stays short and a lost executor costs a reread.
+Loops are semi-naive: each round joins the frontier only, and every round's result is written to the shared folder, so
+lineage stays short.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder that all executors share; a temporary one only where none is set."""
+    """Cut the lineage: write to the folder that all executors share, and read again.
+
+    A temporary folder is used only where spark.checkpoint.dir is unset.  One job a round; a lost executor costs a reread.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint()
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="factloom-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/factloom/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def callees(edges: DataFrame, node) -> DataFrame:

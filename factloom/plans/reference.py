@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import intent, pynum, scoring, taint
 from factloom.functions import intervals as iv
-from factloom.operators import baseline, concurrency, contracts, dataflow, findings, graph, history, invariants, matching, metrics, records, traces
+from factloom.operators import baseline, concurrency, contracts, dataflow, findings, graph, history, invariants, matching, metrics, records, summaries, traces
 from factloom.plans import facts as ft
 from factloom.plans.registry import load, query
 from factloom.sources import python_source, sarif, text
@@ -764,3 +764,54 @@ def houdini(spark, sf_dir):
     p = load(spark, sf_dir, "part").where("p_partkey < 60")
     k = F.col("p_partkey")
     return dataflow.houdini(p.select(k.alias("pred")), p.select(k.alias("pred"), ((k * 3 + F.col("p_size")) % 60).alias("needs")), p.where("p_size % 10 = 0").select(k.alias("pred")))
+
+
+# loops, paths, summaries ------------------------------------------------------------------------------------------
+
+_LOOPS = """back AS (SELECT p_partkey AS src, p_partkey - p_size % 9 AS header FROM part WHERE p_partkey BETWEEN 10 AND 59 AND p_size % 4 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {_FLOW}, {_LOOPS}, l AS (SELECT header, src AS block FROM back UNION SELECT l.header, s.src FROM l JOIN succ s ON s.dst = l.block WHERE l.block <> l.header)
+SELECT header, block FROM l UNION SELECT header, header FROM back""")
+def natural_loops(spark, sf_dir):
+    p, _, succ, _ = _flow(spark, sf_dir)
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return dataflow.natural_loops(succ, p.where("p_partkey >= 10 and p_size % 4 = 0").select(k.alias("src"), (k - s % 9).alias("header")))
+
+
+@query(f"""WITH RECURSIVE {_FLOW}, g AS (SELECT block, bool_or(guard = 'g0') AS g0, bool_or(guard = 'g2') AS g2 FROM gen GROUP BY 1),
+st AS (SELECT 0 AS block, false AS a, false AS b UNION SELECT s.dst, st.a OR coalesce(g.g0, false), st.b OR coalesce(g.g2, false) FROM st LEFT JOIN g USING (block) JOIN succ s ON s.src = st.block)
+SELECT block, bool_and(a) AS on_all, bool_or(a) AS on_any FROM st GROUP BY 1""")
+def guarded_on_paths(spark, sf_dir):
+    """Paths with two kinds of guards; the first is asked for."""
+    _, blocks, succ, gen = _flow(spark, sf_dir)
+    return dataflow.guarded_on_paths(dataflow.path_states(blocks, succ, gen.where("guard in ('g0', 'g2')"), 100), "g0")
+
+
+_SUM = """direct AS (SELECT p_partkey AS func, p_partkey % 3 AS param, CASE WHEN p_size % 3 = 0 THEN -1 ELSE p_size % 7 END AS target FROM part WHERE p_partkey < 120 AND p_size % 2 = 0),
+pass AS (SELECT p_partkey AS func, p_size % 3 AS param, (p_partkey * 3 + p_size) % 120 AS callee, p_partkey % 3 AS arg FROM part WHERE p_partkey < 120),
+ret AS (SELECT p_partkey AS func, (p_partkey * 3 + p_size) % 120 AS callee FROM part WHERE p_partkey < 120 AND p_partkey % 2 = 0)"""
+
+
+def _summaries(spark, sf_dir):
+    p = load(spark, sf_dir, "part").where("p_partkey < 120")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    callee = (k * 3 + s) % 120
+    direct = p.where("p_size % 2 = 0").select(k.alias("func"), (k % 3).alias("param"), F.when(s % 3 == 0, -1).otherwise(s % 7).alias("target"))
+    passes = p.select(k.alias("func"), (s % 3).cast("long").alias("param"), callee.alias("callee"), (k % 3).alias("arg"))
+    return summaries.flows(direct, passes, p.where("p_partkey % 2 = 0").select(k.alias("func"), callee.alias("callee")))
+
+
+@query(f"""WITH RECURSIVE {_SUM}, f AS (SELECT func, param, target FROM direct UNION SELECT p.func, p.param, f.target FROM f JOIN pass p ON p.callee = f.func AND p.arg = f.param
+  WHERE f.target <> -1 OR EXISTS (SELECT 1 FROM ret r WHERE r.func = p.func AND r.callee = p.callee)) SELECT func, param, target FROM f""")
+def taint_summaries(spark, sf_dir):
+    return _summaries(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_SUM}, f AS (SELECT func, param, target FROM direct UNION SELECT p.func, p.param, f.target FROM f JOIN pass p ON p.callee = f.func AND p.arg = f.param
+  WHERE f.target <> -1 OR EXISTS (SELECT 1 FROM ret r WHERE r.func = p.func AND r.callee = p.callee))
+SELECT DISTINCT l_orderkey AS call, func, target FROM lineitem JOIN f ON func = l_partkey % 120 AND param = l_suppkey % 3 WHERE target <> -1 AND l_returnflag = 'R' AND l_partkey % 120 < 60""")
+def security_bugs(spark, sf_dir):
+    c = F.col
+    calls = load(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("call"), (c("l_partkey") % 120).alias("caller"), (c("l_partkey") % 120).alias("func"), (c("l_suppkey") % 3).alias("arg"), (c("l_returnflag") == "R").alias("tainted"))
+    return summaries.security_bugs(spark.range(60).select(c("id").alias("node")), calls, _summaries(spark, sf_dir))
