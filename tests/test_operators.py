@@ -376,3 +376,56 @@ def test_valid_and_tidy(spark):
 def test_area_and_leaders(spark):
     p = spark.createDataFrame([("m", 0, 0.0, 0.0), ("m", 1, 0.5, 1.0), ("m", 2, 1.0, 1.0), ("n", 0, 0.0, 0.0)], "m string, idx int, fpr double, tpr double")
     assert rows(records.trapezoid(p, ["m"])) == [("m", 0.75), ("n", 0.0)]
+
+
+# loops, paths, summaries, traces, intent
+
+
+def test_loops_and_paths(spark):
+    s = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 1), (2, 2), (1, 4)], "src int, dst int")
+    loops = dataflow.natural_loops(s, spark.createDataFrame([(3, 1), (2, 2)], "src int, header int"))
+    assert rows(loops) == sorted([(1, 1), (1, 2), (1, 3), (2, 2)], key=repr)
+    b, e, g = flow(spark, [(0, 1), (0, 2), (1, 3), (2, 3), (3, 1)], [(1, "g")], 4)
+    states = dataflow.path_states(b, e, g)
+    got = {r.block: (r.on_all, r.on_any) for r in dataflow.guarded_on_paths(states, "g").collect()}
+    assert got == {0: (False, False), 1: (False, True), 2: (False, False), 3: (False, True)} and not states.first().truncated
+    assert dataflow.path_states(b, e, g, rounds=1).first().truncated
+
+
+def test_summaries_of_recursive_functions(spark):
+    from factloom.operators import summaries
+
+    direct = spark.createDataFrame([("leaf", 0, 3), ("id", 0, -1)], "func string, param int, target int")
+    passes = spark.createDataFrame([("a", 1, "leaf", 0), ("b", 0, "a", 1), ("a", 1, "b", 0), ("wrap", 0, "id", 0), ("drop", 0, "id", 0)], "func string, param int, callee string, arg int")
+    found = summaries.flows(direct, passes, spark.createDataFrame([("wrap", "id")], "func string, callee string"))
+    assert rows(found) == sorted([("leaf", 0, 3), ("id", 0, -1), ("a", 1, 3), ("b", 0, 3), ("wrap", 0, -1)], key=repr)
+    calls = spark.createDataFrame([(1, "main", "b", 0, True), (2, "main", "b", 0, False), (3, "dead", "b", 0, True), (4, "main", "wrap", 0, True)], "call int, caller string, func string, arg int, tainted boolean")
+    assert rows(summaries.security_bugs(spark.createDataFrame([("main",)], "node string"), calls, found)) == [(1, "b", 3)]
+
+
+def test_traces_and_proofs(spark):
+    from factloom.operators import traces
+
+    t = spark.createDataFrame([(1, ["0: LOAD_FAST x", "2 IMPORT_NAME os", "EXCEPTION: KeyError k", "UNHANDLED EXCEPTION: ValueError at 3"]), (2, []), (3, ["nothing", "5:"])], "id int, lines array<string>")
+    assert [(r.kind, r.value) for r in traces.trace_features(t).orderBy("id", "pos").collect()] == [("opcode", "LOAD_FAST"), ("import", "os"), ("exception", "EXCEPTION: KeyError k"), ("exception", "UNHANDLED EXCEPTION: ValueError at 3")]
+    assert dict(traces.last_exception(t).collect()) == {1: "ValueError", 2: "Unknown", 3: "Unknown"}
+    a = spark.createDataFrame([(1, 1, "X", 0.5), (1, 2, "Y", 0.7), (1, 3, "X", 0.9), (2, 1, "X", 0.1)], "bug int, ordinal int, barrier string, confidence double")
+    first = traces.first_proof(a)
+    assert rows(first) == [(1, "Y", 0.7)]
+    assert dict(traces.proof_counts(first, spark.createDataFrame([("X",), ("Y",)], "barrier string")).collect()) == {"X": 0, "Y": 1}
+    likely = spark.createDataFrame([("v", "nonzero", 0.9), ("w", "nonnull", 0.94)], "var string, prop string, confidence double")
+    bugs = spark.createDataFrame([(1, "DIV_ZERO", "v"), (2, "NULL_PTR", "w"), (3, "OTHER", "v")], "bug int, bug_type string, var string")
+    assert rows(traces.statistical_proof(likely, bugs)) == [(1, 0.9)]
+
+
+def test_intent_and_contexts(spark):
+    from factloom.functions import intent
+
+    for path, want in (("tests/a.py", True), ("a/test_b.py", True), ("spec/x.py", True), ("a/latest.py", False), ("contest/b.py", False), ("a/conftest.py", True)):
+        assert one(spark, t=intent.is_test_path(F.lit(path))).t is want, path
+    got = one(spark, s=intent.signals(F.lit("p/examples/settings.py"), F.lit("NULL_PTR"), F.lit("self[0]"), F.lit("f"))).s
+    assert [x.kind for x in got] == ["example", "config", "self"]
+    assert one(spark, s=intent.signals(F.lit("a.py"), F.lit("NULL_PTR"), F.lit("self.x"), F.lit("f"))).s == []
+    c = one(spark, c=intent.contexts(F.lit("tests/a.py"), F.array(F.lit("sys.argv[1]")), F.array(F.lit("sanitize_path")), F.lit("yaml.safe_load"))).c
+    assert c == ["TEST_FILE", "CLI_TOOL", "SAFE_LOADER", "DEFENSE_IN_DEPTH"]
+    assert one(spark, g=intent.is_guarded_text(F.lit("x = y or 1"))).g and not one(spark, g=intent.is_guarded_text(F.lit("x = y"))).g
