@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm import common
 
-#: Words whose ids a worker remembers; beyond that it keeps those that came again, so memory is bounded.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers; beyond that it keeps those that came again in a later block, so memory is bounded.
+CACHE_WORDS = 350_000
 #: Bytes of text in a block, and so in one corpus of the replay.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Texts of ASCII and Latin-1 letters, for which the standard library's engine cuts as the pattern does, but faster.
@@ -44,24 +44,23 @@ class MergeReplay:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {r: t for t, r in self.ranks.items()}
         self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-
-    def merged(self, a: int, b: int) -> int | None:
-        """The rank of two tokens joined, if the vocabulary holds it."""
-        key = (a, b)
-        if key not in self.pairs:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            self.pairs[key] = self.ranks.get(self.token[a] + self.token[b])
-        return self.pairs[key]
+        # every pair of tokens that joins to a token: about five for each token, so its size is bound by the vocabulary
+        self.joined = {}
+        for t, r in self.ranks.items():
+            for k in range(1, len(t)):
+                x, y = self.ranks.get(t[:k]), self.ranks.get(t[k:])
+                if x is not None and y is not None:
+                    self.joined[x << 20 | y] = r
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word.
 
         All words lie in one array, apart by a gap.  `at` is the inverted index: rank of the merge -> positions of its
-        left token.  Ranks leave the heap in order; a merge can only make pairs of any rank that hold the new token, and
-        these rank after it in a vocabulary of merges, or else are replayed as soon as they are the lowest.
+        left token.  Ranks leave the heap in order, and a merge changes the pairs with its two neighbours only.  Where
+        it makes a pair of a lower rank, that is replayed first, as it would be in the word alone.
         """
+        if not words:
+            return []
         ids: list[int] = []
         begins: list[int] = []
         for w in words:
@@ -71,48 +70,54 @@ class MergeReplay:
             ids.append(-1)
         n = len(ids)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        join = self.joined.get
         at: dict[int, set[int]] = {}
         for i in range(n - 1):
-            if ids[i] >= 0 and ids[i + 1] >= 0 and (r := self.merged(ids[i], ids[i + 1])) is not None:
-                at.setdefault(r, set()).add(i)
+            x, y = ids[i], ids[i + 1]
+            if x >= 0 and y >= 0 and (r := join(x << 20 | y)) is not None:
+                if r in at:
+                    at[r].add(i)
+                else:
+                    at[r] = {i}
         heap = list(at)
         heapq.heapify(heap)
-
-        def drop(i: int) -> None:
-            if i >= 0 and ids[i] >= 0 and right[i] < n and ids[right[i]] >= 0 and (r := self.merged(ids[i], ids[right[i]])) in at:
-                at[r].discard(i)
-
-        def add(i: int) -> None:
-            if i >= 0 and ids[i] >= 0 and right[i] < n and ids[right[i]] >= 0 and (r := self.merged(ids[i], ids[right[i]])) is not None:
-                if not at.get(r):
-                    at[r] = set()
-                    heapq.heappush(heap, r)
-                at[r].add(i)
-
         while heap:
             rank = heapq.heappop(heap)
-            lower = False
-            for i in sorted(at.get(rank, ())):  # leftmost first: an overlapping pair, as in a run of one token, goes away
-                if i not in at[rank]:
+            live = at.pop(rank)
+            for i in sorted(live) if len(live) > 1 else tuple(live):  # leftmost first: overlapping pairs, as in a run, go away
+                if i not in live:
                     continue
-                before, gone = left[i], right[i]
-                drop(before)
-                drop(gone)
-                at[rank].discard(i)
-                ids[i], ids[gone] = rank, -2
-                right[i] = right[gone]
-                if right[i] < n:
-                    left[right[i]] = i
-                add(before)
-                add(i)
-                if heap and heap[0] < rank:
-                    lower = True
+                live.discard(i)
+                gone, before, lower = right[i], left[i], False
+                after = right[gone]
+                if before >= 0 and (x := ids[before]) >= 0:
+                    if (r := join(x << 20 | ids[i])) is not None:
+                        (live if r == rank else at.get(r, live)).discard(before)
+                    if (r := join(x << 20 | rank)) is not None:
+                        if r in at:
+                            at[r].add(before)
+                        else:
+                            at[r] = {before}
+                            heapq.heappush(heap, r)
+                        lower = r < rank
+                if after < n:
+                    left[after] = i
+                    if (y := ids[after]) >= 0:
+                        if (r := join(ids[gone] << 20 | y)) is not None:
+                            (live if r == rank else at.get(r, live)).discard(gone)
+                        if (r := join(rank << 20 | y)) is not None:
+                            if r in at:
+                                at[r].add(i)
+                            else:
+                                at[r] = {i}
+                                heapq.heappush(heap, r)
+                            lower = lower or r < rank
+                ids[i], ids[gone], right[i] = rank, -2, after
+                if lower and live:
+                    at[rank] = live
+                    heapq.heappush(heap, rank)
                     break
-            if lower and at[rank]:
-                heapq.heappush(heap, rank)
-            elif not at.get(rank):
-                at.pop(rank, None)
-        ends = [*begins[1:], n][: len(begins)]
+        ends = [*begins[1:], n]
         return [[x for x in ids[b : e - 1] if x >= 0] for b, e in zip(begins, ends, strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -131,6 +136,7 @@ class Encoder:
         self.match = regex.compile(pattern).findall
         self.simple = pattern == public_tokenizers.PATTERN
         self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.again: set[str] = set()
 
     def cut(self, text: str) -> list[str]:
         """The matches of the pattern, which lie side by side."""
@@ -141,6 +147,7 @@ class Encoder:
         cut = [self.cut(t) for t in block]
         used = set().union(*cut)
         new = list(used - self.words.keys())
+        self.again |= used & self.words.keys()
         for w, ids in zip(new, self.replay.encode([w.encode() for w in new]), strict=True):
             self.words[w] = (struct.pack(f"<{len(ids)}I", *ids), self.replay.decode(ids))
         look = self.words.__getitem__
@@ -149,7 +156,9 @@ class Encoder:
             pairs = list(map(look, ws))
             out.append((b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
         if len(self.words) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in used.difference(new)}
+            if len(self.again) > CACHE_WORDS * 2 // 3:
+                self.again = used.difference(new)
+            self.words = {w: self.words[w] for w in self.again}
         return out
 
 
@@ -167,8 +176,10 @@ def encode_block(block: list[str], rank_path: str, pattern: str) -> list[tuple[b
 
 def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
+    common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("byte_bpe", _state.clear)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for whole in batches:
             for b in common.blocks(whole, 1, BLOCK_BYTES):
@@ -183,8 +194,10 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the ids themselves."""
+    common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("byte_bpe", _state.clear)
         for whole in batches:
             for b in common.blocks(whole, 1, BLOCK_BYTES):
                 rows = [a for a, _ in encode_block(common.texts(b.column(1)), rank_path, pattern)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,41 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def table(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back.  Survives lost executors."""
+#: Most texts in an Arrow batch between Spark and a Python worker; batches of numbers may be larger.
+TEXTS_A_BATCH, NUMBERS_A_BATCH = 1_000, 4_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small in this session: they are held by the JVM and by the worker at once."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXTS_A_BATCH:
+        spark.conf.set(_BATCH, str(TEXTS_A_BATCH))
+
+
+_holder: dict = {}
+
+
+def claim(name: str, release: Callable[[], None]) -> None:
+    """Called where a task of an operator starts: what another operator remembered in this worker is let go."""
+    if _holder.get("name") not in (None, name):
+        _holder["release"]()
+    _holder.update(name=name, release=release)
+
+
+def table(df: DataFrame, what: str, numbers: bool = False) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it back.  Survives lost executors.
+
+    numbers: rows that go through Python are narrow, so batches may be larger while this is written.
+    """
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    was = spark.conf.get(_BATCH)
+    if numbers:
+        spark.conf.set(_BATCH, str(NUMBERS_A_BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,7 +108,10 @@ def bounded_sample(docs: DataFrame, chosen: DataFrame, bound: int, seed: int, ex
     """At most `bound` documents whose doc_id is in `chosen`, picked by hash, with distinct ids and texts, as a scratch table."""
     ids = chosen.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(bound)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return table(rows.dropDuplicates(["text"]).dropDuplicates(["doc_id"]).select("doc_id", "text", *extra), "sample")
+    least = lambda *rest: F.min(F.struct(*rest)).alias("r")  # noqa: E731  not any row, so that reruns agree
+    by_text = rows.groupBy("text").agg(least("doc_id", *extra)).select("text", "r.*")
+    by_id = by_text.groupBy("doc_id").agg(least("text", *extra)).select("doc_id", "r.*")
+    return table(by_id.select("doc_id", "text", *extra), "sample")
 
 
 def int_lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
