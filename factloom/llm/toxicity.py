@@ -30,7 +30,7 @@ SAMPLE = 12_000
 LEXICON_WORDS, LEXICON_SHARE, LEXICON_ODDS = 5_000, 0.01, 2.5
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 THRESHOLD = 0.3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 # Common insults of English, and the second person in four languages.
 INSULTS = "idiot moron stupid dumb loser trash scum worthless pathetic disgusting clown fool jerk garbage".split()
@@ -151,11 +151,11 @@ class Trees:
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing least-squares fit (pooled adjacent violators) of y on the margin."""
-    order = np.argsort(margin, kind="stable")
+    at, place = np.unique(margin, return_inverse=True)  # rows of one margin are one point from the start
     pools: list[list[float]] = []  # sum, count, lowest and highest margin
-    for m, v in zip(margin[order], y[order], strict=True):
-        pools.append([float(v), 1.0, float(m), float(m)])
-        while len(pools) > 1 and (pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1] or pools[-2][3] == pools[-1][2]):
+    for m, total, n in zip(at, np.bincount(place, y), np.bincount(place), strict=True):
+        pools.append([float(total), float(n), float(m), float(m)])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             s, c, _, hi = pools.pop()
             pools[-1][0] += s
             pools[-1][1] += c
@@ -209,6 +209,7 @@ def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """Fit on at most `bound` labelled documents."""
+    common.bound_batches(docs.sparkSession)
     sample = common.bounded_sample(docs, common.labelled(labels, "toxic"), bound, 2, ["label"])
     part = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0
     lexicon = learn_lexicon(sample.where(~part))
@@ -235,8 +236,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, score, predicted."""
+    common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("toxicity", lambda: None)
         for whole in batches:
             for b in common.blocks(whole, 1, BLOCK_BYTES):
                 s = model.score(common.texts(b.column(1)))
@@ -248,8 +251,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The documents below the threshold, with their columns, in one pass."""
+    common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("toxicity", lambda: None)
         for whole in batches:
             for b in common.blocks(whole, at, BLOCK_BYTES):
                 yield b.filter(pa.array(model.score(common.texts(b.column(at))) < THRESHOLD))

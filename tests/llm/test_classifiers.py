@@ -36,6 +36,9 @@ def test_isotonic_is_the_monotone_fit():
     knots = toxicity.isotonic(x, np.array([0, 1, 0, 1, 0, 1.0]))
     assert np.all(np.diff(knots[1]) >= 0) and knots[1][0] == 0 and knots[1][-1] == 1
     assert np.allclose(np.interp([1, 2, 3], *knots), 0.5)
+    # a lone 0 at the highest margin does not pull the others down to it
+    knots = toxicity.isotonic(np.array([0.0] * 50 + [1.0] * 10 + [5.0] * 20), np.array([0] * 60 + [0] + [1] * 19))
+    assert np.allclose(np.interp([0, 1, 5], *knots), [0, 0, 0.95])
 
 
 def test_trees_learn_a_threshold():
