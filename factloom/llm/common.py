@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,9 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/factloom/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder.  What this process made goes when it ends, or earlier by release()."""
+    if not _made:
+        atexit.register(_sweep)
+    _made.append(f"{shared_dir(spark).rstrip('/')}/factloom/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _sweep() -> None:
+    for path in _made:
+        if (local := path.removeprefix("file://")).startswith("/"):
+            shutil.rmtree(local, ignore_errors=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process, on any store; results that were not saved become unreadable."""
+    for path in _made:
+        delete(spark, path)
+    _made.clear()
 
 
 def delete(spark: SparkSession, path: str) -> None:

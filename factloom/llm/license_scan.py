@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from factloom.llm import common
 
 BLOCK, CONTAINED = 96, 0.8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 # The base phrases, and notices of common licenses with their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -147,10 +147,12 @@ def scan_text(raw: bytes, index: Index) -> tuple:
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """RESULT of every document."""
+    common.bound_batches(docs.sparkSession)
     index = Index(frequencies(docs, templates), templates)
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("license_scan", lambda: None)
         for whole in batches:
             for b in common.blocks(whole, 1, BLOCK_BYTES):
                 rows = [scan_text(raw, index) for raw in common.text_bytes(b.column(1))]

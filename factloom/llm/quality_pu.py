@@ -29,7 +29,7 @@ from factloom.llm import common
 POSITIVES, UNLABELLED = 8_000, 8_000
 HIDDEN, EPOCHS, RATE, DECAY = 16, 500, 0.02, 1e-4
 THRESHOLD = 0.7
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 NAMES = (
     "log_words", "distinct_words", "repeats_next", "commonest_bigram_repeats", "symbols", "loud", "capitals", "repeated_lines",
@@ -160,6 +160,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Fit on bounded samples picked by hash, one row an id: positives by label, unlabelled ones from all documents not held out."""
+    common.bound_batches(docs.sparkSession)
     trusted = common.labelled(labels, "quality").where("label = 1").select("doc_id").orderBy(F.xxhash64(F.lit(8), F.col("doc_id")), "doc_id").limit(positives)
     total = max(1, docs.select("doc_id").count())
     chance = F.pmod(F.xxhash64(F.lit("web"), "doc_id"), F.lit(1_000_000)) < min(1_000_000, math.ceil(1_000_000 * unlabelled * 4 / 3 / total))
@@ -189,8 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, score, predicted."""
+    common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("quality_pu", lambda: None)
         for whole in batches:
             for b in common.blocks(whole, 1, BLOCK_BYTES):
                 s = model.score(common.text_bytes(b.column(1)))
@@ -202,8 +205,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents at or above the threshold, with their columns, in one pass."""
+    common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("quality_pu", lambda: None)
         for whole in batches:
             for b in common.blocks(whole, at, BLOCK_BYTES):
                 yield b.filter(pa.array(model.score(common.text_bytes(b.column(at))) >= THRESHOLD))

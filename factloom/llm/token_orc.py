@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from factloom.llm import common
 
 #: Pieces whose ids a worker remembers; beyond that it keeps those that came again, so memory is bounded.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
 #: Words that the library encodes as one text.
 TOGETHER = 64
 #: Bytes of text that one pass of the encoder holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: ORC writer settings: integer run-length encoding is the writer's default, Bloom filters and row indexes are named here.
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -110,6 +110,7 @@ def encode_texts(texts: list[str], tokenizer_path: str) -> list[bytes]:
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """(part, local_start, doc_id, n_tokens, ids), range-partitioned and sorted by doc_id."""
+    common.bound_batches(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -120,6 +121,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, partitions: int |
     end = np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("token_orc", _state.clear)
         part, start = TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in common.blocks(whole, 1, BLOCK_BYTES):

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm import common
+
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (
     ("allow", "com", "/"),
@@ -49,35 +51,36 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*(F.when(c, s) for c, s in fits)) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _level(groups: DataFrame, key: str, mean: Column) -> DataFrame:
-    """One row: the prior strength of a level, by moments, around the overall mean.  groups(key, n, bad)."""
-    seen = groups.where("n > 0")
+def _strength(groups: DataFrame, overall: float) -> float:
+    """The prior strength of a level, by moments of its groups (n, bad) around the overall mean."""
     p = F.col("bad") / F.col("n")
-    sums = seen.agg(F.count("*").alias("groups"), F.sum("n").alias("pages"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("square"), F.sum(F.col("n") * (p - mean) * (p - mean)).alias("spread"), F.first(mean).alias("mean"))
-    within = F.col("mean") * (1 - F.col("mean"))
-    between = F.try_divide(F.col("spread") - (F.col("groups") - 1) * within, F.col("pages") - F.col("square"))
-    strength = F.when(between > 0, F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), within / between - 1))).otherwise(F.lit(STRONGEST))
-    return sums.select(F.coalesce(strength, F.lit(STRONGEST)).alias(f"{key}_strength"))
+    r = groups.where("n > 0").agg(F.count("*").alias("groups"), F.sum("n").alias("pages"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("square"), F.sum(F.col("n") * (p - overall) * (p - overall)).alias("spread")).first()
+    if not r.groups or r.pages - r.square <= 0:
+        return STRONGEST
+    within = overall * (1 - overall)
+    between = (r.spread - (r.groups - 1) * within) / (r.pages - r.square)
+    return max(WEAKEST, min(STRONGEST, within / between - 1)) if between > 0 else STRONGEST
 
 
 def reputation(hosts: DataFrame) -> DataFrame:
-    """hosts(host, n, bad) -> host, posterior mean and lower bound."""
+    """hosts(host, n, bad) -> host, posterior mean and lower bound.
+
+    Counts of domains and suffixes join by name; the overall counts and the three strengths are single numbers.
+    """
     named = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tn"), F.coalesce(F.sum("bad"), F.lit(0)).alias("tb"))
-    one = total.withColumn("overall", (F.col("tb") + 0.5) / (F.col("tn") + 1))
-    for key, groups in (("suffix", suffixes), ("domain", domains), ("host", named)):  # a single row throughout
-        one = one.crossJoin(F.broadcast(_level(groups.crossJoin(F.broadcast(total.select(((F.col("tb") + 0.5) / (F.col("tn") + 1)).alias("overall")))), key, F.col("overall"))))
+    total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    overall = (total.bad + 0.5) / (total.n + 1)
+    strength = {key: F.lit(_strength(groups, overall)) for key, groups in (("suffix", suffixes), ("domain", domains), ("host", named))}
     above = domains.toDF("domain", "suffix", "dn", "db").join(suffixes.toDF("suffix", "sn", "sb"), "suffix").drop("suffix")
-    rows = named.join(above, "domain").crossJoin(F.broadcast(one))
     c = F.col
-    post = lambda prior, strength, n, bad: (c(strength) * prior + bad) / (c(strength) + n)
-    around = (c("tb") - c("sb") + 0.5) / (c("tn") - c("sn") + 1)
-    suffix = post(around, "suffix_strength", c("sn") - c("dn"), c("sb") - c("db"))
-    domain = post(suffix, "domain_strength", c("dn") - c("n"), c("db") - c("bad"))
-    mean = post(domain, "host_strength", c("n"), c("bad"))
-    found = rows.select("host", mean.alias("mean"), (c("host_strength") + c("n")).alias("weight"))
+    post = lambda prior, key, n, bad: (strength[key] * prior + bad) / (strength[key] + n)
+    around = (total.bad - c("sb") + 0.5) / (total.n - c("sn") + 1)
+    suffix = post(around, "suffix", c("sn") - c("dn"), c("sb") - c("db"))
+    domain = post(suffix, "domain", c("dn") - c("n"), c("db") - c("bad"))
+    mean = post(domain, "host", c("n"), c("bad"))
+    found = named.join(above, "domain").select("host", mean.alias("mean"), (strength["host"] + c("n")).alias("weight"))
     return found.select("host", "mean", (c("mean") - Z * F.sqrt(c("mean") * (1 - c("mean")) / (c("weight") + 1))).alias("lower"))
 
 
@@ -87,6 +90,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     labelled = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = urls.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
     hosts = hosts.unionByName(labelled.where("n > 0")).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = common.table(hosts, "hosts")
     blocked = reputation(hosts).where(F.col("lower") > LIMIT).select("host", F.lit("block").alias("by_host"))
     found = urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(blocked, "host", "left")
     return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "by_host", F.lit("allow")).alias("verdict"))
