@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import cut, reachable
+from factloom.operators.graph import Seen, cut, reachable
 
 
 def must_guards(blocks: DataFrame, succ: DataFrame, gen: DataFrame, compat: bool = False) -> DataFrame:
@@ -129,12 +129,13 @@ def natural_loops(succ: DataFrame, back_edges: DataFrame) -> DataFrame:
     """
     edges = cut(succ.select("src", "dst").distinct())
     start = back_edges.select("header", F.col("src").alias("block")).union(back_edges.select("header", F.col("header").alias("block"))).distinct()
-    seen = frontier = cut(start)
+    frontier = cut(start)
+    seen = Seen(frontier)
     while frontier.limit(1).count():
         back = frontier.where("block <> header").join(edges, F.col("block") == F.col("dst")).select("header", F.col("src").alias("block")).distinct()
-        frontier = cut(back.join(seen, ["header", "block"], "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+        frontier = cut(back.join(seen.all(), ["header", "block"], "left_anti"))
+        seen.add(frontier)
+    return seen.all()
 
 
 def path_states(blocks: DataFrame, succ: DataFrame, gen: DataFrame, rounds: int = 50) -> DataFrame:
@@ -144,15 +145,16 @@ def path_states(blocks: DataFrame, succ: DataFrame, gen: DataFrame, rounds: int
     """
     own = cut(gen.groupBy("block").agg(F.array_sort(F.collect_set("guard")).alias("g")))
     edges = cut(succ.select("src", "dst").distinct())
-    seen = frontier = cut(blocks.where("is_entry").select("block", F.array().cast("array<string>").alias("guards")))
+    frontier = cut(blocks.where("is_entry").select("block", F.array().cast("array<string>").alias("guards")))
+    seen = Seen(frontier)
     for _ in range(rounds):
         out = frontier.join(own, "block", "left").select("block", F.array_sort(F.array_union("guards", F.coalesce("g", F.array().cast("array<string>")))).alias("guards"))
         moved = out.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "guards").distinct()
-        frontier = cut(moved.join(seen, ["block", "guards"], "left_anti"))
+        frontier = cut(moved.join(seen.all(), ["block", "guards"], "left_anti"))
         if not frontier.limit(1).count():
-            return seen.withColumn("truncated", F.lit(False))
-        seen = cut(seen.union(frontier))
-    return seen.withColumn("truncated", F.lit(True))
+            return seen.all().withColumn("truncated", F.lit(False))
+        seen.add(frontier)
+    return seen.all().withColumn("truncated", F.lit(True))
 
 
 def guarded_on_paths(states: DataFrame, guard: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Seen:
+    """What a loop has found: a few written tables, made one from time to time, so that no round rewrites them all."""
+
+    def __init__(self, first: DataFrame, most: int = 8):
+        self.parts, self.most = [first], most
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.most:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+
 def callees(edges: DataFrame, node) -> DataFrame:
     """One hop out."""
     return edges.where(F.col("src") == node).select(F.col("dst").alias("node")).distinct()
@@ -47,11 +63,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None
     """(node): what the seeds reach, themselves included; seeds that are not in nodes are dropped."""
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     start = seeds.select("node").distinct()
-    seen = frontier = cut(start.join(nodes.select("node"), "node", "left_semi") if nodes is not None else start)
+    frontier = cut(start.join(nodes.select("node"), "node", "left_semi") if nodes is not None else start)
+    seen = Seen(frontier)
     while frontier.limit(1).count():
-        frontier = cut(frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+        frontier = cut(frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.all(), "node", "left_anti"))
+        seen.add(frontier)
+    return seen.all()
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import cut
+from factloom.operators.graph import Seen, cut
 
 RESULT = -1
 
@@ -20,14 +20,15 @@ def flows(direct: DataFrame, passes: DataFrame, returns: DataFrame) -> DataFrame
     keys = ["func", "param", "target"]
     given = cut(passes.select("func", "param", "callee", "arg").distinct())
     back = cut(returns.select("func", "callee").distinct())
-    seen = frontier = cut(direct.select(*keys).distinct())
+    frontier = cut(direct.select(*keys).distinct())
+    seen = Seen(frontier)
     while frontier.limit(1).count():
         f = frontier.select(F.col("func").alias("callee"), F.col("param").alias("arg"), "target")
         sinks = given.join(f.where(F.col("target") != RESULT), ["callee", "arg"]).select(*keys)
         results = given.join(f.where(F.col("target") == RESULT), ["callee", "arg"]).join(back, ["func", "callee"], "left_semi").select(*keys)
-        frontier = cut(sinks.union(results).distinct().join(seen, keys, "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+        frontier = cut(sinks.union(results).distinct().join(seen.all(), keys, "left_anti"))
+        seen.add(frontier)
+    return seen.all()
 
 
 def security_bugs(reachable: DataFrame, calls: DataFrame, summary: DataFrame) -> DataFrame:
