@@ -520,11 +520,18 @@ def reachable(spark, sf_dir):
     return graph.reachable(e, e.where(F.col("src").isin(3, 50, 111)).select(F.col("src").alias("node")))
 
 
+# The SQL of the next four is over the first module; the forms named _all are over all of part.
+
 _CLOSE = "c AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM c JOIN edges e ON c.dst = e.src)"
 
 
 @query(f"WITH RECURSIVE {ft.EDGES}, {_CLOSE} SELECT src, dst FROM c")
 def closure(spark, sf_dir):
+    return graph.closure(ft.first_module(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {ft.ALL_EDGES}, {_CLOSE} SELECT src, dst FROM c")
+def closure_all(spark, sf_dir):
     return graph.closure(ft.part_edges(spark, sf_dir))
 
 
@@ -538,19 +545,40 @@ def _nodes(e):
 
 @query(f"WITH RECURSIVE {ft.EDGES}, {_SCC} SELECT node, scc FROM scc")
 def scc_labels(spark, sf_dir):
+    e = ft.first_module(spark, sf_dir)
+    return graph.strong_components(e, _nodes(e))
+
+
+@query(f"WITH RECURSIVE {ft.ALL_EDGES}, {_SCC} SELECT node, scc FROM scc")
+def scc_labels_all(spark, sf_dir):
     e = ft.part_edges(spark, sf_dir)
     return graph.strong_components(e, _nodes(e))
 
 
 @query(f"WITH RECURSIVE {ft.EDGES}, {_CLOSE} SELECT src AS node FROM c WHERE src = dst")
 def recursive_functions(spark, sf_dir):
+    e = ft.first_module(spark, sf_dir)
+    return graph.recursive_nodes(e, graph.strong_components(e, _nodes(e)))
+
+
+@query(f"WITH RECURSIVE {ft.ALL_EDGES}, {_CLOSE} SELECT src AS node FROM c WHERE src = dst")
+def recursive_functions_all(spark, sf_dir):
     e = ft.part_edges(spark, sf_dir)
     return graph.recursive_nodes(e, graph.strong_components(e, _nodes(e)))
 
 
-@query(f"""WITH RECURSIVE {ft.EDGES}, {_SCC}, d AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM edges JOIN scc a ON a.node = src JOIN scc b ON b.node = dst WHERE a.scc <> b.scc),
-l AS (SELECT DISTINCT scc, 0 AS level FROM scc UNION SELECT a, level + 1 FROM d JOIN l ON l.scc = d.b) SELECT scc, max(level) AS level FROM l GROUP BY 1""")
+_LEVELS = """d AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM edges JOIN scc a ON a.node = src JOIN scc b ON b.node = dst WHERE a.scc <> b.scc),
+l AS (SELECT DISTINCT scc, 0 AS level FROM scc UNION SELECT a, level + 1 FROM d JOIN l ON l.scc = d.b) SELECT scc, max(level) AS level FROM l GROUP BY 1"""
+
+
+@query(f"WITH RECURSIVE {ft.EDGES}, {_SCC}, {_LEVELS}")
 def bottom_up_levels(spark, sf_dir):
+    e = ft.first_module(spark, sf_dir)
+    return graph.bottom_up_levels(e, graph.strong_components(e, _nodes(e)))
+
+
+@query(f"WITH RECURSIVE {ft.ALL_EDGES}, {_SCC}, {_LEVELS}")
+def bottom_up_levels_all(spark, sf_dir):
     e = ft.part_edges(spark, sf_dir)
     return graph.bottom_up_levels(e, graph.strong_components(e, _nodes(e)))
 
