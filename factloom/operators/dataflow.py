@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,16 +140,17 @@ def natural_loops(succ: DataFrame, back_edges: DataFrame) -> DataFrame:
     return seen.all()
 
 
-def path_states(blocks: DataFrame, succ: DataFrame, gen: DataFrame, rounds: int = 50) -> DataFrame:
+def path_states(blocks: DataFrame, succ: DataFrame, gen: DataFrame, rounds: int | None = 50) -> DataFrame:
     """(block, guards, truncated): the sets of guards that some path from the entry has gathered on a block's entry.
 
     States, not paths, are followed, so loops end when they bring no new set; truncated tells that the rounds ran out first.
+    With rounds None all states are found: they are finite in number.
     """
     own = cut(gen.groupBy("block").agg(F.array_sort(F.collect_set("guard")).alias("g")))
     edges = cut(succ.select("src", "dst").distinct())
     frontier = cut(blocks.where("is_entry").select("block", F.array().cast("array<string>").alias("guards")))
     seen = Seen(frontier)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         out = frontier.join(own, "block", "left").select("block", F.array_sort(F.array_union("guards", F.coalesce("g", F.array().cast("array<string>")))).alias("guards"))
         moved = out.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "guards").distinct()
         frontier = cut(moved.join(seen.all(), ["block", "guards"], "left_anti"))
@@ -158,5 +161,6 @@ def path_states(blocks: DataFrame, succ: DataFrame, gen: DataFrame, rounds: int
 
 
 def guarded_on_paths(states: DataFrame, guard: str) -> DataFrame:
-    """(block, on_all, on_any): whether every or some path to a block holds a guard."""
-    return guarded_paths(states.select("block", F.array_contains("guards", guard).alias("guarded")))
+    """(block, on_all, on_any): whether every or some path to a block holds a guard.  Truncated states raise: they would answer wrongly."""
+    held = F.when(F.col("truncated"), F.raise_error(F.lit("path states are truncated"))).otherwise(F.array_contains("guards", guard))
+    return guarded_paths(states.select("block", held.alias("guarded")))

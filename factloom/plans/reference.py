@@ -594,13 +594,23 @@ _FLOW = """succ AS (SELECT DISTINCT p_partkey AS src, p_partkey + 1 + p_size % 3
 gen AS (SELECT p_partkey AS block, 'g' || CAST(p_size % 5 AS VARCHAR) AS guard FROM part WHERE p_partkey < 60 AND p_size % 2 = 0)"""
 
 
-def _flow(spark, sf_dir):
-    p = load(spark, sf_dir, "part").where("p_partkey < 60")
-    k, s = F.col("p_partkey"), F.col("p_size")
+def _functions(spark, sf_dir, most: int = 60):
+    """(block, pos, p_size): parts as blocks of functions of `most`; after each function three numbers are left for its exits."""
+    k = F.col("p_partkey")
+    return load(spark, sf_dir, "part").select((k + F.floor(k / most) * 3).alias("block"), (k % most).alias("pos"), "p_size")
+
+
+def _first_function(spark, sf_dir):
+    """The blocks of the first function, which is all that _FLOW holds."""
+    return _functions(spark, sf_dir).where("block < 60")
+
+
+def _flow(p):
+    k, s = F.col("block"), F.col("p_size")
     succ = p.select(k.alias("src"), (k + 1 + s % 3).alias("dst")).union(p.select(k, k + 1)).distinct()
-    blocks = p.select(k.alias("block"), (k == 0).alias("is_entry"))
-    gen = p.where("p_size % 2 = 0").select(k.alias("block"), F.concat(F.lit("g"), (s % 5).cast("string")).alias("guard"))
-    return p, blocks, succ, gen
+    blocks = p.select(k, (F.col("pos") == 0).alias("is_entry"))
+    gen = p.where("p_size % 2 = 0").select(k, F.concat(F.lit("g"), (s % 5).cast("string")).alias("guard"))
+    return blocks, succ, gen
 
 
 @query(f"""WITH RECURSIVE {_FLOW}, g AS (SELECT DISTINCT guard FROM gen), free AS (SELECT 0 AS block, guard FROM g UNION
@@ -608,17 +618,30 @@ def _flow(spark, sf_dir):
 n AS (SELECT DISTINCT dst AS block FROM succ) SELECT block, guard FROM n CROSS JOIN g WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.block = n.block AND f.guard = g.guard)""")
 def must_guards(spark, sf_dir):
     """The oracle finds the paths from the entry that miss a guard."""
-    _, blocks, succ, gen = _flow(spark, sf_dir)
-    return dataflow.must_guards(blocks, succ, gen)
+    return dataflow.must_guards(*_flow(_first_function(spark, sf_dir)))
+
+
+@query()
+def must_guards_all(spark, sf_dir):
+    return dataflow.must_guards(*_flow(_functions(spark, sf_dir)))
+
+
+def _reaching(p):
+    blocks, succ, _ = _flow(p)
+    defs = p.select("block", F.concat(F.lit("v"), (F.col("p_size") % 4).cast("string")).alias("var"), F.col("p_size").alias("offset"))
+    return dataflow.reaching_definitions(blocks, succ, defs).select("block", "var", "def_block")
 
 
 @query(f"""WITH RECURSIVE {_FLOW}, d AS (SELECT p_partkey AS block, 'v' || CAST(p_size % 4 AS VARCHAR) AS var, p_size AS offset_ FROM part WHERE p_partkey < 60),
 r AS (SELECT dst AS block, var, d.block AS def_block, offset_ FROM d JOIN succ ON src = d.block UNION
   SELECT dst, r.var, r.def_block, r.offset_ FROM r JOIN succ ON src = r.block WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.block = r.block AND d.var = r.var)) SELECT block, var, def_block FROM r""")
 def reaching_defs(spark, sf_dir):
-    p, blocks, succ, _ = _flow(spark, sf_dir)
-    defs = p.select(F.col("p_partkey").alias("block"), F.concat(F.lit("v"), (F.col("p_size") % 4).cast("string")).alias("var"), F.col("p_size").alias("offset"))
-    return dataflow.reaching_definitions(blocks, succ, defs).select("block", "var", "def_block")
+    return _reaching(_first_function(spark, sf_dir))
+
+
+@query()
+def reaching_defs_all(spark, sf_dir):
+    return _reaching(_functions(spark, sf_dir))
 
 
 @query("SELECT o_custkey AS k, CASE WHEN count(lo) = count(*) THEN min(lo) END AS lo, CASE WHEN count(hi) = count(*) THEN max(hi) END AS hi FROM (SELECT o_custkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS lo, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey + 5 END AS hi FROM orders) GROUP BY 1")
@@ -789,9 +812,19 @@ def set_lattice(spark, sf_dir):
 @query("""WITH c AS (SELECT DISTINCT p_partkey AS pred FROM part WHERE p_partkey < 60), i AS (SELECT p_partkey AS pred, (p_partkey * 3 + p_size) % 60 AS needs FROM part WHERE p_partkey < 60)
 , bad AS (SELECT p_partkey AS pred FROM part WHERE p_partkey < 60 AND p_size % 10 = 0), g AS (WITH RECURSIVE r AS (SELECT pred FROM bad UNION SELECT i.pred FROM i JOIN r ON i.needs = r.pred) SELECT pred FROM r) SELECT pred FROM c WHERE pred NOT IN (SELECT pred FROM g)""")
 def houdini(spark, sf_dir):
-    p = load(spark, sf_dir, "part").where("p_partkey < 60")
+    return _houdini(load(spark, sf_dir, "part").where("p_partkey < 60"))
+
+
+@query()
+def houdini_all(spark, sf_dir):
+    return _houdini(load(spark, sf_dir, "part"))
+
+
+def _houdini(p):
+    """Predicates in groups of 60; those of the last group may rest on some that are no candidates."""
     k = F.col("p_partkey")
-    return dataflow.houdini(p.select(k.alias("pred")), p.select(k.alias("pred"), ((k * 3 + F.col("p_size")) % 60).alias("needs")), p.where("p_size % 10 = 0").select(k.alias("pred")))
+    needs = k - k % 60 + (k * 3 + F.col("p_size")) % 60
+    return dataflow.houdini(p.select(k.alias("pred")), p.select(k.alias("pred"), needs.alias("needs")), p.where("p_size % 10 = 0").select(k.alias("pred")))
 
 
 # loops, paths, summaries ------------------------------------------------------------------------------------------
@@ -802,9 +835,17 @@ _LOOPS = """back AS (SELECT p_partkey AS src, p_partkey - p_size % 9 AS header F
 @query(f"""WITH RECURSIVE {_FLOW}, {_LOOPS}, l AS (SELECT header, src AS block FROM back UNION SELECT l.header, s.src FROM l JOIN succ s ON s.dst = l.block WHERE l.block <> l.header)
 SELECT header, block FROM l UNION SELECT header, header FROM back""")
 def natural_loops(spark, sf_dir):
-    p, _, succ, _ = _flow(spark, sf_dir)
-    k, s = F.col("p_partkey"), F.col("p_size")
-    return dataflow.natural_loops(succ, p.where("p_partkey >= 10 and p_size % 4 = 0").select(k.alias("src"), (k - s % 9).alias("header")))
+    return _loops(_first_function(spark, sf_dir))
+
+
+@query()
+def natural_loops_all(spark, sf_dir):
+    return _loops(_functions(spark, sf_dir))
+
+
+def _loops(p):
+    k, s = F.col("block"), F.col("p_size")
+    return dataflow.natural_loops(_flow(p)[1], p.where("pos >= 10 and p_size % 4 = 0").select(k.alias("src"), (k - s % 9).alias("header")))
 
 
 @query(f"""WITH RECURSIVE {_FLOW}, g AS (SELECT block, bool_or(guard = 'g0') AS g0, bool_or(guard = 'g2') AS g2 FROM gen GROUP BY 1),
@@ -812,28 +853,43 @@ st AS (SELECT 0 AS block, false AS a, false AS b UNION SELECT s.dst, st.a OR coa
 SELECT block, bool_and(a) AS on_all, bool_or(a) AS on_any FROM st GROUP BY 1""")
 def guarded_on_paths(spark, sf_dir):
     """Paths with two kinds of guards; the first is asked for."""
-    _, blocks, succ, gen = _flow(spark, sf_dir)
+    blocks, succ, gen = _flow(_first_function(spark, sf_dir))
     return dataflow.guarded_on_paths(dataflow.path_states(blocks, succ, gen.where("guard in ('g0', 'g2')"), 100), "g0")
 
 
+@query()
+def guarded_on_paths_all(spark, sf_dir):
+    blocks, succ, gen = _flow(_functions(spark, sf_dir))
+    return dataflow.guarded_on_paths(dataflow.path_states(blocks, succ, gen.where("guard in ('g0', 'g2')"), None), "g0")
+
+
 _SUM = """direct AS (SELECT p_partkey AS func, p_partkey % 3 AS param, CASE WHEN p_size % 3 = 0 THEN -1 ELSE p_size % 7 END AS target FROM part WHERE p_partkey < 120 AND p_size % 2 = 0),
 pass AS (SELECT p_partkey AS func, p_size % 3 AS param, (p_partkey * 3 + p_size) % 120 AS callee, p_partkey % 3 AS arg FROM part WHERE p_partkey < 120),
 ret AS (SELECT p_partkey AS func, (p_partkey * 3 + p_size) % 120 AS callee FROM part WHERE p_partkey < 120 AND p_partkey % 2 = 0)"""
 
 
-def _summaries(spark, sf_dir):
-    p = load(spark, sf_dir, "part").where("p_partkey < 120")
+def _summaries(p):
     k, s = F.col("p_partkey"), F.col("p_size")
-    callee = (k * 3 + s) % 120
     direct = p.where("p_size % 2 = 0").select(k.alias("func"), (k % 3).alias("param"), F.when(s % 3 == 0, -1).otherwise(s % 7).alias("target"))
-    passes = p.select(k.alias("func"), (s % 3).cast("long").alias("param"), callee.alias("callee"), (k % 3).alias("arg"))
-    return summaries.flows(direct, passes, p.where("p_partkey % 2 = 0").select(k.alias("func"), callee.alias("callee")))
+    passes = p.select(k.alias("func"), (s % 3).cast("long").alias("param"), _callee().alias("callee"), (k % 3).alias("arg"))
+    return summaries.flows(direct, passes, p.where("p_partkey % 2 = 0").select(k.alias("func"), _callee().alias("callee")))
+
+
+def _callee():
+    """The part that a part calls, in modules of 120."""
+    k = F.col("p_partkey")
+    return k - k % 120 + (k * 3 + F.col("p_size")) % 120
 
 
 @query(f"""WITH RECURSIVE {_SUM}, f AS (SELECT func, param, target FROM direct UNION SELECT p.func, p.param, f.target FROM f JOIN pass p ON p.callee = f.func AND p.arg = f.param
   WHERE f.target <> -1 OR EXISTS (SELECT 1 FROM ret r WHERE r.func = p.func AND r.callee = p.callee)) SELECT func, param, target FROM f""")
 def taint_summaries(spark, sf_dir):
-    return _summaries(spark, sf_dir)
+    return _summaries(load(spark, sf_dir, "part").where("p_partkey < 120"))
+
+
+@query()
+def taint_summaries_all(spark, sf_dir):
+    return _summaries(load(spark, sf_dir, "part"))
 
 
 @query(f"""WITH RECURSIVE {_SUM}, f AS (SELECT func, param, target FROM direct UNION SELECT p.func, p.param, f.target FROM f JOIN pass p ON p.callee = f.func AND p.arg = f.param
@@ -842,4 +898,14 @@ SELECT DISTINCT l_orderkey AS call, func, target FROM lineitem JOIN f ON func =
 def security_bugs(spark, sf_dir):
     c = F.col
     calls = load(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("call"), (c("l_partkey") % 120).alias("caller"), (c("l_partkey") % 120).alias("func"), (c("l_suppkey") % 3).alias("arg"), (c("l_returnflag") == "R").alias("tainted"))
-    return summaries.security_bugs(spark.range(60).select(c("id").alias("node")), calls, _summaries(spark, sf_dir))
+    return summaries.security_bugs(spark.range(60).select(c("id").alias("node")), calls, _summaries(load(spark, sf_dir, "part").where("p_partkey < 120")))
+
+
+@query()
+def security_bugs_all(spark, sf_dir):
+    """Calls of any part; reachable is what parts of size 5 or less call, directly or not, and these parts."""
+    c = F.col
+    p = load(spark, sf_dir, "part")
+    live = graph.reachable(p.select(c("p_partkey").alias("src"), _callee().alias("dst")), p.where("p_size <= 5").select(c("p_partkey").alias("node")), p.select(c("p_partkey").alias("node")))
+    calls = load(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("call"), c("l_partkey").alias("caller"), c("l_partkey").alias("func"), (c("l_suppkey") % 3).alias("arg"), (c("l_returnflag") == "R").alias("tainted"))
+    return summaries.security_bugs(live, calls, _summaries(p))
