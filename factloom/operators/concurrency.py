@@ -26,6 +26,23 @@ def race_candidates(accesses: DataFrame, before: DataFrame) -> DataFrame:
     return pairs.join(ordered, ["a", "b"], "left_anti").select("location", "a", "b")
 
 
+def race_counts(accesses: DataFrame, before: DataFrame) -> DataFrame:
+    """(location, t1, t2, n): how many pairs race_candidates has for two threads t1 < t2 of a location, without making them.
+
+    Pairs are counted by products of accesses; those that before(a, b) orders are looked up by id and taken off.  Ids are unique.
+    """
+    rows = accesses.join(unlocked_locations(accesses), "location", "left_semi").select("location", "id", "thread", "is_write")
+    per = rows.groupBy("location", "thread").agg(F.count("*").alias("all"), F.count_if("is_write").alias("writes"))
+    x, y = per.toDF("location", "t1", "n1", "w1"), per.toDF("location", "t2", "n2", "w2")
+    made = x.join(y, "location").where("t1 < t2").select("location", "t1", "t2", F.expr("w1 * n2 + n1 * w2 - w1 * w2").alias("n"))
+    ordered = before.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a = rows.select(F.col("id").alias("a"), "location", F.col("thread").alias("ta"), F.col("is_write").alias("wa"))
+    b = rows.select(F.col("id").alias("b"), F.col("location").alias("lb"), F.col("thread").alias("tb"), F.col("is_write").alias("wb"))
+    off = ordered.join(a, "a").join(b, "b").where("location = lb and ta <> tb and (wa or wb)")
+    off = off.select("location", F.least("ta", "tb").alias("t1"), F.greatest("ta", "tb").alias("t2"), F.lit(-1).cast("long").alias("n"))
+    return made.union(off).groupBy("location", "t1", "t2").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def lock_order_violations(orders: DataFrame) -> DataFrame:
     """(a, b): locks taken in both orders.  orders(thread, locks)."""
     at = orders.select(F.struct("thread", "locks").alias("run"), F.posexplode("locks").alias("pos", "lock"))

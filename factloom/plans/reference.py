@@ -663,28 +663,61 @@ unlocked AS (SELECT location FROM acc GROUP BY 1 HAVING count(DISTINCT thread) >
   SELECT location FROM (SELECT location, lock, count(*) AS n FROM (SELECT location, unnest(locks) AS lock FROM acc) GROUP BY ALL) JOIN (SELECT location, count(*) AS m FROM acc GROUP BY 1) USING (location) WHERE n = m))"""
 
 
+_ALL_ACC = _ACC.replace(" WHERE event_id < 4000", "")
+
+
+def _first_accesses(spark, sf_dir):
+    """The accesses of _ACC."""
+    return _accesses(spark, sf_dir).where("id < 4000")
+
+
 def _accesses(spark, sf_dir):
     e, u = F.col("event_id"), F.col("user_id")
     locks = F.when(u % 3 == 0, F.array(F.lit("m"))).when(e % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))
-    return load(spark, sf_dir, "events").where("event_id < 4000").select(e.alias("id"), u.alias("location"), (e % 5).alias("thread"), (F.col("event_type") == "purchase").alias("is_write"), locks.alias("locks"))
+    return load(spark, sf_dir, "events").select(e.alias("id"), u.alias("location"), (e % 5).alias("thread"), (F.col("event_type") == "purchase").alias("is_write"), locks.alias("locks"))
 
 
 @query(f"WITH {_ACC} SELECT location FROM unlocked")
 def unlocked_locations(spark, sf_dir):
+    return concurrency.unlocked_locations(_first_accesses(spark, sf_dir))
+
+
+@query(f"WITH {_ALL_ACC} SELECT location FROM unlocked")
+def unlocked_locations_all(spark, sf_dir):
     return concurrency.unlocked_locations(_accesses(spark, sf_dir))
 
 
 @query(f"""WITH {_ACC} SELECT x.location, x.id AS a, y.id AS b FROM acc x JOIN acc y ON x.location = y.location AND x.id < y.id AND x.thread <> y.thread AND (x.is_write OR y.is_write)
 WHERE x.location IN (SELECT location FROM unlocked) AND NOT (y.id = x.id + 7)""")
 def race_candidates(spark, sf_dir):
-    acc = _accesses(spark, sf_dir)
+    acc = _first_accesses(spark, sf_dir)
     return concurrency.race_candidates(acc, acc.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b")))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS t, l_suppkey % 40 AS lock, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem WHERE l_orderkey < 300),
-f AS (SELECT DISTINCT x.lock AS a, y.lock AS b FROM o x JOIN o y ON x.t = y.t AND x.pos < y.pos AND x.lock <> y.lock) SELECT f.a, f.b FROM f JOIN f g ON f.a = g.b AND f.b = g.a WHERE f.a < f.b""")
+@query(f"""WITH {_ALL_ACC} SELECT x.location, x.thread AS t1, y.thread AS t2, count(*) AS n FROM acc x JOIN acc y ON x.location = y.location AND x.thread < y.thread AND (x.is_write OR y.is_write)
+WHERE x.location IN (SELECT location FROM unlocked) AND abs(y.id - x.id) <> 7 GROUP BY ALL""")
+def race_counts_all(spark, sf_dir):
+    """The candidates of all accesses, counted for each location and two threads."""
+    acc = _accesses(spark, sf_dir)
+    return concurrency.race_counts(acc, acc.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b")))
+
+
+_ORDERS = """WITH o AS (SELECT l_orderkey AS t, l_suppkey % 40 AS lock, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem WHERE l_orderkey < 300),
+f AS (SELECT DISTINCT x.lock AS a, y.lock AS b FROM o x JOIN o y ON x.t = y.t AND x.pos < y.pos AND x.lock <> y.lock) SELECT f.a, f.b FROM f JOIN f g ON f.a = g.b AND f.b = g.a WHERE f.a < f.b"""
+
+
+@query(_ORDERS)
 def lock_order_violations(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").where("l_orderkey < 300").groupBy(F.col("l_orderkey").alias("thread")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("r"))
+    return _lock_orders(load(spark, sf_dir, "lineitem").where("l_orderkey < 300"))
+
+
+@query(_ORDERS.replace(" WHERE l_orderkey < 300", ""))
+def lock_order_violations_all(spark, sf_dir):
+    return _lock_orders(load(spark, sf_dir, "lineitem"))
+
+
+def _lock_orders(lines):
+    rows = lines.groupBy(F.col("l_orderkey").alias("thread")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("r"))
     return concurrency.lock_order_violations(rows.select("thread", F.transform("r", lambda x: x["l_suppkey"] % 40).alias("locks")))
 
 

@@ -138,3 +138,17 @@ def test_predicates_and_summaries_of_every_part(spark, sf):
     bugs = {(o, p, t) for o, p, a, r in LINES if r == "R" and p in live for f, x, t in flows if f == p and x == a % 3 and t != -1}
     assert any(p % 120 >= 60 for _, p, _ in bugs) and any(p >= 120 for _, p, _ in bugs)
     assert rows(registry.QUERIES["security_bugs_all"](spark, sf)) == sorted(bugs)
+
+
+def test_late_accesses_and_orders_count(spark, tmp_path):
+    """A lock broken, and taken the other way round, only in rows behind the prefixes of the SQL."""
+    events = [(i, 3, "purchase") for i in (0, 2, 5000, 5001)] + [(i, 4, "view") for i in (1, 5002, 5003)] + [(6000, 6, "purchase"), (6001, 6, "purchase"), (7000, 4, "purchase"), (7007, 4, "view")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    lines = [(1, 1, 5), (1, 2, 6), (900, 1, 6), (900, 2, 5), (1, 3, 7)]
+    spark.createDataFrame([(o, n, 0, s) for o, n, s in lines], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: rows(registry.QUERIES[name](spark, str(tmp_path)))
+    assert run("unlocked_locations_all") == [(4,)]
+    acc = [(e, e % 5, t == "purchase") for e, u, t in events if u == 4]
+    pairs = [tuple(sorted((x[1], y[1]))) for i, x in enumerate(acc) for y in acc[i + 1 :] if x[1] != y[1] and (x[2] or y[2]) and abs(x[0] - y[0]) != 7]
+    assert run("race_counts_all") == sorted((4, *p, pairs.count(p)) for p in set(pairs))
+    assert run("lock_order_violations_all") == [(5, 6)]
