@@ -6,27 +6,12 @@ lineage stays short.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the folder that all executors share, and read again.
-
-    A temporary folder is used only where spark.checkpoint.dir is unset.  One job a round; a lost executor costs a reread.
-    """
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/factloom/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from factloom.storage import cut
 
 
 class Seen:
