@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.storage import release, scratch  # noqa: F401  release is for callers
+
 #: The white space that separates words in the text contracts (fixed value: space, tab to carriage return).
 WORD_SPACE = " \t\n\x0b\f\r"
 
@@ -21,47 +19,6 @@ WORD_SPACE = " \t\n\x0b\f\r"
 HELD_OUT_REMAINDER = 2
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-_made: list[str] = []
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder.  What this process made goes when it ends, or earlier by release()."""
-    if not _made:
-        atexit.register(_sweep)
-    _made.append(f"{shared_dir(spark).rstrip('/')}/factloom/{what}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def _sweep() -> None:
-    for path in _made:
-        if (local := path.removeprefix("file://")).startswith("/"):
-            shutil.rmtree(local, ignore_errors=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables of this process, on any store; results that were not saved become unreadable."""
-    for path in _made:
-        delete(spark, path)
-    _made.clear()
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Most texts in an Arrow batch between Spark and a Python worker; batches of numbers may be larger.
 TEXTS_A_BATCH, NUMBERS_A_BATCH = 1_000, 4_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

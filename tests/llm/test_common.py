@@ -1,6 +1,4 @@
-"""Scratch tables, batches and samples."""
-
-import os
+"""Batches and samples."""
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -8,16 +6,6 @@ from pyspark.sql import functions as F
 from factloom.llm import common
 
 
-def test_tables_survive_and_release_deletes(spark):
-    df = common.table(spark.range(10).select((F.col("id") % 3).alias("k")), "t")
-    path = common._made[-1].removeprefix("file://")
-    assert df.count() == 10 and os.path.isdir(path)
-    kept, common._made[:] = common._made[:-1], common._made[-1:]
-    common.release(spark)
-    common._made[:] = kept
-    assert not os.path.exists(path)
-
-
 def test_blocks_are_bounded_and_whole():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n else None for n in (0, 5, 20, 1, 1, 0, 3)])], ["t"])
     parts = list(common.blocks(batch, 0, 6))
