@@ -4,7 +4,7 @@ Integer run-length encoding packs the id lists; row indexes and Bloom filters on
 stripes; readers take stripes in parallel.  Documents are range-partitioned by id, so files and stripes follow
 ascending ids, and each row keeps its start within its file's part.  Global starts come from one total per part.
 
-Null and empty texts have just the end id.  Null ids come first; rows with equal ids are ordered by their text's hash
+Strings that name a special token get its id, as the library gives them.  Null and empty texts have just the end id.  Null ids come first; rows with equal ids are ordered by their text's hash
 and each keeps its own row.  An empty table gives empty files.  Only the id and text columns of the input are read.
 """
 
@@ -59,21 +59,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text that names a special token is still text
+        #: Strings that the library takes for special tokens before it looks at words.
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces that the tokenizer takes apart from each other."""
-        if _SIMPLE.fullmatch(text):
+    def cut(self, text: str) -> list[str]:
+        """Pieces that the tokenizer takes apart from each other; one that names a special token stays whole and goes to the library alone."""
+        if _SIMPLE.fullmatch(text) and not self.special.search(text):
             return _MARKS.sub(r" \g<0> ", text.lower()).split()
         return text.replace("\n", " ").split(" ")
 
     def learn(self, new: list[str]) -> None:
         """Put new pieces into the cache."""
-        words = [p for p in new if _WORD.fullmatch(p)]
+        words = [p for p in new if _WORD.fullmatch(p) and not self.special.search(p)]
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<i4")

@@ -14,7 +14,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def reference(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids + [1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -38,6 +37,12 @@ def test_odd_texts_match_the_library(spark):
     check(spark, documents(spark))
 
 
+def test_special_tokens_are_those_of_the_library(spark):
+    texts = ["<|endoftext|>", "a<|endoftext|>b c<|startoftext|>", "<|ENDOFTEXT|> <|end oftext|>", "<|endoftext|><|endoftext|>é", "x <|endoftext| > y", "don't<|startoftext|>'s", "<|endoftext|>\n\n<|startoftext|>  "]
+    check(spark, documents(spark, texts))
+    assert reference(texts)[0] == [49407, 1]
+
+
 def test_table(spark):
     check(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
 
@@ -49,10 +54,37 @@ def test_empty(spark):
     assert token_orc.digest(spark, path).count() == 0
 
 
-def test_files_have_bloom_filters_and_prune(spark):
-    path = check(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
-    plan = token_orc.read(spark, path).where("doc_id = 7").select("ids")
-    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan._jdf.queryExecution().toString()
-    assert plan.count() == 1
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.orc").load(path).select("content").collect()
-    assert all(f[0][:3] == b"ORC" for f in files)
+def test_files_hold_indexes_and_bloom_filters(spark):
+    """What the footers and the stripes' own indexes say."""
+    path = check(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.orc").load(path).select("path").collect()]
+    columns = 6 + 1  # the root, the columns, and the items of ids
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 2000 and reader.getCompressionKind().toString() == "ZSTD"
+        wanted = spark.sparkContext._gateway.new_array(jvm.boolean, columns)
+        for i in range(columns):
+            wanted[i] = True
+        rows = reader.rows()
+        for i in range(reader.getStripes().size()):
+            index = rows.readRowIndex(i, wanted, wanted)
+            groups = -(-reader.getStripes().get(i).getNumberOfRows() // 2000)
+            assert index.getRowGroupIndex()[3].getEntryCount() == groups and index.getBloomFilterIndex()[3].getBloomFilterCount() == groups
+            assert index.getBloomFilterIndex()[4] is None
+
+
+def test_a_filter_skips_rows(spark):
+    """A file of five row groups gives back one for an id it holds, and none for an id in its range that the Bloom filter lacks."""
+    path = common.scratch(spark, "t")
+    docs = spark.range(10_000).selectExpr("id * 2 AS doc_id", "'a b' AS text")
+    token_orc.write(docs, path, PATH, 1, 1)
+
+    def read(test):
+        df = token_orc.read(spark, path).where(test).select("doc_id", "n_tokens")
+        found = len(df.collect())
+        return found, df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert read("doc_id >= 0")[1] == 10_000
+    assert read("doc_id = 8000") == (1, 2000)
+    assert read("doc_id = 8001")[0] == 0 and sum(read(f"doc_id = {i}")[1] == 0 for i in range(4001, 4101, 2)) >= 45
