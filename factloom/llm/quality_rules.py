@@ -1,10 +1,12 @@
 """Operator 5: quality rules with risk-controlled thresholds.  DataFrame functions only.
 
 Base signals of a text: words, their characters, symbols, repeated lines, and words in three-word windows that come
-twice.  Four rates are made of them, per mille.  For every stratum (band of lengths), rate and cutoff of a grid, the good
-documents among the labelled ones that the cutoff would reject are counted; a cutoff is safe if the exact binomial test
-rejects a false rejection rate above ALPHA at level DELTA over the number of tests (Bonferroni), and the tightest safe
-one is used.  A stratum with too few labels has no safe cutoff, and its documents are judged by the base rule alone.
+twice.  Four rates are made of them, per mille.  LEVELS are cutoffs of all four rates, each level stricter than the one
+before.  In every stratum (band of lengths) the levels are tested in that fixed order on the labelled good documents: a level is
+safe if an exact binomial test rejects the hypothesis that it rejects more than ALPHA of them.  Testing stops at the first
+level that is not safe, so the order itself corrects for the number of levels; over strata the error DELTA is split in
+proportion to their labelled good documents (weighted Bonferroni).  With probability 1 - DELTA no stratum loses more than
+ALPHA of its good documents.  A stratum whose labels do not bear out the first level is judged by the base rule alone.
 
 Windows are compared in the row: 64-bit hashes with positions are sorted, and only windows whose hash comes twice are
 compared as text.  Null and empty texts have zeros and fail the base rule.  Null ids are judged as others, but have no
@@ -13,22 +15,29 @@ label; repeated rows are judged each.  Labels with nulls are left out, repeated
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import common
 
-ALPHA, DELTA = 0.005, 0.05
+#: Greatest share of good documents that a stratum may lose, and the chance that some stratum loses more.
+ALPHA, DELTA = 0.03, 0.05
 #: Lengths in words where a new stratum begins.
 BANDS = (100, 300, 1000, 3000)
-#: Cutoffs of each rate, per mille.
-GRID = {
-    "symbol_rate": (5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500),
-    "line_rate": (5, 10, 20, 30, 50, 75, 100, 150, 200),
-    "repeat_rate": (20, 50, 75, 100, 150, 200, 250, 300, 350, 400, 450, 500),
-    "length_rate": (6000, 7000, 8000, 9000, 10000, 12000, 15000, 20000),
-}
-TESTS = (len(BANDS) + 1) * sum(map(len, GRID.values()))
+RATES = ("symbol_rate", "line_rate", "repeat_rate", "length_rate")
+#: Cutoffs of the rates, per mille, from the loosest level to the strictest.
+LEVELS = (
+    (400, 300, 500, 20000),
+    (300, 200, 400, 12000),
+    (200, 150, 300, 10000),
+    (150, 100, 250, 9000),
+    (100, 75, 200, 8000),
+    (75, 50, 175, 7500),
+    (50, 40, 150, 7000),
+    (30, 30, 120, 6750),
+)
 SYMBOLS = "#*$%&|<>"
 _LOW31 = 0x7FFFFFFF
 
@@ -87,24 +96,31 @@ def tail(n: str, k: str, p: float) -> str:
     return f"aggregate(sequence(0L, {k}), struct({n} * ln(1 - {p}D) as term, 0D as sum), (a, j) -> struct({step} as term, a.sum + exp({step}) as sum), a -> a.sum)"
 
 
+def rejects(level: tuple[int, ...]) -> Column:
+    """A row with some rate at or above its cutoff."""
+    return reduce(Column.__or__, (F.col(r) >= c for r, c in zip(RATES, level, strict=True)))
+
+
 def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, one column a rate): the tightest safe cutoff of each, null where none is.  At most len(BANDS) + 1 rows."""
+    """(stratum, good, level): the labelled good documents of a stratum and the number of levels that are safe in it.
+
+    At most len(BANDS) + 1 rows; a stratum without labels has none.
+    """
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
-    held = rows.where("not base_failed").join(good, "doc_id").select("stratum", *GRID)
-    tests = F.array(*(F.struct(F.lit(r).alias("rate"), F.lit(c).cast("long").alias("cutoff"), (F.col(r) >= c).cast("long").alias("hit")) for r, cs in GRID.items() for c in cs))
-    counted = held.select("stratum", F.explode(tests).alias("t")).groupBy("stratum", "t.rate", "t.cutoff").agg(F.count("*").alias("n"), F.sum("t.hit").alias("k"))
-    safe = counted.where(F.col("k") < alpha * F.col("n")).where(F.expr(tail("n", "k", alpha)) <= delta / TESTS)
-    return safe.groupBy("stratum").agg(*(F.min(F.when(F.col("rate") == r, F.col("cutoff"))).alias(f"{r}_cut") for r in GRID))
+    held = rows.where("not base_failed").join(good, "doc_id")
+    lost = held.groupBy("stratum").agg(F.count("*").alias("good"), *(F.count_if(rejects(x)).alias(f"k{i}") for i, x in enumerate(LEVELS)))
+    budget = lost.withColumn("error", delta * F.col("good") / F.sum("good").over(Window.partitionBy()))
+    safe = F.array(*((F.col(f"k{i}") < alpha * F.col("good")) & (F.expr(tail("good", f"k{i}", alpha)) <= F.col("error")) for i in range(len(LEVELS))))
+    first = F.array_position(safe, False)
+    return budget.select("stratum", "good", F.when(first == 0, len(LEVELS)).otherwise(first - 1).cast("int").alias("level"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the base signals, base_failed and kept."""
+    """doc_id, the base signals, base_failed, kept, and the level that holds in the row's stratum (0: none)."""
     rows = rated(common.table(signals(docs), "signals"))
-    found = rows.join(F.broadcast(cutoffs(rows, labels)), "stratum", "left")
-    over = F.lit(False)
-    for r in GRID:
-        over = over | F.coalesce(F.col(r) >= F.col(f"{r}_cut"), F.lit(False))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
+    found = rows.join(F.broadcast(cutoffs(rows, labels)), "stratum", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    over = reduce(Column.__or__, ((F.col("level") == i + 1) & rejects(x) for i, x in enumerate(LEVELS)))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"), "level")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +128,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-_GRID_ROWS = ", ".join(f"('{r}', {c})" for r, cs in GRID.items() for c in cs)
+_LEVEL_ROWS = ", ".join(f"({i + 1}, {', '.join(map(str, x))})" for i, x in enumerate(LEVELS))
 _BAND = " + ".join(f"CASE WHEN n_words >= {b} THEN 1 ELSE 0 END" for b in BANDS)
 OP5_SQL = rf"""
 WITH d AS (
@@ -138,17 +154,21 @@ WITH d AS (
   FROM s
 ), l AS (
   SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1
-), q AS (
-  SELECT stratum, rate, cutoff, count(*) AS n, sum(CASE WHEN CASE rate WHEN 'symbol_rate' THEN symbol_rate WHEN 'line_rate' THEN line_rate WHEN 'repeat_rate' THEN repeat_rate ELSE length_rate END >= cutoff THEN 1 ELSE 0 END) AS k
-  FROM b JOIN l USING (doc_id) CROSS JOIN (VALUES {_GRID_ROWS}) AS grid(rate, cutoff) WHERE NOT base_failed GROUP BY stratum, rate, cutoff
+), v(level, sy, li, re, le) AS (VALUES {_LEVEL_ROWS}),
+q AS (
+  SELECT stratum, level, count(*) AS n, count(*) FILTER (symbol_rate >= sy OR line_rate >= li OR repeat_rate >= re OR length_rate >= le) AS k
+  FROM b JOIN l USING (doc_id) CROSS JOIN v WHERE NOT base_failed GROUP BY stratum, level
+), e AS (
+  SELECT stratum, level, n, k, {DELTA} * n / (SELECT sum(n) FROM q WHERE level = 1) AS error FROM q
+), p AS (
+  SELECT stratum, level, any_value(error) AS error, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))) AS chance
+  FROM (SELECT *, unnest(generate_series(0, k::BIGINT)) AS j FROM e WHERE k < {ALPHA} * n) GROUP BY stratum, level
 ), z AS (
-  SELECT stratum, rate, min(cutoff) AS cutoff FROM (
-    SELECT stratum, rate, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))) AS chance
-    FROM (SELECT *, unnest(generate_series(0, k::BIGINT)) AS j FROM q WHERE k < {ALPHA} * n) GROUP BY stratum, rate, cutoff)
-  WHERE chance <= {DELTA / TESTS!r} GROUP BY stratum, rate
+  SELECT s.stratum, s.level, x.sy, x.li, x.re, x.le FROM (
+    SELECT stratum, max(level) AS level FROM p o WHERE level = (SELECT count(*) FROM p i WHERE i.stratum = o.stratum AND i.level <= o.level AND i.chance <= i.error) GROUP BY stratum) s
+  JOIN v x ON x.level = s.level
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT EXISTS (SELECT 1 FROM z WHERE z.stratum = b.stratum AND z.cutoff <=
-         CASE z.rate WHEN 'symbol_rate' THEN symbol_rate WHEN 'line_rate' THEN line_rate WHEN 'repeat_rate' THEN repeat_rate ELSE length_rate END) AS kept
-FROM b
+       NOT base_failed AND NOT coalesce(symbol_rate >= sy OR line_rate >= li OR repeat_rate >= re OR length_rate >= le, false) AS kept, coalesce(level, 0) AS level
+FROM b LEFT JOIN z USING (stratum)
 """
