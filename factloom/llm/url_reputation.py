@@ -2,9 +2,13 @@
 
 Rules name a host and a path; a rule fits the host and its subdomains if the url's path starts with its own, and the
 longest rule wins.  Where none fits, the host's reputation decides: outcomes of labelled pages are counted by host,
-registered domain (last two labels) and suffix (last label).  At each level a beta-binomial prior has the mean of the
-posterior one level up, without the group's own pages, and a strength found by moments over the level's groups; a url is blocked if the lower bound of
-its host's posterior, mean less Z standard deviations, exceeds LIMIT.  Hosts without labels inherit their domain's.
+registered domain and suffix.  At each level a beta-binomial prior has the mean of the posterior one level up, without the
+group's own pages, and a strength found by moments over the level's groups; a url is blocked if the lower bound of its host's
+posterior, mean less Z standard deviations, exceeds LIMIT times the share of bad outcomes overall.  Hosts without labels inherit
+their domain's, domains without labels their suffix's.
+
+A suffix is the last label, or the last two where SUFFIXES lists them; the registered domain has one label more.  Ports, user
+names and a closing dot do not count, and an address of numbers is a domain of its own.
 
 A null url, or one without "://", has an empty host and path and is judged by the overall mean.  Repeated pages count
 each.  Outcomes with a null label or key are left out; repeated keys take the worse outcome.  Empty tables give no rows, and
@@ -28,7 +32,17 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-Z, LIMIT = 1.645, 0.5
+#: Standard deviations of the lower bound, and how many times the overall share of bad pages it must exceed.
+Z, LIMIT = 1.645, 1.25
+# Common public suffixes of two labels; others may be given to judge().
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk", "sch.uk",
+    "com.au", "edu.au", "gov.au", "net.au", "org.au", "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz",
+    "ac.jp", "ad.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "ac.kr", "co.kr", "go.kr", "or.kr",
+    "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.hk", "com.tw", "com.sg", "com.my", "co.id", "co.th",
+    "ac.in", "co.in", "gov.in", "net.in", "org.in", "ac.za", "co.za", "gov.za", "org.za", "co.il",
+    "com.br", "edu.br", "gov.br", "net.br", "org.br", "com.ar", "com.mx", "com.co", "com.pe", "com.tr", "com.ua", "com.pl",
+)
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,12 +76,21 @@ def _strength(groups: DataFrame, overall: float) -> float:
     return max(WEAKEST, min(STRONGEST, within / between - 1)) if between > 0 else STRONGEST
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
-    """hosts(host, n, bad) -> host, posterior mean and lower bound.
+def domain_and_suffix(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain and the suffix of a host."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.$", "")
+    last = lambda k: F.substring_index(bare, ".", -k)
+    long, numbers = last(2).isin(*suffixes), bare.rlike(r"^(\[.*\]?|[0-9.]+)$")
+    return F.when(numbers, bare).when(long, last(3)).otherwise(last(2)), F.when(numbers, "").when(long, last(2)).otherwise(last(1))
+
+
+def reputation(hosts: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """hosts(host, n, bad) -> host, posterior mean, its lower bound, and the share of bad outcomes overall.
 
     Counts of domains and suffixes join by name; the overall counts and the three strengths are single numbers.
     """
-    named = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    of_domain, of_suffix = domain_and_suffix(F.col("host"), suffixes)
+    named = hosts.withColumn("domain", of_domain).withColumn("suffix", of_suffix)
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
@@ -81,19 +104,23 @@ def reputation(hosts: DataFrame) -> DataFrame:
     domain = post(suffix, "domain", c("dn") - c("n"), c("db") - c("bad"))
     mean = post(domain, "host", c("n"), c("bad"))
     found = named.join(above, "domain").select("host", mean.alias("mean"), (strength["host"] + c("n")).alias("weight"))
-    return found.select("host", "mean", (c("mean") - Z * F.sqrt(c("mean") * (1 - c("mean")) / (c("weight") + 1))).alias("lower"))
+    return found.select("host", "mean", (c("mean") - Z * F.sqrt(c("mean") * (1 - c("mean")) / (c("weight") + 1))).alias("lower"), F.lit(overall).alias("overall"))
+
 
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, suffixes=SUFFIXES) -> DataFrame:
+    """pages(page_id, url) and outcomes(host, bad) of labelled pages -> page_id, host, path, rule, verdict, and the host's posterior and bound.
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
-    """pages(page_id, url) and outcomes(host, bad) of labelled pages -> page_id, host, path, rule, verdict."""
+    Only the two columns of pages and of outcomes are read.
+    """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labelled = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = urls.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
     hosts = hosts.unionByName(labelled.where("n > 0")).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = common.table(hosts, "hosts")
-    blocked = reputation(hosts).where(F.col("lower") > LIMIT).select("host", F.lit("block").alias("by_host"))
-    found = urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(blocked, "host", "left")
-    return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "by_host", F.lit("allow")).alias("verdict"))
+    judged = reputation(hosts, suffixes).select("host", "mean", "lower", F.when(F.col("lower") > LIMIT * F.col("overall"), "block").alias("by_host"))
+    found = urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(judged, "host", "left")
+    verdict = F.coalesce("r.verdict", "by_host", F.lit("allow"))
+    return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), F.round("mean", 6).alias("posterior"), F.round("lower", 6).alias("bound"))
 
 
 def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,8 +155,11 @@ WITH u AS (
 ), s AS (
   SELECT host, try_cast(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*/(?:[^?#]*/)?([0-9]+)(?:\.html)?/?(?:[?#].*)?$', 1), '') AS BIGINT) AS doc_id FROM u
 ), h AS (
-  SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
-  FROM (SELECT host, 0 AS n, 0 AS bad FROM u UNION ALL SELECT host, 1, bad FROM s JOIN l USING (doc_id)) GROUP BY host
+  SELECT host, CASE WHEN numbers THEN '' WHEN long THEN two ELSE p[-1] END AS suffix, CASE WHEN numbers THEN bare WHEN long THEN array_to_string(p[-3:], '.') ELSE two END AS domain, n, bad FROM (
+    SELECT *, array_to_string(p[-2:], '.') AS two, array_to_string(p[-2:], '.') IN {SUFFIXES} AS long, regexp_matches(bare, '^(\[.*\]?|[0-9.]+)$') AS numbers FROM (
+      SELECT *, string_split(bare, '.') AS p FROM (
+        SELECT host, regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '\.$', '') AS bare, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
+        FROM (SELECT host, 0 AS n, 0 AS bad FROM u UNION ALL SELECT host, 1, bad FROM s JOIN l USING (doc_id)) GROUP BY host)))
 ), o AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS overall FROM h),
 sg AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix),
 dg AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain),
@@ -140,9 +170,9 @@ x AS (SELECT host, h.n, h.bad, dg.n AS dn, dg.bad AS db, sg.n AS sn, sg.bad AS s
 x1 AS (SELECT *, (ks * (tb - sb + 0.5) / (tn - sn + 1) + sb - db) / (ks + sn - dn) AS m1 FROM x),
 x2 AS (SELECT *, (kd * m1 + db - bad) / (kd + dn - n) AS m2 FROM x1),
 hp AS (SELECT host, (kh * m2 + bad) / (kh + n) AS m, kh + n AS w FROM x2),
-b AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.5 AS blocked FROM hp)
+b AS (SELECT host, m, m - {Z} * sqrt(m * (1 - m) / (w + 1)) AS low, overall FROM hp, o)
 SELECT page_id, u.host, path, rule, coalesce(CASE rule WHEN 'com/' THEN 'allow' WHEN 'www.example.com/en/' THEN 'allow' WHEN 'example.com/en/' THEN 'block'
-         WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block' END, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+         WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block' END, CASE WHEN low > {LIMIT} * overall THEN 'block' ELSE 'allow' END) AS verdict, round(m, 6) AS posterior, round(low, 6) AS bound
 FROM (SELECT *, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'

@@ -38,14 +38,57 @@ def test_tail_is_exact(spark):
         assert abs(got - want) < 1e-6 * max(want, 1e-12) + 1e-12
 
 
-def test_safe_cutoffs_reject_few_good_documents(spark):
-    rows = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 1).alias("junk"))
-    rows = rows.select("doc_id", F.lit(200).cast("long").alias("n_words"), F.lit(1000).cast("long").alias("word_chars"), F.when(F.col("junk"), 300).otherwise(F.col("doc_id") % 9).cast("long").alias("n_symbols"), F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"))
-    rated = quality_rules.rated(rows)
-    labels = spark.range(8000).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("quality"))
-    cut = quality_rules.cutoffs(rated, labels).collect()
-    assert len(cut) == 1 and 8 < cut[0].symbol_rate_cut <= 300
-    assert quality_rules.cutoffs(rated, labels.limit(20)).count() == 0
+def rated_rows(spark, n, junk_symbols):
+    """n documents of 200 words, every second one junk with as many symbols of 1000 characters."""
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 1).alias("junk"))
+    zero = F.lit(0).cast("long")
+    symbols = F.when(F.col("junk"), junk_symbols).otherwise(F.col("doc_id") % 9).cast("long")
+    return quality_rules.rated(rows.select("doc_id", F.lit(200).cast("long").alias("n_words"), F.lit(1000).cast("long").alias("word_chars"), symbols.alias("n_symbols"), zero.alias("n_dup_lines"), zero.alias("n_repeat_words")))
+
+
+def test_levels_stop_where_good_documents_would_go(spark):
+    rows = rated_rows(spark, 2000, 120)
+    labels = lambda good: spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0 if good == "clean" else F.col("id") >= 0).cast("int").alias("quality"))
+    clean = quality_rules.cutoffs(rows, labels("clean")).collect()
+    assert [(r.stratum, r.good, r.level) for r in clean] == [(1, 1000, len(quality_rules.LEVELS))]
+    # where half of the good documents have 120 symbols, no level with a cutoff of 120 or less is safe
+    both = quality_rules.cutoffs(rows, labels("all")).collect()
+    assert both[0].level == sum(level[0] > 120 for level in quality_rules.LEVELS)
+    assert quality_rules.cutoffs(rows, labels("clean").limit(20)).collect()[0].level == 0
+    assert quality_rules.cutoffs(rows, labels("clean").limit(0)).count() == 0
+
+
+def test_levels_against_exact_bounds(spark):
+    """The chain of tests, in plain arithmetic, on strata of different sizes."""
+    rng = [(i, i % 3, (i * 7919) % 500) for i in range(3000)]
+    rows = spark.createDataFrame([(i, 50 if b == 0 else 200 if b == 1 else 2000, s) for i, b, s in rng], "doc_id long, n_words long, n_symbols long")
+    zero = F.lit(0).cast("long")
+    rows = quality_rules.rated(rows.select("doc_id", "n_words", F.lit(1000).cast("long").alias("word_chars"), F.when(F.col("n_symbols") < 480, F.col("n_symbols") / 100).otherwise(F.col("n_symbols")).cast("long").alias("n_symbols"), zero.alias("n_dup_lines"), zero.alias("n_repeat_words")))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, 1).otherwise((F.col("id") % 30 == 2).cast("int")).alias("quality"))
+    got = {r.stratum: (r.good, r.level) for r in quality_rules.cutoffs(rows, labels).collect()}
+    good = {0: [], 1: [], 3: []}
+    for i, b, s in rng:
+        if b < 2 or i % 30 == 2:
+            good[(0, 1, 3)[b]].append(s // 100 if s < 480 else s)
+    total = sum(map(len, good.values()))
+    for stratum, symbols in good.items():
+        n, level = len(symbols), 0
+        for cut in (x[0] for x in quality_rules.LEVELS):
+            k = sum(s >= cut for s in symbols)
+            chance = sum(math.comb(n, j) * quality_rules.ALPHA**j * (1 - quality_rules.ALPHA) ** (n - j) for j in range(k + 1))
+            if k >= quality_rules.ALPHA * n or chance > quality_rules.DELTA * n / total:
+                break
+            level += 1
+        assert got[stratum] == (n, level)
+
+
+def test_levels_decide_on_the_driver_table(spark):
+    """The method rejects documents that the base rule keeps, and few good ones."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_rules.op5_quality_rules(spark, sf).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("gone"), F.max("level").alias("level")).collect()
+    at = {r.quality: r for r in rows}
+    assert at[1].level > 0 and at[1].gone <= quality_rules.ALPHA * at[1].n and at[0].gone >= 0.5 * at[0].n
 
 
 def test_rules_odd_rows(spark):
@@ -61,13 +104,14 @@ URLS = [None, "", "no-scheme.com/x", "://", "http://", "HTTPS://WWW.Example.COM/
 
 def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(3, "http://a.net/es/", "h")], "page_id long, url string, host string")
-    rows = {r.page_id: r for r in url_reputation.judge(pages.drop("host"), spark.createDataFrame([], "host string, bad int")).collect() if r.page_id != 3}
+    pages = pages.withColumn("mean", F.lit("x")).withColumn("r", F.lit(1)).withColumn("domain", F.lit(None).cast("string"))
+    rows = {r.page_id: r for r in url_reputation.judge(pages, spark.createDataFrame([], "host string, bad int")).collect() if r.page_id != 3}
     assert [(rows[i].host, rows[i].path, rows[i].rule, rows[i].verdict) for i in (0, 1, 2, 4)] == [("", "", None, "allow")] * 4
     assert (rows[5].host, rows[5].path, rows[5].rule, rows[5].verdict) == ("www.example.com", "/en/", "www.example.com/en/", "allow")
     assert (rows[6].path, rows[6].rule, rows[6].verdict) == ("/en/9", "example.com/en/", "block")
     assert [rows[i].rule for i in (7, 8, 9, 10, 11, 12, 13)] == ["example.com/en/", "com/", "net/es/", "net/fr/", None, None, "com/"]
     assert rows[14].path == "/en/\nline"
-    assert url_reputation.judge(pages.drop("host").limit(0), spark.createDataFrame([], "host string, bad int")).count() == 0
+    assert url_reputation.judge(pages.limit(0), spark.createDataFrame([], "host string, bad int")).count() == 0
 
 
 def test_reputation_shrinks_and_blocks(spark):
@@ -76,3 +120,20 @@ def test_reputation_shrinks_and_blocks(spark):
     rows = url_reputation.judge(pages, spark.createDataFrame(bad, "host string, bad int")).collect()
     verdict = {r.host: r.verdict for r in rows}
     assert verdict["spam.bad.org"] == "block" and verdict["good.org"] == "allow" and verdict["new.xyz"] == "allow" and verdict["never.seen.dev"] == "allow"
+
+
+def test_domains_and_suffixes(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.example.com:8080": ("example.com", "com"), "u@example.com.": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", ""), "localhost": ("localhost", "localhost"), "": ("", ""), "[::1]:80": ("[::1]", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *url_reputation.domain_and_suffix(F.col("host"))).collect()} == hosts
+
+
+def test_host_domain_and_suffix_each_decide(spark):
+    """One host among good ones of its domain, a domain among good ones of its suffix, a suffix among good ones."""
+    bad = [("spam.fine.com", 1)] * 80 + [(f"h{i}.fine.com", 0) for i in range(40) for _ in range(10)]
+    bad += [(f"h{i}.farm.org", 1) for i in range(30) for _ in range(10)] + [(f"w{i}.org", 0) for i in range(40) for _ in range(10)]
+    bad += [(f"d{i}.zz", 1) for i in range(60) for _ in range(6)] + [(f"d{i}.yy", 0) for i in range(60) for _ in range(20)]
+    asked = {"spam.fine.com": "block", "new.fine.com": "allow", "new.farm.org": "block", "new.org": "allow", "new.zz": "block", "a.new.zz": "block", "new.yy": "allow", "never.seen": "allow"}
+    pages = spark.createDataFrame([(i, f"http://{h}/de/") for i, h in enumerate(asked)], "page_id long, url string")
+    rows = url_reputation.judge(pages, spark.createDataFrame(bad, "host string, bad int"), rules=()).collect()
+    assert {r.host: r.verdict for r in rows} == asked
