@@ -6,8 +6,8 @@ unlabelled to positive mass over the upper tails of its score, on rows it was no
 non-negative unbiased risk  pi E_P[l(z)] + max(0, E_U[l(-z)] - pi E_P[l(-z)])  with the logistic loss, so its
 sigmoid estimates the probability of quality.  Fitting takes bounded samples; scoring is one pass over whole texts.
 
-Null and empty texts are scored like other texts, with all features 0.  A null id counts as the empty id.  Repeated rows
-are scored each.  Without positives or without unlabelled texts the score is 1: nothing is rejected unlearned.
+Null and empty texts are scored like other texts, with all features 0.  A null id counts as the empty id and is not
+learned from.  Repeated rows are scored each.  Without positives or without unlabelled texts the score is 1: nothing is rejected unlearned.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm import common
 
-#: Most trusted positives and most unlabelled documents that the model is fitted on.
+#: Most trusted positives and most unlabelled documents that the model is fitted on: parameters of train(), and with the
+#: width of the features the bound of what the driver holds.
 POSITIVES, UNLABELLED = 8_000, 8_000
 HIDDEN, EPOCHS, RATE, DECAY = 16, 500, 0.02, 1e-4
 THRESHOLD = 0.7
@@ -158,26 +159,33 @@ class Model:
         return sigmoid(self.network.margin(np.array([features(t) for t in texts], float).reshape(len(texts), len(NAMES))))
 
 
+def _samples(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> DataFrame:
+    """(doc_id, trusted, web, text): at most `positives` and `unlabelled` documents picked by hash of the id, one row an id.
+
+    Of rows with one id the least text counts, so reruns agree.  Documents without an id are not picked.
+    """
+    first = lambda ids, seed, most: ids.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(most)
+    trusted = first(common.labelled(labels, "quality").where("label = 1").select(F.col("doc_id").cast("long").alias("doc_id")), 8, positives)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")))
+    web = first(ids, 88, unlabelled)
+    both = trusted.withColumn("trusted", F.lit(True)).withColumn("web", F.lit(False)).unionByName(web.withColumn("trusted", F.lit(False)).withColumn("web", F.lit(True)))
+    chosen = both.groupBy("doc_id").agg(F.max("trusted").alias("trusted"), F.max("web").alias("web"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return common.table(rows.groupBy("doc_id", "trusted", "web").agg(F.min("text").alias("text")), "sample")
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on bounded samples picked by hash, one row an id: positives by label, unlabelled ones from all documents not held out."""
+    """Fit on bounded samples: positives by label, unlabelled ones from all documents not held out."""
     common.bound_batches(docs.sparkSession)
-    trusted = common.labelled(labels, "quality").where("label = 1").select("doc_id").orderBy(F.xxhash64(F.lit(8), F.col("doc_id")), "doc_id").limit(positives)
-    total = max(1, docs.select("doc_id").count())
-    chance = F.pmod(F.xxhash64(F.lit("web"), "doc_id"), F.lit(1_000_000)) < min(1_000_000, math.ceil(1_000_000 * unlabelled * 4 / 3 / total))
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "doc_id", "left")
-        .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"), (chance & ~common.held_out(F.col("doc_id"))).alias("web"), F.col("doc_id").cast("long").alias("doc_id"))
-        .where(F.col("trusted") | F.col("web"))
-    )
     width = len(NAMES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t) for t in common.text_bytes(b.column(0))], float).reshape(b.num_rows, width)
-            yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))], ["doc_id", "trusted", "web", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))], ["trusted", "web", "x"])
 
-    got = rows.mapInArrow(measure, "doc_id long, trusted boolean, web boolean, x array<double>").dropDuplicates(["doc_id"]).collect()
+    rows = _samples(docs, labels, positives, unlabelled).select("text", "trusted", "web")
+    got = rows.mapInArrow(measure, "trusted boolean, web boolean, x array<double>").collect()
     p = sorted(r["x"] for r in got if r["trusted"])
     u = sorted(r["x"] for r in got if r["web"])
     if len(p) < 10 or len(u) < 10:
