@@ -193,7 +193,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): the ids themselves."""
+    """(doc_id, n_tokens, ids) of every document."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +201,10 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         for whole in batches:
             for b in common.blocks(whole, 1, BLOCK_BYTES):
                 rows = [a for a, _ in encode_block(common.texts(b.column(1)), rank_path, pattern)]
-                flat = np.frombuffer(b"".join(rows), "<i4")
-                yield pa.RecordBatch.from_arrays([b.column(0), common.int_lists(flat, [len(a) // 4 for a in rows])], ["doc_id", "ids"])
+                flat, sizes = np.frombuffer(b"".join(rows), "<i4"), [len(a) // 4 for a in rows]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), common.int_lists(flat, sizes)], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
