@@ -32,10 +32,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: every document is encoded."""
+    """Operator 6: the token ids of every document of the mix, (doc_id, n_tokens, ids)."""
     import public_tokenizers
 
-    return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", distinct), ("mix", mix), ("byte_bpe", encode)]
