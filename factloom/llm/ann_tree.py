@@ -1,21 +1,28 @@
 """Operator 9: approximate nearest neighbours by a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample; every vector is indexed in the leaf it descends to.  A query walks the tree
-through a priority queue of nodes by distance to their centres and visits leaves in that order.  How many leaves it visits
-is calibrated: for a sample of queries the true neighbours are found by brute force over all vectors, and visits
-widen until the sample's recall reaches the target (all leaves if need be, which is exact).  Leaves are split
-into parts of bounded size by hash of the id, so a leaf that holds a third of all rows is many tasks; each part gives its
-own nearest, and the parts' results merge by query.  Distances are Euclidean, in double precision on original vectors.
+The upper tree is fitted on a bounded sample and goes to every task.  Each of its leaves that holds more than BIN vectors gets a
+tree of its own, fitted on a bounded sample of that leaf where the leaf lies, so that the bins, which are the leaves of both
+levels, grow in number with the vectors and not in size.  A query walks the upper tree, and then the lower trees it came to,
+through a priority queue of nodes by distance to their centres; the bins it found are taken in order of that distance over
+all trees.  How many it visits is calibrated: for a sample of queries the true neighbours are found by brute force over
+all vectors, and visits widen until the sample's recall reaches the target (all bins if need be, which is exact).
+
+Bins and the queries that visit them meet in groups of bounded size on either side, by hashes of their ids, so a bin that many
+rows or many queries share is many tasks.  Equal vectors of a batch are kept by their k + 1 least ids, as no query can return
+others.  Distances are Euclidean, in double precision on original vectors; a matrix product of vectors less their mean only
+says which can be among the nearest, with a bound of its rounding error.
 
 Vectors that are null, zero, of another length than the commonest, or hold null or non-finite components take no part,
-nor do null ids.  Ties go to the smaller id; vectors with equal ids are each a candidate but for the query's own id.
-A query of fewer candidates than k returns all of them.  Empty tables give no rows.
+nor do null ids.  Ties go to the smaller id.  Rows of equal ids are each a candidate, but for the query's own row; queries of equal
+ids and vectors are answered once, those of equal ids and other vectors each.  A query of fewer candidates than k returns
+all of them.  Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,8 +38,10 @@ from factloom.llm import common
 SAMPLE, BRANCHES, LEAF, ITERATIONS = 20_000, 8, 64, 8
 #: Most queries of the calibration and the recall they must reach.
 CALIBRATION, RECALL = 200, 0.97
-#: Most vectors and about the most queries that one part of a leaf compares.
-PART_VECTORS, PART_QUERIES = 4_000, 4_000
+#: Most vectors of a bin about, and the most vectors and queries about that one group compares.
+BIN, PART_VECTORS, PART_QUERIES = 4_000, 4_000, 4_000
+#: Bins that the calibration looks at first; it looks at four times as many until they are enough.
+FIRST_VISITS = 64
 
 
 @dataclass
@@ -88,13 +97,13 @@ class Tree:
                 todo += [(k, rows[near == i]) for i, k in enumerate(kids)]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves, best bin first."""
+    def visit(self, q: np.ndarray, most: int) -> list[tuple[int, float]]:
+        """The first `most` leaves and their squared distances, best bin first."""
         queue, order = [(0.0, 0)], []
         while queue and len(order) < most:
-            _, node = heapq.heappop(queue)
+            far, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
-                order.append(self.leaf[node])
+                order.append((self.leaf[node], far))
             for k in self.children[node]:
                 heapq.heappush(queue, (float(((self.centres[k] - q) ** 2).sum()), k))
         return order
@@ -112,141 +121,286 @@ def vectors_of(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     return right[ok], x[ok]
 
 
-def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, vector ids, distances) of the k nearest, ties to the smaller id, never the query's own id.
+_EPS = np.finfo(float).eps
 
-    A matrix product shortlists all vectors as near as the k-th, with a margin for its rounding; their distances are
-    then computed directly.
+
+def _exponent(*arrays: np.ndarray) -> int:
+    """The power of two to divide by so that squares neither overflow nor vanish; 0 for numbers of usual size.  Exact."""
+    most = max((float(np.abs(x).max()) for x in arrays if x.size), default=0.0)
+    return math.frexp(most)[1] if most and not 1e-140 < most < 1e140 else 0
+
+
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to one vector."""
+    e = _exponent(q, x)
+    if e:
+        return np.ldexp(np.sqrt(((np.ldexp(x, -e) - np.ldexp(q, -e)) ** 2).sum(1)), e)
+    return np.sqrt(((x - q) ** 2).sum(1))
+
+
+def nearest(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(vector ids, distances) of the k nearest of each query, ties to the smaller id.
+
+    Squared distances come from a matrix product of vectors less their mean.  Each lies within `slack` of the true one, so
+    those whose least value is above the k-th greatest value cannot be among the nearest; the others are measured directly.
     """
-    norms = (x**2).sum(1)
+    e = _exponent(q, x)
+    scaled = lambda v: np.ldexp(v, -e) if e else v
+    centre = scaled(x).mean(0)
+    y = scaled(x) - centre
+    norms = (y**2).sum(1)
     for s in range(0, len(q), 256):
-        part = q[s : s + 256]
-        square = (part**2).sum(1)[:, None] + norms - 2 * part @ x.T
+        part = scaled(q[s : s + 256]) - centre
+        own = (part**2).sum(1)[:, None]
+        square = own + norms - 2 * part @ y.T
+        slack = 8 * _EPS * (x.shape[1] + 8) * (own + norms)
         for i in range(len(part)):
-            row, own = square[i], qid[s + i]
-            row[xid == own] = np.inf
-            edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            near = np.flatnonzero((row <= edge + 1e-9 * (1 + abs(edge))) & np.isfinite(row)) if np.isfinite(edge) else np.flatnonzero(np.isfinite(row))
-            exact = np.sqrt(((x[near] - part[i]) ** 2).sum(1))
+            near = np.arange(len(x))
+            if len(x) > k:
+                edge = np.partition(square[i] + slack[i], k - 1)[k - 1]
+                near = np.flatnonzero(square[i] - slack[i] <= edge)
+            exact = distances(q[s + i], x[near])
             best = np.lexsort((xid[near], exact))[:k]
-            yield own, xid[near][best], exact[best]
+            yield xid[near][best], exact[best]
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, query_key long, vec_id long, score double"
 
 
-def _batch(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    ids = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+def _batch(qid: np.ndarray, key: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(f[0]) for f in found]
     cat = lambda i, t: np.concatenate([f[i] for f in found]).astype(t) if found else np.zeros(0, t)
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cat(1, np.int64)), pa.array(cat(2, float))], ["query_id", "vec_id", "score"])
+    columns = [np.repeat(qid, sizes).astype(np.int64), np.repeat(key, sizes).astype(np.int64), cat(0, np.int64), cat(1, float)]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [x.split()[0] for x in FOUND.split(", ")])
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    """(query_id, query_key, rank, vec_id, score): the k nearest of found rows that hold the query's own, which goes.
+
+    Its own row is one of those with its id at distance 0; where a row equals it in both, one of them goes.
+    """
+    query = Window.partitionBy("query_id", "query_key")
+    near = found.withColumn("n", F.row_number().over(query.orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
+    own = near.withColumn("own", F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0), F.col("n"))).over(query))
+    rank = F.col("n") - F.coalesce((F.col("n") > F.col("own")).cast("int"), F.lit(0))
+    rest = own.where(F.col("own").isNull() | (F.col("n") != F.col("own")))
+    return rest.select("query_id", "query_key", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def brute_force(vectors: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int, dimension: int) -> DataFrame:
-    """The exact nearest of a bounded set of queries (ids, vectors) among all vectors, block by block."""
-    qid, q = queries
+def brute_force(vectors: DataFrame, queries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, dimension: int) -> DataFrame:
+    """The exact nearest of a bounded set of queries (ids, keys, vectors) among all vectors: every distance, measured directly."""
+    qid, key, q = queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = vectors_of(b.column(1), dimension)
-            yield _batch(list(nearest(q, qid, x, b.column(0).to_numpy(zero_copy_only=False)[rows], k)) if len(x) else [])
+            ids, found = b.column(0).to_numpy(zero_copy_only=False)[rows], []
+            for v in q if len(x) else ():
+                d = distances(v, x)
+                near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
+                best = near[np.lexsort((ids[near], d[near]))[: k + 1]]
+                found.append((ids[best], d[best]))
+            yield _batch(qid, key, found) if found else _batch(qid[:0], key[:0], [])
 
-    return _top(vectors.mapInArrow(run, FOUND), k)
+    return _top(vectors.select("vec_id", "embedding").mapInArrow(run, FOUND), k)
 
 
 @dataclass
 class Search:
-    """A fitted tree with its calibrated number of visits."""
+    """The fitted trees over a table of bins, and the calibrated number of visits."""
 
     tree: Tree
     dimension: int
-    visits: int
-    recall: float
+    k: int
+    queries: DataFrame  # (vec_id, query_key, embedding)
+    bins: DataFrame  # (leaf, sub, vec_id, embedding): every vector that takes part
+    subtrees: DataFrame | None  # (leaf, tree): lower trees of the leaves that need one
+    deep: frozenset[int]  # these leaves
+    visits: int = 0
+    recall: float = 1.0
 
 
-def fit(vectors: DataFrame, is_query, k: int) -> Search | None:
-    """Fit the tree on a sample of vectors(vec_id, embedding) and calibrate it; None if no vector takes part."""
+def _commonest_length(vectors: DataFrame) -> int:
     size = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not size or not size[0]["d"]:
+    return int(size[0]["d"]) if size else 0
+
+
+def _assigned(vectors: DataFrame, tree: Tree, d: int, k: int) -> DataFrame:
+    """(leaf, vec_id, embedding as double) of the vectors that take part; of equal ones in a batch the k + 1 least ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, x = vectors_of(b.column(1), d)
+            ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
+            order = np.lexsort((ids, *x.T[::-1])) if len(x) else rows
+            x, ids = x[order], ids[order]
+            first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(1)]) if len(x) else rows
+            place = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+            x, ids = x[place <= k], ids[place <= k]
+            yield pa.RecordBatch.from_arrays([pa.array(tree.assign(x)), pa.array(ids.astype(np.int64)), common.int_lists(x.ravel(), [d] * len(x))], ["leaf", "vec_id", "embedding"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "leaf long, vec_id long, embedding array<double>")
+
+
+def _fit_lower(placed: DataFrame, sizes: dict[int, int], d: int) -> DataFrame:
+    """(leaf, tree): a tree on about SAMPLE vectors, by hash, of each leaf in sizes."""
+    rate = F.element_at(F.create_map(*(F.lit(x) for leaf, n in sizes.items() for x in (leaf, min(1.0, SAMPLE / n)))), F.col("leaf"))
+    chosen = placed.where(F.col("leaf").isin(*sizes)).where(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(1 << 20)) < rate * (1 << 20))
+
+    def fit(rows: pa.Table) -> pa.Table:
+        x = vectors_of(rows.column("embedding").combine_chunks(), d)[1]
+        return pa.table({"leaf": pa.array([rows.column("leaf")[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(Tree.fit(x))], pa.binary())})
+
+    return common.table(chosen.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary"), "subtrees")
+
+
+def _salted(rows: DataFrame, sizes: DataFrame, trees: DataFrame, hashed: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """rows and trees with `salt`, so that a leaf's rows meet its tree in groups of about `most`.  sizes(leaf, n)."""
+    parts = sizes.select("leaf", F.ceil(F.col("n") / most).alias("salts"))
+    dealt = rows.join(parts, "leaf").withColumn("salt", F.pmod(F.xxhash64(hashed), F.col("salts"))).drop("salts")
+    copies = trees.join(parts, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return dealt, copies
+
+
+def _refined(placed: DataFrame, trees: DataFrame, sizes: dict[int, int], d: int) -> DataFrame:
+    """(leaf, sub, vec_id, embedding) of the leaves in sizes by their lower trees."""
+    of_leaf = placed.sparkSession.createDataFrame(list(sizes.items()), "leaf long, n long")
+    rows, copies = _salted(placed.where(F.col("leaf").isin(*sizes)), of_leaf, trees, "vec_id", PART_VECTORS)
+
+    def assign(vectors: pa.Table, tree: pa.Table) -> pa.Table:
+        x = vectors_of(vectors.column("embedding").combine_chunks(), d)[1]
+        sub = pickle.loads(tree.column("tree")[0].as_py()).assign(x) if len(tree) else np.zeros(len(x), np.int64)
+        return pa.table({"leaf": vectors.column("leaf"), "sub": pa.array(sub), "vec_id": vectors.column("vec_id"), "embedding": vectors.column("embedding")})
+
+    return rows.groupBy("leaf", "salt").cogroup(copies.groupBy("leaf", "salt")).applyInArrow(assign, "leaf long, sub long, vec_id long, embedding array<double>")
+
+
+def _routed(queries: DataFrame, found: Search, visits: int) -> DataFrame:
+    """(query_id, query_key, leaf, sub, n): the first bins of queries(vec_id, query_key, embedding), best bin first from 1."""
+    tree, d, deep = found.tree, found.dimension, found.deep
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, x = vectors_of(b.column(2), d)
+            seen = [tree.visit(v, visits) for v in x]
+            at = np.repeat(np.arange(len(x)), [len(o) for o in seen])
+            leaf = np.array([n for o in seen for n, _ in o], np.int64)
+            far = np.array([f for o in seen for _, f in o], float)
+            lower = np.isin(leaf, list(deep))
+            sizes = np.where(lower, d, 0)
+            flat = np.repeat(x[at], lower.astype(int), axis=0).ravel()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(leaf), pa.array(np.zeros(len(at), np.int64)), pa.array(far), pa.array(lower), common.int_lists(flat, sizes.tolist())],
+                ["query_id", "query_key", "leaf", "sub", "far", "lower", "v"],
+            )
+
+    first = queries.select("vec_id", "query_key", "embedding").mapInArrow(walk, "query_id long, query_key long, leaf long, sub long, far double, lower boolean, v array<double>")
+    keys = ["query_id", "query_key", "leaf", "sub", "far"]
+    if not deep:
+        met = first.select(*keys)
+    else:
+        first = common.table(first, "walks")
+        rows = first.where("lower").select("query_id", "query_key", "leaf", "v")
+        rows, copies = _salted(rows, rows.groupBy("leaf").agg(F.count("*").alias("n")), found.subtrees, "query_id", PART_QUERIES)
+
+        def descend(asked: pa.Table, lower: pa.Table) -> pa.Table:
+            x = vectors_of(asked.column("v").combine_chunks(), d)[1]
+            below = pickle.loads(lower.column("tree")[0].as_py()) if len(x) else None
+            seen = [below.visit(v, visits) for v in x]
+            at = pa.array(np.repeat(np.arange(len(x)), [len(o) for o in seen]))
+            flat = [r for o in seen for r in o]
+            return pa.table({**{c: asked.column(c).take(at) for c in ("query_id", "query_key", "leaf")}, "sub": pa.array([r[0] for r in flat], pa.int64()), "far": pa.array([r[1] for r in flat], pa.float64())})
+
+        below = rows.groupBy("leaf", "salt").cogroup(copies.groupBy("leaf", "salt")).applyInArrow(descend, "query_id long, query_key long, leaf long, sub long, far double")
+        met = first.where("not lower").select(*keys).union(below.select(*keys))
+    order = Window.partitionBy("query_id", "query_key").orderBy("far", "leaf", "sub")
+    return met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= visits).select("query_id", "query_key", "leaf", "sub", "n")
+
+
+def _queries(vectors: DataFrame, is_query, d: int) -> DataFrame:
+    """(vec_id, query_key, embedding as double): the query rows that take part, those of equal ids and vectors once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, x = vectors_of(b.column(1), d)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), common.int_lists(x.ravel(), [d] * len(rows))], ["vec_id", "embedding"])
+
+    clean = vectors.where(is_query).select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>")
+    return clean.select("vec_id", F.xxhash64("embedding").alias("query_key"), "embedding").dropDuplicates(["vec_id", "query_key"])
+
+
+def fit(vectors: DataFrame, is_query, k: int) -> Search | None:
+    """Fit the trees, place all vectors(vec_id, embedding) and calibrate; None if no vector takes part."""
+    d = _commonest_length(vectors)
+    if not d:
         return None
-    d = int(size[0]["d"])
     by_hash = F.xxhash64(F.lit(9), "vec_id")
-    sample = vectors.orderBy(by_hash, "vec_id").limit(SAMPLE).toArrow().combine_chunks()
+    sample = vectors.select("vec_id", "embedding").orderBy(by_hash, "vec_id").limit(SAMPLE).toArrow().combine_chunks()
     _, x = vectors_of(sample.column("embedding").combine_chunks(), d)
     if not len(x):
         x = vectors_of(vectors.where(F.exists("embedding", lambda v: v != 0)).limit(SAMPLE).toArrow().column("embedding").combine_chunks(), d)[1]
     if not len(x):
         return None
     tree = Tree.fit(x)
-    some = vectors.where(is_query).orderBy(by_hash, "vec_id").limit(CALIBRATION).toArrow().combine_chunks()
-    rows, q = vectors_of(some.column("embedding").combine_chunks(), d) if len(some) else (np.zeros(0, np.int64), np.zeros((0, d)))
-    if not len(q):
-        return Search(tree, d, tree.leaves, 1.0)
-    qid = some.column("vec_id").to_numpy()[rows]
-    true = brute_force(vectors, (qid, q), k, d).select("query_id", "vec_id")
-    there = _assigned(vectors.join(F.broadcast(true.select("vec_id").distinct()), "vec_id").select("vec_id", "embedding"), tree, d).select("vec_id", "leaf").collect()
-    leaf_of = {r["vec_id"]: r["leaf"] for r in there}
-    own: dict[int, list[int]] = {}
-    for r in true.collect():
-        own.setdefault(r["query_id"], []).append(leaf_of[r["vec_id"]])
-    places = []
-    for i, v in zip(qid.tolist(), q, strict=True):
-        at = {leaf: n for n, leaf in enumerate(tree.visit(v, tree.leaves))}
-        places += [at[leaf] for leaf in own.get(i, [])]
-    places = np.sort(np.array(places or [0]))
-    visits = int(places[min(len(places) - 1, math.ceil(RECALL * len(places)))]) + 1
-    return Search(tree, d, visits, float((places < visits).mean()))
-
-
-def _assigned(vectors: DataFrame, tree: Tree, d: int) -> DataFrame:
-    """(leaf, vec_id, embedding as double) of the vectors that take part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, x = vectors_of(b.column(1), d)
-            yield pa.RecordBatch.from_arrays([pa.array(tree.assign(x)), b.column(0).take(pa.array(rows)), common.int_lists(x.ravel(), [d] * len(rows))], ["leaf", "vec_id", "embedding"])
-
-    return vectors.mapInArrow(run, "leaf long, vec_id long, embedding array<double>")
-
-
-def search(vectors: DataFrame, is_query, k: int, found: Search) -> DataFrame:
+    placed = common.table(_assigned(vectors, tree, d, k), "leaves", numbers=True)
+    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().where(F.col("count") > BIN).collect()}  # as many rows as leaves at most
+    bins, trees = placed.select("leaf", F.lit(0).cast("long").alias("sub"), "vec_id", "embedding"), None
+    if sizes:
+        trees = _fit_lower(placed, sizes, d)
+        bins = common.table(bins.where(~F.col("leaf").isin(*sizes)).unionByName(_refined(placed, trees, sizes, d)), "bins", numbers=True)
+    queries = common.table(_queries(vectors, is_query, d), "queries", numbers=True)
+    return _calibrated(Search(tree, d, k, queries, bins, trees, frozenset(sizes)), vectors)
+
+
+def _calibrated(found: Search, vectors: DataFrame) -> Search:
+    """found with the visits that bring RECALL of the true neighbours of at most CALIBRATION queries."""
+    asked = found.queries.orderBy(F.xxhash64(F.lit(9), "vec_id"), "vec_id", "query_key").limit(CALIBRATION)
+    some = asked.toArrow().combine_chunks()
+    if not len(some):
+        found.visits = 1
+        return found
+    qid, key = (some.column(c).to_numpy() for c in ("vec_id", "query_key"))
+    q = vectors_of(some.column("embedding").combine_chunks(), found.dimension)[1]
+    true = common.table(brute_force(vectors, (qid, key, q), found.k, found.dimension).select("query_id", "query_key", "vec_id"), "true")
+    where = found.bins.select("vec_id", "leaf", "sub").join(F.broadcast(true.select("vec_id").distinct()), "vec_id")  # at most CALIBRATION * k ids
+    wanted = common.table(true.join(where, "vec_id").dropDuplicates(["query_id", "query_key", "vec_id"]), "true-bins")
+    queries = found.bins.sparkSession.createDataFrame([(int(i), int(h), v.tolist()) for i, h, v in zip(qid, key, q, strict=True)], "vec_id long, query_key long, embedding array<double>")
+    total, visits = wanted.count(), FIRST_VISITS
+    bins = found.tree.leaves if not found.deep else found.bins.select("leaf", "sub").distinct().count()
+    while True:
+        met = _routed(queries, found, visits).join(wanted, ["query_id", "query_key", "leaf", "sub"]).select("n").collect()
+        places = np.sort(np.array([r["n"] for r in met] or [0]))
+        if len(places) >= RECALL * total or visits >= bins:
+            break
+        visits *= 4
+    need = math.ceil(RECALL * total)
+    found.visits = int(places[min(len(places), max(1, need)) - 1]) if total else 1
+    found.recall = float((places <= found.visits).sum() / total) if total else 1.0
+    return found
+
+
+def search(found: Search) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query row."""
-    tree, d, visits = found.tree, found.dimension, found.visits
-    placed = common.table(_assigned(vectors, tree, d), "leaves")
-    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # as many rows as leaves
-    parts = np.array([max(1, math.ceil(sizes.get(i, 0) / PART_VECTORS)) for i in range(tree.leaves)])
-    queries = placed.where(is_query)
-    groups = max(1, math.ceil(queries.count() * visits / max(1, tree.leaves) / PART_QUERIES))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, x = vectors_of(b.column(1), d)
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            at, leaf, part = [], [], []
-            for i, v in enumerate(x):
-                for n in tree.visit(v, visits):
-                    at += [i] * int(parts[n])
-                    leaf += [n] * int(parts[n])
-                    part += range(int(parts[n]))
-            rows = np.array(at, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), pa.array(ids[rows] % groups if len(rows) else rows), pa.array(ids[rows] if len(rows) else rows), common.int_lists(x[rows].ravel(), [d] * len(rows))], ["leaf", "part", "g", "id", "v"])
-
-    split = F.element_at(F.array(*map(F.lit, parts.tolist())), (F.col("leaf") + 1).cast("int")).cast("long")
-    of_vectors = placed.select("leaf", F.pmod(F.xxhash64("vec_id"), split).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    of_queries = queries.select("vec_id", "embedding").mapInArrow(deal, "leaf long, part long, g long, id long, v array<double>")
+    d, k, queries = found.dimension, found.k, found.queries
+    routed = common.table(_routed(queries, found, found.visits), "routes")
+    count = lambda df, name, most: df.groupBy("leaf", "sub").agg(F.ceil(F.count("*") / most).alias(name))
+    shape = count(found.bins, "parts", PART_VECTORS).join(count(routed, "groups", PART_QUERIES), ["leaf", "sub"])
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    of_vectors = found.bins.join(shape, ["leaf", "sub"]).select("leaf", "sub", at("vec_id", "parts").alias("part"), each("groups").alias("g"), "vec_id", "embedding")
+    of_queries = routed.join(shape, ["leaf", "sub"]).select("leaf", "sub", each("parts").alias("part"), at("query_id", "groups").alias("g"), "query_id", "query_key")
+    of_queries = of_queries.join(queries.withColumnRenamed("vec_id", "query_id"), ["query_id", "query_key"])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pa.Table.from_batches([_batch([])])
-        x, q = (vectors_of(t.column("v").combine_chunks(), d)[1] for t in (left, right))
-        return pa.Table.from_batches([_batch(list(nearest(q, right.column("id").to_numpy(), x, left.column("id").to_numpy(), k)))])
+            return pa.Table.from_batches([_batch(np.zeros(0, np.int64), np.zeros(0, np.int64), [])])
+        x, q = (vectors_of(t.column("embedding").combine_chunks(), d)[1] for t in (left, right))
+        got = list(nearest(q, x, left.column("vec_id").to_numpy(), k + 1))
+        return pa.Table.from_batches([_batch(right.column("query_id").to_numpy(), right.column("query_key").to_numpy(), got)])
 
-    keys = ["leaf", "part", "g"]
-    return _top(of_vectors.groupBy(*keys).cogroup(of_queries.groupBy(*keys)).applyInArrow(compare, FOUND), k)
+    keys = ["leaf", "sub", "part", "g"]
+    met = of_vectors.groupBy(*keys).cogroup(of_queries.groupBy(*keys)).applyInArrow(compare, FOUND)
+    return _top(met, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,4 +408,4 @@ def op9_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
     is_query = F.col("vec_id") % 100 == 0
     found = fit(vectors, is_query, 10)
-    return search(vectors, is_query, 10, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return search(found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
