@@ -4,10 +4,12 @@ Sizes are word counts.  Targets follow from the weights: each source's share of
 size, the excess shared again by weight.  Every document gets a hash-random key; the keys' leading digits deal each
 source out in ranges, one sum a range gives the words before it, and a window inside the range gives the words before a
 document.  A source with target T and size S is taken T div S times as a whole, and then in key order up to its exact
-remaining budget, so the document at the cut is taken in part.  Only ids, sources and sizes are shuffled.
+remaining budget, so the document at the cut is taken in part.  Rows are shuffled once, by range; what is known of the ranges
+is told to all tasks up to PLAN_ROWS rows and joined beyond.  The operator shuffles ids, sources and sizes alone.
 
 Null texts have size 0; a null source is a source of its own and comes last.  Sources of size 0 have target 0 and take
-nothing.  Rows with equal ids count each; they are ordered by size.  An empty table gives no rows.  Reruns agree.
+nothing.  Rows with equal ids count each; they are ordered by size.  A null id's key comes from its text.  An empty table gives
+no rows.  Reruns agree.
 """
 
 from __future__ import annotations
@@ -15,11 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.llm import common
+
 #: Hexadecimal digits of the key that make a range: 4096 ranges of each source.
 RANGE_DIGITS = 3
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix"
+#: Most ranges, of all sources together, whose starts are told to all tasks: some 20 MB.
+PLAN_ROWS = 500_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,6 +34,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def key_of(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """The hash-random key of a document."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(seed), own).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
@@ -63,15 +75,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
-def taken(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """rows(doc_id, source, size, ...) with source_size, target and taken."""
-    keyed = rows.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    keyed = keyed.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+def taken(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """rows(doc_id, key, source, size, ...) with source_size, target and taken, without the key."""
+    keyed = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     goal = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, cap)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("source", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("range_start"))
     plan = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.*", "source_size", "target")
+    plan = common.table(plan, "ranges")
+    plan = F.broadcast(plan) if plan.count() <= PLAN_ROWS else plan
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.alias("d").join(
@@ -86,8 +99,8 @@ def taken(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"))
-    return taken(rows, weights, cap, seed)
+    doc_id = F.col("doc_id").cast("long")
+    return taken(docs.select(doc_id.alias("doc_id"), key_of(doc_id, F.col("text"), seed).alias("key"), "source", size_of(F.col("text")).alias("size")), weights, cap)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -95,8 +108,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
     Documents the mix does not take are left out, except those without words, which are in it once.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"))
-    took = taken(rows, weights, cap, seed)
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("doc_id"), key_of(doc_id, F.col("text"), seed).alias("key"), "source", size_of(F.col("text")).alias("size"))
+    took = taken(rows, weights, cap)
     text = F.col("row.text")
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     words = (F.col("taken") - copies * F.col("size")).cast("int")
@@ -114,7 +128,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place
