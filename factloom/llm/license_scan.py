@@ -1,6 +1,7 @@
 """Operator 3: license scans by an exact set-similarity join with templates.
 
-A text's words fall into blocks of BLOCK words that overlap by half.  A template is found in a block that holds at
+A text's words fall into blocks that overlap by half: of BLOCK words, or of twice the longest template's where that is more,
+so that every template lies whole in some block wherever it begins.  A template is found in a block that holds at
 least CONTAINED of its distinct words.  Template words are ordered by the number of documents they are in, over all
 documents, rarest first.  A template's prefix is its first |T| - need + 1 words: a block without any of them cannot
 reach the need.  Blocks shorter than the need are skipped (length filter), and at the first shared word at places i
@@ -73,22 +74,23 @@ class Index:
         for label, t in templates:
             own = tuple(sorted(set(dense(t.encode())), key=self.order.__getitem__))
             self.templates.append(Template(label, own, math.ceil(contained * len(own) - 1e-9)))
+        #: Words from one block to the next; a block is twice as long.
+        self.stride = max(BLOCK // 2, *(len(dense(t.encode())) for _, t in templates), 0)
         self.by_word: dict[bytes, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.templates):
             for i, w in enumerate(t.prefix):
                 self.by_word.setdefault(w, []).append((k, i))
 
-    def find(self, words: list[bytes]) -> dict[int, float]:
-        """Template -> greatest containment, of those that reach the threshold in some block."""
+    def blocks(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
+        """(template, block's first word, containment) of every block and template that reach the threshold."""
         if self.by_word.keys().isdisjoint(words):
-            return {}
-        half = BLOCK // 2
-        hit = {b for i, w in enumerate(words) if w in self.by_word for b in (i // half - 1, i // half) if b >= 0}
-        if len(words) <= BLOCK:
+            return
+        step = self.stride
+        hit = {b for i, w in enumerate(words) if w in self.by_word for b in (i // step - 1, i // step) if b >= 0}
+        if len(words) <= 2 * step:
             hit = {0}
-        found: dict[int, float] = {}
         for b in sorted(hit):
-            block = set(words[b * half : b * half + BLOCK])
+            block = set(words[b * step : (b + 2) * step])
             ordered = sorted((w for w in block if w in self.order), key=self.order.__getitem__)
             seen: set[int] = set()
             for j, w in enumerate(ordered):
@@ -101,7 +103,13 @@ class Index:
                         continue
                     shared = sum(x in block for x in t.ordered)
                     if shared >= t.need:
-                        found[k] = max(found.get(k, 0.0), shared / len(t.ordered))
+                        yield k, b * step, shared / len(t.ordered)
+
+    def find(self, words: list[bytes]) -> dict[int, float]:
+        """Template -> greatest containment, of those that reach the threshold in some block."""
+        found: dict[int, float] = {}
+        for k, _, share in self.blocks(words):
+            found[k] = max(found.get(k, 0.0), share)
         return found
 
 
@@ -162,6 +170,29 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 
 
+BLOCKS = "doc_id long, label string, template int, first_word long, n_words long, containment double"
+
+
+def scan_blocks(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """BLOCKS: every block of every document with each template that it holds, by the template's number and the block's place."""
+    common.bound_batches(docs.sparkSession)
+    index = Index(frequencies(docs, templates), templates)
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in common.blocks(whole, 1, BLOCK_BYTES):
+                rows = []
+                for doc_id, raw in zip(b.column(0).to_pylist(), common.text_bytes(b.column(1)), strict=True):
+                    words = dense(raw)
+                    rows += [(doc_id, index.templates[k].label, k, start, min(2 * index.stride, len(words) - start), share) for k, start, share in index.blocks(words)]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan all documents."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -60,3 +60,29 @@ def test_table(spark):
         want = brute(r.text)
         g = got[r.doc_id]
         assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels, g.labels) == want[:6]
+
+
+def test_blocks_of_long_templates(spark):
+    """Every block against every template, with one template longer than the usual block and texts that hold it anywhere."""
+    rng = random.Random(7)
+    long = " ".join(f"w{rng.randrange(10**6)}x" for _ in range(150))
+    templates = (("long", long), *ls.TEMPLATES[:3])
+    texts_ = []
+    for before in (0, 1, 77, 149, 151, 290, 700):
+        kept = [w for w in long.split() if rng.random() > 0.1]
+        texts_.append(" ".join(["filler"] * before + kept + ["more"] * rng.choice([0, 5, 400])))
+    docs = documents(spark, [*texts_, NOTICE, None, ""], extra=True)
+    got = sorted(repr((r.doc_id, r.label, r.template, r.first_word, r.n_words, round(r.containment, 9))) for r in ls.scan_blocks(docs, templates).collect())
+    want, step = [], 150
+    for r in docs.collect():
+        words = words_of(r.text)
+        for b in range(max(1, -(-len(words) // step))):
+            block = words[b * step : (b + 2) * step]
+            for k, (label, t) in enumerate(templates):
+                own = set(words_of(t))
+                share = len(own & set(block)) / len(own)
+                if len(own & set(block)) >= ls.CONTAINED * len(own) - 1e-9 and block:
+                    want.append(repr((r.doc_id, label, k, b * step, len(block), round(share, 9))))
+    assert got == sorted(want)
+    labels = {r.doc_id: r.labels for r in ls.scan(docs, templates).collect()}
+    assert all(labels[i] == "long" for i in range(len(texts_)))
