@@ -1,9 +1,10 @@
 """Operator 6: byte-level BPE by merge replay over a corpus of words.
 
 The texts of a block are cut into pattern matches; the distinct ones form one corpus of words.  An inverted index
-leads from each pair of adjacent tokens to the positions where it stands in that corpus, and every merge that occurs is
-applied in rank order to all its positions at once, touching the two neighbours of each position only.  Merges never
-cross words, so the result of a block is that of the whole corpus, and blocks need no shuffle.
+leads from pairs of adjacent tokens to the positions where they stand in that corpus, and every merge that occurs is
+applied in rank order to all its positions at once, touching the two neighbours of each position only.  Pairs that make
+the same token share an entry, since where they overlap the leftmost goes first.  Merges never cross words, so the ids of a
+block are those that a replay over the whole corpus would give, and blocks need no shuffle.
 
 Null and empty texts have no ids.  Rows keep their order, repeats and ids, and other columns are not read.
 """

@@ -64,3 +64,83 @@ def test_prior_and_risk():
     net = quality_pu.fit_nnpu(p, u, prior)
     assert quality_pu.sigmoid(net.margin(rng.normal(1.5, 1, (500, 2)))).mean() > 0.9
     assert quality_pu.sigmoid(net.margin(rng.normal(-2, 1, (500, 2)))).mean() < 0.1
+
+
+def test_quality_features_by_their_definitions():
+    """Every feature counted the plain way."""
+    import math
+    import re
+
+    texts = ["", "  \n ", "One two two THREE!\nOne two two THREE!\n\n#a | b", "a b c a b c a b", "é É x" * 9, "1 2 3 $5\n|x|", "w"]
+    for t in texts:
+        raw = t.encode()
+        words, lines, size = raw.split(), [x for x in raw.split(b"\n") if x.strip()], len(raw)
+        n = len(words)
+        f = dict(zip(quality_pu.NAMES, quality_pu.features(raw), strict=True))
+        if not n:
+            assert not any(f.values())
+            continue
+        of = lambda pattern: len(re.findall(pattern, raw))
+        triples = [tuple(words[i : i + 3]) for i in range(n - 2)]
+        upper, lower = of(rb"[A-Z]"), of(rb"[a-z]")
+        want = {
+            "log_words": math.log1p(n), "distinct_words": len(set(words)) / n, "repeats_next": sum(words[i] == words[i + 1] for i in range(n - 1)) / n,
+            "commonest_bigram_repeats": 1 - len(set(triples)) / len(triples) if triples else 0.0, "symbols": min(1, of(rb"[#*$%&<>]") / n), "loud": min(1, of(rb"[!?]") / n),
+            "capitals": upper / max(1, upper + lower), "repeated_lines": 1 - len(set(lines)) / len(lines), "word_length": math.log1p((size - n) / n),
+            "marks": min(1, of(rb"[!-/:-@\[-`{-~]") / n), "digits": min(1, of(rb"[0-9]") / n), "words_a_line": math.log1p(n / len(lines)), "bars": min(1, of(rb"\|") / n),
+        }
+        assert {k: round(v, 12) for k, v in f.items()} == {k: round(float(v), 12) for k, v in want.items()}
+
+
+def test_the_risk_that_is_minimised():
+    """The slope against differences of the non-negative risk, where its second part is positive, and of that part where it is not."""
+    rng = np.random.default_rng(2)
+    p, u, prior = rng.normal(1, 1, (40, 2)), rng.normal(0, 1, (50, 2)), 0.6
+    seen = []
+
+    class Spy(quality_pu.Network):
+        def fit(self, x, slope):
+            seen.append(slope)
+            return self
+
+    start = quality_pu.Network.start
+    try:
+        quality_pu.Network.start = staticmethod(lambda x, seed: Spy(*vars(start(x, seed)).values()))
+        quality_pu.fit_nnpu(p, u, prior)
+    finally:
+        quality_pu.Network.start = staticmethod(start)
+    loss = lambda z: np.logaddexp(0, -z)
+    second = lambda z: loss(-z[40:]).mean() - prior * loss(-z[:40]).mean()
+    whole = lambda z: prior * loss(z[:40]).mean() + second(z)
+    for z in (rng.normal(0, 1, 90), np.r_[np.full(40, 4.0), np.full(50, -4.0)]):
+        f = whole if second(z) >= 0 else (lambda z: -second(z))
+        numeric = np.array([(f(z + d) - f(z - d)) / 2e-6 for d in np.eye(90) * 1e-6])
+        assert np.allclose(seen[0](z), numeric, atol=1e-6)
+
+
+def test_samples_of_repeated_ids_repeat(spark):
+    """Ids that stand for several texts give one row, the same whatever the partitions."""
+    docs = spark.createDataFrame([(i % 50, f"text {i} of many") for i in range(400)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    one, two = (sorted(map(tuple, quality_pu._samples(docs.repartition(n), labels, 12, 9).collect())) for n in (1, 6))
+    assert one == two and len({r[0] for r in one}) == len(one) <= 21
+    assert sum(r[1] for r in one) == 12 and 0 < sum(r[2] for r in one) <= 9
+
+
+def test_toxicity_score_against_plain_arithmetic(spark):
+    """Scores of a fitted model, tree by tree and knot by knot."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.limit(40).collect():
+        x, margin = toxicity.features(r.text or "", model.lexicon), model.trees.base
+        for which, cut, leaf in model.trees.trees:
+            node = 0
+            for _ in range(toxicity.DEPTH):
+                node = 2 * node + (2 if x[which[node]] > cut[node] else 1)
+            margin += leaf[node - (2**toxicity.DEPTH - 1)]
+        xs, ys = model.knots
+        at = np.searchsorted(xs, margin)
+        want = ys[0] if at == 0 else ys[-1] if at == len(xs) else ys[at - 1] + (ys[at] - ys[at - 1]) * (margin - xs[at - 1]) / (xs[at] - xs[at - 1])
+        assert abs(got[r.doc_id] - 0.999 * want - 0.001 / (1 + np.exp(-margin))) < 1e-9
