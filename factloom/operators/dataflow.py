@@ -7,31 +7,41 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import Seen, cut, reachable
+from factloom.operators.graph import Seen, reachable, spread
+from factloom.storage import cut, cut_count
 
 
 def must_guards(blocks: DataFrame, succ: DataFrame, gen: DataFrame, compat: bool = False) -> DataFrame:
     """(block, guard) that hold on entry of a block on every path from the entry; unreachable blocks have none.
 
-    Greatest fixpoint: all guards are assumed and those that some predecessor cannot give are dropped.  With compat, the
-    least one from empty OUT sets, which loses guards at loop heads.  blocks(block, is_entry), succ(src, dst),
-    gen(block, guard).
+    The greatest fixpoint, by its complement: of the guards that some path brings to a block, those that some path lacks are
+    found from the entries on, so only guards of the block's own function are ever looked at.  With compat, the least
+    fixpoint from empty OUT sets, which loses guards at loop heads.  blocks(block, is_entry), succ(src, dst), gen(block, guard).
     """
-    entry = blocks.where("is_entry").select(F.col("block").alias("node"))
-    live = cut(reachable(succ, entry).withColumnRenamed("node", "block"))
+    entry = cut(blocks.where("is_entry").select("block").distinct())
+    live = reachable(succ, entry.select(F.col("block").alias("node"))).withColumnRenamed("node", "block")
     edges = cut(succ.select("src", "dst").distinct().join(live.withColumnRenamed("block", "src"), "src", "left_semi"))
-    inner = live.join(blocks.where("is_entry").select("block"), "block", "left_anti")
-    own = gen.select("block", "guard").distinct()
-    guards = own.select("guard").distinct()
+    own = cut(gen.select("block", "guard").distinct())
+    if compat:
+        return _guards_from_below(live.join(entry, "block", "left_anti"), edges, own)
+    ahead = lambda f: f.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "guard")
+    brought = cut(spread(ahead(own), ahead).join(entry, "block", "left_anti"))
+    by = brought.join(edges.select(F.col("src").alias("pred"), F.col("dst").alias("block")), "block")
+    silent = cut(by.join(own.toDF("pred", "guard"), ["pred", "guard"], "left_anti").select("block", "guard", "pred"))
+    first = silent.join(brought.toDF("pred", "guard"), ["pred", "guard"], "left_anti").select("block", "guard")
+    on = silent.select(F.col("block").alias("to"), "guard", F.col("pred").alias("block"))
+    lacking = spread(first, lambda f: f.join(on, ["block", "guard"]).select(F.col("to").alias("block"), "guard"))
+    return brought.join(lacking, ["block", "guard"], "left_anti")
+
+
+def _guards_from_below(inner: DataFrame, edges: DataFrame, own: DataFrame) -> DataFrame:
+    inner = cut(inner)
     preds = edges.groupBy(F.col("dst").alias("block")).agg(F.count("*").alias("preds"))
-    held = cut(inner.crossJoin(guards) if not compat else inner.crossJoin(guards).limit(0))
-    size = held.count()
+    held, size = own.limit(0), 0
     while True:
         out = held.union(own).distinct()
         given = edges.join(out, F.col("src") == F.col("block")).groupBy(F.col("dst").alias("block"), "guard").agg(F.count("*").alias("n"))
-        nxt = cut(given.join(preds, "block").where("n = preds").select("block", "guard").join(inner, "block", "left_semi"))
-        now = nxt.count()
-        held = nxt
+        held, now = cut_count(given.join(preds, "block").where("n = preds").select("block", "guard").join(inner, "block", "left_semi"))
         if now == size:
             return held
         size = now
@@ -42,15 +52,8 @@ def reaching_definitions(blocks: DataFrame, succ: DataFrame, defs: DataFrame) ->
     last = defs.groupBy("block", "var").agg(F.max("offset").alias("offset"))
     kills = cut(defs.select("block", "var").distinct())
     edges = cut(succ.select("src", "dst").distinct())
-    out = frontier = cut(last.select("block", "var", F.col("block").alias("def_block"), "offset"))
-    seen = None
-    while frontier.limit(1).count():
-        moved = frontier.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "var", "def_block", "offset").distinct()
-        arrived = cut(moved if seen is None else moved.join(seen, ["block", "var", "def_block", "offset"], "left_anti"))
-        seen = arrived if seen is None else cut(seen.union(arrived))
-        frontier = cut(arrived.join(kills, ["block", "var"], "left_anti").join(out, ["block", "var", "def_block", "offset"], "left_anti"))
-        out = cut(out.union(frontier))
-    return seen if seen is not None else out.limit(0)
+    ahead = lambda f: f.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "var", "def_block", "offset")
+    return spread(ahead(last.select("block", "var", F.col("block").alias("def_block"), "offset")), lambda f: ahead(f.join(kills, ["block", "var"], "left_anti")))
 
 
 def bounds_hull(states: DataFrame, *keys: str) -> DataFrame:
@@ -91,6 +94,33 @@ def merge_types(states: DataFrame, *keys: str) -> DataFrame:
     return states.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("possible_types")))).alias("possible_types"), none.alias("is_none"), F.every("initialized").alias("initialized"))
 
 
+def type_states(blocks: DataFrame, succ: DataFrame, stores: DataFrame) -> DataFrame:
+    """(block, var, possible_types, is_none, initialized) on a block's entry.
+
+    stores(block, var, offset, type, is_none): the last store of a block gives its type to all blocks it reaches without
+    another store, where states merge as in merge_types.  What an entry hands on has no type, may be none or not, and counts as
+    initialised; blocks(block, is_entry).
+    """
+    last = stores.groupBy("block", "var").agg(F.max_by(F.struct("type", "is_none"), "offset").alias("s"), F.max("offset").alias("offset"))
+    given = last.select(F.col("block").alias("def_block"), "var", F.col("s.type").alias("type"), F.col("s.is_none").alias("is_none"))
+    reach = reaching_definitions(blocks, succ, stores).select("block", "var", "def_block").join(given, ["def_block", "var"])
+    kills = cut(stores.select("block", "var").distinct())
+    edges = cut(succ.select("src", "dst").distinct())
+    entries = blocks.where("is_entry").select("block")
+    variables = reachable_variables(entries, edges, kills)
+    unset = spread(variables, lambda f: f.join(kills, ["block", "var"], "left_anti").join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "var"))
+    none = F.lit(None)
+    rows = reach.select("block", "var", F.array("type").alias("possible_types"), "is_none", F.lit(True).alias("initialized"))
+    rows = rows.unionByName(unset.select("block", "var", F.array().cast("array<string>").alias("possible_types"), none.cast("boolean").alias("is_none"), F.lit(True).alias("initialized")))
+    return merge_types(rows, "block", "var")
+
+
+def reachable_variables(entries: DataFrame, edges: DataFrame, kills: DataFrame) -> DataFrame:
+    """(block, var): the variables that some block behind an entry stores, at that entry."""
+    reach = spread(entries.select(F.col("block").alias("entry"), "block"), lambda f: f.join(edges, F.col("block") == F.col("src")).select("entry", F.col("dst").alias("block")))
+    return reach.join(kills, "block").select(F.col("entry").alias("block"), "var").distinct()
+
+
 def guarded_paths(paths: DataFrame) -> DataFrame:
     """(block, on_all, on_any) of paths(block, guarded)."""
     return paths.groupBy("block").agg(F.every("guarded").alias("on_all"), F.some("guarded").alias("on_any"))
@@ -101,27 +131,34 @@ def houdini(candidates: DataFrame, implied_by: DataFrame, violated: DataFrame) -
 
     implied_by(pred, needs); violated(pred).
     """
-    held = cut(candidates.select("pred").distinct().join(violated.select("pred"), "pred", "left_anti"))
-    size = held.count()
-    while True:
-        lost = implied_by.join(held.select(F.col("pred").alias("needs")), "needs", "left_anti").select("pred").distinct()
-        held = cut(held.join(lost, "pred", "left_anti"))
-        now = held.count()
-        if now == size:
-            return held
-        size = now
+    gone = violated.select("pred").union(implied_by.join(candidates.select(F.col("pred").alias("needs")), "needs", "left_anti").select("pred"))
+    needs = cut(implied_by.select("pred", "needs").distinct())
+    lost = spread(gone, lambda f: needs.join(f.select(F.col("pred").alias("needs")), "needs").select("pred"))
+    return candidates.select("pred").distinct().join(lost, "pred", "left_anti")
 
 
-def ice_conjunction(predicates: DataFrame) -> DataFrame:
-    """(pred): the largest conjunction true on all positive samples, with whether it rejects every negative one.
+def ice_conjunction(predicates: DataFrame, implications: DataFrame | None = None) -> DataFrame:
+    """(pred, consistent): the largest conjunction true on all positive samples, and whether it rejects every negative one.
 
-    predicates(pred, sample, kind, holds) with kind positive or negative.
+    predicates(pred, sample, kind, holds) with kind positive, negative or state; implications(pre, post) between samples: where all
+    of the conjunction holds on pre, it must hold on post.  A kept predicate that fails on such a post goes, which can only make
+    more pres hold, so the rounds end in the largest set.  consistent is false if a sample no conjunction can reject is negative.
     """
-    keep = predicates.where("kind = 'positive'").groupBy("pred").agg(F.every("holds").alias("ok")).where("ok").select("pred")
-    negative = predicates.where("kind = 'negative'")
-    rejected = negative.join(keep, "pred", "left_semi").groupBy("sample").agg(F.some(~F.col("holds")).alias("rejected"))
-    all_rejected = negative.select("sample").distinct().join(rejected, "sample", "left").agg(F.coalesce(F.every(F.coalesce("rejected", F.lit(False))), F.lit(True)).alias("consistent"))
-    return keep.crossJoin(F.broadcast(all_rejected))
+    holds = cut(predicates.select("pred", "sample", "kind", "holds").distinct())
+    bad = holds.where("kind = 'positive' and not holds").select("pred").distinct()
+    kept, size = cut_count(holds.select("pred").distinct().join(bad, "pred", "left_anti"))
+    while implications is not None and size:
+        fails = holds.join(kept, "pred", "left_semi").where("not holds").select("sample", "pred").distinct()
+        live = implications.join(fails.select(F.col("sample").alias("pre")), "pre", "left_anti")
+        lost = fails.join(live.select(F.col("post").alias("sample")), "sample", "left_semi").select("pred")
+        kept, now = cut_count(kept.join(lost, "pred", "left_anti"))
+        if now == size:
+            break
+        size = now
+    negative = holds.where("kind = 'negative'")
+    rejected = negative.join(kept, "pred", "left_semi").groupBy("sample").agg(F.some(~F.col("holds")).alias("rejected"))
+    verdict = negative.select("sample").distinct().join(rejected, "sample", "left").agg(F.coalesce(F.every(F.coalesce("rejected", F.lit(False))), F.lit(True)).alias("consistent"))
+    return kept.join(verdict)  # one row joins all
 
 
 def natural_loops(succ: DataFrame, back_edges: DataFrame) -> DataFrame:
@@ -130,14 +167,8 @@ def natural_loops(succ: DataFrame, back_edges: DataFrame) -> DataFrame:
     back_edges(src, header).  Loops with one header are one loop.
     """
     edges = cut(succ.select("src", "dst").distinct())
-    start = back_edges.select("header", F.col("src").alias("block")).union(back_edges.select("header", F.col("header").alias("block"))).distinct()
-    frontier = cut(start)
-    seen = Seen(frontier)
-    while frontier.limit(1).count():
-        back = frontier.where("block <> header").join(edges, F.col("block") == F.col("dst")).select("header", F.col("src").alias("block")).distinct()
-        frontier = cut(back.join(seen.all(), ["header", "block"], "left_anti"))
-        seen.add(frontier)
-    return seen.all()
+    start = back_edges.select("header", F.col("src").alias("block")).union(back_edges.select("header", F.col("header").alias("block")))
+    return spread(start, lambda f: f.where("block <> header").join(edges, F.col("block") == F.col("dst")).select("header", F.col("src").alias("block")))
 
 
 def path_states(blocks: DataFrame, succ: DataFrame, gen: DataFrame, rounds: int | None = 50) -> DataFrame:
@@ -153,8 +184,8 @@ def path_states(blocks: DataFrame, succ: DataFrame, gen: DataFrame, rounds: int
     for _ in count() if rounds is None else range(rounds):
         out = frontier.join(own, "block", "left").select("block", F.array_sort(F.array_union("guards", F.coalesce("g", F.array().cast("array<string>")))).alias("guards"))
         moved = out.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "guards").distinct()
-        frontier = cut(moved.join(seen.all(), ["block", "guards"], "left_anti"))
-        if not frontier.limit(1).count():
+        frontier, rows = cut_count(moved.join(seen.all(), ["block", "guards"], "left_anti"))
+        if not rows:
             return seen.all().withColumn("truncated", F.lit(False))
         seen.add(frontier)
     return seen.all().withColumn("truncated", F.lit(True))

@@ -1,17 +1,18 @@
 """Graphs of calls and value flow: reach, closure, components, cycles, condensation order.
 
 Loops are semi-naive: each round joins the frontier only, and every round's result is written to the shared folder, so
-lineage stays short.
+lineage stays short.  A round is one job: what tells whether it was the last is observed while it is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from factloom.storage import cut
+from factloom.storage import cut, cut_count
 
 
 class Seen:
@@ -44,71 +45,97 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+#: A frontier of at most FEW rows takes STEPS steps in one round, since a round costs more than the steps do.
+FEW, STEPS = 100_000, 4
+
+
+def spread(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """start and all that step makes of it, over and over, each row once.  step gives rows with the columns of its argument."""
+    keys = start.columns
+    frontier, rows = cut_count(start.distinct())
+    seen = Seen(frontier)
+    while rows:
+        ahead, made = frontier, []
+        for _ in range(STEPS if rows <= FEW else 1):
+            ahead = step(ahead).select(*keys).distinct()
+            made.append(ahead)
+        frontier, rows = cut_count(reduce(DataFrame.union, made).distinct().join(seen.all(), keys, "left_anti"))
+        if rows:
+            seen.add(frontier)
+    return seen.all()
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node): what the seeds reach, themselves included; seeds that are not in nodes are dropped."""
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    start = seeds.select("node").distinct()
-    frontier = cut(start.join(nodes.select("node"), "node", "left_semi") if nodes is not None else start)
-    seen = Seen(frontier)
-    while frontier.limit(1).count():
-        frontier = cut(frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.all(), "node", "left_anti"))
-        seen.add(frontier)
-    return seen.all()
+    start = seeds.select("node")
+    start = start.join(nodes.select("node"), "node", "left_semi") if nodes is not None else start
+    return spread(start, lambda f: f.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")))
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst): pairs joined by a path of one edge or more; paths double in length each round."""
-    paths = cut(edges.select("src", "dst").distinct())
-    size = paths.count()
+    paths, size = cut_count(edges.select("src", "dst").distinct())
     while True:
         step = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        paths = cut(paths.union(step).distinct())
-        now = paths.count()
+        paths, now = cut_count(paths.union(step).distinct())
         if now == size:
             return paths
         size = now
 
 
+def trim(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges (and their number) that are left when nodes without a way in or out go, until all stay."""
+    e, size = cut_count(edges.select("src", "dst").distinct())
+    while size:
+        into, out = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
+        e, now = cut_count(e.join(into, "src", "left_semi").join(out, "dst", "left_semi"))
+        if now == size:
+            break
+        size = now
+    return e, size
+
+
+def least_source(edges: DataFrame) -> DataFrame:
+    """(node, least): the least node that reaches each node of the edges, itself included.
+
+    Labels move along the edges, and a node also takes the label of its label, so that rounds grow with the logarithm of a chain.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    label = cut(nodes.select("node", F.col("node").alias("least")))
+    while True:
+        moved = edges.join(label, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("in"))
+        low = label.join(moved, "node", "left").select("node", F.least("least", F.coalesce("in", "least")).alias("least"), F.col("least").alias("was"))
+        far = label.select(F.col("node").alias("least"), F.col("least").alias("far"))
+        turn = low.join(far, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("least"), "was")
+        seen = Observation()
+        nxt = cut(turn.observe(seen, F.count_if(F.col("least") < F.col("was")).alias("lower")))
+        label = nxt.select("node", "least")
+        if not seen.get.get("lower"):
+            return label
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, scc): strongly connected components named by their least node.
 
-    Nodes without an edge in or out within their part are components of their own and trimmed; the rest takes the least
-    node that reaches it (colour); what reaches the colour's node backwards inside the colour is its component.
+    Edges outside any cycle are trimmed first.  The nodes that one node is the least to reach form a class; those of them that
+    reach it inside the class are its component, and the rest goes another turn.
     """
-    left = cut(nodes.select("node").distinct())
+    all_ = nodes.select("node").distinct()
     e = edges.select("src", "dst").where("src <> dst").distinct()
-    e = cut(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    done = None
-    while True:
-        while True:  # trim
-            inner = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
-            single = cut(left.join(inner, "node", "left_anti"))
-            if not single.limit(1).count():
-                break
-            own = single.select("node", F.col("node").alias("scc"))
-            done = own if done is None else done.union(own)
-            left = cut(left.join(single, "node", "left_anti"))
-            e = cut(e.join(single.withColumnRenamed("node", "src"), "src", "left_anti").join(single.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-        if not left.limit(1).count():
-            return cut(done) if done is not None else left.select("node", F.col("node").alias("scc"))
-        colour = cut(left.select("node", F.col("node").alias("colour")))
-        while True:
-            from_ = e.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("c"))
-            nxt = cut(colour.join(from_, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("changed")))
-            colour = nxt.select("node", "colour")
-            if not nxt.where("changed").limit(1).count():
-                break
-        inside = e.join(colour.toDF("src", "c1"), "src").join(colour.toDF("dst", "c2"), "dst").where("c1 = c2").select("dst", "src", "c1")
-        inside = cut(inside)
-        found = frontier = cut(colour.where("node = colour"))
-        while frontier.limit(1).count():
-            back = frontier.join(inside, (F.col("node") == F.col("dst")) & (F.col("colour") == F.col("c1"))).select(F.col("src").alias("node"), "colour").distinct()
-            frontier = cut(back.join(found, "node", "left_anti"))
-            found = cut(found.union(frontier))
-        named = found.select("node", F.col("colour").alias("scc"))
-        done = named if done is None else cut(done.union(named))
-        left = cut(left.join(found, "node", "left_anti"))
-        e = cut(e.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    e, size = trim(e.join(all_.withColumnRenamed("node", "src"), "src", "left_semi").join(all_.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    found = None
+    while size:
+        ahead = least_source(e)
+        inside = e.join(ahead.toDF("src", "c1"), "src").join(ahead.toDF("dst", "c2"), "dst").where("c1 = c2").select("src", "dst")
+        back = least_source(cut(reverse(inside)))
+        named = cut(ahead.join(back.toDF("node", "scc"), "node").where("least = scc").select("node", "scc"))
+        found = named if found is None else cut(found.union(named))
+        gone = named.select(F.col("node").alias("src"))
+        e, size = trim(e.join(gone, "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+    if found is None:
+        return all_.select("node", F.col("node").alias("scc"))
+    return all_.join(found, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
 
 
 def recursive_nodes(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -126,22 +153,19 @@ def bottom_up_levels(edges: DataFrame, components: DataFrame) -> DataFrame:
     level = cut(c.select("scc").distinct().select("scc", F.lit(0).alias("level")))
     while True:
         higher = between.join(level, F.col("b") == F.col("scc")).groupBy("a").agg((F.max("level") + 1).alias("l"))
-        nxt = cut(level.join(higher, F.col("scc") == F.col("a"), "left").select("scc", F.greatest("level", F.coalesce("l", "level")).alias("level"), (F.col("l") > F.col("level")).alias("changed")))
-        level = nxt.select("scc", "level")
-        if not nxt.where("changed").limit(1).count():
+        raised = F.col("l") > F.col("level")
+        seen = Observation()
+        nxt = level.join(higher, F.col("scc") == F.col("a"), "left").select("scc", F.greatest("level", F.coalesce("l", "level")).alias("level"), raised.alias("raised"))
+        level = cut(nxt.observe(seen, F.count_if("raised").alias("raised"))).select("scc", "level")
+        if not seen.get.get("raised"):
             return level
 
 
 def has_cycle(edges: DataFrame) -> DataFrame:
-    """One row: whether a node reaches itself.  Nodes without a way in or out are trimmed until none is left or all stay."""
-    e = cut(edges.select("src", "dst").distinct())
-    size = e.count()
-    while True:
-        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        now = e.count()
-        if now in (0, size):
-            return e.agg((F.count("*") > 0).alias("has_cycle"))
-        size = now
+    """One row: whether a node reaches itself."""
+    loops = edges.where("src = dst").select("src", "dst")
+    rest, _ = trim(edges.where("src <> dst"))
+    return rest.union(loops).agg((F.count("*") > 0).alias("has_cycle"))
 
 
 def guard_propagates(flow: DataFrame, source, target, strict: bool = True) -> DataFrame:

@@ -125,16 +125,7 @@ def part_edges(spark: SparkSession, sf_dir: str, most: int = 200) -> DataFrame:
     return load(spark, sf_dir, "part").select(k.alias("src"), (k - k % most + (k * 3 + F.col("p_size")) % most).alias("dst"))
 
 
-def first_module(spark: SparkSession, sf_dir: str, most: int = 200) -> DataFrame:
-    """(src, dst): the edges of the first module alone, which is all that EDGES holds."""
-    return part_edges(spark, sf_dir, most).where(F.col("src") < most)
-
-
-#: All modules, as part_edges.
-ALL_EDGES = "edges AS (SELECT p_partkey AS src, p_partkey - p_partkey % 200 + (p_partkey * 3 + p_size) % 200 AS dst FROM part)"
-
-#: The first module only; queries whose result depends on the others have a form over ALL_EDGES.
-EDGES = "edges AS (SELECT p_partkey AS src, (p_partkey * 3 + p_size) % 200 AS dst FROM part WHERE p_partkey < 200)"
+EDGES = "edges AS (SELECT p_partkey AS src, p_partkey - p_partkey % 200 + (p_partkey * 3 + p_size) % 200 AS dst FROM part)"
 
 
 def file_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

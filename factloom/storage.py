@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _own: list[str] = []
@@ -46,6 +47,13 @@ def cut(df: DataFrame, what: str = "round") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_count(df: DataFrame, what: str = "round") -> tuple[DataFrame, int]:
+    """cut() and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")), what)
+    return out, int(seen.get.get("rows") or 0)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
