@@ -5,20 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.scoring import context_multiplier, unintentional
+
 # Patterns of paths (looked for in the whole path, except those of names), and the confidence of each signal.
-TEST_NAME = r"(?i)(test_.*\.py$|.*_test\.py$|.*_tests\.py$|conftest\.py$)"
-TEST_FOLDER = r"(?i).*/tests?/.*\.py$"
-EXAMPLE = r"(?i)(.*/examples?/.*\.py$|.*/samples?/.*\.py$|.*/demo/.*\.py$|example_.*\.py$)"
-CONFIG = r"(?i)(.*config.*\.py$|.*settings.*\.py$|.*conf\.py$)"
-MIGRATION = r"(?i).*/migrations?/.*\.py$"
-GUARD = r"""\bor\s+\d+|\bor\s+\[\]|\bor\s+\{\}|\bor\s+""|\bor\s+None\b|if\s+\w+\s+else\s+|if\s+\w+\s+is\s+not\s+None|if\s+\w+\s+is\s+None.*return|if\s+not\s+\w+.*return"""
-RAISED = r"raise\s+(ValueError|TypeError|KeyError|AttributeError|RuntimeError|NotImplementedError)"
+TEST_NAMES = (
+    r"test_.*\.py$",
+    r".*_test\.py$",
+    r".*_tests\.py$",
+    r"conftest\.py$",
+)
+TEST_FOLDER = (r".*/tests?/.*\.py$",)
+EXAMPLES = (
+    r".*/examples?/.*\.py$",
+    r".*/samples?/.*\.py$",
+    r".*/demo/.*\.py$",
+    r"example_.*\.py$",
+)
+CONFIGS = (
+    r".*config.*\.py$",
+    r".*settings.*\.py$",
+    r".*conf\.py$",
+)
+MIGRATIONS = (r".*/migrations?/.*\.py$",)
+GUARDS = (
+    r"\bor\s+\d+",
+    r"\bor\s+\[\]",
+    r"\bor\s+\{\}",
+    r'\bor\s+""',
+    r"\bor\s+None\b",
+    r"if\s+\w+\s+else\s+",
+    r"if\s+\w+\s+is\s+not\s+None",
+    r"if\s+\w+\s+is\s+None.*return",
+    r"if\s+not\s+\w+.*return",
+)
+RAISED = (
+    r"raise\s+ValueError",
+    r"raise\s+TypeError",
+    r"raise\s+KeyError",
+    r"raise\s+AttributeError",
+    r"raise\s+RuntimeError",
+    r"raise\s+NotImplementedError",
+)
 CONFIDENCE = {"test": 0.95, "example": 0.7, "config": 0.6, "migration": 0.8, "self": 0.99, "method": 0.9}
 CLI_SOURCES = ("sys.argv", "argparse", "ArgumentParser", "parse_args", "click.option", "click.argument", "click.command", "typer.Option", "typer.Argument")
 ENV_SOURCES = ("os.environ", "os.getenv", "environ.get", "environ[")
+# The kinds of sources that a description in small letters names, tried in order after the two above.
+OTHER_SOURCES = {
+    "HTTP": ("request.", "http_", "flask.request", "django.request", ".get(", ".post(", "query_params", "form_data"),
+    "FILE": ("file_content", "open("),
+    "USER_INPUT": ("input(", "stdin"),
+}
 SAFE_LOADERS = ("yaml.safe_load", "yaml.safe_load_all", "yaml.SafeLoader", "strictyaml.load", "strictyaml.as_document")
-MITIGATIONS = "sanitize validate filter escape quote clean normalize safe_ secure_ verify check_ is_valid is_safe allowlist whitelist parse_field".split()
-TEST_FOLDERS = "tests test testing spec specs".split()
+MITIGATIONS = (
+    "sanitize",
+    "validate",
+    "filter",
+    "escape",
+    "quote",
+    "clean",
+    "normalize",
+    "safe_",
+    "secure_",
+    "verify",
+    "check_",
+    "is_valid",
+    "is_safe",
+    "allowlist",
+    "whitelist",
+    "parse_field",
+)
+TEST_FOLDERS = ("tests", "test", "testing", "spec", "specs")
+
+
+def either(patterns: tuple[str, ...]) -> str:
+    """One expression for any of the patterns, in any case."""
+    return "(?i)" + "|".join(patterns)
 
 
 def base_name(path: Column) -> Column:
@@ -42,10 +103,10 @@ def signals(path: Column, bug_type: Column, variable: Column, function: Column)
     none = bug_type == "NULL_PTR"
     return F.array_compact(
         F.array(
-            _named("test", base_name(path).rlike(TEST_NAME) | path.rlike(TEST_FOLDER)),
-            _named("example", path.rlike(EXAMPLE)),
-            _named("config", path.rlike(CONFIG)),
-            _named("migration", path.rlike(MIGRATION)),
+            _named("test", base_name(path).rlike(either(TEST_NAMES)) | path.rlike(either(TEST_FOLDER))),
+            _named("example", path.rlike(either(EXAMPLES))),
+            _named("config", path.rlike(either(CONFIGS))),
+            _named("migration", path.rlike(either(MIGRATIONS))),
             _named("self", none & base.isin("self", "cls") & ~variable.contains(".")),
             _named("method", none & (variable == "param_0") & (function.startswith("__") | function.contains("."))),
         )
@@ -54,11 +115,11 @@ def signals(path: Column, bug_type: Column, variable: Column, function: Column)
 
 def is_guarded_text(code: Column) -> Column:
     """Code with a default, a conditional value, or a check for None."""
-    return code.rlike(GUARD)
+    return code.rlike("|".join(GUARDS))
 
 
 def raises_on_purpose(code: Column) -> Column:
-    return code.rlike(RAISED)
+    return code.rlike("|".join(RAISED))
 
 
 def contexts(path: Column, sources: Column, chain: Column, sink: Column) -> Column:
@@ -81,3 +142,21 @@ def _any(c: Column, parts) -> Column:
     for p in parts:
         out = out | c.contains(p)
     return out
+
+
+def suppressed(path: Column, sources: Column, chain: Column, sink: Column, threshold: float = 0.40) -> Column:
+    """A finding that its context makes likely to be false: full confidence times the context's factor is below the threshold."""
+    return context_multiplier(contexts(path, sources, chain, sink)) < threshold
+
+
+def judged(path: Column, bug_type: Column, variable: Column, function: Column, confidence: Column, least: float) -> Column:
+    """struct(keep, adjusted, kinds): a finding's confidence times the chance that no signal of intent holds, and whether that is enough."""
+    found = signals(path, bug_type, variable, function)
+    adjusted = confidence * unintentional(F.transform(found, lambda s: s["confidence"]))
+    return F.struct((adjusted >= least).alias("keep"), adjusted.alias("adjusted"), F.transform(found, lambda s: s["kind"]).alias("kinds"))
+
+
+def source_type(description: Column) -> Column:
+    """The kind of source that a description names: CLI, ENV, HTTP, FILE, USER_INPUT or null."""
+    kinds = {"CLI": CLI_SOURCES, "ENV": ENV_SOURCES, **OTHER_SOURCES}
+    return F.coalesce(*(F.when(_any(F.lower(description), [p.lower() for p in parts]), kind) for kind, parts in kinds.items()))

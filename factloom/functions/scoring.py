@@ -127,10 +127,3 @@ def is_test_file(path: Column) -> Column:
     from factloom.functions.intent import is_test_path
 
     return is_test_path(path)
-
-
-def source_type(description: Column) -> Column:
-    """The kind of source that a description names."""
-    low = F.lower(description)
-    kinds = (("http", "HTTP_PARAM"), ("request", "HTTP_PARAM"), ("cookie", "COOKIE"), ("header", "HEADER"), ("environ", "ENVIRONMENT"), ("argv", "ARGV"), ("file", "FILE_CONTENT"), ("input", "USER_INPUT"), ("socket", "NETWORK_RECV"))
-    return F.coalesce(*(F.when(low.contains(k), v) for k, v in kinds))

@@ -93,6 +93,35 @@ def apply_summary(args: DataFrame, flows: DataFrame) -> DataFrame:
     return args.select("call").distinct().join(joined, "call", "left").select("call", zero("tau", 0), zero("kappa", KAPPA_ALL), zero("sigma", 0))
 
 
+def results_of_calls(args: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(call, tau, kappa, sigma): result labels of calls by the whole summary of what they call.
+
+    args(call, func, pos, tau, kappa, sigma): a call without arguments has one row whose pos is null.  summaries(func, n_params,
+    to_return array of positions, sensitive array of positions, sanitizes mask of sinks or null, clears, introduces source type
+    or null).  Arguments beyond n_params share the place after the last parameter.  The flowing ones join; a parameter known to be
+    sensitive adds the bit of passwords; a sanitizer adds its sinks and may clear sigma.  A summary's own taint counts for calls
+    without arguments alone, which are clean otherwise.  Calls of functions without a summary are clean.
+    """
+    c = F.col
+    rows = args.join(summaries, "func", "left").withColumn("place", F.least("pos", "n_params"))
+    flows = c("pos").isNotNull() & F.coalesce(F.array_contains("to_return", c("place")), F.lit(False))
+    password = F.when(F.coalesce(F.array_contains("sensitive", c("place")), F.lit(False)), F.lit(1 << SOURCES.index("PASSWORD"))).otherwise(0).cast("long")
+    only = lambda x: F.when(flows, x)
+    clean = lambda x, value: F.coalesce(x, F.lit(value).cast("long"))
+    joined = rows.groupBy("call").agg(
+        clean(F.bit_or(only(c("tau"))), 0).alias("tau"), clean(F.bit_and(only(c("kappa"))), KAPPA_ALL).alias("kappa"), clean(F.bit_or(only(c("sigma").bitwiseOR(password))), 0).alias("sigma"),
+        F.max("sanitizes").alias("sanitizes"), F.coalesce(F.some("clears"), F.lit(False)).alias("clears"), F.max("introduces").alias("introduces"), (F.count("pos") == 0).alias("bare"),
+    )
+    source, cleaned = c("bare") & c("introduces").isNotNull(), ~c("bare") & c("sanitizes").isNotNull()
+    zero = F.lit(0).cast("long")
+    return joined.select(
+        "call",
+        F.when(source, F.expr("shiftleft(1L, introduces)")).otherwise(c("tau")).alias("tau"),
+        F.when(source, zero).when(cleaned, c("kappa").bitwiseOR(c("sanitizes"))).otherwise(c("kappa")).alias("kappa"),
+        F.when(cleaned & c("clears"), zero).otherwise(c("sigma")).alias("sigma"),
+    )
+
+
 def merge_states(states: DataFrame, *keys: str) -> DataFrame:
     """Join of the two-flag model: flags or, labels unite, sanitizers intersect.  states(seq, untrusted, sensitive, labels, sanitizers)."""
     common = F.aggregate(F.collect_list("sanitizers"), F.min("sanitizers"), lambda a, x: F.array_intersect(a, x))

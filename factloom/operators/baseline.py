@@ -37,6 +37,14 @@ def prune(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return baseline.join(current.select(fingerprint().alias("fp")).distinct(), "fp", "left_semi")
 
 
+def ratchet(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """One row: new results, fixed and kept fingerprints, and whether the scan passes, which it does without new results."""
+    now = current.select(fingerprint().alias("fp")).distinct().withColumn("now", F.lit(True))
+    then = baseline.select("fp").distinct().withColumn("then", F.lit(True))
+    n, t = F.col("now").isNotNull(), F.col("then").isNotNull()
+    return now.join(then, "fp", "full_outer").agg(F.count_if(n & ~t).alias("new"), F.count_if(~n & t).alias("fixed"), F.count_if(n & t).alias("kept"), (F.count_if(n & ~t) == 0).alias("passes"))
+
+
 def set_compare(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """One row: keys of both scans, of the new alone, of the old alone; null keys equal each other."""
     a = new.select(*keys).distinct().withColumn("in_new", F.lit(True)).alias("a")

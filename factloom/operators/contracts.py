@@ -132,3 +132,26 @@ def contract_or_havoc(names: DataFrame, contracts: DataFrame) -> DataFrame:
     return exact.join(F.broadcast(contracts.select(F.col("key").alias("w"))), F.col("wild") == F.col("w"), "left").select("name", F.coalesce("e", "w", F.lit("<havoc>")).alias("key"))
 
 
+
+
+def by_cases(calls: DataFrame, cases: DataFrame) -> DataFrame:
+    """calls(call, name, value) with the result of their function's ordered cases: (call, name, value, ordinal, result).
+
+    cases(name, ordinal, low, high, add, times): the first case whose bounds hold the value gives value * times + add; an
+    open side is null.  Every summary needs a fallback, a case without bounds; a call whose name has no case, or
+    that none of its cases takes, has no result.
+    """
+    rows = calls.join(cases, "name")
+    inside = (F.coalesce(F.col("value") >= F.col("low"), F.col("low").isNull())) & F.coalesce(F.col("value") <= F.col("high"), F.col("high").isNull())
+    first = rows.where(inside).groupBy("call", "name", "value").agg(F.min_by(F.struct("ordinal", "add", "times"), "ordinal").alias("c"))
+    taken = first.select("call", "name", "value", F.col("c.ordinal").alias("ordinal"), (F.col("value") * F.col("c.times") + F.col("c.add")).alias("result"))
+    return calls.select("call", "name", "value").join(taken, ["call", "name", "value"], "left")
+
+
+def register_cases(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Cases with those of `more`, which replace all cases of the names they give; names without a fallback raise when they are read."""
+    kept = known.join(more.select("name").distinct(), "name", "left_anti").unionByName(more)
+    open_ = F.col("low").isNull() & F.col("high").isNull()
+    whole = kept.groupBy("name").agg(F.some(open_).alias("ok"))
+    checked = F.when(F.col("ok"), F.col("name")).otherwise(F.raise_error(F.concat(F.lit("no fallback case: "), F.col("name"))))
+    return kept.join(whole, "name").withColumn("name", checked).drop("ok")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["file", "line", "bug_type"]
@@ -102,6 +102,47 @@ def resolve_self_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return wanted.join(functions.select(F.col("qname").alias("target")).distinct(), F.col("wanted") == F.col("target"), "left").select("src", "name", "target")
 
 
-def greedy_rank(pairs: DataFrame, left: list[str], order: list[str]) -> DataFrame:
-    """The first right row of each left key in a given order."""
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy(*left).orderBy(*order))).where("n = 1").drop("n")
+def callers_of(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, src): functions that call something of a simple name.  calls(src, name), names(name)."""
+    simple = calls.select("src", F.element_at(F.split("name", r"\."), -1).alias("name")).distinct()
+    return simple.join(names.select("name").distinct(), "name").select("name", "src")
+
+
+def definitions_of(functions: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, qname): all definitions of a simple name."""
+    simple = functions.select("qname", F.element_at(F.split("qname", r"\."), -1).alias("name")).distinct()
+    return simple.join(names.select("name").distinct(), "name").select("name", "qname")
+
+
+def locate(names: DataFrame, functions: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, file, line): where a qualified function is.
+
+    Its own fact in functions(qname, file, line), else line 1 of the file with the longest of its dotted prefixes in
+    files(file), else line 1 of its parent module's path, whether or not there is such a file.
+    """
+    asked = names.select("name").distinct().withColumn("parts", F.split("name", r"\."))
+    path = lambda n: F.concat(F.array_join(F.slice("parts", 1, n), "/"), F.lit(".py"))
+    own = functions.groupBy(F.col("qname").alias("name")).agg(F.min(F.struct("file", "line")).alias("own"))
+    tried = asked.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.struct(n.alias("depth"), path(n).alias("file")))).alias("t")).select("name", "t.*")
+    there = tried.join(files.select("file").distinct(), "file", "left_semi").groupBy("name").agg(F.max_by("file", "depth").alias("module"))
+    parent = path(F.greatest(F.size("parts") - 1, F.lit(1)))
+    found = asked.join(own, "name", "left").join(there, "name", "left")
+    return found.select("name", F.coalesce("own.file", "module", parent).alias("file"), F.coalesce("own.line", F.lit(1)).cast("int").alias("line"))
+
+
+def against_truth(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: confusion counts of results(file, found) against truth(file, is_bug); files of one side alone are left out."""
+    both = results.join(truth, "file")
+    f, b = F.col("found"), F.col("is_bug")
+    return both.agg(F.count_if(f & b).alias("tp"), F.count_if(f & ~b).alias("fp"), F.count_if(~f & b).alias("fn"), F.count_if(~f & ~b).alias("tn"))
+
+
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(was, now, n): how the classes of old(bug_id, cls) changed in new; a bug that new lacks is MISSING, bugs of new alone are left out."""
+    both = old.select("bug_id", F.col("cls").alias("was")).join(new.select("bug_id", F.col("cls").alias("now")), "bug_id", "left")
+    return both.groupBy("was", F.coalesce("now", F.lit("MISSING")).alias("now")).agg(F.count("*").alias("n"))
+
+
+def by_place(findings: DataFrame) -> DataFrame:
+    """(file, line, bug_types): the distinct types at each place, in order."""
+    return findings.groupBy("file", "line").agg(F.array_sort(F.collect_set("bug_type")).alias("bug_types"))

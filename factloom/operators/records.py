@@ -5,6 +5,9 @@ Where order matters, an explicit column says so (seq).  Empty groups give null,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,21 +61,29 @@ def merge_records(df: DataFrame) -> DataFrame:
 RANGES = 256
 
 
+#: Parts that the rows of one frequent value of the order column are dealt into.
+TIES = 64
+
+
 def _numbered(df: DataFrame, order: str, by: list[str]) -> DataFrame:
     """Rows with their place _n from 0, within groups or over the whole table.
 
     A whole table is cut into ranges of its numeric order column, numbered inside each, and shifted by the rows of the ranges
-    before; no task sees all rows.
+    before; no task sees all rows.  A value that fills a range begins it, and its rows, whose order among
+    themselves is free, are dealt into TIES parts of that range.
     """
     if by:
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
-    bounds = sorted(set(df.stat.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
+    cuts = df.stat.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)
+    bounds, heavy = sorted(set(cuts)), sorted({x for x in cuts if cuts.count(x) > 2})
     where = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
-    ranged = df.withColumn("_range", F.size(F.filter(where, lambda x: x <= F.col(order))))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
-    before = sizes.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("_n", F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+    tie = F.when(F.col(order).isin(*heavy), F.pmod(F.xxhash64(*df.columns), F.lit(TIES))).otherwise(TIES) if heavy else F.lit(TIES)
+    ranged = df.withColumn("_range", F.size(F.filter(where, lambda x: x <= F.col(order)))).withColumn("_tie", tie.cast("int"))
+    sizes = ranged.groupBy("_range", "_tie").agg(F.count("*").alias("_rows"))
+    upto = Window.orderBy("_range", "_tie").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES x TIES rows
+    before = sizes.select("_range", "_tie", F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range", "_tie").orderBy(order)) - 1
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), ["_range", "_tie"]).withColumn("_n", F.col("_inside") + F.col("_before")).drop("_range", "_tie", "_inside", "_before")
 
 
 def _total(df: DataFrame, by: list[str]) -> Column:
@@ -120,7 +131,7 @@ def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
 def gather(df: DataFrame, indices: list[int], order: str = "seq") -> DataFrame:
     """Rows at given places, repeats kept."""
     wanted = df.sparkSession.createDataFrame(list(enumerate(indices)), "pos int, _n int")
-    return _numbered(df, order, []).join(F.broadcast(wanted), "_n").drop("_n")
+    return _numbered(df, order, []).join(wanted, "_n").drop("_n")
 
 
 def trapezoid(points: DataFrame, by: list[str], x: str = "fpr", y: str = "tpr", order: str = "idx") -> DataFrame:
@@ -146,45 +157,80 @@ def coupon_total(cart: DataFrame, coupons: DataFrame) -> DataFrame:
 
 
 def collisions(players: DataFrame) -> DataFrame:
-    """(a, b): players at one place."""
-    p, q = players.alias("p"), players.alias("q")
-    return p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    """(a, b): every player that shares a place with others, beside the first of that place.
+
+    A place of n players gives n - 1 rows, from which all their pairs follow: two players collide if they are named with the
+    same first one.
+    """
+    first = players.groupBy("x", "y").agg(F.min("id").alias("a"))
+    return players.join(first, ["x", "y"]).where("id > a").select("a", F.col("id").alias("b"))
+
+
+@dataclass(frozen=True)
+class Selection:
+    """What to take from a table: some columns (all if none are named), rows that pass every test, an order, a number of rows.
+
+    Tests and order are SQL expressions or columns.  A number of 0 or less stands for no limit.  The plan is Spark's own:
+    of() says what is wanted, and filters and columns reach the scan.
+    """
+
+    columns: tuple[str | Column, ...] = ()
+    tests: tuple[str | Column, ...] = ()
+    order: tuple[str | Column, ...] = ()
+    rows: int = 0
+
+    def of(self, table: DataFrame) -> DataFrame:
+        kept = reduce(DataFrame.where, self.tests, table)
+        kept = kept.orderBy(*self.order) if self.order else kept
+        kept = kept.select(*self.columns) if self.columns else kept
+        return kept.limit(self.rows) if self.rows > 0 else kept
+
+
+def equal_to(df: DataFrame, column: str, value) -> DataFrame:
+    """Rows whose column has a value, such as a category or a status; null is a value of its own."""
+    return df.where(F.col(column).eqNullSafe(F.lit(value)))
+
+
+def holding(df: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose text holds a part, whatever the case; no character of it is a wildcard.  A null text holds nothing."""
+    return df.where(F.contains(F.lower(column), F.lit(part.lower())))
+
+
+def flagged(df: DataFrame, flag: str, *columns: str) -> DataFrame:
+    """Rows whose flag is true, with some of their columns (all if none are named)."""
+    kept = df.where(F.col(flag))
+    return kept.select(*columns) if columns else kept
+
+
+def element(values: Column, index: int) -> Column:
+    """The index-th element from 0 of an array, or null."""
+    return F.get(values, F.lit(index))
+
 
+def normalized(values: Column, most: Column) -> Column:
+    """Every element of an array over the greatest value; null where that is 0."""
+    return F.transform(values, lambda x: F.try_divide(x, most))
 
-class QueryBuilder:
-    """A SELECT text from parts; a limit of 0 is left out, as it counts as unset."""
 
-    def __init__(self, table: str):
-        self.table, self.fields, self.tests, self.by, self.most = table, ["*"], [], None, None
+def tax(subtotal: Column, rate: Column) -> Column:
+    return subtotal * rate
 
-    def select(self, *fields: str) -> QueryBuilder:
-        self.fields = list(fields) or ["*"]
-        return self
 
-    def where(self, test: str) -> QueryBuilder:
-        self.tests.append(test)
-        return self
+def lookup(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows that a table of keys asks for; keys without a row are left out."""
+    return df.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
 
-    def order(self, column: str, direction: str = "ASC") -> QueryBuilder:
-        self.by = (column, direction)
-        return self
 
-    def limit(self, n: int) -> QueryBuilder:
-        self.most = n
-        return self
+def first_dependency(tasks: DataFrame) -> DataFrame:
+    """tasks(task, deps array) -> (task, needs, found): the first dependency and whether it is a task; null if there is none."""
+    known = tasks.select(F.col("task").alias("needs"), F.lit(True).alias("found")).distinct()
+    return tasks.select("task", F.get("deps", F.lit(0)).alias("needs")).join(known, "needs", "left").select("task", "needs", F.coalesce("found", F.lit(False)).alias("found"))
 
-    def build(self) -> str:
-        parts = [f"SELECT {', '.join(self.fields)} FROM {self.table}"]
-        if self.tests:
-            parts.append("WHERE " + " AND ".join(self.tests))
-        if self.by:
-            parts.append("ORDER BY {} {}".format(*self.by))
-        if self.most:
-            parts.append(f"LIMIT {self.most}")
-        return " ".join(parts)
 
-    def run(self, spark) -> DataFrame:
-        return spark.sql(self.build())
+def first_failure(results: DataFrame, *by: str) -> DataFrame:
+    """The first row, by seq, of each group whose success is false; groups without one have no row."""
+    failed = results.where(~F.col("success"))
+    return failed.groupBy(*by).agg(F.min_by(F.struct(*(c for c in results.columns if c not in by)), "seq").alias("r")).select(*by, "r.*")
 
 
 def where_part(clause: Column, index: int) -> Column:

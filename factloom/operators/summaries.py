@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import Seen, cut
+from factloom.operators.graph import reachable, recursive_nodes, spread, strong_components
+from factloom.storage import cut
 
 RESULT = -1
 
@@ -20,18 +21,45 @@ def flows(direct: DataFrame, passes: DataFrame, returns: DataFrame) -> DataFrame
     keys = ["func", "param", "target"]
     given = cut(passes.select("func", "param", "callee", "arg").distinct())
     back = cut(returns.select("func", "callee").distinct())
-    frontier = cut(direct.select(*keys).distinct())
-    seen = Seen(frontier)
-    while frontier.limit(1).count():
-        f = frontier.select(F.col("func").alias("callee"), F.col("param").alias("arg"), "target")
+
+    def callers(found: DataFrame) -> DataFrame:
+        f = found.select(F.col("func").alias("callee"), F.col("param").alias("arg"), "target")
         sinks = given.join(f.where(F.col("target") != RESULT), ["callee", "arg"]).select(*keys)
         results = given.join(f.where(F.col("target") == RESULT), ["callee", "arg"]).join(back, ["func", "callee"], "left_semi").select(*keys)
-        frontier = cut(sinks.union(results).distinct().join(seen.all(), keys, "left_anti"))
-        seen.add(frontier)
-    return seen.all()
+        return sinks.union(results)
+
+    return spread(direct.select(*keys), callers)
 
 
 def security_bugs(reachable: DataFrame, calls: DataFrame, summary: DataFrame) -> DataFrame:
     """(call, func, target): reachable calls whose tainted argument flows to a sink.  calls(call, caller, func, arg, tainted)."""
     live = calls.where("tainted").join(reachable.select(F.col("node").alias("caller")), "caller", "left_semi")
     return live.join(summary.where(F.col("target") != RESULT), (live["func"] == summary["func"]) & (live["arg"] == summary["param"])).select("call", live["func"], "target").distinct()
+
+
+def in_contexts(calls: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """(func, context, label): labels that calls carry, each kept apart by the last k call sites it came through.
+
+    calls(site, caller, callee), seeds(func, label) start in the empty context.  With k 0 all contexts are one.  Contexts are
+    finite in number, so recursion ends.
+    """
+    none = F.array().cast("array<string>")
+    edge = cut(calls.select(F.col("site").cast("string").alias("site"), "caller", "callee").distinct())
+    longer = F.slice(F.array_append("context", F.col("site")), F.greatest(F.size("context") + 2 - k, F.lit(1)), F.lit(k)) if k else none
+    step = lambda f: f.join(edge, F.col("func") == F.col("caller")).select(F.col("callee").alias("func"), longer.alias("context"), "label")
+    return spread(seeds.select("func", none.alias("context"), "label"), step)
+
+
+def project(calls: DataFrame, entries: DataFrame, direct: DataFrame, passes: DataFrame, returns: DataFrame, functions: DataFrame) -> DataFrame:
+    """(func, is_entry, is_reachable, is_recursive, n_flows): what an analysis of a whole project knows of each function before it looks for bugs.
+
+    calls(src, dst), entries(node), functions(func); the rest as in flows().
+    """
+    live = reachable(calls, entries.select("node"), functions.select(F.col("func").alias("node"))).withColumnRenamed("node", "func")
+    again = recursive_nodes(calls, strong_components(calls, functions.select(F.col("func").alias("node")))).withColumnRenamed("node", "func")
+    per = flows(direct, passes, returns).groupBy("func").agg(F.count("*").alias("n_flows"))
+    flag = lambda df, name: df.select("func").distinct().withColumn(name, F.lit(True))
+    out = functions.select("func").distinct()
+    for df, name in ((entries.withColumnRenamed("node", "func"), "is_entry"), (live, "is_reachable"), (again, "is_recursive")):
+        out = out.join(flag(df, name), "func", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.join(per, "func", "left").withColumn("n_flows", F.coalesce("n_flows", F.lit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import intervals as iv
 from factloom.functions import pynum, scoring, sets, taint
-from factloom.operators import baseline, concurrency, dataflow, findings, graph, history, invariants, matching, metrics, records
+from factloom.operators import baseline, concurrency, contracts, dataflow, findings, graph, history, invariants, matching, metrics, records
 
 FIND = "seq long, bug_type string, crash_location string, crash_function string, confidence double, call_chain array<string>, tainted_sources array<string>"
 
@@ -359,14 +359,30 @@ def test_chunks_and_slices(spark):
     assert [r.seq for r in records.gather(df, [2, 2, 0, 99]).orderBy("pos").collect()] == [2, 2, 0]
 
 
-def test_query_text(spark):
-    b = records.QueryBuilder("t").select("a", "b").where("a > 1").where("b < 2").order("a", "DESC")
-    assert b.build() == "SELECT a, b FROM t WHERE a > 1 AND b < 2 ORDER BY a DESC"
-    assert b.limit(0).build() == b.build() and b.limit(5).build().endswith("LIMIT 5")
+def test_selections(spark):
+    df = spark.createDataFrame([(i, i % 3, f"n{i}") for i in range(10)], "a int, b int, c string")
+    some = records.Selection(columns=("a", "c"), tests=("a > 1", F.col("b") < 2), order=(F.desc("a"),), rows=2)
+    assert [tuple(r) for r in some.of(df).collect()] == [(9, "n9"), (7, "n7")]
+    assert records.Selection().of(df).collect() == df.collect()
+    assert records.Selection(rows=0).of(df).count() == 10 and records.Selection(rows=3).of(df).count() == 3
     r = one(spark, a=records.where_part(F.lit("x AND y AND z"), -1), b=records.where_part(F.lit("x AND y"), 1), c=records.where_part(F.lit("x"), 4))
     assert (r.a, r.b, r.c) == ("z", "y", None)
 
 
+def test_shuffles_repeat_and_keep_all(spark):
+    df = spark.createDataFrame([(i,) for i in range(200)], "k int")
+    first = [r.k for r in records.shuffled(df, 3, "k").collect()]
+    assert first == [r.k for r in records.shuffled(df.repartition(5), 3, "k").collect()] and sorted(first) == list(range(200)) and first != sorted(first)
+    assert first != [r.k for r in records.shuffled(df, 4, "k").collect()]
+
+
+def test_places_with_a_frequent_value(spark):
+    """A value that most rows have is numbered in parts, and places stay in order."""
+    df = spark.createDataFrame([(min(i, 50), i) for i in range(3000)], "seq int, i int")
+    got = records._numbered(df, "seq", []).collect()
+    assert sorted(r._n for r in got) == list(range(3000)) and [r.seq for r in sorted(got, key=lambda r: r._n)] == [min(i, 50) for i in range(3000)]
+
+
 def test_valid_and_tidy(spark):
     df = spark.createDataFrame([(" A ", 1), (None, 2)], "name string, n int")
     assert rows(records.process_batch(df, {"name": "string", "n": "int"}, [records.tidy])) == [("a", 1)]
@@ -429,3 +445,75 @@ def test_intent_and_contexts(spark):
     c = one(spark, c=intent.contexts(F.lit("tests/a.py"), F.array(F.lit("sys.argv[1]")), F.array(F.lit("sanitize_path")), F.lit("yaml.safe_load"))).c
     assert c == ["TEST_FILE", "CLI_TOOL", "SAFE_LOADER", "DEFENSE_IN_DEPTH"]
     assert one(spark, g=intent.is_guarded_text(F.lit("x = y or 1"))).g and not one(spark, g=intent.is_guarded_text(F.lit("x = y"))).g
+
+
+# sources of false positives, scopes, cases, conjunctions
+
+
+def test_conjunctions_with_implications(spark):
+    """The largest set against all subsets, on predicates of small numbers."""
+    from itertools import combinations
+
+    preds = {"even": lambda x: x % 2 == 0, "small": lambda x: x < 6, "not3": lambda x: x != 3, "pos": lambda x: x > 0, "not8": lambda x: x != 8}
+    positive, negative, implied = [2, 4], [3], [(4, 8), (2, 5)]
+    samples = [(x, "positive") for x in positive] + [(x, "negative") for x in negative] + [(x, "state") for x in (8, 5)]
+    rows_ = [(n, x, k, f(x)) for n, f in preds.items() for x, k in samples]
+    got = dataflow.ice_conjunction(spark.createDataFrame(rows_, "pred string, sample int, kind string, holds boolean"), spark.createDataFrame(implied, "pre int, post int")).collect()
+    holds = lambda c, x: all(preds[n](x) for n in c)
+    fits = [set(c) for n in range(len(preds) + 1) for c in combinations(preds, n) if all(holds(c, x) for x in positive) and all(holds(c, b) or not holds(c, a) for a, b in implied)]
+    assert {r.pred for r in got} == max(fits, key=len) and {r.consistent for r in got} == {True}
+
+
+def test_cases_need_a_fallback(spark):
+    types = "name string, ordinal int, low double, high double, add double, times double"
+    known = spark.createDataFrame([("f", 0, None, None, 1.0, 1.0)], types)
+    open_ = spark.createDataFrame([("g", 0, 0.0, None, 1.0, 1.0)], types)
+    with pytest.raises(Exception, match="no fallback case: g"):
+        contracts.register_cases(known, open_).collect()
+
+
+def test_tiers_and_saved_scans(spark, tmp_path):
+    from factloom.operators import scans
+
+    repos = spark.createDataFrame([("a", 1), ("b", 2)], "repo string, tier int")
+    assert rows(scans.of_tier(repos, 2)) == [("b", 2)]
+    with pytest.raises(ValueError, match="no tier 4"):
+        scans.of_tier(repos, 4)
+    found = scans.by_repo(spark.createDataFrame([("a", "x", "BUG"), ("a", "y", "SAFE"), ("b", "z", "ERROR")], "repo string, path string, verdict string"))
+    scans.save(found, str(tmp_path / "scans"))
+    assert sorted(r.repo for r in spark.read.json(str(tmp_path / "scans")).collect()) == ["a", "b"]
+
+
+def test_kinds_of_sources(spark):
+    from factloom.functions import intent
+
+    said = {"sys.argv[1]": "CLI", "ArgumentParser()": "CLI", "os.getenv('x')": "ENV", "d.get('x')": "HTTP", "open(p)": "FILE", "stdin": "USER_INPUT", "elsewhere": None}
+    for text, kind in said.items():
+        assert one(spark, k=intent.source_type(F.lit(text))).k == kind, text
+
+
+def test_components_against_reach(spark):
+    """Random graphs with chains, loops and separate parts."""
+    import random
+
+    rng = random.Random(9)
+    edges = {(rng.randrange(60), rng.randrange(60)) for _ in range(75)} | {(i, i + 1) for i in range(100, 140)} | {(140, 120)}
+    e = spark.createDataFrame(sorted(edges), "src int, dst int")
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    nodes = {x for p in edges for x in p}
+
+    def far(n):
+        seen, todo = set(), [n]
+        while todo:
+            for d in out.get(todo.pop(), ()):
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        return seen
+
+    reach = {n: far(n) for n in nodes}
+    want = {n: min([n, *(m for m in reach[n] if n in reach[m])]) for n in nodes}
+    got = dict(map(tuple, graph.strong_components(e, e.select(F.col("src").alias("node")).union(e.select("dst"))).collect()))
+    assert got == want
