@@ -1,11 +1,15 @@
 """Python source text to fact tables, by the standard library's parser, one pass over (path, text) rows.
 
-A text that does not parse gives one row of kind error; the rest of the scan goes on.
+A text that does not parse, or is nested too deep for the parser, gives one row of kind error; the rest of the scan goes on.  With
+repair, code that was cut out of its place is parsed after dedenting it, giving open blocks a body, or wrapping it in a function.
 """
 
 from __future__ import annotations
 
 import ast
+import re
+import textwrap
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +34,57 @@ def _dotted(node: ast.AST) -> str | None:
     return ".".join([node.id, *reversed(names)]) if isinstance(node, ast.Name) else None
 
 
-def facts_of(path: str, text: str) -> list[tuple]:
-    """Rows of FACTS: functions, calls, imports, entry points, guards."""
+#: The function that repaired code is put into.
+SNIPPET = "_snippet_"
+
+
+def _with_bodies(text: str) -> str:
+    """text with `pass` after every line that opens a block and has no deeper line behind it."""
+    lines, out = text.split("\n"), []
+    for i, line in enumerate(lines):
+        out.append(line)
+        if line.rstrip().endswith(":") and not line.lstrip().startswith("#"):
+            depth = len(line) - len(line.lstrip())
+            following = next((x for x in lines[i + 1 :] if x.strip()), "")
+            if len(following) - len(following.lstrip()) <= depth:
+                out.append(" " * (depth + 4) + "pass")
+    return "\n".join(out)
+
+
+def _forms(text: str) -> Iterator[str]:
+    """The ways to read partial code, the plainest first; the pieces of a diff become a function each."""
+    plain = textwrap.dedent(text)
+    wrap = lambda x, k=0: f"def {SNIPPET}{k}():\n" + textwrap.indent(_with_bodies(x), "    ") + "\n    pass\n"
+    yield plain
+    yield _with_bodies(plain)
+    yield wrap(plain)
+    pieces = [p for p in re.split(r"(?m)^# @@ hunk @@\s*$", re.sub(r"(?m)^(index [0-9a-f]+\.\.[0-9a-f]+|(old|new) mode \d+).*$", "", text)) if p.strip()]
+    if len(pieces) > 1:
+        yield "\n".join(wrap(textwrap.dedent(p.strip("\r\n")), k) for k, p in enumerate(pieces))
+
+
+def parse(text: str, repair: bool) -> ast.Module:
+    """The tree of a text; the error of the text as it stands if no reading of it parses."""
+    try:
+        return ast.parse(text)
+    except SyntaxError:
+        for form in _forms(text) if repair else ():
+            try:
+                return ast.parse(form)
+            except SyntaxError:
+                continue
+        raise
+
+
+def facts_of(path: str, text: str, repair: bool = False) -> list[tuple]:
+    """Rows of FACTS: functions, calls, imports, entry points, guards; or one row of kind error."""
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError) as e:
-        return [(path, "error", None, type(e).__name__, getattr(e, "lineno", None), None, None, None, str(e)[:200])]
+        return _facts_of(path, parse(text, repair))
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return [(path, "error", None, type(e).__name__, getattr(e, "lineno", None), None, None, None, str(e))]
+
+
+def _facts_of(path: str, tree: ast.Module) -> list[tuple]:
     module, rows = module_of(path), []
 
     def walk(node: ast.AST, scope: str, cls: str | None, func: str | None) -> None:
@@ -43,7 +92,8 @@ def facts_of(path: str, text: str) -> list[tuple]:
             inner, inner_cls, inner_func = scope, cls, func
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 inner = inner_func = f"{scope}.{child.name}"
-                params = [a.arg for a in (*child.args.posonlyargs, *child.args.args, *child.args.kwonlyargs)]
+                a = child.args
+                params = [*(x.arg for x in (*a.posonlyargs, *a.args)), *(f"*{x.arg}" for x in (a.vararg,) if x), *(x.arg for x in a.kwonlyargs), *(f"**{x.arg}" for x in (a.kwarg,) if x)]
                 rows.append((path, "function", inner, child.name, child.lineno, child.col_offset, len(params), cls is not None, ",".join(params)))
                 for d in child.decorator_list:
                     if name := _dotted(d.func if isinstance(d, ast.Call) else d):
@@ -58,21 +108,24 @@ def facts_of(path: str, text: str) -> list[tuple]:
             elif isinstance(child, ast.ImportFrom):
                 rows.extend((path, "import", module, f"{'.' * child.level}{child.module or ''}.{a.name}", child.lineno, None, None, None, a.asname) for a in child.names)
             elif isinstance(child, (ast.If, ast.While, ast.Assert)):
-                rows.append((path, "guard", func or module, ast.unparse(child.test)[:200], child.lineno, child.col_offset, None, None, type(child).__name__))
+                rows.append((path, "guard", func or module, ast.unparse(child.test), child.lineno, child.col_offset, None, None, type(child).__name__))
                 if isinstance(child, ast.If) and ast.unparse(child.test).replace('"', "'") == "__name__ == '__main__'":
                     rows.append((path, "entry", module, "__main__", child.lineno, None, None, None, None))
             walk(child, inner, inner_cls, inner_func)
 
     walk(tree, module, None, None)
+    top = next((x for x in tree.body if not isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom)) and not (isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant))), None)
+    if top is not None:
+        rows.append((path, "toplevel", module, "<module>", top.lineno, None, None, None, None))
     return rows
 
 
-def facts(texts: DataFrame) -> DataFrame:
+def facts(texts: DataFrame, repair: bool = False) -> DataFrame:
     """All facts of texts(path, text)."""
 
     def run(batches):
         for b in batches:
-            rows = [r for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in facts_of(p or "", t or "")]
+            rows = [r for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in facts_of(p or "", t or "", repair)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
@@ -81,7 +134,7 @@ def facts(texts: DataFrame) -> DataFrame:
 
 def functions(found: DataFrame) -> DataFrame:
     """(qname, file, line, params)."""
-    return found.where("kind = 'function'").select("qname", F.col("path").alias("file"), "line", F.split("detail", ",").alias("params"))
+    return found.where("kind = 'function'").select("qname", F.col("path").alias("file"), "line", F.when(F.col("detail") != "", F.split("detail", ",")).otherwise(F.array().cast("array<string>")).alias("params"))
 
 
 def call_sites(found: DataFrame) -> DataFrame:
@@ -90,11 +143,15 @@ def call_sites(found: DataFrame) -> DataFrame:
 
 
 def entry_points(found: DataFrame) -> DataFrame:
-    """(node, reason): main blocks, functions named main or tests, and decorated routes or commands."""
+    """(node, reason): main blocks, functions named main or tests, decorated routes or commands, and modules with code of their own or with any of these."""
     named = found.where("kind = 'function' and (name = 'main' or name like 'test\\_%')").select(F.col("qname").alias("node"), F.lit("name").alias("reason"))
     main = found.where("kind = 'entry'").select(F.col("qname").alias("node"), F.lit("main").alias("reason"))
     routes = found.where("kind = 'decorator'").where(F.col("name").rlike(r"(^|\.)(route|get|post|put|delete|command|task)$")).select(F.col("qname").alias("node"), F.lit("decorator").alias("reason"))
-    return named.union(main).union(routes).distinct()
+    inside = found.where("kind in ('function', 'entry', 'toplevel')").select("path", F.col("qname").alias("node"), "kind")
+    starts = named.union(main).union(routes).distinct()
+    holders = inside.join(starts.select("node"), "node", "left_semi").select("path").union(inside.where("kind = 'toplevel'").select("path")).distinct()
+    module = F.regexp_replace(F.translate(F.regexp_replace("path", r"^/+|\.py$", ""), "/", "."), r"\.__init__$", "")
+    return starts.union(holders.select(module.alias("node"), F.lit("module").alias("reason"))).distinct()
 
 
 def call_graph(found: DataFrame) -> DataFrame:

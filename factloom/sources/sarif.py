@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -38,24 +38,45 @@ def suppress_proven(confirmed: DataFrame, others: DataFrame, by: str = "qualname
     return confirmed.withColumn("confirmed", F.lit(True)).unionByName(rest.withColumn("confirmed", F.lit(False)))
 
 
-def build(results: DataFrame) -> DataFrame:
-    """(seq, ruleId, json): one SARIF result object a row.  Files of many results are written as JSON lines."""
-    named = results.join(F.broadcast(rules(results)), "rule")
-    where = F.struct(
-        F.struct(F.struct(F.col("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.struct(F.coalesce("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"),
-        F.array(F.struct(F.col("qualname").alias("fullyQualifiedName"), F.lit("function").alias("kind"))).alias("logicalLocations"),
+def _result(rule: Column, index: Column, qualname: Column, uri: Column, line: Column) -> Column:
+    """A SARIF result object."""
+    place = F.struct(
+        F.struct(F.struct(uri.alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.struct(line.alias("startLine")).alias("region")).alias("physicalLocation"),
+        F.array(F.struct(qualname.alias("fullyQualifiedName"), F.lit("function").alias("kind"))).alias("logicalLocations"),
     )
-    obj = F.struct(F.col("rule").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), F.lit("error").alias("level"), F.struct(F.concat_ws(" in ", "rule", "qualname").alias("text")).alias("message"), F.array(where).alias("locations"), F.struct(F.col("qualname").alias("qualifiedName")).alias("properties"))
-    return named.select("seq", F.col("rule").alias("ruleId"), F.to_json(obj).alias("json"))
+    return F.struct(
+        rule.alias("ruleId"), index.alias("ruleIndex"), F.lit("error").alias("level"), F.struct(F.concat_ws(" in ", rule, qualname).alias("text")).alias("message"),
+        F.array(place).alias("locations"), F.struct(qualname.alias("qualifiedName")).alias("properties"),
+    )
+
+
+def build(results: DataFrame) -> DataFrame:
+    """(seq, ruleId, json): one SARIF result object a row, with the index of its rule among all.  Written as text, they are JSON lines."""
+    c = F.col
+    named = results.join(rules(results), "rule")
+    return named.select("seq", c("rule").alias("ruleId"), F.to_json(_result(c("rule"), c("rule_index"), c("qualname"), c("uri"), F.coalesce("line", F.lit(1)))).alias("json"))
+
+
+#: Most results, or accepted findings, of one document about.
+A_DOCUMENT = 10_000
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `part`: documents of about A_DOCUMENT rows, so that none is made of all."""
+    parts = max(1, -(-rows.count() // A_DOCUMENT))
+    return rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
 
 
 def write(results: DataFrame, path: str, name: str = "factloom") -> None:
-    """One SARIF document for a reader of single files: rows are gathered in one task, as the format asks."""
-    rows = build(results)
-    one = rows.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "json"))), lambda x: x["json"]), ",").alias("r"))
-    ids = results.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_set("rule")), lambda x: F.concat(F.lit('{"id":"'), x, F.lit('"}'))), ",").alias("ids"))
-    text = F.concat(F.lit(f'{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{name}","rules":['), F.col("ids"), F.lit(']}},"results":['), F.col("r"), F.lit("]}]}"))
-    one.crossJoin(ids).select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """SARIF documents of about A_DOCUMENT results each, one below each folder part=N; read() takes them all."""
+    of_one = _dealt(results.withColumn("line", F.coalesce("line", F.lit(1))), "seq").groupBy("part").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "rule", "qualname", "uri", "line"))).alias("rows"), F.array_sort(F.collect_set("rule")).alias("ids")
+    )
+    index = lambda rule: (F.array_position("ids", rule) - 1).cast("int")
+    found = F.transform("rows", lambda x: _result(x["rule"], index(x["rule"]), x["qualname"], x["uri"], x["line"]))
+    driver = F.struct(F.lit(name).alias("name"), F.transform("ids", lambda x: F.struct(x.alias("id"))).alias("rules"))
+    runs = F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"), found.alias("results")))
+    of_one.select("part", F.to_json(F.struct(F.lit("2.1.0").alias("version"), runs.alias("runs"))).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
@@ -72,19 +93,58 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_baseline(accepted: DataFrame, path: str) -> None:
-    """accepted(fp, rule, qualname, message) as one JSON document, keys in order."""
+    """accepted(fp, rule, qualname, message) as JSON documents of about A_DOCUMENT findings, keys in order; read_baseline() takes them all."""
     entry = F.struct("fp", F.struct(F.col("rule").alias("ruleId"), F.col("qualname").alias("qualifiedName"), F.col("message")).alias("v"))
-    doc = accepted.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("findings")).select(F.to_json(F.struct(F.lit(1).alias("version"), "findings")).alias("value"))
-    doc.coalesce(1).write.mode("overwrite").text(path)
-
-
-def parse_verdict(text):
-    """struct(verdict, confidence) from the first {...} of a reply: FP and 0.5 by default, TP and 0.5 if unreadable."""
-    got = F.from_json(F.regexp_extract(text, r"(?s)\{.*?\}", 0), "verdict string, confidence double", {"mode": "PERMISSIVE"})
-    readable = got["verdict"].isNotNull() | got["confidence"].isNotNull()
-    return F.when(readable, F.struct(F.coalesce(got["verdict"], F.lit("FP")).alias("verdict"), F.coalesce(got["confidence"], F.lit(0.5)).alias("confidence"))).otherwise(F.struct(F.lit("TP").alias("verdict"), F.lit(0.5).alias("confidence")))
+    doc = _dealt(accepted, "fp").groupBy("part").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("findings"))
+    doc.select("part", F.to_json(F.struct(F.lit(1).alias("version"), "findings")).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+
+
+def parse_verdict(text: Column) -> Column:
+    """struct(verdict, confidence, rationale) of a reply.
+
+    The JSON is what stands in a fenced block, or the reply itself if it begins with a brace, or else the first braces without
+    braces inside.  A missing verdict is FP and a missing confidence 0.5; whatever is not TP in capitals or not is FP.  A
+    reply that cannot be read counts as TP with 0.5, so that nothing is lost unseen.
+    """
+    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
+    fenced = F.regexp_extract(whole, r"(?s)```(?:json)?\s*\n(.*?)```", 1)
+    unfenced = F.regexp_replace(F.regexp_replace(whole, r"^```[^\n]*\n?", ""), r"\n```\s*$", "")
+    body = F.regexp_replace(F.when(fenced != "", fenced).otherwise(unfenced), r"^\s+|\s+$", "")
+    inner = F.regexp_extract(body, r"\{[^{}]*\}", 0)
+    json = F.when(body.startswith("{") | (inner == ""), body).otherwise(inner)
+    got = F.from_json(json, "verdict string, confidence string, rationale string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    odd = got["confidence"].isNotNull() & got["confidence"].try_cast("double").isNull()
+    readable = json.startswith("{") & got["_corrupt"].isNull() & ~odd
+    said = F.struct(
+        F.when(F.upper(F.coalesce(got["verdict"], F.lit("FP"))) == "TP", "TP").otherwise("FP").alias("verdict"),
+        F.coalesce(got["confidence"].try_cast("double"), F.lit(0.5)).alias("confidence"),
+        F.coalesce(got["rationale"], F.lit("")).alias("rationale"),
+    )
+    lost = F.struct(F.lit("TP").alias("verdict"), F.lit(0.5).alias("confidence"), F.concat(F.lit("unreadable reply: "), F.substring(F.coalesce(json, F.lit("")), 1, 200)).alias("rationale"))
+    return F.when(readable, said).otherwise(lost)
 
 
 def triage(results: DataFrame, verdicts: DataFrame, least: float) -> DataFrame:
     """Results judged true with enough confidence, in their order.  verdicts(seq, verdict, confidence)."""
     return results.join(verdicts.where((F.col("verdict") == "TP") & (F.col("confidence") >= least)).select("seq"), "seq", "left_semi").orderBy("seq")
+
+
+def report(judged: DataFrame, project: str, model: str, least: float) -> DataFrame:
+    """(seq, markdown): the report of true findings, one block a finding and a head with seq null.  Written as text in order, they are the document.
+
+    judged(seq, rule, qualname, uri, line, verdict, confidence, rationale, context).
+    """
+    c = F.col
+    kept = judged.where((c("verdict") == "TP") & (c("confidence") >= least))
+    percent = lambda x: F.concat(F.round(x * 100).cast("int").cast("string"), F.lit("%"))
+    short = F.substring_index("qualname", ".", -2)
+    place = F.when(c("uri") != "", F.concat(F.lit("| **Location** | `"), "uri", F.lit("`"), F.when(c("line") > 0, F.concat(F.lit(" line "), c("line").cast("string"))).otherwise(""), F.lit(" |")))
+    context = F.when((c("context") != "") & ~c("context").startswith("("), F.concat(F.lit("### Source Context\n\n"), "context", F.lit("\n")))
+    block = F.concat_ws(
+        "\n", F.concat(F.lit("## `"), "rule", F.lit("` in `"), short, F.lit("`\n")), F.lit("| Field | Value |\n|-------|-------|"), F.concat(F.lit("| **Bug Type** | `"), "rule", F.lit("` |")),
+        F.concat(F.lit("| **Function** | `"), "qualname", F.lit("` |")), place, F.concat(F.lit("| **Confidence** | "), percent(c("confidence")), F.lit(" |\n")), F.concat(F.lit("### Justification\n\n"), F.coalesce("rationale", F.lit("")), F.lit("\n")), context, F.lit("---\n"),
+    )
+    lines = ("# True Positive Findings\n", "**Project:** `%s`  ", "**Confirmed true positives:** %d  ", "**Model:** `%s`  ", "**Min confidence threshold:** %s\n", "---\n")
+    intro = F.format_string("\n".join(lines), F.lit(project), F.count("*"), F.lit(model), percent(F.lit(least)))
+    head = kept.agg(intro.alias("markdown")).select(F.lit(None).cast("long").alias("seq"), "markdown")
+    return head.union(kept.select("seq", block.alias("markdown")))

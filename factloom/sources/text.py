@@ -23,9 +23,9 @@ def excluded(path: Column, patterns: list[str]) -> Column:
 
 
 def files(spark: SparkSession, root: str, glob: str = "*.py", exclude: list[str] | None = None) -> DataFrame:
-    """(path, text) of files below a folder, read by Spark from any store."""
+    """(path, text) of files below a folder, read by Spark from any store; bytes that are not UTF-8 become U+FFFD."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return raw.where(~excluded(F.col("path"), exclude or [])).select("path", F.decode("content", "UTF-8").alias("text"))
+    return raw.where(~excluded(F.col("path"), exclude or [])).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def discover(spark: SparkSession, root: str, most: int | None = None, tests: bool = True) -> DataFrame:
@@ -43,8 +43,10 @@ def lines(texts: DataFrame, key: str = "path") -> DataFrame:
 
 
 def grep(texts: DataFrame, pattern: str, most: int | None = None, key: str = "path") -> DataFrame:
-    """Matching lines in order of path and line."""
-    found = lines(texts.where(F.col("text").rlike(pattern)), key).where(F.col("value").rlike(pattern))
+    """Matching lines in order of path and line; the pattern is held against each line by itself, so ^ and $ are its ends."""
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    numbered = F.transform(split, lambda v, i: F.struct((i + 1).alias("line"), v.alias("value")))
+    found = texts.select(key, F.explode(F.filter(numbered, lambda x: x["value"].rlike(pattern))).alias("f")).select(key, "f.line", "f.value")
     return found.orderBy(key, "line").limit(most) if most is not None else found
 
 
@@ -84,25 +86,33 @@ def git_log(log: DataFrame) -> DataFrame:
     return rows.select("idx", at(1).alias("sha"), at(2).alias("short"), at(3).alias("date"), F.substring(at(4), 1, 72).alias("msg"), at(5).alias("author"))
 
 
-#: Patterns of findings in a tool's output, tried in order: groups type, line and confidence by name of the second item.
+# Bug types that a line of tool output may name without further words.
+BARE_TYPES = (
+    "SQL_INJECTION", "SSRF", "DIVIDE_BY_ZERO", "NULL_DEREF", "BUFFER_OVERFLOW", "PATH_TRAVERSAL", "COMMAND_INJECTION", "XSS",
+    "RACE_CONDITION", "USE_AFTER_FREE", "FORMAT_STRING", "UNSAFE", "INDEX_OUT_OF_RANGE", "TYPE_ERROR", "ATTRIBUTE_ERROR",
+    "KEY_ERROR", "UNHANDLED_EXCEPTION", "VALUE_ERROR", "ASSERTION_ERROR", "RECURSION", "INFINITE_LOOP", "DEADLOCK",
+)
+# The forms of a finding, tried in order; groups are the type, the line and, in the first, the confidence.
 FINDING_PATTERNS = (
-    (r"^\s*\[?(\w+)\]?\s+at\s+line\s+(\d+).*?confidence[=:]?\s*([0-9.]+)", (1, 2, 3)),
-    (r"^\s*(\w+)\s+at\s+\S+:(\d+)", (1, 2, 0)),
-    (r"^\s*\S+:(\d+):\s*(\w+)", (2, 1, 0)),
-    (r"^\s*line\s+(\d+):\s*(\w+)", (2, 1, 0)),
-    (r"^\s*BUG:?\s+(\w+)\b.*?line\s+(\d+)", (1, 2, 0)),
+    r"(?i)\[BUG\]\s+([A-Z_]+)\s+\(line\s+(\d+)(?:,\s*confidence\s+([\d.]+))?",
+    r"(?i)bug:\s*([A-Z_]+).*?(?:line|at line)\s+(\d+)()",
+    r"(?i)found bug:\s*([A-Z_]+).*?on line\s+(\d+)()",
+    r"^\s+([A-Z][A-Z_]{2,}):\s+line\s+(\d+)()",
+    rf"(?i)({'|'.join(BARE_TYPES)}).*?line\s+(\d+)()",
 )
 
 
 def parse_findings(output: DataFrame, key: str = "path") -> DataFrame:
-    """(key, bug_type, line, confidence) from output lines, by the first pattern that fits."""
-    found = F.coalesce(
-        *(
-            F.when(F.col("value").rlike(p), F.struct(F.upper(F.regexp_extract("value", p, g[0])).alias("bug_type"), F.regexp_extract("value", p, g[1]).cast("int").alias("line"), (F.expr(f"try_cast(regexp_extract(value, r'{p}', {g[2]}) as double)") if g[2] else F.lit(0.0)).alias("confidence")))
-            for p, g in FINDING_PATTERNS
-        )
-    )
-    return lines(output, key).withColumn("f", found).where("f is not null").select(key, "f.bug_type", "f.line", F.coalesce("f.confidence", F.lit(0.0)).alias("confidence"))
+    """(key, bug_type, line, confidence) from output lines, by the first form that fits; no confidence is 0."""
+    value = F.col("value")
+
+    def finding(form: str) -> Column:
+        part = lambda i: F.regexp_extract(value, form, i)
+        confidence = F.coalesce(part(3).try_cast("double"), F.lit(0.0))
+        return F.when(value.rlike(form), F.struct(F.upper(part(1)).alias("bug_type"), part(2).cast("int").alias("line"), confidence.alias("confidence")))
+
+    found = F.coalesce(*map(finding, FINDING_PATTERNS))
+    return lines(output, key).withColumn("f", found).where("f is not null").select(key, "f.*")
 
 
 #: Names of alerts and the bug type each stands for.

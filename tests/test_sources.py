@@ -46,6 +46,9 @@ def test_files_and_discovery(spark, tmp_path):
     assert set(got) == {"a.py", "b.py", "test_c.py"} and got["a.py"] == "# a.py\n"
     assert [r.path.split("/")[-1] for r in text.discover(spark, str(tmp_path), 2, tests=False).collect()] == ["a.py", "b.py"]
     assert text.files(spark, str(tmp_path), exclude=["*/sub/*"]).count() == 3
+    (tmp_path / "odd.py").write_bytes(b"x = '\xff'\n")
+    odd = [r.text for r in text.files(spark, str(tmp_path)).collect() if r.path.endswith("odd.py")]
+    assert odd == ["x = '\ufffd'\n"]
 
 
 def test_lines_windows_and_grep(spark):
@@ -55,6 +58,9 @@ def test_lines_windows_and_grep(spark):
     assert got == {("f", 1): (1, 2, "l1\nl2"), ("f", 4): (3, 5, "l3\nl4\nl5"), ("g", 1): (1, 1, "")}
     assert [(r.line, r.value) for r in text.grep(t, "l[24]", 5).collect()] == [(2, "l2"), (4, "l4")]
     assert [r.value for r in text.read_lines(t, 2, 3).collect() if r] == ["l2", "l3"]
+    code = spark.createDataFrame([("a", "x = 1\nimport os"), ("b", "import re"), ("c", "y\n import z\nx")], "path string, text string")
+    assert [(r.path, r.line) for r in text.grep(code, "^import").collect()] == [("a", 2), ("b", 1)]
+    assert [(r.path, r.line) for r in text.grep(code, "(x|z)$").collect()] == [("c", 2), ("c", 3)]
 
 
 def test_small_formats(spark):
@@ -62,8 +68,9 @@ def test_small_formats(spark):
     assert {r.name: r.value for r in kv.collect()} == {"a": "1", "b": "x=y"}
     log = text.git_log(spark.createDataFrame([(0, "s1|s|2024|fix it|Ann|Lee"), (1, "broken")], "idx int, value string")).collect()
     assert [(r.sha, r.msg, r.author) for r in log] == [("s1", "fix it", "Ann|Lee")]
-    out = text.parse_findings(spark.createDataFrame([("f", "DIV_ZERO at line 7 confidence=0.8\nx.py:3: null_ptr\nnothing here")], "path string, text string"))
-    assert sorted((r.bug_type, r.line, r.confidence) for r in out.collect()) == [("DIV_ZERO", 7, 0.8), ("NULL_PTR", 3, 0.0)]
+    said = "[BUG] SSRF (line 12, confidence 0.9)\nBUG: DIV_ZERO in f at line 4\nFound bug: bounds here on line 5\n  XYZ: line 7\nsome KEY_ERROR before line 9\nnothing here\nXYZ: line 8"
+    out = text.parse_findings(spark.createDataFrame([("f", said)], "path string, text string"))
+    assert sorted((r.line, r.bug_type, r.confidence) for r in out.collect()) == [(4, "DIV_ZERO", 0.0), (5, "BOUNDS", 0.0), (7, "XYZ", 0.0), (9, "KEY_ERROR", 0.0), (12, "SSRF", 0.9)]
     folders = {(r.folder, r.entry) for r in text.folders(spark.createDataFrame([("a/b/c.py",), ("a/d.py",)], "path string")).collect()}
     assert folders == {("", "a"), ("a", "b"), ("a/b", "c.py"), ("a", "d.py")}
 
@@ -80,13 +87,17 @@ def test_alerts(spark, tmp_path):
     assert got == [("b.py", 0, "ODD_NAME"), ("src/a.py", 12, "CODE_INJECTION")]
 
 
-def test_sarif_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([(0, "DIV_ZERO", "m.f", "m.py", 3), (1, "BOUNDS", "m.g", "m.py", None)], "seq long, rule string, qualname string, uri string, line int")
+def test_sarif_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sarif, "A_DOCUMENT", 5)
+    rows = spark.createDataFrame([(i, "DIV_ZERO" if i % 3 else "BOUNDS", f"m.f{i}", "m.py", i if i % 2 else None) for i in range(23)], "seq long, rule string, qualname string, uri string, line int")
     sarif.write(rows, str(tmp_path / "out"))
-    doc = json.loads(next((tmp_path / "out").glob("part-*")).read_text())
-    assert doc["version"] == "2.1.0" and [r["id"] for r in doc["runs"][0]["tool"]["driver"]["rules"]] == ["BOUNDS", "DIV_ZERO"]
+    docs = [json.loads(p.read_text()) for p in (tmp_path / "out").glob("part=*/part-*")]
+    assert 1 < len(docs) <= 5 and all(d["version"] == "2.1.0" for d in docs)
+    for run in (r for d in docs for r in d["runs"]):
+        ids = [r["id"] for r in run["tool"]["driver"]["rules"]]
+        assert ids == sorted(ids) and all(ids[r["ruleIndex"]] == r["ruleId"] for r in run["results"])
     back = sorted((r.rule, r.qualname, r.uri, r.line) for r in sarif.read(spark, str(tmp_path / "out")).collect())
-    assert back == [("BOUNDS", "m.g", "m.py", 1), ("DIV_ZERO", "m.f", "m.py", 3)]
+    assert back == sorted((r.rule, r.qualname, r.uri, r.line or 1) for r in rows.collect())
 
 
 def test_baseline_file(spark, tmp_path):
@@ -97,10 +108,30 @@ def test_baseline_file(spark, tmp_path):
 
 
 def test_verdicts_and_triage(spark):
-    t = spark.createDataFrame([(0, 'x {"verdict":"TP","confidence":0.9} y'), (1, '{"confidence":0.7}'), (2, "no json"), (3, '{"verdict":"FP"}')], "seq long, reply string")
+    said = ['x {"verdict":"TP","confidence":0.9} y', '{"confidence":0.7}', "no json", '{"verdict":"FP"}', '{"verdict":"tp"}', "{}", '{"verdict":"FP","rationale":"dict {a} is safe"}', "```\n{\"verdict\": \"TP\", \"confidence\": 1}\n```", "  ", None]
+    t = spark.createDataFrame(list(enumerate(said)), "seq long, reply string")
     v = t.select("seq", sarif.parse_verdict(F.col("reply")).alias("v")).select("seq", "v.*")
-    assert [(r.verdict, r.confidence) for r in v.orderBy("seq").collect()] == [("TP", 0.9), ("FP", 0.7), ("TP", 0.5), ("FP", 0.5)]
-    assert [r.seq for r in sarif.triage(t, v, 0.5).collect()] == [0, 2]
+    assert [(r.verdict, r.confidence) for r in v.orderBy("seq").collect()] == [("TP", 0.9), ("FP", 0.7), ("TP", 0.5), ("FP", 0.5), ("TP", 0.5), ("FP", 0.5), ("FP", 0.5), ("TP", 1.0), ("TP", 0.5), ("TP", 0.5)]
+    assert [r.seq for r in sarif.triage(t, v, 0.6).collect()] == [0, 7]
+
+
+def test_texts_that_no_parser_takes(spark):
+    """Deep nesting gives error rows, and the other texts their facts."""
+    deep = {"dots": "x" + ".a" * 5000, "minus": "-" * 6000 + "1", "plus": "+".join(["1"] * 6000), "index": "x" + "[0]" * 5000, "fine": "def f(a, *b, c=1, **d):\n    return g()\ndef h():\n    pass\n", "none": None}
+    found = python_source.facts(spark.createDataFrame(list(deep.items()), "path string, text string")).cache()
+    assert {r.path for r in found.where("kind = 'error'").collect()} <= {"dots", "minus", "plus", "index"}
+    assert {r.qname: r.params for r in python_source.functions(found).collect()} == {"fine.f": ["a", "*b", "c", "**d"], "fine.h": []}
+    long = "if " + " and ".join(f"x{i}" for i in range(200)) + ":\n    pass\n"
+    guard = python_source.facts(spark.createDataFrame([("g", long)], "path string, text string")).where("kind = 'guard'").first()
+    assert len(guard.name) > 1000
+
+
+def test_repair_of_partial_code(spark):
+    texts = {"in": "    x = g(1)\n    return x", "body": "if a:\nh(2)", "hunks": "index 1a..2b 100644\n# @@ hunk @@\n    i(1)\n# @@ hunk @@\n        j(2)\n", "no": "def ((("}
+    df = spark.createDataFrame(list(texts.items()), "path string, text string")
+    calls = {(r.path, r.name) for r in python_source.facts(df, repair=True).where("kind = 'call'").collect()}
+    assert calls == {("in", "g"), ("body", "h"), ("hunks", "i"), ("hunks", "j")}
+    assert python_source.facts(df).where("kind = 'error'").count() == 4
 
 
 def test_streams(spark, tmp_path):
