@@ -486,16 +486,16 @@ def coupon_total(spark, sf_dir):
     return records.coupon_total(cart, spark.createDataFrame([("A", 0.1), ("R", 0.25)], "code string, rate double"))
 
 
-@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey % 10 = b.s_suppkey % 10 AND a.s_suppkey < b.s_suppkey")
+@query("WITH f AS (SELECT s_nationkey AS x, s_suppkey % 10 AS y, min(s_suppkey) AS a FROM supplier GROUP BY ALL) SELECT a, s_suppkey AS b FROM supplier JOIN f ON s_nationkey = x AND s_suppkey % 10 = y WHERE s_suppkey > a")
 def collisions(spark, sf_dir):
     return records.collisions(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("x"), (F.col("s_suppkey") % 10).alias("y")))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') AND p_size > 10 ORDER BY p_partkey LIMIT 25")
 def query_builder(spark, sf_dir):
-    """A query text from parts, run as SQL."""
-    load(spark, sf_dir, "part").createOrReplaceTempView("factloom_part")
-    return records.QueryBuilder("factloom_part").select("p_partkey", "p_name").where("contains(lower(p_name), 'ring')").where("p_size > 10").order("p_partkey").limit(25).run(spark)
+    """The first 25 parts that pass two tests: a limit is a part of what a query may ask for."""
+    wanted = records.Selection(columns=("p_partkey", "p_name"), tests=("contains(lower(p_name), 'ring')", F.col("p_size") > 10), order=("p_partkey",), rows=25)
+    return wanted.of(load(spark, sf_dir, "part"))
 
 
 # graphs -----------------------------------------------------------------------------------------------------------
@@ -520,51 +520,35 @@ def reachable(spark, sf_dir):
     return graph.reachable(e, e.where(F.col("src").isin(3, 50, 111)).select(F.col("src").alias("node")))
 
 
-# The SQL of the next four is over the first module; the forms named _all are over all of part.
-
 _CLOSE = "c AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM c JOIN edges e ON c.dst = e.src)"
 
 
 @query(f"WITH RECURSIVE {ft.EDGES}, {_CLOSE} SELECT src, dst FROM c")
 def closure(spark, sf_dir):
-    return graph.closure(ft.first_module(spark, sf_dir))
-
-
-@query(f"WITH RECURSIVE {ft.ALL_EDGES}, {_CLOSE} SELECT src, dst FROM c")
-def closure_all(spark, sf_dir):
     return graph.closure(ft.part_edges(spark, sf_dir))
 
 
-_SCC = f"""{_CLOSE}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
-scc AS (SELECT node, least(node, coalesce((SELECT min(a.dst) FROM c a JOIN c b ON a.dst = b.src AND b.dst = node WHERE a.src = node), node)) AS scc FROM n)"""
+_SCC = f"""{_CLOSE}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), m AS (SELECT a.src AS node, min(a.dst) AS low FROM c a JOIN c b ON a.dst = b.src AND b.dst = a.src GROUP BY 1),
+scc AS (SELECT node, least(node, coalesce(low, node)) AS scc FROM n LEFT JOIN m USING (node))"""
 
 
 def _nodes(e):
     return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
 
 
-@query(f"WITH RECURSIVE {ft.EDGES}, {_SCC} SELECT node, scc FROM scc")
-def scc_labels(spark, sf_dir):
-    e = ft.first_module(spark, sf_dir)
-    return graph.strong_components(e, _nodes(e))
+def _components(spark, sf_dir):
+    e = ft.part_edges(spark, sf_dir)
+    return e, graph.strong_components(e, _nodes(e))
 
 
-@query(f"WITH RECURSIVE {ft.ALL_EDGES}, {_SCC} SELECT node, scc FROM scc")
-def scc_labels_all(spark, sf_dir):
-    e = ft.part_edges(spark, sf_dir)
-    return graph.strong_components(e, _nodes(e))
+@query(f"WITH RECURSIVE {ft.EDGES}, {_SCC} SELECT node, scc FROM scc")
+def scc_labels(spark, sf_dir):
+    return _components(spark, sf_dir)[1]
 
 
 @query(f"WITH RECURSIVE {ft.EDGES}, {_CLOSE} SELECT src AS node FROM c WHERE src = dst")
 def recursive_functions(spark, sf_dir):
-    e = ft.first_module(spark, sf_dir)
-    return graph.recursive_nodes(e, graph.strong_components(e, _nodes(e)))
-
-
-@query(f"WITH RECURSIVE {ft.ALL_EDGES}, {_CLOSE} SELECT src AS node FROM c WHERE src = dst")
-def recursive_functions_all(spark, sf_dir):
-    e = ft.part_edges(spark, sf_dir)
-    return graph.recursive_nodes(e, graph.strong_components(e, _nodes(e)))
+    return graph.recursive_nodes(*_components(spark, sf_dir))
 
 
 _LEVELS = """d AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM edges JOIN scc a ON a.node = src JOIN scc b ON b.node = dst WHERE a.scc <> b.scc),
@@ -573,14 +557,7 @@ l AS (SELECT DISTINCT scc, 0 AS level FROM scc UNION SELECT a, level + 1 FROM d
 
 @query(f"WITH RECURSIVE {ft.EDGES}, {_SCC}, {_LEVELS}")
 def bottom_up_levels(spark, sf_dir):
-    e = ft.first_module(spark, sf_dir)
-    return graph.bottom_up_levels(e, graph.strong_components(e, _nodes(e)))
-
-
-@query(f"WITH RECURSIVE {ft.ALL_EDGES}, {_SCC}, {_LEVELS}")
-def bottom_up_levels_all(spark, sf_dir):
-    e = ft.part_edges(spark, sf_dir)
-    return graph.bottom_up_levels(e, graph.strong_components(e, _nodes(e)))
+    return graph.bottom_up_levels(*_components(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {ft.EDGES}, {_CLOSE} SELECT count(*) > 0 AS has_cycle FROM c WHERE src = dst")
@@ -588,10 +565,11 @@ def cycle_exists(spark, sf_dir):
     return graph.has_cycle(ft.part_edges(spark, sf_dir))
 
 
-# dataflow: a chain of blocks with branches over the first parts ---------------------------------------------------
+# dataflow: all parts as blocks, in functions of 60 with branches ahead ---------------------------------------------
 
-_FLOW = """succ AS (SELECT DISTINCT p_partkey AS src, p_partkey + 1 + p_size % 3 AS dst FROM part WHERE p_partkey < 60 UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey < 60),
-gen AS (SELECT p_partkey AS block, 'g' || CAST(p_size % 5 AS VARCHAR) AS guard FROM part WHERE p_partkey < 60 AND p_size % 2 = 0)"""
+_FLOW = """p AS (SELECT p_partkey + p_partkey // 60 * 3 AS block, p_partkey % 60 AS pos, p_size FROM part),
+succ AS (SELECT block AS src, block + 1 + p_size % 3 AS dst FROM p UNION SELECT block, block + 1 FROM p),
+gen AS (SELECT block, 'g' || CAST(p_size % 5 AS VARCHAR) AS guard FROM p WHERE p_size % 2 = 0)"""
 
 
 def _functions(spark, sf_dir, most: int = 60):
@@ -600,11 +578,6 @@ def _functions(spark, sf_dir, most: int = 60):
     return load(spark, sf_dir, "part").select((k + F.floor(k / most) * 3).alias("block"), (k % most).alias("pos"), "p_size")
 
 
-def _first_function(spark, sf_dir):
-    """The blocks of the first function, which is all that _FLOW holds."""
-    return _functions(spark, sf_dir).where("block < 60")
-
-
 def _flow(p):
     k, s = F.col("block"), F.col("p_size")
     succ = p.select(k.alias("src"), (k + 1 + s % 3).alias("dst")).union(p.select(k, k + 1)).distinct()
@@ -613,37 +586,25 @@ def _flow(p):
     return blocks, succ, gen
 
 
-@query(f"""WITH RECURSIVE {_FLOW}, g AS (SELECT DISTINCT guard FROM gen), free AS (SELECT 0 AS block, guard FROM g UNION
+@query(f"""WITH RECURSIVE {_FLOW}, g AS (SELECT DISTINCT guard FROM gen), free AS (SELECT block, guard FROM p CROSS JOIN g WHERE pos = 0 UNION
   SELECT dst, f.guard FROM free f JOIN succ ON src = f.block WHERE NOT EXISTS (SELECT 1 FROM gen WHERE gen.block = f.block AND gen.guard = f.guard)),
-n AS (SELECT DISTINCT dst AS block FROM succ) SELECT block, guard FROM n CROSS JOIN g WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.block = n.block AND f.guard = g.guard)""")
+n AS (SELECT block FROM p WHERE pos = 0 UNION SELECT dst FROM n JOIN succ ON src = n.block)
+SELECT block, guard FROM n CROSS JOIN g WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.block = n.block AND f.guard = g.guard) AND block NOT IN (SELECT block FROM p WHERE pos = 0)""")
 def must_guards(spark, sf_dir):
-    """The oracle finds the paths from the entry that miss a guard."""
-    return dataflow.must_guards(*_flow(_first_function(spark, sf_dir)))
-
-
-@query()
-def must_guards_all(spark, sf_dir):
+    """The oracle finds the paths from the entries that miss a guard."""
     return dataflow.must_guards(*_flow(_functions(spark, sf_dir)))
 
 
-def _reaching(p):
+@query(f"""WITH RECURSIVE {_FLOW}, d AS (SELECT block, 'v' || CAST(p_size % 4 AS VARCHAR) AS var FROM p),
+r AS (SELECT dst AS block, var, d.block AS def_block FROM d JOIN succ ON src = d.block UNION
+  SELECT dst, r.var, r.def_block FROM r JOIN succ ON src = r.block WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.block = r.block AND d.var = r.var)) SELECT block, var, def_block FROM r""")
+def reaching_defs(spark, sf_dir):
+    p = _functions(spark, sf_dir)
     blocks, succ, _ = _flow(p)
     defs = p.select("block", F.concat(F.lit("v"), (F.col("p_size") % 4).cast("string")).alias("var"), F.col("p_size").alias("offset"))
     return dataflow.reaching_definitions(blocks, succ, defs).select("block", "var", "def_block")
 
 
-@query(f"""WITH RECURSIVE {_FLOW}, d AS (SELECT p_partkey AS block, 'v' || CAST(p_size % 4 AS VARCHAR) AS var, p_size AS offset_ FROM part WHERE p_partkey < 60),
-r AS (SELECT dst AS block, var, d.block AS def_block, offset_ FROM d JOIN succ ON src = d.block UNION
-  SELECT dst, r.var, r.def_block, r.offset_ FROM r JOIN succ ON src = r.block WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.block = r.block AND d.var = r.var)) SELECT block, var, def_block FROM r""")
-def reaching_defs(spark, sf_dir):
-    return _reaching(_first_function(spark, sf_dir))
-
-
-@query()
-def reaching_defs_all(spark, sf_dir):
-    return _reaching(_functions(spark, sf_dir))
-
-
 @query("SELECT o_custkey AS k, CASE WHEN count(lo) = count(*) THEN min(lo) END AS lo, CASE WHEN count(hi) = count(*) THEN max(hi) END AS hi FROM (SELECT o_custkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS lo, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey + 5 END AS hi FROM orders) GROUP BY 1")
 def bounds_hull(spark, sf_dir):
     o = F.col("o_orderkey")
@@ -658,19 +619,11 @@ def all_paths_guarded(spark, sf_dir):
 # concurrency ------------------------------------------------------------------------------------------------------
 
 _ACC = """acc AS (SELECT event_id AS id, user_id AS location, event_id % 5 AS thread, event_type = 'purchase' AS is_write,
-  CASE WHEN user_id % 3 = 0 THEN ['m'] WHEN event_id % 2 = 0 THEN ['a'] ELSE ['b'] END AS locks FROM events WHERE event_id < 4000),
+  CASE WHEN user_id % 3 = 0 THEN ['m'] WHEN event_id % 2 = 0 THEN ['a'] ELSE ['b'] END AS locks FROM events),
 unlocked AS (SELECT location FROM acc GROUP BY 1 HAVING count(DISTINCT thread) >= 2 AND bool_or(is_write) AND location NOT IN (
   SELECT location FROM (SELECT location, lock, count(*) AS n FROM (SELECT location, unnest(locks) AS lock FROM acc) GROUP BY ALL) JOIN (SELECT location, count(*) AS m FROM acc GROUP BY 1) USING (location) WHERE n = m))"""
 
 
-_ALL_ACC = _ACC.replace(" WHERE event_id < 4000", "")
-
-
-def _first_accesses(spark, sf_dir):
-    """The accesses of _ACC."""
-    return _accesses(spark, sf_dir).where("id < 4000")
-
-
 def _accesses(spark, sf_dir):
     e, u = F.col("event_id"), F.col("user_id")
     locks = F.when(u % 3 == 0, F.array(F.lit("m"))).when(e % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))
@@ -679,44 +632,21 @@ def _accesses(spark, sf_dir):
 
 @query(f"WITH {_ACC} SELECT location FROM unlocked")
 def unlocked_locations(spark, sf_dir):
-    return concurrency.unlocked_locations(_first_accesses(spark, sf_dir))
-
-
-@query(f"WITH {_ALL_ACC} SELECT location FROM unlocked")
-def unlocked_locations_all(spark, sf_dir):
     return concurrency.unlocked_locations(_accesses(spark, sf_dir))
 
 
-@query(f"""WITH {_ACC} SELECT x.location, x.id AS a, y.id AS b FROM acc x JOIN acc y ON x.location = y.location AND x.id < y.id AND x.thread <> y.thread AND (x.is_write OR y.is_write)
-WHERE x.location IN (SELECT location FROM unlocked) AND NOT (y.id = x.id + 7)""")
-def race_candidates(spark, sf_dir):
-    acc = _first_accesses(spark, sf_dir)
-    return concurrency.race_candidates(acc, acc.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b")))
-
-
-@query(f"""WITH {_ALL_ACC} SELECT x.location, x.thread AS t1, y.thread AS t2, count(*) AS n FROM acc x JOIN acc y ON x.location = y.location AND x.thread < y.thread AND (x.is_write OR y.is_write)
+@query(f"""WITH {_ACC} SELECT x.location, x.thread AS t1, y.thread AS t2, count(*) AS n FROM acc x JOIN acc y ON x.location = y.location AND x.thread < y.thread AND (x.is_write OR y.is_write)
 WHERE x.location IN (SELECT location FROM unlocked) AND abs(y.id - x.id) <> 7 GROUP BY ALL""")
-def race_counts_all(spark, sf_dir):
-    """The candidates of all accesses, counted for each location and two threads."""
+def race_candidates(spark, sf_dir):
+    """Pairs of racing accesses, counted for each location and two threads: a hot location has too many to list."""
     acc = _accesses(spark, sf_dir)
     return concurrency.race_counts(acc, acc.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b")))
 
 
-_ORDERS = """WITH o AS (SELECT l_orderkey AS t, l_suppkey % 40 AS lock, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem WHERE l_orderkey < 300),
-f AS (SELECT DISTINCT x.lock AS a, y.lock AS b FROM o x JOIN o y ON x.t = y.t AND x.pos < y.pos AND x.lock <> y.lock) SELECT f.a, f.b FROM f JOIN f g ON f.a = g.b AND f.b = g.a WHERE f.a < f.b"""
-
-
-@query(_ORDERS)
+@query("""WITH o AS (SELECT l_orderkey AS t, l_suppkey % 40 AS lock, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
+f AS (SELECT DISTINCT x.lock AS a, y.lock AS b FROM o x JOIN o y ON x.t = y.t AND x.pos < y.pos AND x.lock <> y.lock) SELECT f.a, f.b FROM f JOIN f g ON f.a = g.b AND f.b = g.a WHERE f.a < f.b""")
 def lock_order_violations(spark, sf_dir):
-    return _lock_orders(load(spark, sf_dir, "lineitem").where("l_orderkey < 300"))
-
-
-@query(_ORDERS.replace(" WHERE l_orderkey < 300", ""))
-def lock_order_violations_all(spark, sf_dir):
-    return _lock_orders(load(spark, sf_dir, "lineitem"))
-
-
-def _lock_orders(lines):
+    lines = load(spark, sf_dir, "lineitem")
     rows = lines.groupBy(F.col("l_orderkey").alias("thread")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("r"))
     return concurrency.lock_order_violations(rows.select("thread", F.transform("r", lambda x: x["l_suppkey"] % 40).alias("locks")))
 
@@ -842,63 +772,42 @@ def set_lattice(spark, sf_dir):
     return rows.select("t", F.array_join(sets.join(a, b), ",").alias("joined"), F.array_join(sets.meet(a, b), ",").alias("met"), sets.below(a, b).alias("below"))
 
 
-@query("""WITH c AS (SELECT DISTINCT p_partkey AS pred FROM part WHERE p_partkey < 60), i AS (SELECT p_partkey AS pred, (p_partkey * 3 + p_size) % 60 AS needs FROM part WHERE p_partkey < 60)
-, bad AS (SELECT p_partkey AS pred FROM part WHERE p_partkey < 60 AND p_size % 10 = 0), g AS (WITH RECURSIVE r AS (SELECT pred FROM bad UNION SELECT i.pred FROM i JOIN r ON i.needs = r.pred) SELECT pred FROM r) SELECT pred FROM c WHERE pred NOT IN (SELECT pred FROM g)""")
+@query("""WITH RECURSIVE i AS (SELECT p_partkey AS pred, p_partkey - p_partkey % 60 + (p_partkey * 3 + p_size) % 60 AS needs FROM part),
+r AS (SELECT p_partkey AS pred FROM part WHERE p_size % 10 = 0 UNION SELECT pred FROM i WHERE needs NOT IN (SELECT p_partkey FROM part) UNION SELECT i.pred FROM i JOIN r ON i.needs = r.pred)
+SELECT p_partkey AS pred FROM part WHERE p_partkey NOT IN (SELECT pred FROM r)""")
 def houdini(spark, sf_dir):
-    return _houdini(load(spark, sf_dir, "part").where("p_partkey < 60"))
-
-
-@query()
-def houdini_all(spark, sf_dir):
-    return _houdini(load(spark, sf_dir, "part"))
-
-
-def _houdini(p):
     """Predicates in groups of 60; those of the last group may rest on some that are no candidates."""
-    k = F.col("p_partkey")
+    k, p = F.col("p_partkey"), load(spark, sf_dir, "part")
     needs = k - k % 60 + (k * 3 + F.col("p_size")) % 60
     return dataflow.houdini(p.select(k.alias("pred")), p.select(k.alias("pred"), needs.alias("needs")), p.where("p_size % 10 = 0").select(k.alias("pred")))
 
 
 # loops, paths, summaries ------------------------------------------------------------------------------------------
 
-_LOOPS = """back AS (SELECT p_partkey AS src, p_partkey - p_size % 9 AS header FROM part WHERE p_partkey BETWEEN 10 AND 59 AND p_size % 4 = 0)"""
-
 
-@query(f"""WITH RECURSIVE {_FLOW}, {_LOOPS}, l AS (SELECT header, src AS block FROM back UNION SELECT l.header, s.src FROM l JOIN succ s ON s.dst = l.block WHERE l.block <> l.header)
+@query(f"""WITH RECURSIVE {_FLOW}, back AS (SELECT block AS src, block - p_size % 9 AS header FROM p WHERE pos >= 10 AND p_size % 4 = 0),
+l AS (SELECT header, src AS block FROM back UNION SELECT l.header, s.src FROM l JOIN succ s ON s.dst = l.block WHERE l.block <> l.header)
 SELECT header, block FROM l UNION SELECT header, header FROM back""")
 def natural_loops(spark, sf_dir):
-    return _loops(_first_function(spark, sf_dir))
-
-
-@query()
-def natural_loops_all(spark, sf_dir):
-    return _loops(_functions(spark, sf_dir))
-
-
-def _loops(p):
-    k, s = F.col("block"), F.col("p_size")
+    p, k, s = _functions(spark, sf_dir), F.col("block"), F.col("p_size")
     return dataflow.natural_loops(_flow(p)[1], p.where("pos >= 10 and p_size % 4 = 0").select(k.alias("src"), (k - s % 9).alias("header")))
 
 
 @query(f"""WITH RECURSIVE {_FLOW}, g AS (SELECT block, bool_or(guard = 'g0') AS g0, bool_or(guard = 'g2') AS g2 FROM gen GROUP BY 1),
-st AS (SELECT 0 AS block, false AS a, false AS b UNION SELECT s.dst, st.a OR coalesce(g.g0, false), st.b OR coalesce(g.g2, false) FROM st LEFT JOIN g USING (block) JOIN succ s ON s.src = st.block)
+st AS (SELECT block, false AS a, false AS b FROM p WHERE pos = 0 UNION SELECT s.dst, st.a OR coalesce(g.g0, false), st.b OR coalesce(g.g2, false) FROM st LEFT JOIN g USING (block) JOIN succ s ON s.src = st.block)
 SELECT block, bool_and(a) AS on_all, bool_or(a) AS on_any FROM st GROUP BY 1""")
 def guarded_on_paths(spark, sf_dir):
     """Paths with two kinds of guards; the first is asked for."""
-    blocks, succ, gen = _flow(_first_function(spark, sf_dir))
-    return dataflow.guarded_on_paths(dataflow.path_states(blocks, succ, gen.where("guard in ('g0', 'g2')"), 100), "g0")
-
-
-@query()
-def guarded_on_paths_all(spark, sf_dir):
     blocks, succ, gen = _flow(_functions(spark, sf_dir))
     return dataflow.guarded_on_paths(dataflow.path_states(blocks, succ, gen.where("guard in ('g0', 'g2')"), None), "g0")
 
 
-_SUM = """direct AS (SELECT p_partkey AS func, p_partkey % 3 AS param, CASE WHEN p_size % 3 = 0 THEN -1 ELSE p_size % 7 END AS target FROM part WHERE p_partkey < 120 AND p_size % 2 = 0),
-pass AS (SELECT p_partkey AS func, p_size % 3 AS param, (p_partkey * 3 + p_size) % 120 AS callee, p_partkey % 3 AS arg FROM part WHERE p_partkey < 120),
-ret AS (SELECT p_partkey AS func, (p_partkey * 3 + p_size) % 120 AS callee FROM part WHERE p_partkey < 120 AND p_partkey % 2 = 0)"""
+_SUM = """call AS (SELECT p_partkey AS func, p_size, p_partkey - p_partkey % 120 + (p_partkey * 3 + p_size) % 120 AS callee FROM part),
+direct AS (SELECT func, func % 3 AS param, CASE WHEN p_size % 3 = 0 THEN -1 ELSE p_size % 7 END AS target FROM call WHERE p_size % 2 = 0),
+pass AS (SELECT func, p_size % 3 AS param, callee, func % 3 AS arg FROM call),
+ret AS (SELECT func, callee FROM call WHERE func % 2 = 0),
+f AS (SELECT func, param, target FROM direct UNION SELECT p.func, p.param, f.target FROM f JOIN pass p ON p.callee = f.func AND p.arg = f.param
+  WHERE f.target <> -1 OR EXISTS (SELECT 1 FROM ret r WHERE r.func = p.func AND r.callee = p.callee))"""
 
 
 def _summaries(p):
@@ -914,28 +823,14 @@ def _callee():
     return k - k % 120 + (k * 3 + F.col("p_size")) % 120
 
 
-@query(f"""WITH RECURSIVE {_SUM}, f AS (SELECT func, param, target FROM direct UNION SELECT p.func, p.param, f.target FROM f JOIN pass p ON p.callee = f.func AND p.arg = f.param
-  WHERE f.target <> -1 OR EXISTS (SELECT 1 FROM ret r WHERE r.func = p.func AND r.callee = p.callee)) SELECT func, param, target FROM f""")
+@query(f"WITH RECURSIVE {_SUM} SELECT func, param, target FROM f")
 def taint_summaries(spark, sf_dir):
-    return _summaries(load(spark, sf_dir, "part").where("p_partkey < 120"))
-
-
-@query()
-def taint_summaries_all(spark, sf_dir):
     return _summaries(load(spark, sf_dir, "part"))
 
 
-@query(f"""WITH RECURSIVE {_SUM}, f AS (SELECT func, param, target FROM direct UNION SELECT p.func, p.param, f.target FROM f JOIN pass p ON p.callee = f.func AND p.arg = f.param
-  WHERE f.target <> -1 OR EXISTS (SELECT 1 FROM ret r WHERE r.func = p.func AND r.callee = p.callee))
-SELECT DISTINCT l_orderkey AS call, func, target FROM lineitem JOIN f ON func = l_partkey % 120 AND param = l_suppkey % 3 WHERE target <> -1 AND l_returnflag = 'R' AND l_partkey % 120 < 60""")
+@query(f"""WITH RECURSIVE {_SUM}, live AS (SELECT func AS node FROM call WHERE p_size <= 5 UNION SELECT callee FROM live JOIN call ON func = node)
+SELECT DISTINCT l_orderkey AS call, func, target FROM lineitem JOIN f ON func = l_partkey AND param = l_suppkey % 3 WHERE target <> -1 AND l_returnflag = 'R' AND l_partkey IN (SELECT node FROM live)""")
 def security_bugs(spark, sf_dir):
-    c = F.col
-    calls = load(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("call"), (c("l_partkey") % 120).alias("caller"), (c("l_partkey") % 120).alias("func"), (c("l_suppkey") % 3).alias("arg"), (c("l_returnflag") == "R").alias("tainted"))
-    return summaries.security_bugs(spark.range(60).select(c("id").alias("node")), calls, _summaries(load(spark, sf_dir, "part").where("p_partkey < 120")))
-
-
-@query()
-def security_bugs_all(spark, sf_dir):
     """Calls of any part; reachable is what parts of size 5 or less call, directly or not, and these parts."""
     c = F.col
     p = load(spark, sf_dir, "part")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from factloom.plans import reference, registry  # noqa: F401
+from factloom.plans import catalog, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,8 +1,8 @@
-"""Queries over whole tables against brute force, on tables of more than one module, function or chain."""
+"""Graph and dataflow queries against brute force, on tables of more than one module, function or chain."""
 
 import pytest
 
-from factloom.plans import reference, registry  # noqa: F401
+from factloom.plans import catalog, registry  # noqa: F401
 
 
 def rows(df):
@@ -42,19 +42,19 @@ def test_graphs_hold_every_part(spark, sf):
     far = reached(out)
     run = lambda name: rows(registry.QUERIES[name](spark, sf).select(*cols))
     cols = ["src", "dst"]
-    assert run("closure_all") == sorted((a, b) for a in far for b in far[a])
+    assert run("closure") == sorted((a, b) for a in far for b in far[a])
     nodes = {*out, *(d for ds in out.values() for d in ds)}
     scc = {n: min([n, *(m for m in far.get(n, ()) if n in far.get(m, ()))]) for n in nodes}
     cols = ["node", "scc"]
-    assert run("scc_labels_all") == sorted(scc.items())
+    assert run("scc_labels") == sorted(scc.items())
     cols = ["node"]
-    assert run("recursive_functions_all") == sorted((n,) for n in far if n in far[n])
+    assert run("recursive_functions") == sorted((n,) for n in far if n in far[n])
 
     def level(c):
         return max((1 + level(scc[d]) for n in nodes if scc[n] == c for d in out.get(n, ()) if scc[d] != c), default=0)
 
     cols = ["scc", "level"]
-    assert run("bottom_up_levels_all") == sorted((c, level(c)) for c in set(scc.values()))
+    assert run("bottom_up_levels") == sorted((c, level(c)) for c in set(scc.values()))
 
 
 def test_edges_hold_every_part(spark, sf):
@@ -86,9 +86,9 @@ def test_guards_of_every_function(spark, sf):
     kinds = set().union(*GEN.values())
     entries = {ID[k] for k in SIZES if k % 60 == 0}
     want = sorted((b, g) for b, gs in states(kinds).items() if b not in entries for g in frozenset.intersection(*gs))
-    assert rows(registry.QUERIES["must_guards_all"](spark, sf)) == want
+    assert rows(registry.QUERIES["must_guards"](spark, sf)) == want
     want = sorted((b, all("g0" in g for g in gs), any("g0" in g for g in gs)) for b, gs in states({"g0", "g2"}).items())
-    assert rows(registry.QUERIES["guarded_on_paths_all"](spark, sf)) == want
+    assert rows(registry.QUERIES["guarded_on_paths"](spark, sf)) == want
 
 
 def test_truncated_states_are_not_answered(spark):
@@ -109,27 +109,27 @@ def test_definitions_and_loops_of_every_function(spark, sf):
     while todo:
         todo = {(d, v, at) for b, v, at in todo if var.get(b) != v for s, d in SUCC if s == b} - seen
         seen = seen | todo
-    assert rows(registry.QUERIES["reaching_defs_all"](spark, sf).select("block", "var", "def_block")) == sorted(seen)
+    assert rows(registry.QUERIES["reaching_defs"](spark, sf).select("block", "var", "def_block")) == sorted(seen)
     back = {(ID[k] - s % 9, ID[k]) for k, s in SIZES.items() if k % 60 >= 10 and s % 4 == 0}
     seen = todo = back | {(h, h) for h, _ in back}
     while todo:
         todo = {(h, s) for h, b in todo if b != h for s, d in SUCC if d == b} - seen
         seen = seen | todo
-    assert rows(registry.QUERIES["natural_loops_all"](spark, sf).select("header", "block")) == sorted(seen)
+    assert rows(registry.QUERIES["natural_loops"](spark, sf).select("header", "block")) == sorted(seen)
 
 
 def test_predicates_and_summaries_of_every_part(spark, sf):
     held = {k for k, s in SIZES.items() if s % 10}
     while lost := {k for k in held if k - k % 60 + (k * 3 + SIZES[k]) % 60 not in held}:
         held -= lost
-    assert rows(registry.QUERIES["houdini_all"](spark, sf)) == sorted((k,) for k in held)
+    assert rows(registry.QUERIES["houdini"](spark, sf)) == sorted((k,) for k in held)
     callee = {k: k - k % 120 + (k * 3 + s) % 120 for k, s in SIZES.items()}
     flows = {(k, k % 3, -1 if s % 3 == 0 else s % 7) for k, s in SIZES.items() if s % 2 == 0}
     size = 0
     while len(flows) > size:
         size = len(flows)
         flows |= {(k, s % 3, t) for k, s in SIZES.items() for f, a, t in flows if f == callee[k] and a == k % 3 and (t != -1 or k % 2 == 0)}
-    assert rows(registry.QUERIES["taint_summaries_all"](spark, sf)) == sorted(flows)
+    assert rows(registry.QUERIES["taint_summaries"](spark, sf)) == sorted(flows)
     live = todo = {k for k, s in SIZES.items() if s <= 5}
     while todo:
         todo = {callee[k] for k in todo} - live
@@ -137,7 +137,7 @@ def test_predicates_and_summaries_of_every_part(spark, sf):
         todo &= set(SIZES)
     bugs = {(o, p, t) for o, p, a, r in LINES if r == "R" and p in live for f, x, t in flows if f == p and x == a % 3 and t != -1}
     assert any(p % 120 >= 60 for _, p, _ in bugs) and any(p >= 120 for _, p, _ in bugs)
-    assert rows(registry.QUERIES["security_bugs_all"](spark, sf)) == sorted(bugs)
+    assert rows(registry.QUERIES["security_bugs"](spark, sf)) == sorted(bugs)
 
 
 def test_late_accesses_and_orders_count(spark, tmp_path):
@@ -147,8 +147,8 @@ def test_late_accesses_and_orders_count(spark, tmp_path):
     lines = [(1, 1, 5), (1, 2, 6), (900, 1, 6), (900, 2, 5), (1, 3, 7)]
     spark.createDataFrame([(o, n, 0, s) for o, n, s in lines], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     run = lambda name: rows(registry.QUERIES[name](spark, str(tmp_path)))
-    assert run("unlocked_locations_all") == [(4,)]
+    assert run("unlocked_locations") == [(4,)]
     acc = [(e, e % 5, t == "purchase") for e, u, t in events if u == 4]
     pairs = [tuple(sorted((x[1], y[1]))) for i, x in enumerate(acc) for y in acc[i + 1 :] if x[1] != y[1] and (x[2] or y[2]) and abs(x[0] - y[0]) != 7]
-    assert run("race_counts_all") == sorted((4, *p, pairs.count(p)) for p in set(pairs))
-    assert run("lock_order_violations_all") == [(5, 6)]
+    assert run("race_candidates") == sorted((4, *p, pairs.count(p)) for p in set(pairs))
+    assert run("lock_order_violations") == [(5, 6)]
