@@ -86,9 +86,8 @@ class Index:
         if self.by_word.keys().isdisjoint(words):
             return
         step = self.stride
-        hit = {b for i, w in enumerate(words) if w in self.by_word for b in (i // step - 1, i // step) if b >= 0}
-        if len(words) <= 2 * step:
-            hit = {0}
+        # the last block is the first that reaches the end
+        hit = {b for i, w in enumerate(words) if w in self.by_word for b in (i // step - 1, i // step) if b == 0 or 0 < b and (b + 1) * step < len(words)}
         for b in sorted(hit):
             block = set(words[b * step : (b + 2) * step])
             ordered = sorted((w for w in block if w in self.order), key=self.order.__getitem__)
