@@ -144,7 +144,7 @@ def ice_conjunction(spark, sf_dir):
     """Predicates about samples made of parts; what must be dropped has no SQL."""
     k, s = F.col("p_partkey"), F.col("p_size")
     p = load(spark, sf_dir, "part")
-    preds = F.explode(F.sequence(F.lit(0), F.lit(19))).alias("pred")
+    preds = F.explode(F.sequence(F.lit(0), F.lit(69))).alias("pred")
     kind = F.when(k % 11 == 0, "positive").when(k % 13 == 0, "negative").otherwise("state")
     rows = p.select(k.alias("sample"), kind.alias("kind"), s.alias("s"), preds)
     fails = (F.col("s") == F.col("pred")) | ((F.col("s") % 20 == F.col("pred") * 7 % 20) & (F.col("sample") % 11 != 0))
