@@ -24,8 +24,8 @@ RANGE_DIGITS = 3
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix"
-#: Most ranges, of all sources together, whose starts are told to all tasks: some 20 MB.
-PLAN_ROWS = 500_000
+#: Most ranges, of all sources together, whose starts are told to all tasks: some 50 MB.
+PLAN_ROWS = 200_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
