@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
-from factloom.llm import ann_tree, byte_bpe, jaccard_join, license_scan, mixing, quality_pu, quality_rules, token_orc, toxicity, url_reputation
+from factloom.llm import ann_tree, byte_bpe, jaccard_join, license_scan, merkle, mixing, quality_pu, quality_rules, token_orc, toxicity, url_reputation
 
 QUERIES = {
     "op1_token_orc": token_orc.op1_token_orc,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_quality_pu": quality_pu.op8_quality_pu,
     "op9_ann_tree": ann_tree.op9_ann_tree,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLES = {
     "op4_mix_sources": mixing.OP4_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op7_url_reputation": url_reputation.OP7_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
