@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
-from factloom.llm import ann_tree, byte_bpe, jaccard_join, license_scan, merkle, mixing, periodic_runs, quality_pu, quality_rules, token_orc, toxicity, url_reputation
+from factloom.llm import ann_tree, byte_bpe, jaccard_join, license_scan, merkle, mixing, periodic_runs, quality_pu, quality_rules, suffix_dedup, token_orc, toxicity, url_reputation
 
 QUERIES = {
     "op1_token_orc": token_orc.op1_token_orc,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_ann_tree": ann_tree.op9_ann_tree,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES = {
