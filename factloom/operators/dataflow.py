@@ -142,7 +142,8 @@ def ice_conjunction(predicates: DataFrame, implications: DataFrame | None = None
 
     predicates(pred, sample, kind, holds) with kind positive, negative or state; implications(pre, post) between samples: where all
     of the conjunction holds on pre, it must hold on post.  A kept predicate that fails on such a post goes, which can only make
-    more pres hold, so the rounds end in the largest set.  consistent is false if a sample no conjunction can reject is negative.
+    more pres hold, so the rounds end in the largest set.  consistent is false if a negative sample passes the conjunction; where
+    nothing is kept, that verdict stands in a row without a predicate.
     """
     holds = cut(predicates.select("pred", "sample", "kind", "holds").distinct())
     bad = holds.where("kind = 'positive' and not holds").select("pred").distinct()
@@ -156,9 +157,11 @@ def ice_conjunction(predicates: DataFrame, implications: DataFrame | None = None
             break
         size = now
     negative = holds.where("kind = 'negative'")
-    rejected = negative.join(kept, "pred", "left_semi").groupBy("sample").agg(F.some(~F.col("holds")).alias("rejected"))
-    verdict = negative.select("sample").distinct().join(rejected, "sample", "left").agg(F.coalesce(F.every(F.coalesce("rejected", F.lit(False))), F.lit(True)).alias("consistent"))
-    return kept.join(verdict)  # one row joins all
+    rejected = negative.join(kept, "pred", "left_semi").where("not holds").select("sample").distinct()
+    consistent = negative.select("sample").join(rejected, "sample", "left_anti").isEmpty()
+    if not size:
+        return kept.sparkSession.createDataFrame([(consistent,)], "consistent boolean").select(F.lit(None).cast(kept.schema["pred"].dataType).alias("pred"), "consistent")
+    return kept.select("pred", F.lit(consistent).alias("consistent"))
 
 
 def natural_loops(succ: DataFrame, back_edges: DataFrame) -> DataFrame:

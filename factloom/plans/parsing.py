@@ -127,3 +127,30 @@ def repaired_calls(spark, sf_dir):
     rows = load(spark, sf_dir, "part").select(_text("m", _k(), ".py").alias("path"), F.get(texts, (_k() % 4).cast("int")).alias("text"))
     found = python_source.facts(rows, repair=True).where("kind in ('call', 'error')")
     return found.groupBy("path").agg(F.max(F.when(F.col("kind") == "call", F.col("name"))).alias("called"), F.some(F.col("kind") == "error").alias("failed"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS n FROM part)
+SELECT 'src/f' || CAST(k AS VARCHAR) || '.py' AS path, 'buggy' AS side, 'opened' AS called, n + 1 AS changed, false AS failed FROM p
+UNION ALL SELECT 'src/f' || CAST(k AS VARCHAR) || '.py', 'fixed', CASE k % 3 WHEN 0 THEN 'checked' ELSE 'fresh' || CAST(n AS VARCHAR) END, n + 1, false FROM p""")
+def patched_calls(spark, sf_dir):
+    """From patches to facts: what the two sides of each file call first, whose hunks parse alone or only together, and the first changed line.
+
+    Each patch also touches a test and a file of text, which are left aside, and has lines that look like headers of files.
+    """
+    n, c = F.col("p_size"), F.concat
+    head = lambda f: c(F.lit("--- a/"), f, F.lit("\n+++ b/"), f, F.lit("\n"))
+    path = _text("src/f", _k(), ".py")
+    new = F.when(_k() % 3 == 0, "checked").otherwise(_text("fresh", n))
+    whole = c(_text("@@ -", n, ",3 +", n, ",3 @@\n     value = 1\n-"), F.lit("    a = opened(value)\n+    a = "), new, F.lit("(value)\n     return value\n"))
+    first = c(_text("@@ -", n, ",2 +", n, ",2 @@\n     keep = [\n-"), F.lit("        opened(1),\n+        "), new, F.lit("(1),\n"))  # ends inside of a bracket
+    second = F.lit("@@ -90,2 +90,2 @@\n         2,\n     ]\n")
+    noted = F.lit("@@ -120,2 +120,2 @@\n--- old comment\n+++ new comment\n-x = 1\n+x = 2\n")
+    code = F.when(_k() % 2 == 0, whole).otherwise(c(first, second))
+    diff = c(head(path), code, head(F.lit("tests/test_a.py")), F.lit("@@ -1 +1 @@\n-a()\n+b()\n"), head(F.lit("notes.txt")), noted)
+    found = text.parse_patches(load(spark, sf_dir, "part").select(_text("p", _k()).alias("patch"), diff.alias("text")), only_source=True, marks=True)
+    sides = found.select("file", F.explode(F.array(F.struct(F.lit("buggy").alias("side"), F.col("buggy").alias("text"), F.col("buggy_lines").alias("at")), F.struct(F.lit("fixed").alias("side"), F.col("fixed").alias("text"), F.col("fixed_lines").alias("at")))).alias("s"))
+    named = sides.select(c(F.col("s.side"), F.lit(":"), F.col("file")).alias("path"), "s.text", F.get("s.at", F.lit(0)).alias("changed"))
+    facts = python_source.facts(named, repair=True).where("kind in ('call', 'error')")
+    calls = facts.groupBy("path").agg(F.min_by("name", F.struct("line", "col")).alias("called"), F.some(F.col("kind") == "error").alias("failed"))
+    split = F.split("path", ":", 2)
+    return named.select("path", "changed").join(calls, "path", "left").select(F.get(split, F.lit(1)).alias("path"), F.get(split, F.lit(0)).alias("side"), "called", "changed", "failed")

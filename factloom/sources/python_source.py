@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import re
 import textwrap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,8 +59,41 @@ def _forms(text: str) -> Iterator[str]:
     yield _with_bodies(plain)
     yield wrap(plain)
     pieces = [p for p in re.split(r"(?m)^# @@ hunk @@\s*$", re.sub(r"(?m)^(index [0-9a-f]+\.\.[0-9a-f]+|(old|new) mode \d+).*$", "", text)) if p.strip()]
-    if len(pieces) > 1:
-        yield "\n".join(wrap(textwrap.dedent(p.strip("\r\n")), k) for k, p in enumerate(pieces))
+    if pieces and pieces != [text]:
+        dedented = [textwrap.dedent(p.strip("\r\n")) for p in pieces]
+        yield "\n".join(wrap(p, k) for k, p in enumerate(dedented))
+        read = [wrap(x, k) for k, x in enumerate(_readable_groups(pieces, lambda x: _parses(wrap(x))))]
+        if read:
+            yield "\n".join(read)
+
+
+#: Most adjacent pieces that are tried as one.
+PIECES_TOGETHER = 4
+
+
+def _parses(text: str) -> bool:
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+def _readable_groups(pieces: list[str], parses: Callable[[str], bool]) -> list[str]:
+    """Adjacent pieces put together so that as many as possible parse, in as many groups as possible; the rest is left out.
+
+    Groups of at most PIECES_TOGETHER pieces, each tried once: the work grows with the number of pieces.
+    """
+    n = len(pieces)
+    joined = lambda i, j: textwrap.dedent("\n".join(p.strip("\r\n") for p in pieces[i:j]))
+    best: list[tuple[int, int, list[str]]] = [(0, 0, [])] * (n + 1)  # pieces read, groups, texts, from each piece on
+    for i in range(n - 1, -1, -1):
+        best[i] = best[i + 1]
+        for j in range(i + 1, min(n, i + PIECES_TOGETHER) + 1):
+            read, groups, texts = best[j]
+            if (read + j - i, groups + 1) > best[i][:2] and parses(x := joined(i, j)):
+                best[i] = (read + j - i, groups + 1, [x, *texts])
+    return best[0][2]
 
 
 def parse(text: str, repair: bool) -> ast.Module:
@@ -120,14 +153,28 @@ def _facts_of(path: str, tree: ast.Module) -> list[tuple]:
     return rows
 
 
+#: Characters of source whose facts are gathered before they are given on.
+FACTS_BYTES = 4 << 20
+
+
 def facts(texts: DataFrame, repair: bool = False) -> DataFrame:
     """All facts of texts(path, text)."""
 
+    def table(rows):
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
+
     def run(batches):
         for b in batches:
-            rows = [r for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in facts_of(p or "", t or "", repair)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
+            rows, size = [], 0
+            for i in range(b.num_rows):  # one text at a time, so that only the facts of about FACTS_BYTES are held
+                path, text = b.column(0)[i].as_py() or "", b.column(1)[i].as_py() or ""
+                rows += facts_of(path, text, repair)
+                size += len(text)
+                if size >= FACTS_BYTES:
+                    yield table(rows)
+                    rows, size = [], 0
+            yield table(rows)
 
     return texts.select("path", "text").mapInArrow(run, FACTS)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,43 +146,75 @@ def alerts(spark: SparkSession, path: str) -> DataFrame:
 
 HUNK = "patch string, file string, buggy string, fixed string, buggy_lines array<int>, fixed_lines array<int>"
 
+#: Fixed value: the comment that stands between two hunks of a file, by which the repair of pieces finds them.
+HUNK_MARK = "# @@ hunk @@"
 
-def parse_patches(patches: DataFrame) -> DataFrame:
-    """patches(patch, text) of unified diffs -> the old and new text of each file's hunks, and the changed line numbers."""
 
-    def run(batches):
-        import re
+def hunks_of(text: str, marks: bool = False) -> Iterator[tuple[str, list[str], list[str], list[int], list[int]]]:
+    """(file, old lines, new lines, numbers of removed lines, numbers of added lines) of each file of a unified diff.
 
-        import pyarrow as pa
+    A hunk's header tells how many old and new lines follow, so that what a line of it looks like does not matter; headers of files
+    count only outside of hunks.  A hunk that ends early is taken as far as it goes.  With marks, each hunk begins with one.
+    """
+    found = None
+    old = new = old_left = new_left = 0
+    for line in text.removesuffix("\n").split("\n"):
+        if old_left > 0 or new_left > 0:
+            kind, value = line[:1], line[1:]
+            if kind == "\\":
+                continue
+            if kind == "-" and old_left:
+                found[1].append(value)
+                found[3].append(old)
+                old, old_left = old + 1, old_left - 1
+                continue
+            if kind == "+" and new_left:
+                found[2].append(value)
+                found[4].append(new)
+                new, new_left = new + 1, new_left - 1
+                continue
+            if kind in (" ", "") and old_left and new_left:  # an empty line may have lost its space
+                found[1].append(value)
+                found[2].append(value)
+                old, new, old_left, new_left = old + 1, new + 1, old_left - 1, new_left - 1
+                continue
+            old_left = new_left = 0
+        if line.startswith("+++ "):
+            if found is not None:
+                yield found
+            found = (re.sub(r"^b/", "", line[4:].split("\t")[0].strip()), [], [], [], [])
+        elif found is not None and (m := _HUNK_HEAD.match(line)):
+            old, new = int(m[1]), int(m[3])
+            old_left, new_left = int(m[2] or 1), int(m[4] or 1)
+            if marks:
+                found[1].append(HUNK_MARK)
+                found[2].append(HUNK_MARK)
+    if found is not None:
+        yield found
+
+
+_HUNK_HEAD = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+
+
+def parse_patches(patches: DataFrame, only_source: bool = False, marks: bool = False) -> DataFrame:
+    """patches(patch, text) of unified diffs -> the old and new text of each file's hunks, and the changed line numbers.
+
+    only_source leaves Python files that are no tests; with marks the texts can be given to python_source.facts(repair=True).  A text gives as many rows as it names files; a batch of texts is given on
+    before the next is read.
+    """
 
-        rows = []
-        for b in batches:
-            for patch, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cur = None
-                old = new = 0
-                for ln in (text or "").split("\n"):
-                    if ln.startswith("+++ "):
-                        cur = {"patch": patch, "file": re.sub(r"^b/", "", ln[4:].split("\t")[0].strip()), "buggy": [], "fixed": [], "buggy_lines": [], "fixed_lines": []}
-                        rows.append(cur)
-                    elif m := re.match(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@", ln):
-                        old, new = int(m[1]), int(m[2])
-                    elif cur is None or ln.startswith(("--- ", "diff ", "index ", "\\")):
-                        continue
-                    elif ln.startswith("-"):
-                        cur["buggy"].append(ln[1:])
-                        cur["buggy_lines"].append(old)
-                        old += 1
-                    elif ln.startswith("+"):
-                        cur["fixed"].append(ln[1:])
-                        cur["fixed_lines"].append(new)
-                        new += 1
-                    elif ln.startswith(" "):
-                        cur["buggy"].append(ln[1:])
-                        cur["fixed"].append(ln[1:])
-                        old, new = old + 1, new + 1
+    def run(batches):
         types = [pa.string()] * 4 + [pa.list_(pa.int32())] * 2
-        value = lambda r, c: "\n".join(r[c]) if c in ("buggy", "fixed") else r[c]
         names = [x.split()[0] for x in HUNK.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([value(r, c) for r in rows], t) for c, t in zip(names, types, strict=True)], names)
+        for b in batches:
+            for patch, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = [(patch, file, "\n".join(buggy), "\n".join(fixed), *numbers) for file, buggy, fixed, *numbers in hunks_of(text or "", marks)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    found = patches.select("patch", "text").mapInArrow(run, HUNK)
+    if not only_source:
+        return found
+    from factloom.functions.intent import is_test_path
 
-    return patches.select("patch", "text").mapInArrow(run, HUNK)
+    return found.where(F.col("file").endswith(".py") & ~is_test_path(F.col("file")))

@@ -223,6 +223,27 @@ def test_houdini_and_conjunctions(spark):
     assert rows(dataflow.ice_conjunction(p)) == [("p", True)]
 
 
+def test_ice_verdict_without_predicates(spark):
+    both = spark.createDataFrame([("p", 1, "positive", False), ("p", 2, "negative", False)], "pred string, sample int, kind string, holds boolean")
+    assert rows(dataflow.ice_conjunction(both)) == [(None, False)]
+    assert rows(dataflow.ice_conjunction(both.where("kind = 'positive'"))) == [(None, True)]
+
+
+def test_ice_query_at_full_size(spark):
+    from factloom.plans import catalog, registry  # noqa: F401
+
+    sf = "/root/testdata/sf0.01"
+    parts = [(r.p_partkey, r.p_size) for r in registry.load(spark, sf, "part").select("p_partkey", "p_size").collect()]
+    fails = lambda p, k, s: s == p or k % 11 != 0 and (60 <= p <= 64 and k % 13 in (0, 12) or p >= 65 and s % 20 == p * 7 % 20)
+    failed = {k: {p for p in range(70) if fails(p, k, s)} for k, s in parts}
+    kept = set(range(70)) - set().union(*(failed[k] for k in failed if k % 11 == 0))
+    while lost := kept & set().union(*(failed[k + 1] for k in failed if k % 13 != 11 and k % 11 != 0 and not failed[k] & kept and k + 1 in failed)):
+        kept -= lost
+    consistent = all(failed[k] & kept for k in failed if k % 13 == 0 and k % 11 != 0)
+    assert 0 < len(kept) < 70
+    assert rows(registry.QUERIES["ice_conjunction"](spark, sf)) == sorted((p, consistent) for p in kept)
+
+
 def test_type_states(spark):
     t = spark.createDataFrame([(1, ["int"], True, True), (1, ["str"], None, True), (2, ["int"], False, False)], "k int, possible_types array<string>, is_none boolean, initialized boolean")
     assert rows(dataflow.merge_types(t, "k")) == [(1, ["int", "str"], None, True), (2, ["int"], False, False)]

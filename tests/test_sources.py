@@ -34,7 +34,7 @@ def test_python_facts_and_graph(spark):
     assert {r.qname for r in python_source.functions(found).collect()} == {"pkg.run.Runner.go", "pkg.run.Runner.stop", "pkg.run.main", "pkg.util.helper"}
     assert [r.path for r in found.where("kind = 'error'").collect()] == ["bad.py"]
     assert {(r.src, r.dst) for r in python_source.call_graph(found).collect()} >= {("pkg.run.Runner.go", "pkg.run.Runner.stop"), ("pkg.run.Runner.go", "pkg.util.helper"), ("pkg.run", "pkg.run.main")}
-    assert {(r.node, r.reason) for r in python_source.entry_points(found).collect()} == {("pkg.run", "main"), ("pkg.run.main", "name")}
+    assert {(r.node, r.reason) for r in python_source.entry_points(found).collect()} == {("pkg.run", "main"), ("pkg.run", "module"), ("pkg.run.main", "name")}
     assert found.where("kind = 'guard'").count() == 2
 
 
@@ -81,6 +81,29 @@ def test_patches(spark):
     assert len(r) == 1 and (r[0].file, r[0].buggy, r[0].fixed, r[0].buggy_lines, r[0].fixed_lines) == ("x.py", "a\nb\nd", "a\nc\nd", [2], [2])
 
 
+def test_patch_lines_are_counted_not_guessed(spark):
+    p = "--- a/q.py\n+++ b/q.py\n@@ -1,4 +1,4 @@\n a\n--- old comment\n+++ plus line\n-b\n+c\n\n\\ No newline at end of file\n@@ -9 +9,2 @@\n-x\n+y\n+z\ndiff --git a/t.md b/t.md\n--- a/t.md\n+++ b/t.md\n@@ -1 +1 @@\n-1\n+2\n"
+    df = spark.createDataFrame([("p", p)], "patch string, text string")
+    r = {x.file: x for x in text.parse_patches(df).collect()}
+    assert set(r) == {"q.py", "t.md"}
+    q = r["q.py"]
+    assert (q.buggy, q.fixed) == ("a\n-- old comment\nb\n\nx", "a\n++ plus line\nc\n\ny\nz")
+    assert (q.buggy_lines, q.fixed_lines) == ([2, 3, 9], [2, 3, 9, 10])
+    marked = text.parse_patches(df, only_source=True, marks=True).collect()
+    assert [x.file for x in marked] == ["q.py"] and marked[0].fixed.count(text.HUNK_MARK) == 2
+    assert text.parse_patches(spark.createDataFrame([("p", "+++ b/x.py\n@@ -1,9 +1,9 @@\n a\n")], "patch string, text string")).first().buggy == "a"
+
+
+def test_pieces_that_parse_only_together(spark):
+    mark = text.HUNK_MARK
+    code = f"{mark}\n    a = f(\n        1,\n{mark}\n        g(2))\n{mark}\n)) nothing\n{mark}\n  h(3)\n"
+    found = python_source.facts(spark.createDataFrame([("x.py", code)], "path string, text string"), repair=True).where("kind in ('call', 'error')").collect()
+    assert sorted(r.name for r in found) == ["f", "g", "h"]
+    tried = []
+    python_source._readable_groups(["("] * 30, lambda x: tried.append(x) or False)
+    assert len(tried) <= 30 * python_source.PIECES_TOGETHER
+
+
 def test_alerts(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Code injection,d,error,m,/src/a.py,12\n"Odd name",d,warning,"m, with comma",b.py,x\nshort,row\n')
     got = sorted((r.file, r.line, r.bug_type) for r in text.alerts(spark, str(tmp_path / "a.csv")).collect())
