@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import Seen, reachable, spread
+from factloom.operators.lattice import EVERY, INTERVAL, ROWS, fanout, fixpoint
 from factloom.storage import cut, cut_count
 
 
@@ -17,7 +19,10 @@ def must_guards(blocks: DataFrame, succ: DataFrame, gen: DataFrame, compat: bool
     The greatest fixpoint, by its complement: of the guards that some path brings to a block, those that some path lacks are
     found from the entries on, so only guards of the block's own function are ever looked at.  With compat, the least
     fixpoint from empty OUT sets, which loses guards at loop heads.  blocks(block, is_entry), succ(src, dst), gen(block, guard).
+    Where blocks name their function (func), the guards of a block are bits instead, and one loop finds them.
     """
+    if "func" in blocks.columns and not compat:
+        return _named(blocks, *must_bits(blocks, succ, gen.withColumnRenamed("guard", "member"))).withColumnRenamed("member", "guard")
     entry = cut(blocks.where("is_entry").select("block").distinct())
     live = reachable(succ, entry.select(F.col("block").alias("node"))).withColumnRenamed("node", "block")
     edges = cut(succ.select("src", "dst").distinct().join(live.withColumnRenamed("block", "src"), "src", "left_semi"))
@@ -34,6 +39,95 @@ def must_guards(blocks: DataFrame, succ: DataFrame, gen: DataFrame, compat: bool
     return brought.join(lacking, ["block", "guard"], "left_anti")
 
 
+def must_bits(blocks: DataFrame, succ: DataFrame, gen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(held, members): what every path from the entry brings to a block, as bits of the members of its function.
+
+    held(block, word, bits) has a row for each 64 members of the function, and members(func, member, word, place, bit) names the bits.  It is the greatest
+    fixpoint under intersection: blocks that no path has reached yet hold everything, and so have no row.
+    blocks(func, block, is_entry), gen(block, member).
+    """
+    of = blocks.select("func", "block").distinct()
+    own = cut(gen.select("block", "member").join(of, "block").distinct())
+    place = F.row_number().over(Window.partitionBy("func").orderBy("member")) - 1
+    numbered = own.select("func", "member").distinct().withColumn("at", place)
+    members = cut(numbered.select("func", "member", F.shiftright("at", 6).alias("word"), F.expr("at & 63").alias("place"), F.expr("shiftleft(1L, at & 63)").alias("bit")))
+    made = cut(own.join(members, ["func", "member"]).groupBy("block", "word").agg(F.bit_or("bit").alias("made")))
+    edges = cut(succ.select("src", "dst").distinct())
+    start = blocks.where("is_entry").select("func", "block").distinct().join(members.select("func", "word").distinct(), "func")
+
+    def step(f: DataFrame) -> DataFrame:
+        out = f.join(made, ["block", "word"], "left").select("block", "word", F.col("bits").bitwiseOR(F.coalesce("made", F.lit(0))).alias("bits"))
+        return out.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "word", "bits")
+
+    return fixpoint(start.select("block", "word", F.lit(0).cast("long").alias("bits")), step, EVERY, "block", "word", most=fanout(edges)), members
+
+
+def _named(blocks: DataFrame, held: DataFrame, members: DataFrame) -> DataFrame:
+    """(block, member) of must_bits, for blocks that are no entries."""
+    of = blocks.where("not is_entry").select("func", "block").distinct()
+    return held.where("bits <> 0").join(of, "block").join(members, ["func", "word"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("block", "member")
+
+
+class Dominators:
+    """The blocks that every path from the entry to a block passes, itself included.
+
+    blocks(func, block, is_entry), succ(src, dst).  Each block is a member that it makes itself, so the sets are bits of must_bits: a function
+    of n blocks takes n * n / 64 numbers.  Blocks that no path reaches have none.
+    """
+
+    def __init__(self, blocks: DataFrame, succ: DataFrame):
+        self.blocks = cut(blocks.select("func", "block", "is_entry").distinct())
+        self.edges = cut(succ.select("src", "dst").distinct())
+        held, members = must_bits(self.blocks, self.edges, self.blocks.select("block", F.col("block").alias("member")))
+        self.members = members.withColumnRenamed("member", "block")
+        own = self.members.select("block", "word", "bit")
+        self.bits = cut(held.join(own, ["block", "word"], "left").select("block", "word", F.col("bits").bitwiseOR(F.coalesce("bit", F.lit(0))).alias("bits")))
+
+    def depths(self) -> DataFrame:
+        """(block, depth): how many blocks dominate it."""
+        return self.bits.groupBy("block").agg(F.sum(F.bit_count("bits")).alias("depth"))
+
+    def immediate(self) -> DataFrame:
+        """(block, idom, depth): the last block before it on all paths; null for entries.  Dominators of a block are a chain, so it is the deepest other one."""
+        depths = cut(self.depths())
+        place = F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(bits, i) & 1 = 1)"))
+        each = self.bits.join(self.blocks.select("func", "block"), "block").select("func", "block", "word", place.alias("place"))
+        chain = each.join(self.members.select("func", "word", "place", F.col("block").alias("dom")), ["func", "word", "place"]).where("dom <> block").join(depths.toDF("dom", "deep"), "dom")
+        found = chain.groupBy("block").agg(F.max_by("dom", "deep").alias("idom"))
+        return depths.join(found, "block", "left").select("block", "idom", "depth")
+
+    def back_edges(self) -> DataFrame:
+        """(src, header): edges to a block that dominates their source."""
+        to = self.edges.join(self.members.select(F.col("block").alias("dst"), "word", "bit"), "dst")
+        return to.join(self.bits.withColumnRenamed("block", "src"), ["src", "word"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("src", F.col("dst").alias("header"))
+
+
+def changed_in_loops(dominators: Dominators, changes: DataFrame) -> DataFrame:
+    """(block, var): headers of loops and the variables that a block of the loop changes.  changes(block, var)."""
+    body = natural_loops(dominators.edges, dominators.back_edges())
+    return body.join(changes.select("block", "var").distinct(), "block").select(F.col("header").alias("block"), "var").distinct()
+
+
+def loops(dominators: Dominators, stores: DataFrame, compares: DataFrame) -> DataFrame:
+    """(header, back_edges, blocks, modified, compared): every natural loop, loops of one header as one.
+
+    modified are the variables that the sources of its back edges store, or where they store none those of its whole body;
+    compared are those that its header compares.  stores(block, var), compares(block, var).
+    """
+    back = cut(dominators.back_edges())
+    body = cut(natural_loops(dominators.edges, back))
+    kept = lambda df: df.select("block", "var").distinct()
+    names = lambda c: F.array_sort(F.collect_set(c)).alias(c)  # noqa: E731  the variables of one loop
+    counters = back.withColumnRenamed("src", "block").join(kept(stores), "block").select("header", "var").distinct()
+    wider = body.join(counters.select("header").distinct(), "header", "left_anti").join(kept(stores), "block").select("header", "var").distinct()
+    modified = counters.union(wider).groupBy("header").agg(names("var")).withColumnRenamed("var", "modified")
+    compared = kept(compares).withColumnRenamed("block", "header").groupBy("header").agg(names("var")).withColumnRenamed("var", "compared")
+    sizes = body.groupBy("header").agg(F.count("*").alias("blocks"))
+    none = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    found = back.groupBy("header").agg(F.count("*").alias("back_edges")).join(sizes, "header").join(modified, "header", "left").join(compared, "header", "left")
+    return found.select("header", "back_edges", "blocks", none("modified"), none("compared"))
+
+
 def _guards_from_below(inner: DataFrame, edges: DataFrame, own: DataFrame) -> DataFrame:
     inner = cut(inner)
     preds = edges.groupBy(F.col("dst").alias("block")).agg(F.count("*").alias("preds"))
@@ -62,30 +156,59 @@ def bounds_hull(states: DataFrame, *keys: str) -> DataFrame:
     return states.groupBy(*keys).agg(side(F.min, "lo"), side(F.max, "hi"))
 
 
-def bounds(blocks: DataFrame, succ: DataFrame, init: DataFrame, add: DataFrame, widen_after: int = 8) -> DataFrame:
-    """(block, var, lo, hi) on entry: hulls of what predecessors give, a side that still grows after some rounds is lost.
+def bounds(
+    blocks: DataFrame, succ: DataFrame, init: DataFrame, add: DataFrame, widen_after: int = 8, tests: DataFrame | None = None,
+    headers: DataFrame | None = None, thresholds: tuple[int, ...] = (), narrow: int = 0,
+) -> DataFrame:
+    """(block, var, lo, hi) on entry: hulls of what predecessors give; a null side is unbounded.
 
-    init(block, var, lo, hi) sets a variable in a block, add(block, var, delta) shifts it.
+    init(block, var, lo, hi) sets a variable in a block, add(block, var, delta) shifts it, tests(src, dst, var, lo, hi) is what an edge
+    asks of it, one row an edge and variable; what cannot hold is not handed on.  After some rounds a side that still grows is set to the next
+    threshold, or is lost.  That happens at headers(block, var), where given, for the variables that the loop of a header changes (`changed_in_loops`), and
+    everywhere from four times as many rounds on, since loops that have two entries may have no header.  Each of at most `narrow` descending passes then takes the headers' values from what their predecessors give,
+    and finds the other blocks anew from these.
     """
     edges = cut(succ.select("src", "dst").distinct())
-    entry = cut(init.select("block", "var", "lo", "hi").limit(0))
-    turn = 0
-    while True:
-        inside = entry.join(init.select("block", "var"), ["block", "var"], "left_anti").union(init.select("block", "var", "lo", "hi"))
-        out = inside.join(add, ["block", "var"], "left").select("block", "var", (F.col("lo") + F.coalesce("delta", F.lit(0))).alias("lo"), (F.col("hi") + F.coalesce("delta", F.lit(0))).alias("hi"))
-        given = bounds_hull(out.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "var", "lo", "hi"), "block", "var")
-        old = entry.select("block", "var", F.col("lo").alias("l0"), F.col("hi").alias("h0"), F.lit(True).alias("had"))
-        both = given.join(old, ["block", "var"], "left")
-        lower = F.col("had") & (F.col("l0").isNull() | F.col("lo").isNull() | (F.col("lo") < F.col("l0")))
-        upper = F.col("had") & (F.col("h0").isNull() | F.col("hi").isNull() | (F.col("hi") > F.col("h0")))
-        wide = F.lit(turn >= widen_after)
-        lo = F.when(F.col("had").isNull(), F.col("lo")).when(lower, F.when(wide, F.lit(None)).otherwise(F.when(F.col("l0").isNull(), F.lit(None)).otherwise(F.col("lo")))).otherwise(F.col("l0"))
-        hi = F.when(F.col("had").isNull(), F.col("hi")).when(upper, F.when(wide, F.lit(None)).otherwise(F.when(F.col("h0").isNull(), F.lit(None)).otherwise(F.col("hi")))).otherwise(F.col("h0"))
-        nxt = cut(both.select("block", "var", lo.alias("lo"), hi.alias("hi"), (F.col("had").isNull() | ~lo.eqNullSafe(F.col("l0")) | ~hi.eqNullSafe(F.col("h0"))).alias("changed")))
-        entry = nxt.select("block", "var", "lo", "hi")
-        turn += 1
-        if not nxt.where("changed").limit(1).count():
-            return entry
+    heads = None if headers is None else cut(headers.select("block", "var").distinct().withColumn("to_head", F.lit(True)))
+    sets, shifts = cut(init.select("block", "var", "lo", "hi")), cut(add.select("block", "var", "delta"))
+    asked = None if tests is None else cut(tests.select("src", "dst", "var", F.col("lo").alias("least"), F.col("hi").alias("most")))
+
+    def onward(inside: DataFrame) -> DataFrame:
+        plus = lambda c: (F.col(c) + F.coalesce("delta", F.lit(0))).cast("long").alias(c)
+        out = inside.select("block", "var", "lo", "hi").join(shifts, ["block", "var"], "left").select(F.col("block").alias("src"), "var", plus("lo"), plus("hi"))
+        moved = out.join(edges, "src")
+        if asked is not None:
+            moved = moved.join(asked, ["src", "dst", "var"], "left").withColumns({"lo": F.greatest("lo", "least"), "hi": F.least("hi", "most")})  # nulls are left out
+            moved = moved.where(F.col("lo").isNull() | F.col("hi").isNull() | (F.col("lo") <= F.col("hi")))
+        moved = moved.select(F.col("dst").alias("block"), "var", "lo", "hi")
+        moved = moved.withColumn("to_head", F.lit(True)) if heads is None else moved.join(heads, ["block", "var"], "left")
+        return moved.select("block", "var", F.coalesce("to_head", F.lit(False)).alias("head"), "lo", "hi")
+
+    def step(f: DataFrame) -> DataFrame:
+        return onward(f.join(sets.select("block", "var"), ["block", "var"], "left_anti"))
+
+    def next_threshold(side: str, up: bool) -> Column:
+        known = F.array(*map(F.lit, sorted(thresholds, reverse=not up))) if thresholds else F.array().cast("array<bigint>")
+        return F.get(F.filter(known, lambda t: t >= F.col(side) if up else t <= F.col(side)), F.lit(0)).cast("long")
+
+    def widen(turn: int) -> dict[str, Column]:
+        here = (F.col("head") & F.lit(turn >= widen_after)) | F.lit(turn >= 4 * widen_after)
+        grows = lambda c: ~F.col(c).eqNullSafe(F.col(f"was_{c}"))
+        return {c: F.when(here & grows(c), next_threshold(c, c == "hi")).otherwise(F.col(c)) for c in ("lo", "hi")}
+
+    keys = ("block", "var", "head")
+    start, most = cut(onward(sets)), fanout(edges)
+    found = cut(fixpoint(start, step, INTERVAL, *keys, widen=widen, most=most))
+    for _ in range(narrow if headers is not None else 0):
+        given = INTERVAL.joined(start.union(step(found)).where("head"), *keys)
+        old = found.where("head").toDF(*keys, "was_lo", "was_hi")
+        at_heads, fell = cut_count(given.join(old, list(keys)).where("not (lo <=> was_lo and hi <=> was_hi)").select(*keys, "lo", "hi"))
+        if not fell:
+            break
+        fixed = cut(found.where("head").join(at_heads, list(keys), "left_anti").union(at_heads))
+        rest = fixpoint(start.where("not head").union(step(fixed).where("not head")), lambda f: step(f).where("not head"), INTERVAL, *keys, widen=widen, most=most)
+        found = cut(fixed.union(rest))
+    return found.select("block", "var", "lo", "hi")
 
 
 def merge_types(states: DataFrame, *keys: str) -> DataFrame:
@@ -94,25 +217,56 @@ def merge_types(states: DataFrame, *keys: str) -> DataFrame:
     return states.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("possible_types")))).alias("possible_types"), none.alias("is_none"), F.every("initialized").alias("initialized"))
 
 
-def type_states(blocks: DataFrame, succ: DataFrame, stores: DataFrame) -> DataFrame:
+def refined(kind: Column, name: Column, holds: Column, type_: Column, none: Column) -> tuple[Column, Column, Column]:
+    """(feasible, type, none) of a value of a type, of which is known or not (null) whether it is none, behind a test.
+
+    Kinds of tests: `none` (is None), `type` (isinstance of name), `truth`.  A test that is null changes nothing.
+    """
+    is_none, is_type, is_true = kind == "none", kind == "type", kind == "truth"
+    excludes_none = (is_none & ~holds) | (is_type & holds) | (is_true & holds)
+    only_none = (is_none & holds) | (is_type & ~holds & (type_ == name))
+    possible = F.coalesce(
+        F.when(excludes_none, ~F.coalesce(none, F.lit(False))).when(only_none, F.coalesce(none, F.lit(True))), F.lit(True)
+    ) & F.coalesce(F.when(is_type & holds, type_.isNull() | (type_ == name)), F.lit(True))
+    new_type = F.when(is_type & holds, name).otherwise(type_)
+    new_none = F.when(excludes_none, F.lit(False)).when(only_none, F.lit(True)).otherwise(none)
+    return possible, new_type, new_none
+
+
+def type_states(blocks: DataFrame, succ: DataFrame, stores: DataFrame, tests: DataFrame | None = None) -> DataFrame:
     """(block, var, possible_types, is_none, initialized) on a block's entry.
 
     stores(block, var, offset, type, is_none): the last store of a block gives its type to all blocks it reaches without
     another store, where states merge as in merge_types.  What an entry hands on has no type, may be none or not, and counts as
-    initialised; blocks(block, is_entry).
+    initialised; blocks(block, is_entry).  tests(src, dst, var, test, name, holds) refines what an edge hands on, as `refined` says; one row an
+    edge and variable.  A variable that no path can bring has no row.
     """
-    last = stores.groupBy("block", "var").agg(F.max_by(F.struct("type", "is_none"), "offset").alias("s"), F.max("offset").alias("offset"))
-    given = last.select(F.col("block").alias("def_block"), "var", F.col("s.type").alias("type"), F.col("s.is_none").alias("is_none"))
-    reach = reaching_definitions(blocks, succ, stores).select("block", "var", "def_block").join(given, ["def_block", "var"])
-    kills = cut(stores.select("block", "var").distinct())
+    last = stores.groupBy("block", "var").agg(F.max_by(F.struct("type", "is_none"), "offset").alias("s"))
+    kills = cut(last.select("block", "var", "s.type", "s.is_none"))
     edges = cut(succ.select("src", "dst").distinct())
-    entries = blocks.where("is_entry").select("block")
-    variables = reachable_variables(entries, edges, kills)
-    unset = spread(variables, lambda f: f.join(kills, ["block", "var"], "left_anti").join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "var"))
-    none = F.lit(None)
-    rows = reach.select("block", "var", F.array("type").alias("possible_types"), "is_none", F.lit(True).alias("initialized"))
-    rows = rows.unionByName(unset.select("block", "var", F.array().cast("array<string>").alias("possible_types"), none.cast("boolean").alias("is_none"), F.lit(True).alias("initialized")))
-    return merge_types(rows, "block", "var")
+    asked = None if tests is None else cut(tests.select("src", "dst", "var", "test", "name", "holds"))
+
+    def onward(out: DataFrame) -> DataFrame:
+        moved = out.withColumnRenamed("block", "src").join(edges, "src")
+        if asked is not None:
+            moved = moved.join(asked, ["src", "dst", "var"], "left")
+            possible, type_, none = refined(*map(F.col, ("test", "name", "holds", "type", "is_none")))
+            moved = moved.where(possible).withColumns({"type": type_, "is_none": none})
+        return moved.select(F.col("dst").alias("block"), "var", "type", "is_none")
+
+    keys = ("block", "var", "type", "is_none")
+    unset = reachable_variables(blocks.where("is_entry").select("block"), edges, kills.select("block", "var"))
+    unknown = unset.select("block", "var", F.lit(None).cast("string").alias("type"), F.lit(None).cast("boolean").alias("is_none"))
+    atoms = _null_safe(unknown.union(onward(kills)), lambda f: onward(f.join(kills.select("block", "var"), ["block", "var"], "left_anti")), keys, fanout(edges))
+    types = F.when(F.col("type").isNull(), F.array().cast("array<string>")).otherwise(F.array("type"))
+    return merge_types(atoms.select("block", "var", types.alias("possible_types"), "is_none", F.lit(True).alias("initialized")), "block", "var")
+
+
+def _null_safe(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: tuple[str, ...], most: int) -> DataFrame:
+    """A fixpoint of sets of rows whose last two columns may be null: they travel as one structure, which joins take as a whole."""
+    whole = lambda df: df.select(*keys[:2], F.struct(*keys[2:]).alias("value"))
+    apart = lambda df: df.select(*keys[:2], "value.*")
+    return apart(fixpoint(whole(start), lambda f: whole(step(apart(f))), ROWS, *keys[:2], "value", most=most))
 
 
 def reachable_variables(entries: DataFrame, edges: DataFrame, kills: DataFrame) -> DataFrame:

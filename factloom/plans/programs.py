@@ -46,12 +46,99 @@ SELECT block, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1""")
 def value_bounds(spark, sf_dir):
     """Each function's entry sets a number, and every block behind it adds to it."""
     p, s = _short_functions(spark, sf_dir), F.col("p_size")
-    blocks, succ, _ = _flow(p)
+    blocks, succ, _ = _flow(p, 8)
     init = p.where("pos = 0").select("block", F.lit("x").alias("var"), s.cast("long").alias("lo"), s.cast("long").alias("hi"))
     add = p.where("pos > 0").select("block", F.lit("x").alias("var"), (s % 5 - 2).cast("long").alias("delta"))
     return dataflow.bounds(blocks, succ, init, add, widen_after=16).select("block", "lo", "hi")
 
 
+# loops, refinement on edges, widening -----------------------------------------------------------------------------
+
+_DOM = f"""{_FLOW}, nodes AS (SELECT block FROM p UNION SELECT dst FROM succ), start AS (SELECT block FROM p WHERE pos = 0),
+live AS (SELECT block FROM start UNION SELECT dst FROM live JOIN succ ON src = block),
+without AS (SELECT n.block AS d, s.block FROM nodes n JOIN start s ON s.block // 63 = n.block // 63 AND s.block <> n.block UNION
+  SELECT w.d, s.dst FROM without w JOIN succ s ON s.src = w.block WHERE s.dst <> w.d),
+dom AS (SELECT d.block AS d, b.block FROM live d JOIN live b ON d.block // 63 = b.block // 63 WHERE NOT EXISTS (SELECT 1 FROM without w WHERE w.d = d.block AND w.block = b.block)),
+deep AS (SELECT block, count(*) AS depth FROM dom GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_DOM} SELECT e.block, max(d.d) FILTER (x.depth = e.depth - 1) AS idom, e.depth FROM deep e JOIN dom d ON d.block = e.block JOIN deep x ON x.block = d.d GROUP BY e.block, e.depth""")
+def dominators(spark, sf_dir):
+    """The immediate dominator of every block; the oracle takes blocks away and sees what is still reached."""
+    blocks, succ, _ = _flow(_functions(spark, sf_dir))
+    return dataflow.Dominators(blocks, succ).immediate()
+
+
+@query(f"""WITH RECURSIVE {_DOM}, back AS (SELECT s.src, s.dst AS header FROM succ s JOIN dom ON d = s.dst AND block = s.src),
+body AS (SELECT header, src AS block FROM back UNION SELECT header, header FROM back UNION SELECT b.header, s.src FROM body b JOIN succ s ON s.dst = b.block WHERE b.block <> b.header),
+st AS (SELECT block, 'v' || CAST(p_size % 4 AS VARCHAR) AS var FROM p WHERE p_size % 3 <> 1), co AS (SELECT block, 'v' || CAST(p_size % 5 AS VARCHAR) AS var FROM p WHERE p_size % 2 = 0),
+near AS (SELECT DISTINCT header, var FROM back JOIN st ON st.block = src),
+m AS (SELECT * FROM near UNION SELECT header, var FROM body JOIN st USING (block) WHERE header NOT IN (SELECT header FROM near))
+SELECT h.header, (SELECT count(*) FROM back b WHERE b.header = h.header) AS back_edges, (SELECT count(*) FROM body b WHERE b.header = h.header) AS blocks,
+  coalesce((SELECT string_agg(var, ',' ORDER BY var) FROM m WHERE m.header = h.header), '') AS modified, coalesce((SELECT string_agg(var, ',') FROM co WHERE co.block = h.header), '') AS compared
+FROM (SELECT DISTINCT header FROM back) h""")
+def loops(spark, sf_dir):
+    """Loops by the back edges that the dominators show; edges back to a block that does not dominate their source make none."""
+    p, s = _functions(spark, sf_dir), F.col("p_size")
+    blocks, succ, _ = _flow(p)
+    var = lambda n: F.concat(F.lit("v"), (s % n).cast("string")).alias("var")
+    found = dataflow.loops(dataflow.Dominators(blocks, succ), p.where("p_size % 3 <> 1").select("block", var(4)), p.where("p_size % 2 = 0").select("block", var(5)))
+    return found.select("header", "back_edges", "blocks", F.array_join("modified", ",").alias("modified"), F.array_join("compared", ",").alias("compared"))
+
+
+_TESTS = """tests AS (SELECT block AS src, block + 1 AS dst, true AS holds, 'v' || CAST(p_size % 4 AS VARCHAR) AS var, p_size // 3 % 4 AS kind, 't' || CAST(p_size % 5 AS VARCHAR) AS name FROM p WHERE p_size % 3 <> 0
+  UNION ALL SELECT block, block + 1 + p_size % 3, false, 'v' || CAST(p_size % 4 AS VARCHAR), p_size // 3 % 4, 't' || CAST(p_size % 5 AS VARCHAR) FROM p WHERE p_size % 3 <> 0)"""
+_ASKED = lambda out: f"""SELECT dst, var, CASE WHEN kind = 1 AND holds THEN name ELSE t END, CASE WHEN kind = 0 THEN holds WHEN kind = 1 AND holds THEN false WHEN kind = 1 AND t = name THEN true WHEN kind = 2 AND holds THEN false ELSE none END
+  FROM ({out}) WHERE NOT coalesce((kind = 0 AND none <> holds) OR (kind = 1 AND holds AND (t <> name OR none)) OR (kind = 1 AND NOT holds AND t = name AND NOT none) OR (kind = 2 AND holds AND none), false)"""
+_EDGE = lambda of, rest: f"SELECT s.dst, x.var, x.t, x.none, kind, holds, name FROM {of} x JOIN succ s ON s.src = x.block LEFT JOIN tests q ON q.src = s.src AND q.dst = s.dst AND q.var = x.var {rest}"
+
+
+@query(f"""WITH RECURSIVE {_FLOW}, {_TESTS}, d AS (SELECT block, 'v' || CAST(p_size % 4 AS VARCHAR) AS var, 't' || CAST(p_size % 7 AS VARCHAR) AS t, CASE p_size % 3 WHEN 0 THEN p_size % 7 = 0 END AS none FROM p WHERE p_size % 5 < 3),
+e AS (SELECT block AS entry, block FROM p WHERE pos = 0 UNION SELECT entry, dst FROM e JOIN succ ON src = e.block),
+r(block, var, t, none) AS (SELECT DISTINCT entry, var, NULL::VARCHAR, NULL::BOOLEAN FROM e JOIN d USING (block) UNION {_ASKED(_EDGE('d', ''))} UNION
+  {_ASKED(_EDGE('r', 'WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.block = x.block AND d.var = x.var)'))})
+SELECT block, var, coalesce(string_agg(DISTINCT t, ',' ORDER BY t), '') AS types, CASE WHEN count(none) = count(*) AND bool_and(none) = bool_or(none) THEN bool_or(none) END AS is_none FROM r GROUP BY ALL""")
+def refined_types(spark, sf_dir):
+    """Types behind tests for none, for a type and for truth: what holds on one branch of a block does not on the other."""
+    p, s = _functions(spark, sf_dir), F.col("p_size")
+    blocks, succ, _ = _flow(p)
+    text = lambda x, n: F.concat(F.lit(x), (s % n).cast("string"))
+    stores = p.where("p_size % 5 < 3").select("block", text("v", 4).alias("var"), s.alias("offset"), text("t", 7).alias("type"), F.when(s % 3 == 0, s % 7 == 0).alias("is_none"))
+    kind = F.get(F.array(*map(F.lit, ("none", "type", "truth"))), (F.floor(s / 3) % 4).cast("int"))
+    edge = lambda far, holds: p.where("p_size % 3 <> 0").select(F.col("block").alias("src"), (F.col("block") + far).alias("dst"), text("v", 4).alias("var"), kind.alias("test"), text("t", 5).alias("name"), F.lit(holds).alias("holds"))
+    tests = edge(F.lit(1), True).union(edge(1 + s % 3, False))
+    return dataflow.type_states(blocks, succ, stores, tests).select("block", "var", F.array_join("possible_types", ",").alias("types"), "is_none")
+
+
+#: Edges of the nested loops of a part, (from, to): 1 heads the loop over i, 3 that over j, 4 and 5 count, 6 is the exit.
+_NEST = ((0, 1), (1, 2), (1, 6), (2, 3), (3, 4), (3, 5), (4, 3), (5, 1))
+
+
+@query("""WITH RECURSIVE f AS (SELECT p_partkey * 8 AS base, p_size % 7 AS i0, p_size % 3 AS j0, CASE WHEN p_partkey % 2 = 0 THEN 8 + p_size % 10 ELSE 200 + p_size END AS n, CASE WHEN p_partkey % 2 = 0 THEN 3 + p_size % 6 ELSE 3 END AS m FROM part),
+s AS (SELECT base, 1 AS here, i0 AS i, NULL::BIGINT AS j FROM f UNION
+  SELECT s.base, CASE here WHEN 1 THEN CASE WHEN i < n THEN 2 ELSE 6 END WHEN 2 THEN 3 WHEN 3 THEN CASE WHEN j < m THEN 4 ELSE 5 END WHEN 4 THEN 3 ELSE 1 END, CASE here WHEN 5 THEN i + 1 ELSE i END, CASE here WHEN 2 THEN j0 WHEN 4 THEN j + 1 ELSE j END
+  FROM s JOIN f USING (base) WHERE here < 6)
+SELECT base + here AS block, var, min(v) AS lo, max(v) AS hi FROM (SELECT base, here, 'i' AS var, i AS v FROM s UNION ALL SELECT base, here, 'j', j FROM s) WHERE v IS NOT NULL GROUP BY ALL""")
+def loop_bounds(spark, sf_dir):
+    """Two counters in nested loops, each part's with its own bounds; the oracle runs the loops step by step.
+
+    Loops of 200 turns and more are widened after two rounds, and the guards of the loops bring the bounds back.
+    """
+    k, s, c = F.col("p_partkey"), F.col("p_size"), F.col
+    even = k % 2 == 0
+    f = load(spark, sf_dir, "part").select((k * 8).alias("base"), (s % 7).cast("long").alias("i0"), (s % 3).cast("long").alias("j0"), F.when(even, 8 + s % 10).otherwise(200 + s).cast("long").alias("n"), F.when(even, 3 + s % 6).otherwise(3).cast("long").alias("m"))
+    none = F.lit(None).cast("long")
+    edge = lambda a, b, var, lo, hi: F.struct((c("base") + a).alias("src"), (c("base") + b).alias("dst"), F.lit(var).alias("var"), lo.alias("lo"), hi.alias("hi"))
+    asked = F.array(edge(1, 2, "i", none, c("n") - 1), edge(1, 6, "i", c("n"), none), edge(3, 4, "j", none, c("m") - 1), edge(3, 5, "j", c("m"), none))
+    succ = f.select(F.explode(F.array(*(F.struct((c("base") + a).alias("src"), (c("base") + b).alias("dst")) for a, b in _NEST))).alias("e")).select("e.*")
+    blocks = f.select(F.floor(c("base") / 8).alias("func"), F.explode(F.sequence("base", c("base") + 6)).alias("block"), c("base")).select("func", "block", (c("block") == c("base")).alias("is_entry"))
+    tests = f.select(F.explode(asked).alias("e")).select("e.*")
+    init = f.select("base", F.lit("i").alias("var"), c("i0").alias("v")).union(f.select(c("base") + 2, F.lit("j"), "j0")).select(c("base").alias("block"), "var", c("v").alias("lo"), c("v").alias("hi"))
+    add = f.select((c("base") + 4).alias("block"), F.lit("j").alias("var"), F.lit(1).alias("delta")).union(f.select(c("base") + 5, F.lit("i"), F.lit(1)))
+    headers = dataflow.changed_in_loops(dataflow.Dominators(blocks, succ), init.select("block", "var").union(add.select("block", "var")))
+    return dataflow.bounds(blocks, succ, init, add, widen_after=2, tests=tests, headers=headers, narrow=3)
+
+
 @query(f"""WITH RECURSIVE {_FLOW}, {_DEFS}, {_REACH}, g AS (SELECT DISTINCT guard FROM gen), free AS (SELECT block, guard FROM p CROSS JOIN g WHERE pos = 0 UNION
   SELECT dst, f.guard FROM free f JOIN succ ON src = f.block WHERE NOT EXISTS (SELECT 1 FROM gen WHERE gen.block = f.block AND gen.guard = f.guard)),
 m AS (SELECT b.block, count(*) AS n FROM (SELECT DISTINCT dst AS block FROM succ) b CROSS JOIN g WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.block = b.block AND f.guard = g.guard) GROUP BY 1),

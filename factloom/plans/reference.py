@@ -565,10 +565,10 @@ def cycle_exists(spark, sf_dir):
     return graph.has_cycle(ft.part_edges(spark, sf_dir))
 
 
-# dataflow: all parts as blocks, in functions of 60 with branches ahead ---------------------------------------------
+# dataflow: all parts as blocks, in functions of 60 with branches ahead and back ------------------------------------
 
 _FLOW = """p AS (SELECT p_partkey + p_partkey // 60 * 3 AS block, p_partkey % 60 AS pos, p_size FROM part),
-succ AS (SELECT block AS src, block + 1 + p_size % 3 AS dst FROM p UNION SELECT block, block + 1 FROM p),
+succ AS (SELECT block AS src, block + 1 + p_size % 3 AS dst FROM p UNION SELECT block, block + 1 FROM p UNION SELECT block, block - 1 - p_size % 6 FROM p WHERE pos >= 8 AND p_size % 7 = 0),
 gen AS (SELECT block, 'g' || CAST(p_size % 5 AS VARCHAR) AS guard FROM p WHERE p_size % 2 = 0)"""
 
 
@@ -578,10 +578,13 @@ def _functions(spark, sf_dir, most: int = 60):
     return load(spark, sf_dir, "part").select((k + F.floor(k / most) * 3).alias("block"), (k % most).alias("pos"), "p_size")
 
 
-def _flow(p):
+def _flow(p, most: int = 60):
+    """Blocks with those behind the last ones, edges ahead and, in long functions, back, and guards."""
     k, s = F.col("block"), F.col("p_size")
-    succ = p.select(k.alias("src"), (k + 1 + s % 3).alias("dst")).union(p.select(k, k + 1)).distinct()
-    blocks = p.select(k, (F.col("pos") == 0).alias("is_entry"))
+    back = p.where("pos >= 8 and p_size % 7 = 0").select(k, k - 1 - s % 6)
+    succ = p.select(k.alias("src"), (k + 1 + s % 3).alias("dst")).union(p.select(k, k + 1)).union(back).distinct()
+    exits = succ.select(F.col("dst").alias("block"), F.lit(False).alias("is_entry")).join(p.select("block"), "block", "left_anti")
+    blocks = p.select(k, (F.col("pos") == 0).alias("is_entry")).union(exits).distinct().withColumn("func", F.floor(k / (most + 3)))
     gen = p.where("p_size % 2 = 0").select(k, F.concat(F.lit("g"), (s % 5).cast("string")).alias("guard"))
     return blocks, succ, gen
 

@@ -66,7 +66,7 @@ def test_edges_hold_every_part(spark, sf):
 # dataflow: functions of 60 blocks, three numbers left for exits
 
 ID = {k: k + k // 60 * 3 for k in SIZES}
-SUCC = {(ID[k], ID[k] + d) for k, s in SIZES.items() for d in (1, 1 + s % 3)}
+SUCC = {(ID[k], ID[k] + d) for k, s in SIZES.items() for d in (1, 1 + s % 3)} | {(ID[k], ID[k] - 1 - s % 6) for k, s in SIZES.items() if k % 60 >= 8 and s % 7 == 0}
 GEN = {ID[k]: {f"g{s % 5}"} for k, s in SIZES.items() if s % 2 == 0}
 
 
