@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import reachable, recursive_nodes, spread, strong_components
-from factloom.storage import cut
+from factloom.operators.graph import FEW, STEPS, Seen, reachable, recursive_nodes, spread, strong_components
+from factloom.storage import cut, cut_count
 
 RESULT = -1
 
@@ -50,6 +50,67 @@ def in_contexts(calls: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return spread(seeds.select("func", none.alias("context"), "label"), step)
 
 
+#: The fact that always holds, from which sources make others: no variable and no label.
+ZERO = ("", 0)
+_FACT = ["func", "in_var", "in_label", "node", "var", "label"]
+
+
+def tabulated(functions: DataFrame, edges: DataFrame, statements: DataFrame, calls: DataFrame, args: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(func, in_var, in_label, node, var, label): the tainted variables at each node, for each input that a function is entered with.
+
+    A function is looked at once for each tainted input, whoever hands it over, and what it returns for that input is used at all
+    such calls: rows at its exit are its summary.  Only what some call hands over is looked at, from seeds(func, var, label) on; the fact ZERO, an
+    empty variable with label 0, stands for no taint, and every seeded or called function is entered with it too.  Calls and returns
+    match, so taint that one caller hands over does not come back to another, whatever the depth of calls or recursion.
+
+    functions(func, entry, exit, result); edges(src, dst) lead from node to node inside a function, from a call to what follows it;
+    statements(node, kind, target, value) with at most one row a node: `copy` gives the labels of the variable value to target, `source` the label
+    value, `clean` none.  All kinds, and calls, kill what target had.  calls(node, callee, target), args(node, var, param).
+    """
+    flow = cut(edges.select("src", "dst").distinct())
+    done = cut(statements.select(F.col("node").alias("src"), "kind", "target", F.col("value").cast("string").alias("value")))
+    sites = cut(calls.select("node", "callee", "target").distinct())
+    killed = cut(done.select(F.col("src").alias("node"), F.col("target").alias("var")).union(sites.select("node", "target").where("target is not null")))
+    whole = functions.select("func", "entry", "exit", "result").distinct()
+    # what a call hands over: (node, var) -> (callee, param), the fact ZERO as itself
+    hand = args.select("node", "var", "param").union(sites.select("node", F.lit("").alias("var"), F.lit("").alias("param")))
+    hand = cut(sites.join(hand, "node").join(whole.select(F.col("func").alias("callee"), "entry"), "callee").select("node", "var", "callee", "param", "entry", "target").distinct())
+    ends = cut(whole.select(F.col("func").alias("callee"), F.col("exit").alias("node"), F.col("result").alias("var")))
+
+    def inside(f: DataFrame) -> DataFrame:
+        stay = f.join(killed, ["node", "var"], "left_anti")
+        made = f.join(done, F.col("node") == F.col("src"))
+        copied = made.where("kind = 'copy' and value = var").select(*_FACT[:4], F.col("target").alias("var"), "label")
+        sprung = made.where("kind = 'source' and var = ''").select(*_FACT[:4], F.col("target").alias("var"), F.col("value").cast("long").alias("label"))
+        moved = stay.select(*_FACT).union(copied).union(sprung)
+        return moved.join(flow, F.col("node") == F.col("src")).select(*_FACT[:3], F.col("dst").alias("node"), "var", "label")
+
+    def handed(f: DataFrame) -> DataFrame:
+        return f.join(hand, ["node", "var"])
+
+    def returned(callers: DataFrame, found: DataFrame) -> DataFrame:
+        out = found.select(F.col("func").alias("callee"), F.col("in_var").alias("param"), F.col("in_label").alias("in_l"), "node", "var", F.col("label").alias("out"))
+        out = out.join(ends, ["callee", "node", "var"]).select("callee", "param", "in_l", "out")
+        met = handed(callers).where("target is not null").withColumnRenamed("label", "in_l").join(out, ["callee", "param", "in_l"])
+        back = met.select(*_FACT[:4], F.col("target").alias("var"), F.col("out").alias("label"))
+        return back.join(flow, F.col("node") == F.col("src")).select(*_FACT[:3], F.col("dst").alias("node"), "var", "label")
+
+    zero = F.lit(ZERO[0]).alias("var"), F.lit(ZERO[1]).cast("long").alias("label")
+    first = seeds.select("func", "var", F.col("label").cast("long").alias("label")).union(seeds.select("func", *zero)).join(whole, "func")
+    frontier, rows = cut_count(first.select("func", F.col("var").alias("in_var"), F.col("label").alias("in_label"), F.col("entry").alias("node"), "var", "label").distinct())
+    seen = Seen(frontier)
+    while rows:
+        entered = handed(frontier).select(F.col("callee").alias("func"), F.col("param").alias("in_var"), F.col("label").alias("in_label"), F.col("entry").alias("node"), F.col("param").alias("var"), "label")
+        made, ahead = entered.union(returned(frontier, seen.all())).union(returned(seen.all(), frontier)), frontier
+        for _ in range(STEPS if rows <= FEW else 1):
+            ahead = inside(ahead).distinct()
+            made = made.union(ahead)
+        frontier, rows = cut_count(made.distinct().join(seen.all(), _FACT, "left_anti"))
+        if rows:
+            seen.add(frontier)
+    return seen.all()
+
+
 def project(calls: DataFrame, entries: DataFrame, direct: DataFrame, passes: DataFrame, returns: DataFrame, functions: DataFrame) -> DataFrame:
     """(func, is_entry, is_reachable, is_recursive, n_flows): what an analysis of a whole project knows of each function before it looks for bugs.
 

@@ -52,6 +52,50 @@ def value_bounds(spark, sf_dir):
     return dataflow.bounds(blocks, succ, init, add, widen_after=16).select("block", "lo", "hi")
 
 
+#: A function of each part, of six nodes: a source, a copy, a call, a kill or a copy, a sink, the exit; half a dozen branches by its size.
+_PROGRAM = """fn AS (SELECT p_partkey AS func, p_size AS s, p_partkey * 8 AS base, CASE WHEN p_partkey % 12 + 1 + p_size % 4 < 12 AND p_partkey + 1 + p_size % 4 < (SELECT max(p_partkey) FROM part) THEN p_partkey + 1 + p_size % 4 END AS callee FROM part),
+flow AS (SELECT base + k AS src, base + k + 1 AS dst FROM fn CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(k) UNION SELECT base + 1, base + 4 FROM fn WHERE s % 4 = 0 UNION SELECT base + 4, base + 1 FROM fn WHERE s % 6 = 0),
+stm AS (SELECT base AS node, 'source' AS kind, 'b' AS target, CAST(1 + s % 3 AS VARCHAR) AS value FROM fn WHERE s % 5 = 0 UNION ALL SELECT base + 1, CASE WHEN s % 2 = 0 THEN 'copy' ELSE 'clean' END, 'c', 'a' FROM fn
+  UNION ALL SELECT base + 3, CASE WHEN s % 7 = 0 THEN 'clean' ELSE 'copy' END, CASE WHEN s % 7 = 0 THEN 'r' ELSE 'c' END, 'b' FROM fn WHERE s % 7 < 2),
+res AS (SELECT func, CASE WHEN s % 2 = 0 THEN 'r' ELSE 'c' END AS result, base + 5 AS exit_ FROM fn),
+arg AS (SELECT base + 2 AS node, callee, ['b', 'c', 'a'][1 + s % 3] AS var FROM fn WHERE callee IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_PROGRAM}, st AS (
+  SELECT [] :: STRUCT(func BIGINT, iv VARCHAR, il BIGINT, node BIGINT)[] AS stack, func, v.v AS iv, v.l AS il, base AS node, v.v AS var, v.l AS label FROM fn CROSS JOIN (VALUES ('', 0), ('a', 9)) AS v(v, l) WHERE s % 9 = 0 UNION
+  (SELECT st.stack, st.func, iv, il, f.dst, st.var, st.label FROM st JOIN flow f ON f.src = st.node
+     WHERE NOT EXISTS (SELECT 1 FROM stm WHERE stm.node = st.node AND stm.target = st.var) AND NOT (st.var = 'r' AND EXISTS (SELECT 1 FROM arg WHERE arg.node = st.node))
+   UNION ALL SELECT st.stack, st.func, iv, il, f.dst, stm.target, CASE WHEN kind = 'source' THEN CAST(value AS BIGINT) ELSE st.label END FROM st JOIN stm ON stm.node = st.node JOIN flow f ON f.src = st.node
+     WHERE (kind = 'copy' AND value = st.var) OR (kind = 'source' AND st.var = '')
+   UNION ALL SELECT list_append(st.stack, struct_pack(func := st.func, iv := iv, il := il, node := st.node)), arg.callee, CASE WHEN st.var = '' THEN '' ELSE 'a' END, st.label, arg.callee * 8, CASE WHEN st.var = '' THEN '' ELSE 'a' END, st.label
+     FROM st JOIN arg ON arg.node = st.node AND (st.var = '' OR arg.var = st.var)
+   UNION ALL SELECT stack[:-2], stack[-1].func, stack[-1].iv, stack[-1].il, stack[-1].node + 1, 'r', st.label FROM st JOIN res ON res.func = st.func AND res.exit_ = st.node AND res.result = st.var WHERE len(stack) > 0))
+SELECT DISTINCT func, iv AS in_var, il AS in_label, node, var, label FROM st WHERE var <> '' AND node % 8 = 4""")
+def taint_by_input(spark, sf_dir):
+    """Taint at the sink of every function, apart for each input that it is called with; the oracle runs every call with a stack of its own.
+
+    Calls go down inside of modules of 12 functions.
+    """
+    c, f = F.col, F
+    size = load(spark, sf_dir, "part").agg(F.max("p_partkey").alias("most"))  # one row
+    k, s = c("p_partkey"), c("p_size")
+    fits = (k % 12 + 1 + s % 4 < 12) & (k + 1 + s % 4 < c("most"))
+    fn = load(spark, sf_dir, "part").join(F.broadcast(size)).select(k.alias("func"), s.alias("s"), (k * 8).alias("base"), F.when(fits, k + 1 + s % 4).alias("callee"))
+    at, s = lambda i: c("base") + i, c("s")
+    edges = fn.select(F.explode(F.array(*(F.struct(at(i).alias("src"), at(i + 1).alias("dst")) for i in range(5)))).alias("e")).select("e.*")
+    edges = edges.union(fn.where("s % 4 = 0").select(at(1), at(4))).union(fn.where("s % 6 = 0").select(at(4), at(1)))
+    clean = s % 7 == 0
+    stm = fn.where("s % 5 = 0").select(at(0).alias("node"), f.lit("source").alias("kind"), f.lit("b").alias("target"), (1 + s % 3).cast("string").alias("value"))
+    stm = stm.union(fn.select(at(1), F.when(s % 2 == 0, "copy").otherwise("clean"), f.lit("c"), f.lit("a")))
+    stm = stm.union(fn.where("s % 7 < 2").select(at(3), F.when(clean, "clean").otherwise("copy"), F.when(clean, "r").otherwise("c"), f.lit("b")))
+    functions = fn.select("func", at(0).alias("entry"), at(5).alias("exit"), F.when(s % 2 == 0, "r").otherwise("c").alias("result"))
+    made = fn.where("callee is not null")
+    calls = made.select(at(2).alias("node"), "callee", f.lit("r").alias("target"))
+    args = made.select(at(2).alias("node"), F.get(F.array(*map(F.lit, "bca")), (s % 3).cast("int")).alias("var"), f.lit("a").alias("param"))
+    seeds = fn.where("s % 9 = 0").select("func", f.lit("a").alias("var"), f.lit(9).alias("label"))
+    return summaries.tabulated(functions, edges, stm, calls, args, seeds).where("var <> '' and node % 8 = 4")
+
+
 # loops, refinement on edges, widening -----------------------------------------------------------------------------
 
 _DOM = f"""{_FLOW}, nodes AS (SELECT block FROM p UNION SELECT dst FROM succ), start AS (SELECT block FROM p WHERE pos = 0),
