@@ -78,12 +78,13 @@ def tabulated(functions: DataFrame, edges: DataFrame, statements: DataFrame, cal
     ends = cut(whole.select(F.col("func").alias("callee"), F.col("exit").alias("node"), F.col("result").alias("var")))
 
     def inside(f: DataFrame) -> DataFrame:
-        stay = f.join(killed, ["node", "var"], "left_anti")
-        made = f.join(done, F.col("node") == F.col("src"))
-        copied = made.where("kind = 'copy' and value = var").select(*_FACT[:4], F.col("target").alias("var"), "label")
-        sprung = made.where("kind = 'source' and var = ''").select(*_FACT[:4], F.col("target").alias("var"), F.col("value").cast("long").alias("label"))
-        moved = stay.select(*_FACT).union(copied).union(sprung)
-        return moved.join(flow, F.col("node") == F.col("src")).select(*_FACT[:3], F.col("dst").alias("node"), "var", "label")
+        made = f.join(killed.withColumn("gone", F.lit(True)), ["node", "var"], "left").join(done, F.col("node") == F.col("src"), "left").drop("src")
+        fact = lambda var, label: F.struct(var.alias("var"), label.alias("label"))
+        kept = F.when(F.col("gone").isNull(), fact(F.col("var"), F.col("label")))
+        copied = F.when((F.col("kind") == "copy") & (F.col("value") == F.col("var")), fact(F.col("target"), F.col("label")))
+        sprung = F.when((F.col("kind") == "source") & (F.col("var") == ""), fact(F.col("target"), F.col("value").try_cast("long")))
+        moved = made.select(*_FACT[:4], F.explode(F.array_compact(F.array(kept, copied, sprung))).alias("fact"))
+        return moved.join(flow, F.col("node") == F.col("src")).select(*_FACT[:3], F.col("dst").alias("node"), "fact.var", "fact.label")
 
     def handed(f: DataFrame) -> DataFrame:
         return f.join(hand, ["node", "var"])
@@ -103,7 +104,7 @@ def tabulated(functions: DataFrame, edges: DataFrame, statements: DataFrame, cal
         entered = handed(frontier).select(F.col("callee").alias("func"), F.col("param").alias("in_var"), F.col("label").alias("in_label"), F.col("entry").alias("node"), F.col("param").alias("var"), "label")
         made, ahead = entered.union(returned(frontier, seen.all())).union(returned(seen.all(), frontier)), frontier
         for _ in range(STEPS if rows <= FEW else 1):
-            ahead = inside(ahead).distinct()
+            ahead = inside(ahead)
             made = made.union(ahead)
         frontier, rows = cut_count(made.distinct().join(seen.all(), _FACT, "left_anti"))
         if rows:
