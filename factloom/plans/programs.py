@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import intent, scoring, taint
-from factloom.operators import baseline, concurrency, contracts, dataflow, graph, matching, scans, summaries
+from factloom.operators import baseline, concurrency, contracts, dataflow, graph, matching, proofs, ranking, resume, scans, summaries
 from factloom.plans import facts as ft
 from factloom.plans.reference import _ACC, _FLOW, _SUM, _accesses, _callee, _flow, _functions
 from factloom.plans.registry import load, query
+from factloom.storage import scratch
 
 # composed analyses ------------------------------------------------------------------------------------------------
 
@@ -496,3 +497,101 @@ def merged_states(spark, sf_dir):
     text = lambda p, n: F.concat(F.lit(p), (e % n).cast("string"))
     rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("k"), (F.col("event_type") == "error").alias("untrusted"), (F.col("event_type") == "click").alias("sensitive"), F.array(text("l", 4)).alias("labels"), F.array(F.lit("all"), text("s", 3)).alias("sanitizers"))
     return taint.merge_states(rows, "k").select("k", "untrusted", "sensitive", F.array_join("labels", ",").alias("labels"), F.array_join("sanitizers", ",").alias("sanitizers"))
+
+
+# cheap proofs -----------------------------------------------------------------------------------------------------
+
+_VARS = ("batch_size", "n_items", "x", "result", "self", "handle", "count", "idx", "obj_ref", "total", "", "width")
+_FUNCS = ("test_run", "_load", "__len__", "get_rows", "run", "__call__", "update", "fit", "demo_case", "solve")
+_KINDS = ("DIV_ZERO", "NULL_PTR", "BOUNDS", "VALUE_ERROR", "KEY_ERROR", "RUNTIME_ERROR")
+_PREDS = ("positive", "nonnegative", "nullable", "nonnull", "inbounds", "nonempty", "nonzero")
+_PICK = lambda of, key: f"list_extract([{', '.join(repr(v) for v in of)}], CAST(({key}) % {len(of)} + 1 AS INT))"
+_VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows)
+_NAMED = lambda rows, test: " ".join(f"WHEN {test.format(p)} THEN {v}" for p, v in rows)
+
+
+@query(f"""WITH b AS (SELECT event_id AS bug, user_id AS func, {_PICK(_KINDS, 'event_id // 7')} AS t, {_PICK(_VARS, 'event_id')} AS var, {_PICK(_FUNCS, 'user_id')} AS name FROM events),
+u AS (SELECT DISTINCT user_id AS func FROM events),
+re AS (SELECT func, 0 AS ord, {_PICK(_VARS, 'func')} AS var, {_PICK(_PREDS, 'func')} AS pred, 0.95 AS strength FROM u WHERE func % 3 = 0 UNION ALL SELECT func, 1, {_PICK(_VARS, 'func // 2')}, {_PICK(_PREDS, 'func // 5')}, 0.9 FROM u),
+w(t, pred, factor) AS (VALUES {_VALUES(proofs.PREDICATES)}),
+p1 AS (SELECT bug, arg_min(struct_pack(c := strength * factor), ord).c AS c FROM b JOIN re USING (func) JOIN w ON w.t = b.t AND w.pred = re.pred WHERE b.var = re.var OR b.var = 'param_' || re.var GROUP BY 1),
+ob AS (SELECT {_PICK(_VARS, 'event_id')} AS var, CASE WHEN event_id % 12 IN (3, 4) THEN 'nonnull' WHEN value > 15 THEN 'nonzero' ELSE 'other' END AS prop FROM events),
+h AS (SELECT var, prop, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY var) AS share FROM ob GROUP BY 1, 2),
+p2 AS (SELECT bug, share AS c FROM b JOIN h USING (var) WHERE n >= 5 AND ((t = 'DIV_ZERO' AND prop = 'nonzero' AND share >= 0.9) OR (t = 'NULL_PTR' AND prop = 'nonnull' AND share >= 0.95))),
+i AS (SELECT func, {_PICK(_VARS, 'func // 3')} AS var, CASE WHEN func % 5 <> 0 THEN func % 7 - 2 END AS lo, func % 7 + 4 AS hi FROM u),
+p3 AS (SELECT bug, CASE WHEN t = 'DIV_ZERO' THEN 1.0 ELSE 0.9 END AS c FROM b JOIN i USING (func, var) WHERE (t = 'DIV_ZERO' AND (coalesce(lo > 0, false) OR hi < 0)) OR (t = 'BOUNDS' AND lo >= 0)),
+g AS (SELECT func, {_PICK(_VARS, 'func // 4')} AS var, {_PICK(('NONE_CHECK', 'ZERO_CHECK', 'BOUNDS_CHECK', 'TYPE_CHECK'), 'func')} AS guard FROM u WHERE func % 2 = 0),
+ow AS (SELECT func, {_PICK(_VARS, 'func // 6')} AS var FROM u WHERE func % 5 = 1),
+p4 AS (SELECT bug, CASE WHEN EXISTS (SELECT 1 FROM ow WHERE ow.func = b.func AND ow.var = b.var) THEN 1.0 ELSE 0.95 END AS c FROM b WHERE t = 'NULL_PTR' AND
+  (EXISTS (SELECT 1 FROM ow WHERE ow.func = b.func AND ow.var = b.var) OR EXISTS (SELECT 1 FROM g WHERE g.func = b.func AND g.var = b.var AND guard = 'NONE_CHECK'))),
+s AS (SELECT bug, CASE WHEN (t, guard) IN (('DIV_ZERO', 'ZERO_CHECK'), ('NULL_PTR', 'NONE_CHECK')) THEN 0.95 WHEN (t, guard) = ('BOUNDS', 'BOUNDS_CHECK') THEN 0.9 WHEN guard IS NOT NULL THEN 0.75 WHEN b.func % 3 = 1 AND t = 'KEY_ERROR' THEN 0.85 ELSE 0.4 END * 0.30
+  + CASE WHEN var = '' THEN 0.5 WHEN t IN ('DIV_ZERO', 'BOUNDS') THEN CASE {_NAMED(proofs.SIZE_NAMES, "contains(var, '{}')")} WHEN var = 'x' THEN 0.5 ELSE 0.55 END
+    WHEN t = 'NULL_PTR' THEN CASE {_NAMED(proofs.OBJECT_NAMES, "regexp_matches(var, '^{}(_|$)')")} WHEN var = 'x' THEN 0.5 ELSE 0.55 END WHEN var = 'x' THEN 0.5 ELSE 0.55 END * 0.20
+  + CASE name WHEN 'test_run' THEN 0.9 WHEN 'demo_case' THEN 0.9 WHEN '_load' THEN 0.8 WHEN '__len__' THEN 0.9 WHEN '__call__' THEN 0.75 WHEN 'get_rows' THEN 0.7 ELSE 0.6 END * 0.25
+  + CASE t WHEN 'VALUE_ERROR' THEN 0.7 WHEN 'KEY_ERROR' THEN 0.55 WHEN 'BOUNDS' THEN 0.55 WHEN 'NULL_PTR' THEN 0.6 ELSE 0.65 END * 0.15
+  + (0.5 + CASE WHEN b.func % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN b.func % 3 = 0 THEN 0.1 ELSE 0 END + CASE WHEN b.func % 4 = 0 THEN 0.05 ELSE 0 END) * 0.10 AS q FROM b LEFT JOIN g USING (func, var)),
+p5 AS (SELECT bug, q * 0.7 / (q * 0.7 + (1 - q) * 0.3) AS c FROM s),
+a AS (SELECT bug, 1 AS o, 'refinement_types' AS k, c FROM p1 WHERE c > 0.8 UNION ALL SELECT bug, 2, 'likely_invariants', c FROM p2 WHERE c > 0.85 UNION ALL SELECT bug, 3, 'interval_analysis', c FROM p3
+  UNION ALL SELECT bug, 4, 'separation_logic', c FROM p4 UNION ALL SELECT bug, 5, 'stochastic_barriers', c FROM p5 WHERE c > 0.7)
+SELECT bug, coalesce(arg_min(k, o), 'none') AS technique, round(CAST(coalesce(arg_min(c, o), 0) AS DOUBLE), 6) AS confidence FROM b LEFT JOIN a USING (bug) GROUP BY 1""")
+def proof_cascade(spark, sf_dir):
+    """The first of five proofs for each event as a reported bug; every one of them decides some."""
+    c = F.col
+    pick = lambda of, key: F.element_at(F.array(*map(F.lit, of)), (key % len(of) + 1).cast("int"))
+    part = lambda key, n: F.floor(key / n)
+    events, e, f = load(spark, sf_dir, "events"), c("event_id"), c("func")
+    bugs = events.select(e.alias("bug"), pick(_KINDS, part(e, 7)).alias("bug_type"), pick(_VARS, e).alias("var"), c("user_id").alias("func"), pick(_FUNCS, c("user_id")).alias("name"))
+    funcs = events.select(c("user_id").alias("func")).distinct()
+    refined = funcs.where(f % 3 == 0).select("func", F.lit(0).alias("ordinal"), pick(_VARS, f).alias("var"), pick(_PREDS, f).alias("predicate"), F.lit(0.95).alias("strength"))
+    refined = refined.union(funcs.select("func", F.lit(1), pick(_VARS, part(f, 2)), pick(_PREDS, part(f, 5)), F.lit(0.9)))
+    seen = events.select(pick(_VARS, e).alias("var"), F.when((e % 12).isin(3, 4), "nonnull").when(c("value") > 15, "nonzero").otherwise("other").alias("prop"))
+    ranges = funcs.select("func", pick(_VARS, part(f, 3)).alias("var"), F.when(f % 5 != 0, f % 7 - 2).alias("lo"), (f % 7 + 4).alias("hi"))
+    guards = funcs.where(f % 2 == 0).select("func", pick(_VARS, part(f, 4)).alias("var"), pick(("NONE_CHECK", "ZERO_CHECK", "BOUNDS_CHECK", "TYPE_CHECK"), f).alias("guard"))
+    owned = funcs.where(f % 5 == 1).select("func", pick(_VARS, part(f, 6)).alias("var"))
+    guarded = funcs.where(f % 3 == 1).select("func", F.lit("KEY_ERROR").alias("bug_type"))
+    traits = funcs.select("func", (f % 2 == 0).alias("handles"), (f % 3 == 0).alias("raises"), (f % 4 == 0).alias("loops"))
+    found = {
+        "refinement_types": proofs.by_refinement(bugs, refined), "likely_invariants": proofs.by_habit(bugs, proofs.habits(seen)), "interval_analysis": proofs.by_interval(bugs, ranges),
+        "separation_logic": proofs.by_ownership(bugs, owned, guards), "stochastic_barriers": proofs.chances(bugs, guards, guarded, traits),
+    }
+    return proofs.cascade(bugs, found).withColumn("confidence", F.round("confidence", 6))
+
+
+# loops that end, scans that go on ---------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT l_partkey AS loop, l_orderkey * 10 + l_linenumber AS id, l_quantity - 3 AS i, l_linenumber AS j, l_partkey % 4 AS kind, l_suppkey FROM lineitem),
+s AS (SELECT loop, id, i, j, CASE WHEN kind = 0 THEN i - 1 WHEN kind = 3 AND l_suppkey % 50 = 0 THEN i + 1 WHEN j > 1 THEN i ELSE i - 1 END AS i2, CASE WHEN kind = 0 THEN j + 1 WHEN j > 1 THEN j - 1 ELSE 7 END AS j2, kind FROM t),
+m AS (SELECT loop, id, CASE WHEN kind = 1 THEN 2 * i + 2 * kind ELSE i + 2 * kind END AS a, CASE WHEN kind = 1 THEN 2 * i2 + 2 * kind ELSE i2 + 2 * kind END AS a2, CASE WHEN kind > 0 THEN j END AS b, CASE WHEN kind > 0 THEN j2 END AS b2 FROM s),
+v AS (SELECT loop, id, a >= 0 AND coalesce(b >= 0, true) AS ok, CASE WHEN a2 <> a THEN a2 < a ELSE coalesce(b2 < b, false) END AS falls FROM m)
+SELECT loop, bool_and(ok AND falls) AS terminates, bool_and(ok) AS bounded, bool_and(falls) AS decreasing, count(*) AS n, min(id) FILTER (NOT ok) AS unbounded_at, min(id) FILTER (NOT falls) AS not_decreasing_at FROM v GROUP BY 1""")
+def ranking_verdicts(spark, sf_dir):
+    """Turns of loops over one or two counters, made of lines; some loops turn the wrong way, some fall below zero."""
+    c = F.col
+    kind = c("l_partkey") % 4
+    i, j = (c("l_quantity") - 3).cast("double"), c("l_linenumber").cast("double")
+    i2 = F.when(kind == 0, i - 1).when((kind == 3) & (c("l_suppkey") % 50 == 0), i + 1).when(j > 1, i).otherwise(i - 1)
+    j2 = F.when(kind == 0, j + 1).when(j > 1, j - 1).otherwise(F.lit(7.0))
+    state = lambda a, b: F.create_map(F.lit("i"), a, F.lit("j"), b)
+    lines = load(spark, sf_dir, "lineitem")
+    turns = lines.select(c("l_partkey").alias("loop"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), state(i, j).alias("before"), state(i2, j2).alias("after"))
+    loops = lines.select(c("l_partkey").alias("loop")).distinct().withColumn("kind", c("loop") % 4)
+    outer = loops.select("loop", F.lit(0).alias("level"), (2 * c("kind")).cast("double").alias("constant"), F.create_map(F.lit("i"), F.when(c("kind") == 1, 2.0).otherwise(1.0)).alias("weights"))
+    inner = loops.where("kind > 0").select("loop", F.lit(1), F.lit(0.0), F.create_map(F.lit("j"), F.lit(1.0)))
+    return ranking.verdicts(outer.union(inner), turns)
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, r.r AS revision, 'm' || CAST(p_partkey AS VARCHAR) || '.py' AS path, CASE WHEN p_partkey % 10 = r.r THEN NULL WHEN r.r < p_size % 4 THEN p_name ELSE p_name || ' eval(x)' END AS text FROM part CROSS JOIN (VALUES (1), (2), (3)) AS r(r)),
+n AS (SELECT path, text, min(revision) AS at FROM f WHERE text IS NOT NULL GROUP BY 1, 2)
+SELECT f.revision, f.path, CASE WHEN contains(f.text, 'eval(') THEN 'BUG' WHEN f.text IS NOT NULL THEN 'SAFE' END AS verdict, CASE WHEN n.at <= 2 THEN 'first' WHEN n.at = 3 THEN 'second' END AS run FROM f LEFT JOIN n ON n.path = f.path AND n.text = f.text""")
+def resumed_scans(spark, sf_dir):
+    """Three revisions of each part's file, scanned in two runs: the second analyses only what the first had not seen."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    r = F.col("revision")
+    files = load(spark, sf_dir, "part").withColumn("revision", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    text = F.when(k % 10 == r, F.lit(None)).when(r < s % 4, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" eval(x)")))
+    files = files.select("revision", F.concat(F.lit("m"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+    analyse = lambda run: lambda part: part.select("path", "content", F.when(F.col("text").contains("eval("), "BUG").otherwise("SAFE").alias("verdict"), F.lit(run).alias("run"))
+    store = scratch(spark, "scans")
+    resume.scan(files.where("revision < 3"), analyse("first"), store, 2)
+    return resume.scan(files, analyse("second"), store, 2).select("revision", "path", "verdict", "run")
