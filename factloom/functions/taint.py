@@ -30,6 +30,13 @@ SANITIZER_SINKS = {
     "REGEX_UUID": "SQL_EXECUTE FILE_PATH HTTP_REQUEST", "REGEX_FILEPATH": "FILE_PATH SQL_EXECUTE", "REGEX_URL_PATH": "HTTP_REQUEST REDIRECT_URL",
     "REGEX_SLUG": "SQL_EXECUTE FILE_PATH HTTP_REQUEST REDIRECT_URL", "REGEX_HEX": "SQL_EXECUTE FILE_PATH COMMAND_SHELL", "REGEX_BASE64": "SQL_EXECUTE FILE_PATH",
 }
+# The operands of an instruction whose labels its result joins; the index of a store, the callee and imports give none.
+TRANSFERS = (
+    ("binary", "left"), ("binary", "right"), ("compare", "left"), ("compare", "right"), ("unary", "operand"), ("subscript", "container"), ("subscript", "index"),
+    ("store_subscript", "container"), ("store_subscript", "value"), ("attribute", "object"), ("store_attribute", "object"), ("store_attribute", "value"), ("call", "argument"), ("call", "summary"),
+    ("contains", "container"), ("contains", "item"), ("format", "value"), ("format", "spec"), ("build_string", "part"), ("build_collection", "element"), ("build_map", "key"), ("build_map", "value"),
+    ("unpack", "sequence"), ("extend", "target"), ("extend", "source"),
+)
 DESERIALIZE, LAST_INJECTION_SINK = 10, 17
 KAPPA_ALL = (1 << 32) - 1
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import Seen, reachable, spread
-from factloom.operators.lattice import EVERY, INTERVAL, ROWS, fanout, fixpoint
+from factloom.operators.lattice import EVERY, INTERVAL, ROWS, Lattice, fanout, fixpoint
 from factloom.storage import cut, cut_count
 
 
@@ -348,6 +348,51 @@ def path_states(blocks: DataFrame, succ: DataFrame, gen: DataFrame, rounds: int
     return seen.all().withColumn("truncated", F.lit(True))
 
 
+def _minimal(sets: Column) -> Column:
+    """Of sets of names those that hold no other."""
+    own = F.array_sort(F.array_distinct(sets))
+    holds = lambda s, t: (t != s) & (F.size(F.array_except(t, s)) == 0)
+    return F.filter(own, lambda s: ~F.exists(own, lambda t: holds(s, t)))
+
+
+#: Families of sets of which none holds another, under union: what every path has, in as few sets as that takes.
+LEAST_SETS = Lattice((("sets", lambda c, those: F.coalesce(_minimal(F.flatten(F.collect_set(F.when(those, F.col(c))))), F.array().cast("array<array<string>>"))),))
+
+
+def least_path_sets(blocks: DataFrame, succ: DataFrame, gen: DataFrame) -> DataFrame:
+    """(block, sets): of the sets of guards that paths from the entry gather on a block's entry, those that hold no other.
+
+    A path with more guards than another can only be guarded better, so it is left aside: a block has a chain of incomparable sets instead
+    of all sets of guards.  blocks(block, is_entry), gen(block, guard).
+    """
+    own = cut(gen.groupBy("block").agg(F.array_sort(F.collect_set("guard")).alias("own")))
+    edges = cut(succ.select("src", "dst").distinct())
+
+    def step(f: DataFrame) -> DataFrame:
+        none = F.array().cast("array<string>")
+        out = f.join(own, "block", "left").select("block", _minimal(F.transform("sets", lambda s: F.array_sort(F.array_union(s, F.coalesce("own", none))))).alias("sets"))
+        return out.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "sets")
+
+    start = blocks.where("is_entry").select("block", F.array(F.array().cast("array<string>")).alias("sets"))
+    return fixpoint(start, step, LEAST_SETS, "block", most=fanout(edges))
+
+
+def guarded_by_any(blocks: DataFrame, succ: DataFrame, gen: DataFrame, asked: DataFrame) -> DataFrame:
+    """(block, ask, on_all, on_any): whether every path to a block, and whether some path, has one of the guards asked for.
+
+    asked(ask, guards), a fixed number of questions; blocks that no path reaches have no row.
+    """
+    least = least_path_sets(blocks, succ, gen)
+    edges = cut(succ.select("src", "dst").distinct())
+    ahead = lambda f: f.join(edges, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "guard")
+    live = least.select("block")
+    met = fixpoint(ahead(gen.select("block", "guard").distinct().join(live, "block", "left_semi")), ahead, ROWS, "block", "guard", most=fanout(edges))
+    asks = F.broadcast(asked.select("ask", "guards"))
+    some = met.join(asks, F.array_contains("guards", F.col("guard"))).select("block", "ask").distinct().withColumn("any", F.lit(True))
+    every = least.join(asks).select("block", "ask", F.forall("sets", lambda s: F.arrays_overlap(s, F.col("guards"))).alias("on_all"))
+    return every.join(some, ["block", "ask"], "left").select("block", "ask", "on_all", F.coalesce("any", F.lit(False)).alias("on_any"))
+
+
 def guarded_on_paths(states: DataFrame, guard: str) -> DataFrame:
     """(block, on_all, on_any): whether every or some path to a block holds a guard.  Truncated states raise: they would answer wrongly."""
     held = F.when(F.col("truncated"), F.raise_error(F.lit("path states are truncated"))).otherwise(F.array_contains("guards", guard))

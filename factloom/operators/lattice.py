@@ -35,7 +35,8 @@ class Lattice:
         """The join of the values of each key."""
         if not self.joins:
             return rows.select(*keys).distinct()
-        return rows.groupBy(*keys).agg(*(f(c, F.lit(True)).alias(c) for c, f in self.joins))
+        rows = rows.withColumnsRenamed({c: f"own_{c}" for c in self.columns})
+        return rows.groupBy(*keys).agg(*(f(f"own_{c}", F.lit(True)).alias(c) for c, f in self.joins))
 
 
 def only(f: Callable[[Column], Column]) -> Aggregate:
@@ -101,7 +102,8 @@ def _grown(came: DataFrame, known: DataFrame, lattice: Lattice, keys: tuple[str,
     """The keys whose value grows by what came, with the new value."""
     both = came.withColumn("came", F.lit(True)).union(known.withColumn("came", F.lit(False)))
     old = ~F.col("came")
-    joins = [x for c, f in lattice.joins for x in (f(c, F.lit(True)).alias(c), f(c, old).alias(f"was_{c}"))]
+    both = both.withColumns({f"own_{c}": F.col(c) for c in lattice.columns})  # a name that no aggregate takes
+    joins = [x for c, f in lattice.joins for x in (f(f"own_{c}", F.lit(True)).alias(c), f(f"own_{c}", old).alias(f"was_{c}"))]
     groups = both.groupBy(*keys).agg(*joins, F.bool_or("came").alias("came"), F.bool_or(old).alias("had"))
     grew = reduce(Column.__or__, (~F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in lattice.columns))
     fresh = groups.where(F.col("came") & (~F.col("had") | grew))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import taint
 from factloom.operators.graph import FEW, STEPS, Seen, reachable, recursive_nodes, spread, strong_components
+from factloom.operators.lattice import Lattice, fanout, fixpoint, only
 from factloom.storage import cut, cut_count
 
 RESULT = -1
@@ -112,6 +114,25 @@ def tabulated(functions: DataFrame, edges: DataFrame, statements: DataFrame, cal
     return seen.all()
 
 
+#: Labels under their join; the clean label is its least value.
+LABELS = Lattice((("tau", only(F.bit_or)), ("kappa", only(F.bit_and)), ("sigma", only(F.bit_or))))
+
+
+def transferred(instructions: DataFrame, operands: DataFrame, known: DataFrame) -> DataFrame:
+    """(value, tau, kappa, sigma): the label of what each instruction makes, from those of its operands by the rules of taint.TRANSFERS.
+
+    instructions(value, op), operands(value, role, of) name what a value is made of, known(value, tau, kappa, sigma) are the labels of
+    sources; other values are clean, and so are the results of instructions without a rule.  Values may depend on each other in loops.
+    """
+    rules = F.broadcast(instructions.sparkSession.createDataFrame(list(taint.TRANSFERS), "op string, role string"))
+    uses = cut(operands.join(instructions.select("value", "op"), "value").join(rules, ["op", "role"]).select("of", F.col("value").alias("to")).distinct())
+    step = lambda f: f.join(uses, F.col("value") == F.col("of")).select(F.col("to").alias("value"), "tau", "kappa", "sigma")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    found = fixpoint(known.select("value", *map(long, LABELS.columns)), step, LABELS, "value", most=fanout(uses, "of"))
+    clean = lambda c, v: F.coalesce(c, F.lit(v).cast("long")).alias(c)
+    return instructions.select("value").join(found, "value", "left").select("value", clean("tau", 0), clean("kappa", taint.KAPPA_ALL), clean("sigma", 0))
+
+
 def project(calls: DataFrame, entries: DataFrame, direct: DataFrame, passes: DataFrame, returns: DataFrame, functions: DataFrame) -> DataFrame:
     """(func, is_entry, is_reachable, is_recursive, n_flows): what an analysis of a whole project knows of each function before it looks for bugs.
 

@@ -595,3 +595,48 @@ def resumed_scans(spark, sf_dir):
     store = scratch(spark, "scans")
     resume.scan(files.where("revision < 3"), analyse("first"), store, 2)
     return resume.scan(files, analyse("second"), store, 2).select("revision", "path", "verdict", "run")
+
+
+# sets of guards, instructions -------------------------------------------------------------------------------------
+
+_ASKS = [(f"g{i}", [f"g{i}"]) for i in range(5)] + [("g0|g1", ["g0", "g1"]), ("g2|g3|g4", ["g2", "g3", "g4"])]
+
+
+@query(f"""WITH RECURSIVE {_FLOW}, g AS (SELECT block, bit_or(1 << CAST(substr(guard, 2) AS INT)) AS own FROM gen GROUP BY 1),
+st AS (SELECT block, 0 AS bits FROM p WHERE pos = 0 UNION SELECT s.dst, st.bits | coalesce(g.own, 0) FROM st LEFT JOIN g USING (block) JOIN succ s ON s.src = st.block),
+a(ask, mask) AS (VALUES {', '.join(f"('{n}', {sum(1 << int(x[1]) for x in of)})" for n, of in _ASKS)})
+SELECT block, ask, bool_and(bits & mask <> 0) AS on_all, bool_or(bits & mask <> 0) AS on_any FROM st CROSS JOIN a GROUP BY ALL""")
+def guarded_by_any(spark, sf_dir):
+    """All five guards, one by one and in two groups of which one is enough; the oracle follows all sets of guards."""
+    blocks, succ, gen = _flow(_functions(spark, sf_dir))
+    return dataflow.guarded_by_any(blocks, succ, gen, spark.createDataFrame(_ASKS, "ask string, guards array<string>"))
+
+
+#: An instruction, and what its operands are: the value before, and the one before that.
+_CODE = (
+    ("binary", "left", "right"), ("subscript", "container", "index"), ("attribute", "object", "name"), ("call", "callee", "argument"), ("format", "value", "spec"), ("store_subscript", "index", "value"),
+    ("compare", "left", "right"), ("call", "argument", "summary"), ("unpack", "sequence", "count"), ("import", "name", "level"), ("build_map", "key", "value"), ("nothing", "left", "right"),
+)
+_GIVES = [((op, a) in taint.TRANSFERS, (op, b) in taint.TRANSFERS) for op, a, b in _CODE]
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT p_partkey AS k, p_partkey // 40 AS g, p_partkey % 40 AS pos, p_size AS s FROM part),
+r(op, one, two) AS (VALUES {', '.join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(_GIVES))}),
+x AS (SELECT g, pos, CASE WHEN s % 9 = 0 THEN 1 << (s % 5) ELSE 0 END AS t0, CASE WHEN s % 9 = 0 THEN {taint.KAPPA_ALL} - (1 << (s % 7)) ELSE {taint.KAPPA_ALL} END AS k0, CASE WHEN s % 9 = 0 THEN 1 << (s % 3) ELSE 0 END AS s0, s % 9 = 0 AS known, one, two FROM v JOIN r ON r.op = s % 12),
+f AS (SELECT g, pos, t0 AS t1, k0 AS k1, s0 AS s1, 0::BIGINT AS t2, {taint.KAPPA_ALL}::BIGINT AS k2, 0::BIGINT AS s2 FROM x WHERE pos = 0 UNION ALL
+  SELECT x.g, x.pos, CASE WHEN known THEN t0 ELSE CASE WHEN one THEN t1 ELSE 0 END | CASE WHEN two THEN t2 ELSE 0 END END,
+    CASE WHEN known THEN k0 ELSE CASE WHEN one THEN k1 ELSE {taint.KAPPA_ALL} END & CASE WHEN two THEN k2 ELSE {taint.KAPPA_ALL} END END,
+    CASE WHEN known THEN s0 ELSE CASE WHEN one THEN s1 ELSE 0 END | CASE WHEN two THEN s2 ELSE 0 END END, t1, k1, s1 FROM f JOIN x ON x.g = f.g AND x.pos = f.pos + 1)
+SELECT g * 40 + pos AS value, t1 AS tau, k1 AS kappa, s1 AS sigma FROM f""")
+def instruction_labels(spark, sf_dir):
+    """Each part is an instruction over the two before it, in bodies of 40; every ninth size is a source instead."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    p = load(spark, sf_dir, "part")
+    code = F.element_at(F.array(*(F.struct(*map(F.lit, x)) for x in _CODE)), (s % 12 + 1).cast("int"))
+    made = p.where("p_size % 9 <> 0").select(k.alias("value"), code.alias("c"))
+    near = lambda role, far: made.where(F.col("value") % 40 >= far).select("value", F.col("c")[role].alias("role"), (F.col("value") - far).alias("of"))
+    operands = near("col2", 1).union(near("col3", 2))
+    bit = lambda n: F.expr(f"shiftleft(1L, cast(p_size % {n} as int))")
+    known = p.where("p_size % 9 = 0").select(k.alias("value"), bit(5).alias("tau"), (F.lit(taint.KAPPA_ALL) - bit(7)).alias("kappa"), bit(3).alias("sigma"))
+    instructions = p.select(k.alias("value"), F.when(s % 9 == 0, "source").otherwise(code["col1"]).alias("op"))
+    return summaries.transferred(instructions, operands, known)

@@ -156,3 +156,26 @@ def test_refinement(spark):
     df = spark.createDataFrame([(i, *asked, *value) for i, (asked, value, _) in enumerate(CASES)], "i int, test string, name string, holds boolean, type string, none boolean")
     possible, type_, none = dataflow.refined(*map(F.col, df.columns[1:]))
     assert rows(df.where(possible).select("i", type_, none)) == sorted(((i, *want) for i, (*_, want) in enumerate(CASES) if want), key=repr)
+
+
+def test_least_sets_of_paths(spark):
+    """A diamond in a loop: one arm has a, the other a and b, so the second path is left aside; c comes behind."""
+    blocks, succ = graph(spark, [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 0), (3, 5)])
+    gen = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (4, "c")], "block long, guard string")
+    got = {r.block: r.sets for r in dataflow.least_path_sets(blocks, succ, gen).collect()}
+    assert got == {0: [[]], 1: [[]], 2: [[]], 3: [["a"]], 4: [["a"]], 5: [["a"]]}
+    asked = spark.createDataFrame([("b", ["b"]), ("ab", ["a", "b"]), ("c", ["c"])], "ask string, guards array<string>")
+    flags = {(r.block, r.ask): (r.on_all, r.on_any) for r in dataflow.guarded_by_any(blocks, succ, gen, asked).collect()}
+    assert flags[5, "b"] == (False, True) and flags[5, "ab"] == (True, True) and flags[5, "c"] == (False, True) and flags[0, "ab"] == (False, True)
+
+
+def test_labels_of_instructions(spark):
+    from factloom.functions.taint import KAPPA_ALL
+    from factloom.operators import summaries
+
+    made = spark.createDataFrame([("s", "binary"), ("t", "store_subscript"), ("u", "call"), ("v", "import"), ("w", "build_string"), ("x", "binary")], "value string, op string")
+    uses = [("s", "left", "a"), ("s", "right", "b"), ("t", "index", "a"), ("t", "value", "c"), ("u", "callee", "a"), ("u", "argument", "s"), ("v", "name", "a"), ("w", "part", "u"), ("w", "part", "x"), ("x", "left", "w"), ("x", "right", "c")]
+    known = spark.createDataFrame([("a", 1, KAPPA_ALL - 1, 0), ("b", 2, KAPPA_ALL - 2, 4)], "value string, tau long, kappa long, sigma long")
+    got = rows(summaries.transferred(made, spark.createDataFrame(uses, "value string, role string, of string"), known))
+    both = (3, KAPPA_ALL - 3, 4)
+    assert got == [("s", *both), ("t", 0, KAPPA_ALL, 0), ("u", *both), ("v", 0, KAPPA_ALL, 0), ("w", *both), ("x", *both)]
