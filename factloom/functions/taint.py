@@ -130,6 +130,14 @@ def results_of_calls(args: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def merge_states(states: DataFrame, *keys: str) -> DataFrame:
-    """Join of the two-flag model: flags or, labels unite, sanitizers intersect.  states(seq, untrusted, sensitive, labels, sanitizers)."""
-    common = F.aggregate(F.collect_list("sanitizers"), F.min("sanitizers"), lambda a, x: F.array_intersect(a, x))
-    return states.groupBy(*keys).agg(F.some("untrusted").alias("untrusted"), F.some("sensitive").alias("sensitive"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"), F.array_sort(common).alias("sanitizers"))
+    """Join of the two-flag model: flags or, labels unite, sanitizers intersect.  states(untrusted, sensitive, labels, sanitizers).
+
+    Labels and sanitizers are counted one by one, so no list of a group's rows is made; keys are not null.
+    """
+    flags = states.groupBy(*keys).agg(F.some("untrusted").alias("untrusted"), F.some("sensitive").alias("sensitive"), F.count("*").alias("rows"))
+    each = lambda c: states.select(*keys, F.explode(F.array_distinct(c)).alias("x")).groupBy(*keys, "x").agg(F.count("*").alias("n"))
+    listed = lambda df, c: df.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias(c))  # noqa: E731  different ones of a group
+    of_all = each("sanitizers").join(flags.select(*keys, "rows"), list(keys)).where("n = rows")
+    none = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    out = flags.join(listed(each("labels"), "labels"), list(keys), "left").join(listed(of_all, "sanitizers"), list(keys), "left")
+    return out.select(*keys, "untrusted", "sensitive", none("labels"), none("sanitizers"))

@@ -45,9 +45,9 @@ def race_counts(accesses: DataFrame, before: DataFrame) -> DataFrame:
 
 def lock_order_violations(orders: DataFrame) -> DataFrame:
     """(a, b): locks taken in both orders.  orders(thread, locks)."""
-    at = orders.select(F.struct("thread", "locks").alias("run"), F.posexplode("locks").alias("pos", "lock"))
-    x, y = at.alias("x"), at.alias("y")
-    first = x.join(y, (F.col("x.run") == F.col("y.run")) & (F.col("x.pos") < F.col("y.pos")) & (F.col("x.lock") != F.col("y.lock"))).select(F.col("x.lock").alias("a"), F.col("y.lock").alias("b")).distinct()
+    later = lambda lock, i: F.transform(F.slice("locks", i + 2, F.size("locks")), lambda other: F.struct(lock.alias("a"), other.alias("b")))
+    pairs = F.array_distinct(F.flatten(F.transform("locks", later)))  # of one thread, in its row
+    first = orders.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
     return first.intersect(first.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a < b")
 
 

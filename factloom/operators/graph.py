@@ -74,14 +74,19 @@ def reachable(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst): pairs joined by a path of one edge or more; paths double in length each round."""
-    paths, size = cut_count(edges.select("src", "dst").distinct())
-    while True:
-        step = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        paths, now = cut_count(paths.union(step).distinct())
-        if now == size:
-            return paths
-        size = now
+    """(src, dst): pairs joined by a path of one edge or more; paths double in length each round.
+
+    Only paths that are new are joined, on either side, with what is known.  The result has a row for every pair: ask `reachable` for few sources.
+    """
+    new, rows = cut_count(edges.select("src", "dst").distinct())
+    seen = Seen(new)
+    joined = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
+    while rows:
+        step = joined(new, seen.all()).union(joined(seen.all(), new)).distinct()
+        new, rows = cut_count(step.join(seen.all(), ["src", "dst"], "left_anti"))
+        if rows:
+            seen.add(new)
+    return seen.all()
 
 
 def trim(edges: DataFrame) -> tuple[DataFrame, int]:

@@ -82,13 +82,16 @@ def classify_signatures(scans: DataFrame, error_policy: str = "all") -> DataFram
 def resolve_calls(external: DataFrame, functions: DataFrame) -> DataFrame:
     """(src, name, target): exact qualified name, else dotted suffix (the smallest), else a unique simple name.
 
-    All stages are joins on equal keys: a dotted name meets the functions with its last part.
+    All stages are joins on equal keys.  A function has a row for each of its dotted suffixes, and those of one suffix are reduced to the
+    smallest before they are shuffled, so a name that very many functions and calls share is no product of the two.
     """
     simple = lambda c: F.element_at(F.split(c, r"\."), -1)
     f = functions.select("qname", simple(F.col("qname")).alias("simple"))
     names = external.select("name").distinct().withColumn("simple", simple(F.col("name")))
     exact = names.join(f.select(F.col("qname").alias("exact")).distinct(), F.col("name") == F.col("exact"), "left")
-    dotted = names.where(F.col("name").contains(".")).join(f, "simple").where(F.col("qname").endswith(F.concat(F.lit("."), F.col("name")))).groupBy("name").agg(F.min("qname").alias("suffix"))
+    parts = F.split("qname", r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+    dotted = f.where(F.size(parts) > 2).select("qname", F.explode(ends).alias("name")).groupBy("name").agg(F.min("qname").alias("suffix"))
     unique = f.groupBy("simple").agg(F.count("*").alias("n"), F.min("qname").alias("only")).where("n = 1")
     known = exact.join(dotted, "name", "left").join(unique, "simple", "left")
     target = F.coalesce("exact", "suffix", F.when(~F.col("name").contains("."), F.col("only")))

@@ -76,9 +76,8 @@ def cross_tab(rows: DataFrame, by: str, column: str, values: list[str]) -> DataF
 
 def best(table: DataFrame, score: str) -> DataFrame:
     """Rows by falling score; ties for the best are marked."""
-    from pyspark.sql import Window
-
-    return table.withColumn("is_best", F.rank().over(Window.orderBy(F.desc(score))) == 1)
+    most = table.agg(F.max(score).alias("_most"))  # one row
+    return table.join(F.broadcast(most)).withColumn("is_best", F.col(score).eqNullSafe(F.col("_most"))).drop("_most")
 
 
 def type_statistics(findings: DataFrame) -> DataFrame:

@@ -244,6 +244,14 @@ def test_ice_query_at_full_size(spark):
     assert rows(registry.QUERIES["ice_conjunction"](spark, sf)) == sorted((p, consistent) for p in kept)
 
 
+def test_one_name_of_very_many_functions_and_calls(spark):
+    n = 100_000
+    known = spark.range(n).selectExpr("concat('pkg.m', id, '.get') as qname")
+    calls = spark.range(n).selectExpr("concat('f', id) as src", "concat('m', id, '.get') as name").union(spark.range(n).selectExpr("concat('g', id) as src", "'get' as name"))
+    found = matching.resolve_calls(calls, known)
+    assert found.where("target = concat('pkg.', name)").count() == n and found.where("target is null").count() == n
+
+
 def test_type_states(spark):
     t = spark.createDataFrame([(1, ["int"], True, True), (1, ["str"], None, True), (2, ["int"], False, False)], "k int, possible_types array<string>, is_none boolean, initialized boolean")
     assert rows(dataflow.merge_types(t, "k")) == [(1, ["int", "str"], None, True), (2, ["int"], False, False)]
