@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import intent, scoring, taint
-from factloom.operators import baseline, concurrency, contracts, dataflow, graph, matching, proofs, ranking, resume, scans, summaries
+from factloom.operators import baseline, concurrency, contracts, dataflow, environments, graph, matching, proofs, ranking, resume, scans, summaries
 from factloom.plans import facts as ft
 from factloom.plans.reference import _ACC, _FLOW, _SUM, _accesses, _callee, _flow, _functions
 from factloom.plans.registry import load, query
@@ -640,3 +640,37 @@ def instruction_labels(spark, sf_dir):
     known = p.where("p_size % 9 = 0").select(k.alias("value"), bit(5).alias("tau"), (F.lit(taint.KAPPA_ALL) - bit(7)).alias("kappa"), bit(3).alias("sigma"))
     instructions = p.select(k.alias("value"), F.when(s % 9 == 0, "source").otherwise(code["col1"]).alias("op"))
     return summaries.transferred(instructions, operands, known)
+
+
+# environments -----------------------------------------------------------------------------------------------------
+
+_STEPS = ("const", "add", "subtract", "add", "scale", "multiply", "check_division", "check_null", "check_index", "copy")
+_OF = lambda name, var: f"{name}[{var} + 1]"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT p_partkey // 40 AS func, p_partkey % 40 AS pos, (p_partkey + p_size) % 10 AS op, p_size % 4 AS t, p_size // 4 % 4 AS a, p_size // 16 % 4 AS b, p_size AS n,
+  CASE (p_partkey + p_size) % 10 WHEN 3 THEN p_size % 3 - 1 WHEN 4 THEN p_size % 5 - 2 ELSE p_size % 7 - 3 END AS c, CASE (p_partkey + p_size) % 10 WHEN 3 THEN p_size % 3 ELSE p_size % 7 - 3 + p_size % 3 END AS d FROM part),
+e AS (SELECT func, -1::BIGINT AS pos, ['-inf', '-inf', '-inf', '-inf']::DOUBLE[] AS l, ['inf', 'inf', 'inf', 'inf']::DOUBLE[] AS h, ['maybe', 'maybe', 'maybe', 'maybe'] AS o, 0::DOUBLE AS x, 0::DOUBLE AS y, '' AS z, -1::BIGINT AS op, 0::BIGINT AS n FROM s WHERE pos = 0 UNION ALL
+  SELECT func, pos, list_transform([0, 1, 2, 3], lambda i: CASE WHEN i = t AND op NOT IN (6, 7, 8) THEN x ELSE {_OF('l', 'i')} END), list_transform([0, 1, 2, 3], lambda i: CASE WHEN i = t AND op NOT IN (6, 7, 8) THEN y ELSE {_OF('h', 'i')} END),
+    list_transform([0, 1, 2, 3], lambda i: CASE WHEN i = t AND op NOT IN (6, 7, 8) THEN z ELSE {_OF('o', 'i')} END), x, y, z, op, n
+  FROM (SELECT *, CASE op WHEN 0 THEN c WHEN 1 THEN la + lb WHEN 2 THEN la - hb WHEN 3 THEN la + c WHEN 4 THEN CASE WHEN c = 0 THEN 0 WHEN c > 0 THEN la * c ELSE ha * c END WHEN 5 THEN coalesce(list_min(ps), '-inf'::DOUBLE) ELSE la END AS x,
+      CASE op WHEN 0 THEN d WHEN 1 THEN ha + hb WHEN 2 THEN ha - lb WHEN 3 THEN ha + d WHEN 4 THEN CASE WHEN c = 0 THEN 0 WHEN c > 0 THEN ha * c ELSE la * c END WHEN 5 THEN coalesce(list_max(ps), 'inf'::DOUBLE) ELSE ha END AS y,
+      CASE WHEN op = 0 THEN CASE WHEN n % 11 = 0 THEN 'yes' WHEN n % 5 = 0 THEN 'maybe' ELSE 'no' END WHEN op IN (6, 7, 8, 9) THEN oa ELSE 'no' END AS z
+    FROM (SELECT *, list_filter([la * lb, la * hb, ha * lb, ha * hb], lambda q: NOT isnan(q)) AS ps FROM (
+      SELECT s.*, l, h, o, {_OF('l', 'a')} AS la, {_OF('h', 'a')} AS ha, {_OF('o', 'a')} AS oa, {_OF('l', 'b')} AS lb, {_OF('h', 'b')} AS hb FROM e JOIN s ON s.func = e.func AND s.pos = e.pos + 1))))
+SELECT func, pos, {list(_STEPS)!r}[op + 1] AS kind, CASE WHEN x = 0 THEN 0 WHEN isfinite(x) THEN x END AS lo, CASE WHEN y = 0 THEN 0 WHEN isfinite(y) THEN y END AS hi, z AS none,
+  CASE op WHEN 6 THEN CASE WHEN x > 0 OR y < 0 THEN 'SAFE' WHEN x = 0 AND y = 0 THEN 'UNSAFE' ELSE 'UNKNOWN' END WHEN 7 THEN CASE z WHEN 'no' THEN 'SAFE' WHEN 'yes' THEN 'UNSAFE' ELSE 'UNKNOWN' END
+    WHEN 8 THEN CASE WHEN x >= 0 AND y <= n - 1 THEN 'SAFE' WHEN y < 0 OR x > n - 1 THEN 'UNSAFE' ELSE 'UNKNOWN' END END AS verdict FROM e WHERE pos >= 0""")
+def tracked_values(spark, sf_dir):
+    """Parts as statements over four variables, in functions of 40 that are cut into segments of 12; the oracle carries all variables along."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    op = (k + s) % 10
+    var = lambda n: F.concat(F.lit("v"), (F.floor(s / n) % 4).cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, _STEPS)), (op + 1).cast("int"))
+    lo = F.when(op == 3, s % 3 - 1).when(op == 4, s % 5 - 2).when(op == 8, s).otherwise(s % 7 - 3).cast("double")
+    hi = F.when(op == 3, s % 3).otherwise(s % 7 - 3 + s % 3).cast("double")
+    rows = load(spark, sf_dir, "part").select(
+        F.floor(k / 40).alias("func"), (k % 40).alias("pos"), kind.alias("kind"), var(1).alias("target"), var(4).alias("left"), F.when(op != 3, var(16)).alias("right"), lo.alias("lo"), hi.alias("hi"),
+        F.when(s % 11 == 0, "yes").when(s % 5 == 0, "maybe").otherwise("no").alias("none"),
+    )
+    return environments.tracked(rows, 12)

@@ -77,3 +77,31 @@ def test_a_killed_scan_goes_on(spark, tmp_path):
     before = seen.value
     resume.scan(files, analyse(False), store, 4)
     assert seen.value == before
+
+
+def test_environments_do_not_depend_on_segments(spark):
+    import random
+
+    from factloom.operators import environments
+
+    rnd = random.Random(5)
+    kinds = ["const", "copy", "add", "subtract", "scale", "multiply", "check_division", "check_null", "check_index"]
+    data = []
+    for func in range(3):
+        for pos in range(60):
+            kind, lo = rnd.choice(kinds), float(rnd.randint(-3, 3))
+            data.append((func, pos, kind, f"v{rnd.randrange(4)}", f"v{rnd.randrange(4)}", rnd.choice([None, "v0", "v1"]) if kind != "multiply" else "v2", lo, lo + rnd.randint(0, 2), rnd.choice(["no", "yes", "maybe"])))
+    df = spark.createDataFrame(data, "func long, pos long, kind string, target string, left string, right string, lo double, hi double, none string")
+    whole = rows(environments.tracked(df))
+    assert len(whole) == 180 and rows(environments.tracked(df, 7)) == whole and rows(environments.tracked(df, 1)) == whole
+
+
+def test_a_deferred_division(spark):
+    """A result from -1 to 1, less 3, cannot be zero; twice a value from 0 to 2 may be an index of 5 places but not surely of 4."""
+    from factloom.operators import environments
+
+    data = [("const", "c", None, None, -1.0, 1.0), ("subtract", "d", "c", None, 3.0, 3.0), ("check_division", None, "d", None, None, None), ("check_division", None, "c", None, None, None), ("const", "i", None, None, 0.0, 2.0), ("scale", "i", "i", None, 2.0, None), ("check_index", None, "i", None, 5.0, None), ("check_index", None, "i", None, 4.0, None), ("subtract", "z", "i", "i", None, None), ("check_null", None, "gone", None, None, None)]
+    df = spark.createDataFrame([(0, i, *x, None) for i, x in enumerate(data)], "func long, pos long, kind string, target string, left string, right string, lo double, hi double, none string")
+    got = {r.pos: r for r in environments.tracked(df, 3).collect()}
+    assert [got[i].verdict for i in (2, 3, 6, 7, 9)] == ["SAFE", "UNKNOWN", "SAFE", "UNKNOWN", "UNKNOWN"]
+    assert (got[8].lo, got[8].hi, got[9].lo) == (-4.0, 4.0, None)
