@@ -21,5 +21,6 @@ ORACLES = {
     "op4_mix_sources": mixing.OP4_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op7_url_reputation": url_reputation.OP7_SQL,
+    "op12_suffix_dedup": suffix_dedup.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }

@@ -439,3 +439,30 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows by their hash; texts are cut into pieces of 500 windows, since a place in a long string is slow to reach.
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT r, part * 500 AS base, substr(h, part * 1000 + 1, 1198) AS h FROM (SELECT r, h, unnest(range((len(h) // 2 - 100) // 500 + 1)) AS part FROM d WHERE len(h) >= 200)
+), w AS (
+  SELECT r, base + i AS i, md5_number(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT r, base, h, unnest(range(len(h) // 2 - 99)) AS i FROM c)
+), f AS (
+  SELECT m, min(r * 4294967296 + i) AS first FROM w GROUP BY 1 HAVING count(*) > 1
+), x AS (
+  SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 100 AS joins FROM w JOIN f USING (m) WHERE r * 4294967296 + i > first
+), n AS (
+  SELECT r, i, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM x
+), s AS (
+  SELECT r, run, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY 1, 2
+), g AS (
+  SELECT r, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops FROM s GROUP BY 1
+), k AS (
+  SELECT doc_id, h, len(h) // 2 AS n_bytes, coalesce(starts, []) AS starts, coalesce(stops, []) AS stops FROM d LEFT JOIN g USING (r)
+)
+SELECT doc_id, n_bytes, CAST(coalesce(list_sum(stops) - list_sum(starts), 0) AS BIGINT) AS n_removed, len(starts) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(len(starts) + 1), lambda j: CASE WHEN j = 0 THEN substr(h, 1, 2 * coalesce(starts[1], n_bytes))
+         ELSE substr(h, 2 * stops[j] + 1, 2 * (coalesce(starts[j + 1], n_bytes) - stops[j])) END), ''))) AS kept_sha256 FROM k
+"""

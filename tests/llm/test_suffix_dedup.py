@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,6 +74,9 @@ def _passages(seed, n=120):
 def test_passages_copies_and_periods(spark, tmp_path):
     docs = spark.createDataFrame([(i * 2, t, "en", "s", 0) for i, t in enumerate(_passages(1))], DOCS).repartition(7)
     assert result(spark, docs, tmp_path) == brute(ordered(spark, docs))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/documents.parquet/*.parquet'")
+    assert sorted(con.sql(sd.OP12_SQL).fetchall(), key=repr) == brute(ordered(spark, docs))
 
 
 def test_hot_anchors_are_dealt_out_without_a_change(spark):
