@@ -3,8 +3,10 @@
 import random
 import re
 
+import duckdb
+
 from factloom.llm import mixing
-from tests.llm.helpers import documents
+from tests.llm.helpers import DOCS, documents
 
 
 def targets_by_hand(sizes, weights=(5, 2, 1), cap=3):
@@ -64,3 +66,14 @@ def test_mixed_documents_hold_what_was_taken(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
     assert {k: v for k, v in took.items() if v} == {k: v for k, v in got.items() if v}
     assert mixing.mixed_documents(documents(spark)).count() > 0
+
+
+def test_repeated_ids_and_very_many_sources(spark, tmp_path):
+    """One id and one text of null ids thousands of times, and thousands of sources, against the SQL."""
+    rows = [(7, "same words here", "en", "hot", 0)] * 4_000 + [(None, "no id at all", "en", "hot", 0)] * 3_000 + [(10_000 + i, f"text of {i}", "en", f"s{i % 2_000}", 0) for i in range(4_000)]
+    spark.createDataFrame(rows, DOCS).repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(mixing.OP4_SQL)
+    got = mixing.op4_mix_sources(spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))

@@ -3,6 +3,7 @@
 import math
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from factloom.llm import quality_rules, url_reputation
@@ -137,3 +138,21 @@ def test_host_domain_and_suffix_each_decide(spark):
     pages = spark.createDataFrame([(i, f"http://{h}/de/") for i, h in enumerate(asked)], "page_id long, url string")
     rows = url_reputation.judge(pages, spark.createDataFrame(bad, "host string, bad int"), rules=()).collect()
     assert {r.host: r.verdict for r in rows} == asked
+
+
+def test_reputation_agrees_with_its_sql_where_hosts_matter(spark, tmp_path):
+    """Outcomes that depend on hosts, as the driver's tables have none: a host, a domain and a suffix each block, and the SQL says the same."""
+    seen = [("spam.fine.dev", 1)] * 80 + [(f"h{i}.fine.dev", 0) for i in range(40) for _ in range(10)]
+    seen += [(f"h{i}.farm.org", 1) for i in range(30) for _ in range(10)] + [(f"w{i}.org", 0) for i in range(40) for _ in range(10)]
+    seen += [(f"d{i}.zz", 1) for i in range(60) for _ in range(6)] + [(f"d{i}.yy", 0) for i in range(60) for _ in range(20)]
+    asked = {"spam.fine.dev": "block", "new.fine.dev": "allow", "new.farm.org": "block", "new.org": "allow", "new.zz": "block", "a.new.zz": "block", "new.yy": "allow", "x.com": "allow"}
+    pages = [(i, f"https://{h}/de/{i}.html") for i, (h, _) in enumerate(seen)] + [(10_000 + i, f"http://{h}/de/") for i, h in enumerate(asked)] + [(20_000, None), (20_001, "no url")]
+    spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("clash")).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, 1 - b) for i, (_, b) in enumerate(seen)] + [(None, 0), (3, None)], "doc_id long, quality int").withColumn("url", F.lit("clash")).write.parquet(str(tmp_path / "labels.parquet"))
+    got = url_reputation.op7_url_reputation(spark, str(tmp_path))
+    assert {r.host: r.verdict for r in got.where("page_id between 10000 and 19999").collect()} == asked
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(url_reputation.OP7_SQL)
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
