@@ -7,29 +7,98 @@ from pyspark.sql import functions as F
 
 # The numbers of sources, sinks and sanitizers, and the sinks that a sanitizer makes safe.
 SOURCES = (
-    "HTTP_PARAM USER_INPUT ENVIRONMENT FILE_CONTENT NETWORK_RECV ARGV DATABASE_RESULT COOKIE HEADER "
-    "PASSWORD API_KEY CREDENTIALS PII CRYPTO_KEY SESSION_TOKEN PRIVATE_DATA"
-).split()
+    "HTTP_PARAM",
+    "USER_INPUT",
+    "ENVIRONMENT",
+    "FILE_CONTENT",
+    "NETWORK_RECV",
+    "ARGV",
+    "DATABASE_RESULT",
+    "COOKIE",
+    "HEADER",
+    "PASSWORD",
+    "API_KEY",
+    "CREDENTIALS",
+    "PII",
+    "CRYPTO_KEY",
+    "SESSION_TOKEN",
+    "PRIVATE_DATA",
+)
 SINKS = (
-    "SQL_EXECUTE COMMAND_SHELL CODE_EVAL FILE_PATH LDAP_QUERY XPATH_QUERY NOSQL_QUERY REGEX_PATTERN HTTP_REQUEST XML_PARSE DESERIALIZE "
-    "HEADER_SET HTML_OUTPUT REDIRECT_URL COOKIE_VALUE TEMPLATE_RENDER LOG_FORGING EMAIL_HEADER LOG_OUTPUT FILE_WRITE NETWORK_SEND "
-    "EXCEPTION_MSG HTTP_RESPONSE DEBUG_OUTPUT CRYPTO_WEAK CRYPTO_KEY_USE RANDOM_SEED HASH_PASSWORD "
-    "NETWORK_BIND FILE_CHMOD RESOURCE_ALLOC PROCESS_CREATE"
-).split()
+    "SQL_EXECUTE",
+    "COMMAND_SHELL",
+    "CODE_EVAL",
+    "FILE_PATH",
+    "LDAP_QUERY",
+    "XPATH_QUERY",
+    "NOSQL_QUERY",
+    "REGEX_PATTERN",
+    "HTTP_REQUEST",
+    "XML_PARSE",
+    "DESERIALIZE",
+    "HEADER_SET",
+    "HTML_OUTPUT",
+    "REDIRECT_URL",
+    "COOKIE_VALUE",
+    "TEMPLATE_RENDER",
+    "LOG_FORGING",
+    "EMAIL_HEADER",
+    "LOG_OUTPUT",
+    "FILE_WRITE",
+    "NETWORK_SEND",
+    "EXCEPTION_MSG",
+    "HTTP_RESPONSE",
+    "DEBUG_OUTPUT",
+    "CRYPTO_WEAK",
+    "CRYPTO_KEY_USE",
+    "RANDOM_SEED",
+    "HASH_PASSWORD",
+    "NETWORK_BIND",
+    "FILE_CHMOD",
+    "RESOURCE_ALLOC",
+    "PROCESS_CREATE",
+)
 SANITIZER_SINKS = {
-    "PARAMETERIZED_QUERY": "SQL_EXECUTE", "ORM_ESCAPE": "SQL_EXECUTE", "SQL_ESCAPE": "SQL_EXECUTE", "SHELL_QUOTE": "COMMAND_SHELL", "ARRAY_COMMAND": "COMMAND_SHELL PROCESS_CREATE", "BASENAME": "FILE_PATH",
-    "REALPATH_CHECK": "FILE_PATH", "SECURE_FILENAME": "FILE_PATH", "CANONICALIZE": "FILE_PATH", "HTML_ESCAPE": "HTML_OUTPUT TEMPLATE_RENDER",
-    "TEMPLATE_AUTOESCAPE": "HTML_OUTPUT TEMPLATE_RENDER", "DOM_PURIFY": "HTML_OUTPUT", "URL_VALIDATE": "REDIRECT_URL HTTP_REQUEST", "RELATIVE_URL": "REDIRECT_URL",
-    "URL_PARSE_VALIDATE": "HTTP_REQUEST REDIRECT_URL", "RE_ESCAPE": "REGEX_PATTERN", "SAFE_LOADER": "DESERIALIZE", "JSON_PARSE": "DESERIALIZE",
-    "LDAP_ESCAPE": "LDAP_QUERY", "XPATH_ESCAPE": "XPATH_QUERY", "DISABLE_ENTITIES": "XML_PARSE", "DEFUSED_XML": "XML_PARSE", "HEADER_SANITIZE": "HEADER_SET EMAIL_HEADER",
-    "TYPE_CONVERSION": "SQL_EXECUTE FILE_PATH COMMAND_SHELL", "ALLOWLIST_CHECK": "SQL_EXECUTE FILE_PATH COMMAND_SHELL HTTP_REQUEST REDIRECT_URL",
-    "ENCRYPTION": "LOG_OUTPUT FILE_WRITE NETWORK_SEND HTTP_RESPONSE DEBUG_OUTPUT", "HASHING": "LOG_OUTPUT FILE_WRITE HASH_PASSWORD",
-    "REDACTION": "LOG_OUTPUT EXCEPTION_MSG DEBUG_OUTPUT", "TOKENIZATION": "HTTP_RESPONSE FILE_WRITE",
-    "REGEX_ALPHANUMERIC": "SQL_EXECUTE FILE_PATH COMMAND_SHELL LDAP_QUERY NOSQL_QUERY", "REGEX_DIGITS": "SQL_EXECUTE FILE_PATH COMMAND_SHELL LDAP_QUERY NOSQL_QUERY",
-    "REGEX_HOSTNAME": "HTTP_REQUEST REDIRECT_URL SQL_EXECUTE FILE_PATH NETWORK_BIND", "REGEX_EMAIL": "SQL_EXECUTE EMAIL_HEADER LDAP_QUERY",
-    "REGEX_UUID": "SQL_EXECUTE FILE_PATH HTTP_REQUEST", "REGEX_FILEPATH": "FILE_PATH SQL_EXECUTE", "REGEX_URL_PATH": "HTTP_REQUEST REDIRECT_URL",
-    "REGEX_SLUG": "SQL_EXECUTE FILE_PATH HTTP_REQUEST REDIRECT_URL", "REGEX_HEX": "SQL_EXECUTE FILE_PATH COMMAND_SHELL", "REGEX_BASE64": "SQL_EXECUTE FILE_PATH",
-}
+    "PARAMETERIZED_QUERY": ("SQL_EXECUTE",),
+    "ORM_ESCAPE": ("SQL_EXECUTE",),
+    "SQL_ESCAPE": ("SQL_EXECUTE",),
+    "SHELL_QUOTE": ("COMMAND_SHELL",),
+    "ARRAY_COMMAND": ("COMMAND_SHELL", "PROCESS_CREATE",),
+    "BASENAME": ("FILE_PATH",),
+    "REALPATH_CHECK": ("FILE_PATH",),
+    "SECURE_FILENAME": ("FILE_PATH",),
+    "CANONICALIZE": ("FILE_PATH",),
+    "HTML_ESCAPE": ("HTML_OUTPUT", "TEMPLATE_RENDER",),
+    "TEMPLATE_AUTOESCAPE": ("HTML_OUTPUT", "TEMPLATE_RENDER",),
+    "DOM_PURIFY": ("HTML_OUTPUT",),
+    "URL_VALIDATE": ("REDIRECT_URL", "HTTP_REQUEST",),
+    "RELATIVE_URL": ("REDIRECT_URL",),
+    "URL_PARSE_VALIDATE": ("HTTP_REQUEST", "REDIRECT_URL",),
+    "RE_ESCAPE": ("REGEX_PATTERN",),
+    "SAFE_LOADER": ("DESERIALIZE",),
+    "JSON_PARSE": ("DESERIALIZE",),
+    "LDAP_ESCAPE": ("LDAP_QUERY",),
+    "XPATH_ESCAPE": ("XPATH_QUERY",),
+    "DISABLE_ENTITIES": ("XML_PARSE",),
+    "DEFUSED_XML": ("XML_PARSE",),
+    "HEADER_SANITIZE": ("HEADER_SET", "EMAIL_HEADER",),
+    "TYPE_CONVERSION": ("SQL_EXECUTE", "FILE_PATH", "COMMAND_SHELL",),
+    "ALLOWLIST_CHECK": ("SQL_EXECUTE", "FILE_PATH", "COMMAND_SHELL", "HTTP_REQUEST", "REDIRECT_URL",),
+    "ENCRYPTION": ("LOG_OUTPUT", "FILE_WRITE", "NETWORK_SEND", "HTTP_RESPONSE", "DEBUG_OUTPUT",),
+    "HASHING": ("LOG_OUTPUT", "FILE_WRITE", "HASH_PASSWORD",),
+    "REDACTION": ("LOG_OUTPUT", "EXCEPTION_MSG", "DEBUG_OUTPUT",),
+    "TOKENIZATION": ("HTTP_RESPONSE", "FILE_WRITE",),
+    "REGEX_ALPHANUMERIC": ("SQL_EXECUTE", "FILE_PATH", "COMMAND_SHELL", "LDAP_QUERY", "NOSQL_QUERY",),
+    "REGEX_DIGITS": ("SQL_EXECUTE", "FILE_PATH", "COMMAND_SHELL", "LDAP_QUERY", "NOSQL_QUERY",),
+    "REGEX_HOSTNAME": ("HTTP_REQUEST", "REDIRECT_URL", "SQL_EXECUTE", "FILE_PATH", "NETWORK_BIND",),
+    "REGEX_EMAIL": ("SQL_EXECUTE", "EMAIL_HEADER", "LDAP_QUERY",),
+    "REGEX_UUID": ("SQL_EXECUTE", "FILE_PATH", "HTTP_REQUEST",),
+    "REGEX_FILEPATH": ("FILE_PATH", "SQL_EXECUTE",),
+    "REGEX_URL_PATH": ("HTTP_REQUEST", "REDIRECT_URL",),
+    "REGEX_SLUG": ("SQL_EXECUTE", "FILE_PATH", "HTTP_REQUEST", "REDIRECT_URL",),
+    "REGEX_HEX": ("SQL_EXECUTE", "FILE_PATH", "COMMAND_SHELL",),
+    "REGEX_BASE64": ("SQL_EXECUTE", "FILE_PATH",),
+}
 # The operands of an instruction whose labels its result joins; the index of a store, the callee and imports give none.
 TRANSFERS = (
     ("binary", "left"), ("binary", "right"), ("compare", "left"), ("compare", "right"), ("unary", "operand"), ("subscript", "container"), ("subscript", "index"),
@@ -43,7 +112,7 @@ KAPPA_ALL = (1 << 32) - 1
 
 def mask(sanitizer: str) -> int:
     """Bits of the sinks that a sanitizer makes safe; an unknown one none."""
-    return sum(1 << SINKS.index(s) for s in SANITIZER_SINKS.get(sanitizer, "").split())
+    return sum(1 << SINKS.index(s) for s in SANITIZER_SINKS.get(sanitizer, ()))
 
 
 def join_labels(labels: DataFrame, *keys: str, provenance: str | None = None) -> DataFrame:

@@ -7,71 +7,158 @@ from pyspark.sql import functions as F
 
 from factloom.functions.taint import SINKS, SOURCES, is_safe, sanitize
 
-# Functions of each kind of source, the sensitive ones last.
-SOURCE_FUNCTIONS = {
-    "HTTP_PARAM": "request.GET.__getitem__ request.GET.get request.POST.__getitem__ request.POST.get request.body request.args.get request.args.__getitem__ request.form.get request.form.__getitem__ request.get_json request.data request.cookies.get",
-    "USER_INPUT": "builtins.input sys.stdin.read sys.stdin.readline",
-    "ENVIRONMENT": "os.environ.__getitem__ os.environ.get os.getenv",
-    "ARGV": "sys.argv.__getitem__",
-    "FILE_CONTENT": "file.read file.readline file.readlines pathlib.Path.read_text pathlib.Path.read_bytes",
-    "NETWORK_RECV": "socket.recv socket.recvfrom urllib.request.urlopen requests.get requests.post",
-    "DATABASE_RESULT": "cursor.fetchone cursor.fetchall cursor.fetchmany",
-    "PASSWORD": "getpass.getpass",
-    "CREDENTIALS": "keyring.get_password",
-}
-# Functions of each kind of sink; the arguments that matter follow a colon where they are not the first alone.
-SINK_FUNCTIONS = {
-    "SQL_EXECUTE": "cursor.execute cursor.executemany connection.execute engine.execute Model.objects.raw",
-    "COMMAND_SHELL": "os.system os.popen subprocess.call subprocess.run subprocess.Popen",
-    "CODE_EVAL": "builtins.eval builtins.exec builtins.compile builtins.__import__",
-    "FILE_PATH": "builtins.open os.remove os.unlink shutil.copy:0,1 shutil.move:0,1 pathlib.Path.open: flask.send_file tarfile.extractall tarfile.extract:0,1",
-    "HTML_OUTPUT": "django.http.HttpResponse flask.render_template_string flask.Markup",
-    "HTTP_REQUEST": "requests.get requests.post urllib.request.urlopen httpx.get",
-    "DESERIALIZE": "pickle.loads pickle.load yaml.load yaml.unsafe_load marshal.loads",
-    "XML_PARSE": "xml.etree.ElementTree.parse xml.etree.ElementTree.fromstring lxml.etree.parse lxml.etree.fromstring",
-    "LDAP_QUERY": "ldap.search_s:0,2 ldap3.Connection.search:0,1",
-    "XPATH_QUERY": "lxml.etree.XPath tree.xpath tree.find",
-    "NOSQL_QUERY": "collection.find collection.find_one db.command",
-    "REGEX_PATTERN": "re.compile re.match re.search re.sub",
-    "REDIRECT_URL": "flask.redirect django.shortcuts.redirect django.http.HttpResponseRedirect",
-    "HEADER_SET": "response.__setitem__:1",
-    "LOG_OUTPUT": "logging.info logging.debug logging.warning logging.error builtins.print",
-    "FILE_WRITE": "file.write io.TextIOWrapper.write io.BufferedWriter.write",
-    "CRYPTO_WEAK": "hashlib.md5 hashlib.sha1",
-}
+# Kind of source and function, the sensitive kinds last.
+SOURCE_FUNCTIONS = (
+    ("HTTP_PARAM", "request.GET.__getitem__"),
+    ("HTTP_PARAM", "request.GET.get"),
+    ("HTTP_PARAM", "request.POST.__getitem__"),
+    ("HTTP_PARAM", "request.POST.get"),
+    ("HTTP_PARAM", "request.body"),
+    ("HTTP_PARAM", "request.args.get"),
+    ("HTTP_PARAM", "request.args.__getitem__"),
+    ("HTTP_PARAM", "request.form.get"),
+    ("HTTP_PARAM", "request.form.__getitem__"),
+    ("HTTP_PARAM", "request.get_json"),
+    ("HTTP_PARAM", "request.data"),
+    ("HTTP_PARAM", "request.cookies.get"),
+    ("USER_INPUT", "builtins.input"),
+    ("USER_INPUT", "sys.stdin.read"),
+    ("USER_INPUT", "sys.stdin.readline"),
+    ("ENVIRONMENT", "os.environ.__getitem__"),
+    ("ENVIRONMENT", "os.environ.get"),
+    ("ENVIRONMENT", "os.getenv"),
+    ("ARGV", "sys.argv.__getitem__"),
+    ("FILE_CONTENT", "file.read"),
+    ("FILE_CONTENT", "file.readline"),
+    ("FILE_CONTENT", "file.readlines"),
+    ("FILE_CONTENT", "pathlib.Path.read_text"),
+    ("FILE_CONTENT", "pathlib.Path.read_bytes"),
+    ("NETWORK_RECV", "socket.recv"),
+    ("NETWORK_RECV", "socket.recvfrom"),
+    ("NETWORK_RECV", "urllib.request.urlopen"),
+    ("NETWORK_RECV", "requests.get"),
+    ("NETWORK_RECV", "requests.post"),
+    ("DATABASE_RESULT", "cursor.fetchone"),
+    ("DATABASE_RESULT", "cursor.fetchall"),
+    ("DATABASE_RESULT", "cursor.fetchmany"),
+    ("PASSWORD", "getpass.getpass"),
+    ("CREDENTIALS", "keyring.get_password"),
+)
+# Kind of sink, function, and the arguments that matter.
+SINK_FUNCTIONS = (
+    ("SQL_EXECUTE", "cursor.execute", (0,)),
+    ("SQL_EXECUTE", "cursor.executemany", (0,)),
+    ("SQL_EXECUTE", "connection.execute", (0,)),
+    ("SQL_EXECUTE", "engine.execute", (0,)),
+    ("SQL_EXECUTE", "Model.objects.raw", (0,)),
+    ("COMMAND_SHELL", "os.system", (0,)),
+    ("COMMAND_SHELL", "os.popen", (0,)),
+    ("COMMAND_SHELL", "subprocess.call", (0,)),
+    ("COMMAND_SHELL", "subprocess.run", (0,)),
+    ("COMMAND_SHELL", "subprocess.Popen", (0,)),
+    ("CODE_EVAL", "builtins.eval", (0,)),
+    ("CODE_EVAL", "builtins.exec", (0,)),
+    ("CODE_EVAL", "builtins.compile", (0,)),
+    ("CODE_EVAL", "builtins.__import__", (0,)),
+    ("FILE_PATH", "builtins.open", (0,)),
+    ("FILE_PATH", "os.remove", (0,)),
+    ("FILE_PATH", "os.unlink", (0,)),
+    ("FILE_PATH", "shutil.copy", (0, 1)),
+    ("FILE_PATH", "shutil.move", (0, 1)),
+    ("FILE_PATH", "pathlib.Path.open", ()),
+    ("FILE_PATH", "flask.send_file", (0,)),
+    ("FILE_PATH", "tarfile.extractall", (0,)),
+    ("FILE_PATH", "tarfile.extract", (0, 1)),
+    ("HTML_OUTPUT", "django.http.HttpResponse", (0,)),
+    ("HTML_OUTPUT", "flask.render_template_string", (0,)),
+    ("HTML_OUTPUT", "flask.Markup", (0,)),
+    ("HTTP_REQUEST", "requests.get", (0,)),
+    ("HTTP_REQUEST", "requests.post", (0,)),
+    ("HTTP_REQUEST", "urllib.request.urlopen", (0,)),
+    ("HTTP_REQUEST", "httpx.get", (0,)),
+    ("DESERIALIZE", "pickle.loads", (0,)),
+    ("DESERIALIZE", "pickle.load", (0,)),
+    ("DESERIALIZE", "yaml.load", (0,)),
+    ("DESERIALIZE", "yaml.unsafe_load", (0,)),
+    ("DESERIALIZE", "marshal.loads", (0,)),
+    ("XML_PARSE", "xml.etree.ElementTree.parse", (0,)),
+    ("XML_PARSE", "xml.etree.ElementTree.fromstring", (0,)),
+    ("XML_PARSE", "lxml.etree.parse", (0,)),
+    ("XML_PARSE", "lxml.etree.fromstring", (0,)),
+    ("LDAP_QUERY", "ldap.search_s", (0, 2)),
+    ("LDAP_QUERY", "ldap3.Connection.search", (0, 1)),
+    ("XPATH_QUERY", "lxml.etree.XPath", (0,)),
+    ("XPATH_QUERY", "tree.xpath", (0,)),
+    ("XPATH_QUERY", "tree.find", (0,)),
+    ("NOSQL_QUERY", "collection.find", (0,)),
+    ("NOSQL_QUERY", "collection.find_one", (0,)),
+    ("NOSQL_QUERY", "db.command", (0,)),
+    ("REGEX_PATTERN", "re.compile", (0,)),
+    ("REGEX_PATTERN", "re.match", (0,)),
+    ("REGEX_PATTERN", "re.search", (0,)),
+    ("REGEX_PATTERN", "re.sub", (0,)),
+    ("REDIRECT_URL", "flask.redirect", (0,)),
+    ("REDIRECT_URL", "django.shortcuts.redirect", (0,)),
+    ("REDIRECT_URL", "django.http.HttpResponseRedirect", (0,)),
+    ("HEADER_SET", "response.__setitem__", (1,)),
+    ("LOG_OUTPUT", "logging.info", (0,)),
+    ("LOG_OUTPUT", "logging.debug", (0,)),
+    ("LOG_OUTPUT", "logging.warning", (0,)),
+    ("LOG_OUTPUT", "logging.error", (0,)),
+    ("LOG_OUTPUT", "builtins.print", (0,)),
+    ("FILE_WRITE", "file.write", (0,)),
+    ("FILE_WRITE", "io.TextIOWrapper.write", (0,)),
+    ("FILE_WRITE", "io.BufferedWriter.write", (0,)),
+    ("CRYPTO_WEAK", "hashlib.md5", (0,)),
+    ("CRYPTO_WEAK", "hashlib.sha1", (0,)),
+)
+# Sinks that are safe where they are told to use no shell.
 SHELL_CHECKED = ("subprocess.call", "subprocess.run", "subprocess.Popen")
-SANITIZER_FUNCTIONS = {
-    "SHELL_QUOTE": "shlex.quote", "BASENAME": "os.path.basename", "SECURE_FILENAME": "werkzeug.utils.secure_filename", "HTML_ESCAPE": "html.escape markupsafe.escape django.utils.html.escape",
-    "RE_ESCAPE": "re.escape", "SAFE_LOADER": "yaml.safe_load json.loads", "TYPE_CONVERSION": "builtins.int",
-}
-#: Methods known by name alone, and the contracts each may stand for, in order.
-METHOD_ALIASES = {
-    "extractall": "tarfile.TarFile.extractall zipfile.ZipFile.extractall", "extract": "tarfile.TarFile.extract zipfile.ZipFile.extract", "execute": "cursor.execute sqlite3.Cursor.execute",
-    "executemany": "cursor.executemany sqlite3.Cursor.executemany", "write": "file.write io.TextIOWrapper.write",
-}
+# Kind of sanitizer and function.
+SANITIZER_FUNCTIONS = (
+    ("SHELL_QUOTE", "shlex.quote"),
+    ("BASENAME", "os.path.basename"),
+    ("SECURE_FILENAME", "werkzeug.utils.secure_filename"),
+    ("HTML_ESCAPE", "html.escape"),
+    ("HTML_ESCAPE", "markupsafe.escape"),
+    ("HTML_ESCAPE", "django.utils.html.escape"),
+    ("RE_ESCAPE", "re.escape"),
+    ("SAFE_LOADER", "yaml.safe_load"),
+    ("SAFE_LOADER", "json.loads"),
+    ("TYPE_CONVERSION", "builtins.int"),
+)
+# Methods known by name alone, and the contracts each may stand for, in order.
+METHOD_ALIASES = (
+    ("extractall", "tarfile.TarFile.extractall"),
+    ("extractall", "zipfile.ZipFile.extractall"),
+    ("extract", "tarfile.TarFile.extract"),
+    ("extract", "zipfile.ZipFile.extract"),
+    ("execute", "cursor.execute"),
+    ("execute", "sqlite3.Cursor.execute"),
+    ("executemany", "cursor.executemany"),
+    ("executemany", "sqlite3.Cursor.executemany"),
+    ("write", "file.write"),
+    ("write", "io.TextIOWrapper.write"),
+)
 
 
 def sources(spark: SparkSession, more: list[tuple] = ()) -> DataFrame:
     """(key, ordinal, source_type, is_sensitive); later rows of a key replace earlier ones."""
-    rows = [(f, SOURCES.index(t), SOURCES.index(t) >= 9) for t, fs in SOURCE_FUNCTIONS.items() for f in fs.split()] + list(more)
+    rows = [(f, SOURCES.index(t), SOURCES.index(t) >= 9) for t, f in SOURCE_FUNCTIONS] + list(more)
     last = {r[0]: r for r in rows}
     return spark.createDataFrame([(k, i, *r[1:]) for i, (k, r) in enumerate(last.items())], "key string, ordinal int, source_type int, is_sensitive boolean")
 
 
 def sinks(spark: SparkSession, more: list[tuple] = ()) -> DataFrame:
     """(key, ordinal, sink_type, args, shell_check)."""
-    rows = []
-    for kind, fs in SINK_FUNCTIONS.items():
-        for f in fs.split():
-            name, colon, args = f.partition(":")
-            rows.append((name, SINKS.index(kind), [int(a) for a in args.split(",") if a] if colon else [0], name in SHELL_CHECKED))
+    rows = [(name, SINKS.index(kind), list(args), name in SHELL_CHECKED) for kind, name, args in SINK_FUNCTIONS]
     last = {r[0]: r for r in [*rows, *more]}
     return spark.createDataFrame([(k, i, *r[1:]) for i, (k, r) in enumerate(last.items())], "key string, ordinal int, sink_type int, args array<int>, shell_check boolean")
 
 
 def sanitizers(spark: SparkSession, more: list[tuple] = ()) -> DataFrame:
     """(key, ordinal, sanitizer, clears_untrusted, clears_sensitive)."""
-    rows = [(f, t, False, False) for t, fs in SANITIZER_FUNCTIONS.items() for f in fs.split()] + list(more)
+    rows = [(f, t, False, False) for t, f in SANITIZER_FUNCTIONS] + list(more)
     last = {r[0]: r for r in rows}
     return spark.createDataFrame([(k, i, *r[1:]) for i, (k, r) in enumerate(last.items())], "key string, ordinal int, sanitizer string, clears_untrusted boolean, clears_sensitive boolean")
 
@@ -85,7 +172,7 @@ def match(names: DataFrame, contracts: DataFrame) -> DataFrame:
     dotted = contracts.where(F.col("key").contains(".")).select("key", "ordinal", simple(F.col("key")).alias("last"))
     ends = exact.where(F.col("name").contains(".")).join(F.broadcast(dotted), "last").where(F.col("name").endswith(F.concat(F.lit("."), F.col("key"))))
     suffix = ends.groupBy("name").agg(F.min_by("key", "ordinal").alias("suffix"))
-    alias_rows = [(m, i, k) for m, ks in METHOD_ALIASES.items() for i, k in enumerate(ks.split())]
+    alias_rows = [(m, i, k) for i, (m, k) in enumerate(METHOD_ALIASES)]
     alias = names.sparkSession.createDataFrame(alias_rows, "last string, i int, key string").join(contracts.select("key"), "key").groupBy("last").agg(F.min_by("key", "i").alias("alias"))
     found = exact.join(suffix, "name", "left").join(F.broadcast(alias), "last", "left")
     return found.select("name", F.coalesce("exact", "suffix", F.when(F.col("name").contains("."), F.col("alias"))).alias("key"))
