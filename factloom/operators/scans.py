@@ -104,6 +104,7 @@ def scope(patches: DataFrame) -> DataFrame:
         as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
         rules.append(F.when(holds, F.struct(F.lit(inside).alias("in_scope"), as_column(category).alias("category"), as_column(kind).alias("bug_type"), F.lit(confidence).alias("confidence"))))
 
+    # The order of the rules, their words, categories, types and confidences; the first that holds counts.
     rule(F.trim(F.translate("text", "\n\r\t", "   ")) == "", "no-patch", "", 1.0, out)
     rule(F.forall("files", lambda f: F.contains(F.lower(f), F.lit("test"))), "test-only", "", 0.9, out)
     rule(checks | (F.contains(added, F.lit(".get(")) & _any(code, *NONE_WORDS)), "null-deref", "NULL_PTR", 0.85)

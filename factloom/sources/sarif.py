@@ -144,6 +144,7 @@ def report(judged: DataFrame, project: str, model: str, least: float) -> DataFra
         "\n", F.concat(F.lit("## `"), "rule", F.lit("` in `"), short, F.lit("`\n")), F.lit("| Field | Value |\n|-------|-------|"), F.concat(F.lit("| **Bug Type** | `"), "rule", F.lit("` |")),
         F.concat(F.lit("| **Function** | `"), "qualname", F.lit("` |")), place, F.concat(F.lit("| **Confidence** | "), percent(c("confidence")), F.lit(" |\n")), F.concat(F.lit("### Justification\n\n"), F.coalesce("rationale", F.lit("")), F.lit("\n")), context, F.lit("---\n"),
     )
+    # The headings and fields of a report, here and in the blocks above.
     lines = ("# True Positive Findings\n", "**Project:** `%s`  ", "**Confirmed true positives:** %d  ", "**Model:** `%s`  ", "**Min confidence threshold:** %s\n", "---\n")
     intro = F.format_string("\n".join(lines), F.lit(project), F.count("*"), F.lit(model), percent(F.lit(least)))
     head = kept.agg(intro.alias("markdown")).select(F.lit(None).cast("long").alias("seq"), "markdown")
