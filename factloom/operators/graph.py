@@ -6,13 +6,13 @@ lineage stays short.  A round is one job: what tells whether it was the last is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.storage import cut, cut_count
+from factloom.storage import Latest, cut, cut_count
 
 
 class Seen:
@@ -89,14 +89,19 @@ def closure(edges: DataFrame) -> DataFrame:
     return seen.all()
 
 
+#: Trimming stops when a round takes less than one edge of so many: what is left of long chains goes by classes, in far fewer rounds.
+TRIM_SHARE = 10
+
+
 def trim(edges: DataFrame) -> tuple[DataFrame, int]:
-    """The edges (and their number) that are left when nodes without a way in or out go, until all stay."""
-    e, size = cut_count(edges.select("src", "dst").distinct())
+    """The edges (and their number) that are left when nodes without a way in or out go, for as long as many of them do."""
+    table = Latest()
+    e, size = table.put_count(edges.select("src", "dst").distinct())
     while size:
         into, out = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
-        e, now = cut_count(e.join(into, "src", "left_semi").join(out, "dst", "left_semi"))
-        if now == size:
-            break
+        e, now = table.put_count(e.join(into, "src", "left_semi").join(out, "dst", "left_semi"))
+        if (size - now) * TRIM_SHARE < size:
+            return e, now
         size = now
     return e, size
 
@@ -107,39 +112,45 @@ def least_source(edges: DataFrame) -> DataFrame:
     Labels move along the edges, and a node also takes the label of its label, so that rounds grow with the logarithm of a chain.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    label = cut(nodes.select("node", F.col("node").alias("least")))
-    while True:
+    table = Latest()
+    label, lower = table.put(nodes.select("node", F.col("node").alias("least"))), 1
+    while lower:
         moved = edges.join(label, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("in"))
         low = label.join(moved, "node", "left").select("node", F.least("least", F.coalesce("in", "least")).alias("least"), F.col("least").alias("was"))
         far = label.select(F.col("node").alias("least"), F.col("least").alias("far"))
         turn = low.join(far, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("least"), "was")
-        seen = Observation()
-        nxt = cut(turn.observe(seen, F.count_if(F.col("least") < F.col("was")).alias("lower")))
-        label = nxt.select("node", "least")
-        if not seen.get.get("lower"):
-            return label
+        label, lower = table.put_count(turn, F.col("least") < F.col("was"))
+        label = label.select("node", "least")
+    return label
+
+
+def _turns(edges: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """Components, some each turn: (node, scc) and the number of nodes that are not their own component's least.
+
+    The nodes that one node is the least to reach form a class; those of them that reach it inside the class are its component.  Nodes of one
+    component agree in the least node that reaches them and in the least that they reach inside the class, so other edges go.
+    """
+    e, size = trim(edges)
+    while size:
+        ahead = least_source(e)
+        inside = cut(e.join(ahead.toDF("src", "c1"), "src").join(ahead.toDF("dst", "c2"), "dst").where("c1 = c2").select("src", "dst"))
+        back = least_source(reverse(inside))
+        seen = Latest()
+        yield seen.put_count(ahead.join(back.toDF("node", "scc"), "node").where("least = scc").select("node", "scc"), F.col("node") != F.col("scc"))
+        alike = inside.join(back.toDF("src", "c1"), "src").join(back.toDF("dst", "c2"), "dst").where("c1 = c2")
+        rest = alike.join(ahead.toDF("src", "first"), "src").where("first <> c1")  # where both agree the component is named
+        e, size = trim(rest.select("src", "dst"))
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, scc): strongly connected components named by their least node.
 
-    Edges outside any cycle are trimmed first.  The nodes that one node is the least to reach form a class; those of them that
-    reach it inside the class are its component, and the rest goes another turn.
+    Edges outside any cycle are trimmed first; the others go by classes, see `_turns`.
     """
     all_ = nodes.select("node").distinct()
     e = edges.select("src", "dst").where("src <> dst").distinct()
-    e, size = trim(e.join(all_.withColumnRenamed("node", "src"), "src", "left_semi").join(all_.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    found = None
-    while size:
-        ahead = least_source(e)
-        inside = e.join(ahead.toDF("src", "c1"), "src").join(ahead.toDF("dst", "c2"), "dst").where("c1 = c2").select("src", "dst")
-        back = least_source(cut(reverse(inside)))
-        named = cut(ahead.join(back.toDF("node", "scc"), "node").where("least = scc").select("node", "scc"))
-        found = named if found is None else cut(found.union(named))
-        gone = named.select(F.col("node").alias("src"))
-        e, size = trim(e.join(gone, "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
-    if found is None:
-        return all_.select("node", F.col("node").alias("scc"))
+    e = e.join(all_.withColumnRenamed("node", "src"), "src", "left_semi").join(all_.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    found = reduce(DataFrame.union, [named for named, _ in _turns(e)] or [all_.select("node", F.col("node").alias("scc")).limit(0)])
     return all_.join(found, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
 
 
@@ -150,27 +161,64 @@ def recursive_nodes(edges: DataFrame, components: DataFrame) -> DataFrame:
     return components.join(big, "scc", "left_semi").select("node").union(loops).distinct()
 
 
+def chain_ends(hops: DataFrame) -> DataFrame:
+    """(node, end, far): where hops(node, end, far) lead, one a node and without cycles, when each is followed as far as it goes.
+
+    Every hop takes over the hop of its end, so that rounds grow with the logarithm of the longest chain.
+    """
+    table = Latest()
+    hops, moved = table.put(hops.select("node", "end", "far")), 1
+    while moved:
+        then = hops.toDF("end", "end2", "far2")
+        ahead = hops.join(then, "end", "left").select("node", F.coalesce("end2", "end").alias("end"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), "end2")
+        hops, moved = table.put_count(ahead, F.col("end2").isNotNull())
+        hops = hops.select("node", "end", "far")
+    return hops
+
+
+def longest_ways(edges: DataFrame) -> DataFrame:
+    """(node, level): the greatest weight of a way from each node of edges(src, dst, weight), which have no cycle; 0 where no edge leaves.
+
+    Nodes with one successor are taken out, their chains followed by doubling; what is left has fewer branches, more of which then lead to one
+    end, and so on while that takes out a quarter of the branching nodes.  Only the rest goes step by step, and only with levels that rise.
+    """
+    from factloom.operators.lattice import Lattice, fixpoint, only
+
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    e, passes, before = cut(edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))), [], None
+    while True:
+        single = F.col("n") == 1
+        ways = cut(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("end"), F.max("weight").alias("far")))
+        ones, more = ways.agg(F.count_if(single), F.count_if(~single)).head()
+        if not ones or (before is not None and 4 * ones < before):
+            break
+        passes.append(chain_ends(ways.where(single)))
+        ends, branching = passes[-1].toDF("dst", "end", "far"), ways.where(~single).select(F.col("node").alias("src"))
+        led = e.join(branching, "src", "left_semi").join(ends, "dst", "left")
+        led = led.select("src", F.coalesce("end", "dst").alias("dst"), (F.col("weight") + F.coalesce("far", F.lit(0))).alias("weight"))
+        e, before = cut(led.groupBy("src", "dst").agg(F.max("weight").alias("weight"))), more
+    left = reduce(lambda n, hops: n.join(hops, "node", "left_anti"), passes, nodes)
+    start = left.join(e.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(0).cast("long").alias("level"))
+    rise = lambda f: f.join(e, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), (F.col("level") + F.col("weight")).alias("level"))
+    level = cut(fixpoint(start, rise, Lattice((("level", only(F.max)),)), "node"))
+    for hops in reversed(passes):
+        level = cut(level.union(hops.join(level.toDF("end", "level"), "end").select("node", F.col("level") + F.col("far"))))
+    return level
+
+
 def bottom_up_levels(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(scc, level): 0 for components that call no other, else one more than the highest they call."""
     c = components
     between = edges.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").where("a <> b").select("a", "b").distinct()
-    between = cut(between)
-    level = cut(c.select("scc").distinct().select("scc", F.lit(0).alias("level")))
-    while True:
-        higher = between.join(level, F.col("b") == F.col("scc")).groupBy("a").agg((F.max("level") + 1).alias("l"))
-        raised = F.col("l") > F.col("level")
-        seen = Observation()
-        nxt = level.join(higher, F.col("scc") == F.col("a"), "left").select("scc", F.greatest("level", F.coalesce("l", "level")).alias("level"), raised.alias("raised"))
-        level = cut(nxt.observe(seen, F.count_if("raised").alias("raised"))).select("scc", "level")
-        if not seen.get.get("raised"):
-            return level
+    level = longest_ways(between.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).cast("long").alias("weight")))
+    return c.select("scc").distinct().join(level.toDF("scc", "level"), "scc", "left").select("scc", F.coalesce("level", F.lit(0)).cast("int").alias("level"))
 
 
 def has_cycle(edges: DataFrame) -> DataFrame:
-    """One row: whether a node reaches itself."""
-    loops = edges.where("src = dst").select("src", "dst")
-    rest, _ = trim(edges.where("src <> dst"))
-    return rest.union(loops).agg((F.count("*") > 0).alias("has_cycle"))
+    """One row: whether a node reaches itself.  Ends with the first component of two or more."""
+    loops = edges.where("src = dst").select("src")
+    ring = any(others for _, others in _turns(edges.where("src <> dst")))
+    return loops.agg(((F.count("*") > 0) | F.lit(ring)).alias("has_cycle"))
 
 
 def guard_propagates(flow: DataFrame, source, target, strict: bool = True) -> DataFrame:

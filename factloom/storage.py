@@ -54,6 +54,32 @@ def cut_count(df: DataFrame, what: str = "round") -> tuple[DataFrame, int]:
     return out, int(seen.get.get("rows") or 0)
 
 
+class Latest:
+    """The table of a loop's last round: put() writes the next and then deletes the one before, so a loop holds two tables at most.
+
+    Only for loops whose rounds read nothing but the last table: what was made of an older one becomes unreadable.
+    """
+
+    def __init__(self, what: str = "round"):
+        self.what, self.path = what, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """cut() into the place of the last round."""
+        spark, old = df.sparkSession, self.path
+        self.path = scratch(spark, self.what)
+        df.write.parquet(self.path)
+        if old is not None:
+            delete(spark, old)
+            _made.remove(old)
+        return spark.read.schema(df.schema).parquet(self.path)
+
+    def put_count(self, df: DataFrame, test=None) -> tuple[DataFrame, int]:
+        """put() and the number of rows, or of those where test holds."""
+        seen = Observation()
+        out = self.put(df.observe(seen, F.count_if(F.lit(True) if test is None else test).alias("rows")))
+        return out, int(seen.get.get("rows") or 0)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -182,6 +182,46 @@ def test_components_of_nested_cycles(spark):
     assert got == {**{i: 0 for i in range(7)}, 10: 10, 11: 10, 12: 10}
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Chains in any order, one with diamonds, one with a cycle at its end: levels and components."""
+    import random
+
+    from factloom import storage
+
+    made, plain = [], storage.scratch
+    monkeypatch.setattr(storage, "scratch", lambda *a: made.append(a) or plain(*a))
+    n = 5_000
+    name = random.Random(7).sample(range(10 * n), n)
+    chain = [(name[i], name[i + 1]) for i in range(n - 1)]
+    diamonds = [(name[i], name[i + 2]) for i in range(0, n - 2, 2)]
+    one = spark.createDataFrame([(a, a) for a in name], "node int, scc int")
+    levels = dict(map(tuple, graph.bottom_up_levels(edges(spark, chain + diamonds), one).collect()))
+    assert levels == {a: n - 1 - i for i, a in enumerate(name)}
+    assert len(made) < 80
+    made.clear()
+    name = name[:500]
+    ring = edges(spark, [*chain[:499], (name[-1], name[-3])])
+    got = dict(map(tuple, graph.strong_components(ring, nodes(spark, name)).collect()))
+    assert got == {**{a: a for a in name}, **{a: min(name[-3:]) for a in name[-3:]}}
+    assert len(made) < 200
+
+
+def test_levels_against_brute_force(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        pairs = sorted({(a, b) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(40 + 40 * seed)) if a > b})
+        out = {}
+        for a, b in pairs:
+            out.setdefault(a, []).append(b)
+        level = {}
+        for a in range(60):
+            level[a] = max((1 + level[b] for b in out.get(a, ())), default=0)
+        one = spark.createDataFrame([(a, a) for a in range(60)], "node int, scc int")
+        assert dict(map(tuple, graph.bottom_up_levels(edges(spark, pairs), one).collect())) == level
+
+
 def test_guards_propagate(spark):
     f = spark.createDataFrame([(1, 2, True), (2, 3, False)], "src int, dst int, preserves boolean")
     assert graph.guard_propagates(f, 1, 2).first()[0] and not graph.guard_propagates(f, 1, 3).first()[0] and graph.guard_propagates(f, 1, 3, strict=False).first()[0]
