@@ -46,6 +46,15 @@ RAISED = (
     r"raise\s+RuntimeError",
     r"raise\s+NotImplementedError",
 )
+# Bug types of which guards in the code say nothing, and those that code raises on purpose; names of request objects and of
+# functions that are given one; names that tell of a user's file; a default that is not zero; and the confidence of each signal of the code.
+NOT_BY_GUARDS = ("BOUNDS", "STALE_VALUE")
+BY_RAISING = ("VALUE_ERROR", "TYPE_ERROR", "RUNTIME_ERROR")
+REQUESTS = ("request", "req", "http_request")
+VIEWS = ("view", "handler", "endpoint", "route", "api")
+USER_FILES = ("path", "file", "input")
+NONZERO_DEFAULT = r"def\s+\w+\([^)]*=\s*[1-9][^,)]*\)"
+CODE_CONFIDENCE = {"request": 0.95, "view": 0.8, "guard": 0.7, "raised": 0.9, "optional": 0.95, "default": 0.6, "handler": 0.7, "import": 0.5, "outside": 0.3}
 CONFIDENCE = {"test": 0.95, "example": 0.7, "config": 0.6, "migration": 0.8, "self": 0.99, "method": 0.9}
 CLI_SOURCES = ("sys.argv", "argparse", "ArgumentParser", "parse_args", "click.option", "click.argument", "click.command", "typer.Option", "typer.Argument")
 ENV_SOURCES = ("os.environ", "os.getenv", "environ.get", "environ[")
@@ -149,9 +158,41 @@ def suppressed(path: Column, sources: Column, chain: Column, sink: Column, thres
     return context_multiplier(contexts(path, sources, chain, sink)) < threshold
 
 
-def judged(path: Column, bug_type: Column, variable: Column, function: Column, confidence: Column, least: float) -> Column:
-    """struct(keep, adjusted, kinds): a finding's confidence times the chance that no signal of intent holds, and whether that is enough."""
-    found = signals(path, bug_type, variable, function)
+#: Lines before a finding, its own included, in which a handler of exceptions counts.
+HANDLER_LINES = 10
+
+
+def code_signals(bug_type: Column, variable: Column, function: Column, code: Column, line: Column, body: Column) -> Column:
+    """Array of (kind, confidence) from names and from code: the text of the whole file, and body, that of the function (null: the whole file).
+
+    A signal whose test needs something that is null is absent; a line outside of the code has no handler.
+    """
+    rows = F.split(code, "\n")
+    first = F.greatest(F.lit(1), line - (HANDLER_LINES - 1))
+    near = F.array_join(F.slice(rows, first, F.greatest(F.lit(0), line - first + 1)), "\n")
+    none, unread = bug_type == "NULL_PTR", bug_type == "IMPORT_ERROR"
+    base = F.lower(F.substring_index(F.substring_index(variable, ".", 1), "[", 1))
+    tests = {
+        "request": none & base.isin(*REQUESTS),
+        "view": none & (variable == "param_0") & _any(F.lower(function), VIEWS),
+        "guard": ~bug_type.isin(*NOT_BY_GUARDS) & is_guarded_text(F.coalesce(body, code)),
+        "raised": bug_type.isin(*BY_RAISING) & raises_on_purpose(code),
+        "optional": unread & code.contains("try:") & code.contains("import") & _any(code, ("except ImportError", "except ModuleNotFoundError")),
+        "default": (bug_type == "DIV_ZERO") & code.rlike(NONZERO_DEFAULT),
+        "handler": line.between(1, F.size(rows)) & near.contains("except") & near.contains("try"),
+        "import": unread,
+        "outside": (bug_type == "FILE_NOT_FOUND") & ~F.coalesce(_any(F.lower(variable), USER_FILES), F.lit(False)),
+    }
+    return F.array_compact(F.array(*(F.when(holds, F.struct(F.lit(kind).alias("kind"), F.lit(CODE_CONFIDENCE[kind]).alias("confidence"))) for kind, holds in tests.items())))
+
+
+def judged(path: Column, bug_type: Column, variable: Column, function: Column, confidence: Column, least: float, code: Column | None = None, line: Column | None = None, body: Column | None = None) -> Column:
+    """struct(keep, adjusted, kinds): a finding's confidence times the chance that no signal of intent holds, and whether that is enough.
+
+    With code, line and body (see `python_source.bodies`) what the code says counts too.
+    """
+    text, at = F.lit(None).cast("string"), F.lit(None).cast("int")
+    found = F.concat(signals(path, bug_type, variable, function), code_signals(bug_type, variable, function, text if code is None else code, at if line is None else line, text if body is None else body))
     adjusted = confidence * unintentional(F.transform(found, lambda s: s["confidence"]))
     return F.struct((adjusted >= least).alias("keep"), adjusted.alias("adjusted"), F.transform(found, lambda s: s["kind"]).alias("kinds"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.functions import intent
 from factloom.plans.registry import load, query
 from factloom.sources import python_source, sarif, text
 
@@ -154,3 +155,58 @@ def patched_calls(spark, sf_dir):
     calls = facts.groupBy("path").agg(F.min_by("name", F.struct("line", "col")).alias("called"), F.some(F.col("kind") == "error").alias("failed"))
     split = F.split("path", ":", 2)
     return named.select("path", "changed").join(calls, "path", "left").select(F.get(split, F.lit(1)).alias("path"), F.get(split, F.lit(0)).alias("side"), "called", "changed", "failed")
+
+
+# Source files of the parts: imports, a helper whose name parts of one size share, and a method that imports late.
+_MODULES = """m AS (SELECT p_partkey AS k, p_size AS n, 'src/d' || CAST(p_size AS VARCHAR) || '/m' || CAST(p_partkey AS VARCHAR) || '.py' AS path FROM part)"""
+
+
+def _modules(spark, sf_dir):
+    n = F.col("p_size")
+    code = _text("import os, re as r", n, "\nfrom .a", _k(), " import (b as c,\n  d)\n\ndef helper", n, "(x):\n    return x or ", _k(), "\n\nclass C:\n    def run(self):\n        import late\n        return helper", n, "(self)\n")
+    return load(spark, sf_dir, "part").select(_text("src/d", n, "/m", _k(), ".py").alias("path"), code.alias("text"), _k().alias("k"), n.alias("n"))
+
+
+@query(f"""WITH {_MODULES} SELECT path, 1 AS line, 'import os' AS statement FROM m UNION ALL SELECT path, 1, 'import re as r' || CAST(n AS VARCHAR) FROM m UNION ALL SELECT path, 2, 'from .a' || CAST(k AS VARCHAR) || ' import b as c, d' FROM m""")
+def file_imports(spark, sf_dir):
+    """Imports at the top level; those inside of functions are not among them."""
+    return python_source.imports(python_source.facts(_modules(spark, sf_dir)))
+
+
+@query(f"""WITH {_MODULES}, r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY path) AS any_file FROM m)
+SELECT 'x.helper' || CAST(n AS VARCHAR) AS name, NULL::VARCHAR AS in_file, path, 5 AS first, 6 AS last, '   5 | def helper' || CAST(n AS VARCHAR) || '(x):' || chr(10) || '   6 |     return x or ' || CAST(k AS VARCHAR) AS source FROM r WHERE any_file <= 3
+UNION ALL SELECT 'run', path, path, 9, 11, '   9 |     def run(self):' || chr(10) || '  10 |         import late' || chr(10) || '  11 |         return helper' || CAST(n AS VARCHAR) || '(self)' FROM m""")
+def function_lookups(spark, sf_dir):
+    """The helper of each size wherever it is, which gives three, and the method of each file."""
+    files = _modules(spark, sf_dir)
+    wanted = files.select(_text("x.helper", F.col("n")).alias("name"), F.lit(None).cast("string").alias("in_file")).union(files.select(F.lit("run"), "path")).union(spark.range(1).select(F.lit("nowhere"), F.lit(None)))
+    return python_source.function_sources(files, python_source.facts(files), wanted).select("name", "in_file", "path", "first", "last", "source")
+
+
+_KINDS = ("DIV_ZERO", "VALUE_ERROR", "IMPORT_ERROR", "FILE_NOT_FOUND", "BOUNDS", "NULL_PTR")
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, {list(_KINDS)}[p_partkey % 6 + 1] AS bug, 'def other(a=' || CAST(p_size % 4 AS VARCHAR) || '):' || chr(10) || '    return a or 1' || chr(10) AS head,
+  'def f(request):' || chr(10) || CASE p_size % 5 WHEN 0 THEN '    x = request or ' || CAST(p_size AS VARCHAR) WHEN 1 THEN '    raise ValueError(1)' WHEN 2 THEN '    try:' || chr(10) || '        import y' || chr(10) || '    except ImportError:' || chr(10) || '        y = 1'
+    WHEN 3 THEN '    x = 1 if request else 2' ELSE '    x = request' END AS body, CASE WHEN p_size % 2 = 0 THEN 'request.name' ELSE 'in_path' END AS var, 4 + p_size % 9 AS line, p_partkey % 7 = 0 AS lost FROM part),
+t AS (SELECT *, head || body || chr(10) || CASE WHEN lost THEN 'x = (' ELSE '' END AS code FROM p), b AS (SELECT *, string_split(code, chr(10)) AS v, CASE WHEN lost THEN code ELSE body END AS searched FROM t),
+s AS (SELECT *, array_to_string(v[greatest(1, line - 9):line], chr(10)) AS near FROM b),
+c AS (SELECT id, (CASE WHEN bug = 'NULL_PTR' AND var = 'request.name' THEN 1 - 0.95::DOUBLE ELSE 1 END) * (CASE WHEN bug <> 'BOUNDS' AND regexp_matches(searched, '\\bor\\s+\\d+|if\\s+\\w+\\s+else\\s+') THEN 1 - 0.7::DOUBLE ELSE 1 END)
+  * (CASE WHEN bug = 'VALUE_ERROR' AND contains(code, 'raise ValueError') THEN 1 - 0.9::DOUBLE ELSE 1 END) * (CASE WHEN bug = 'IMPORT_ERROR' THEN 0.5::DOUBLE * CASE WHEN contains(code, 'except ImportError') THEN 1 - 0.95::DOUBLE ELSE 1 END ELSE 1 END)
+  * (CASE WHEN bug = 'DIV_ZERO' AND regexp_matches(code, 'def\\s+\\w+\\([^)]*=\\s*[1-9][^,)]*\\)') THEN 1 - 0.6::DOUBLE ELSE 1 END) * (CASE WHEN line <= len(v) AND contains(near, 'except') AND contains(near, 'try') THEN 1 - 0.7::DOUBLE ELSE 1 END)
+  * (CASE WHEN bug = 'FILE_NOT_FOUND' AND var <> 'in_path' THEN 1 - 0.3::DOUBLE ELSE 1 END) AS left_ FROM s)
+SELECT id, round(left_, 6) AS adjusted, left_ >= 0.5 AS keep FROM c""")
+def bugs_in_code(spark, sf_dir):
+    """Findings judged with the code of their functions; the file has a guarded function besides, and does not parse every seventh time."""
+    n = F.col("p_size")
+    ways = [_text("    x = request or ", n), F.lit("    raise ValueError(1)"), F.lit("    try:\n        import y\n    except ImportError:\n        y = 1"), F.lit("    x = 1 if request else 2"), F.lit("    x = request")]
+    body = F.concat(F.lit("def f(request):\n"), F.get(F.array(*ways), (n % 5).cast("int")), F.lit("\n"))
+    code = F.concat(_text("def other(a=", n % 4, "):\n    return a or 1\n"), body, F.when(_k() % 7 == 0, "x = (").otherwise(""))
+    part = load(spark, sf_dir, "part").withColumn("path", _text("src/p", _k(), ".py"))
+    texts = part.select("path", code.alias("text"))
+    bug = F.get(F.array(*map(F.lit, _KINDS)), (_k() % 6).cast("int"))
+    rows = part.select(_k().alias("id"), "path", bug.alias("bug"), F.lit("m.f").alias("function"), F.when(n % 2 == 0, "request.name").otherwise("in_path").alias("variable"), (4 + n % 9).cast("int").alias("line"))
+    c = F.col
+    got = python_source.bodies(texts, python_source.facts(texts), rows)
+    got = got.select("id", intent.judged(c("path"), c("bug"), c("variable"), c("function"), F.lit(1.0), 0.5, c("code"), c("line"), c("body")).alias("j"))
+    return got.select("id", F.round("j.adjusted", 6).alias("adjusted"), "j.keep")

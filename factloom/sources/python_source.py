@@ -12,7 +12,7 @@ import textwrap
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FACTS = "path string, kind string, qname string, name string, line int, col int, n_args int, is_method boolean, detail string"
@@ -110,7 +110,7 @@ def parse(text: str, repair: bool) -> ast.Module:
 
 
 def facts_of(path: str, text: str, repair: bool = False) -> list[tuple]:
-    """Rows of FACTS: functions, calls, imports, entry points, guards; or one row of kind error."""
+    """Rows of FACTS: functions and their spans, calls, imports and the statements that make them, entry points, guards; or one row of kind error."""
     try:
         return _facts_of(path, parse(text, repair))
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
@@ -128,6 +128,7 @@ def _facts_of(path: str, tree: ast.Module) -> list[tuple]:
                 a = child.args
                 params = [*(x.arg for x in (*a.posonlyargs, *a.args)), *(f"*{x.arg}" for x in (a.vararg,) if x), *(x.arg for x in a.kwonlyargs), *(f"**{x.arg}" for x in (a.kwarg,) if x)]
                 rows.append((path, "function", inner, child.name, child.lineno, child.col_offset, len(params), cls is not None, ",".join(params)))
+                rows.append((path, "span", inner, child.name, child.lineno, None, None, None, str(child.end_lineno)))
                 for d in child.decorator_list:
                     if name := _dotted(d.func if isinstance(d, ast.Call) else d):
                         rows.append((path, "decorator", inner, name, child.lineno, None, None, None, None))
@@ -147,6 +148,11 @@ def _facts_of(path: str, tree: ast.Module) -> list[tuple]:
             walk(child, inner, inner_cls, inner_func)
 
     walk(tree, module, None, None)
+    for node in tree.body:
+        if isinstance(node, ast.Import):
+            rows.extend((path, "statement", module, a.name, node.lineno, None, None, None, f"import {ast.unparse(a)}") for a in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            rows.append((path, "statement", module, node.module, node.lineno, None, None, None, ast.unparse(node)))
     top = next((x for x in tree.body if not isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom)) and not (isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant))), None)
     if top is not None:
         rows.append((path, "toplevel", module, "<module>", top.lineno, None, None, None, None))
@@ -184,6 +190,55 @@ def functions(found: DataFrame) -> DataFrame:
     return found.where("kind = 'function'").select("qname", F.col("path").alias("file"), "line", F.when(F.col("detail") != "", F.split("detail", ",")).otherwise(F.array().cast("array<string>")).alias("params"))
 
 
+def imports(found: DataFrame) -> DataFrame:
+    """(path, line, statement): the imports at the top level of each file, a row for each name of `import` and for each `from`."""
+    return found.where("kind = 'statement'").select("path", "line", F.col("detail").alias("statement"))
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """(path, qname, name, first, last): the lines of each function, decorators left out."""
+    return found.where("kind = 'span'").select("path", "qname", "name", F.col("line").alias("first"), F.col("detail").cast("int").alias("last"))
+
+
+def _cut(first: str = "first", last: str = "last") -> Column:
+    return F.slice(F.split("text", "\r\n|\r|\n"), F.col(first), F.col(last) - F.col(first) + 1)
+
+
+#: Functions that a lookup gives for one name.
+MATCHES = 3
+
+
+def function_sources(texts: DataFrame, found: DataFrame, wanted: DataFrame, most: int = MATCHES) -> DataFrame:
+    """(name, in_file, path, qname, first, last, source): the functions that wanted(name, in_file) names, with numbered lines.
+
+    The last part of a dotted name counts; in_file is a part of the path, null or empty for any.  The first `most` by path and line are given;
+    names that no function has give no row, nor do null names.  Spark keeps the first of each task before it shuffles, so common names are cheap.
+    """
+    asked = wanted.select("name", "in_file").distinct().withColumn("last_part", F.substring_index("name", ".", -1))
+    known = spans(found).withColumnRenamed("name", "last_part")
+    hits = asked.join(known, "last_part").where(F.col("path").contains(F.coalesce("in_file", F.lit(""))))
+    order = Window.partitionBy("name", "in_file").orderBy("path", "first", "qname")
+    picked = hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    numbered = F.transform(_cut(), lambda x, i: F.format_string("%4d | %s", F.col("first") + i, x))
+    return picked.join(texts.select("path", "text"), "path").select("name", "in_file", "path", "qname", "first", "last", F.array_join(numbered, "\n").alias("source"))
+
+
+def bodies(texts: DataFrame, found: DataFrame, findings: DataFrame) -> DataFrame:
+    """findings(path, function, line, ...) with code, the text of their file, and body, the text of their function.
+
+    Of functions of one name the least nested counts, then the first.  Where the file has none of that name, body is the lines from 40 before to 10
+    behind the finding; without a function, a text that does not parse or no line, it is null, as are code and body of unknown paths.
+    """
+    deep = F.size(F.split("qname", r"\."))
+    known = spans(found).groupBy("path", "name").agg(F.min_by(F.struct("first", "last"), F.struct(deep, "first")).alias("at"))
+    read = texts.select("path", "text").join(found.where("kind = 'error'").select("path", F.lit(True).alias("broken")).distinct(), "path", "left")
+    rows = findings.withColumn("name", F.substring_index("function", ".", -1)).join(known, ["path", "name"], "left").join(read, "path", "left")
+    rows = rows.withColumn("first", F.coalesce("at.first", F.greatest(F.lit(1), F.col("line") - 39))).withColumn("last", F.coalesce("at.last", F.col("line") + 10))
+    whole = F.col("broken").isNotNull() | (F.coalesce("function", F.lit("")) == "")
+    body = F.when(~whole, F.array_join(_cut(), "\n"))
+    return rows.select(*findings.columns, F.col("text").alias("code"), body.alias("body"))
+
+
 def call_sites(found: DataFrame) -> DataFrame:
     """(file, line, col, caller, callee, num_args, is_method)."""
     return found.where("kind = 'call'").select(F.col("path").alias("file"), "line", "col", F.col("qname").alias("caller"), F.col("name").alias("callee"), F.col("n_args").alias("num_args"), "is_method")

@@ -38,6 +38,19 @@ def test_python_facts_and_graph(spark):
     assert found.where("kind = 'guard'").count() == 2
 
 
+def test_lookups_by_function_and_imports(spark):
+    files = spark.createDataFrame([("pkg/run.py", CODE), ("a.py", "import x.y as z, w\nfrom ..q import *\ndef go():\n    import late\n"), ("bad.py", "def go(:"), (None, None)], "path string, text string")
+    found = python_source.facts(files).cache()
+    assert {tuple(r) for r in python_source.imports(found).where("path = 'a.py'").collect()} == {("a.py", 1, "import x.y as z"), ("a.py", 1, "import w"), ("a.py", 2, "from ..q import *")}
+    ask = lambda *rows: spark.createDataFrame(list(rows), "name string, in_file string")
+    got = {(r.name, r.in_file): (r.path, r.source) for r in python_source.function_sources(files, found, ask(("Runner.go", "pkg/"), ("go", "a.py"), ("none", None), (None, None))).collect()}
+    assert set(got) == {("Runner.go", "pkg/"), ("go", "a.py")} and got["go", "a.py"] == ("a.py", "   3 | def go():\n   4 |     import late")
+    assert python_source.function_sources(files, found, ask(("go", None)), 1).count() == 1 and python_source.function_sources(files, found, ask(("go", None))).count() == 2
+    spots = spark.createDataFrame([(1, "a.py", "m.go", 3), (2, "a.py", "gone", 2), (3, "bad.py", "go", 1), (4, "a.py", None, 1), (5, "no.py", "go", None)], "id int, path string, function string, line int")
+    bodies = {r.id: r.body for r in python_source.bodies(files, found, spots).collect()}
+    assert bodies[1] == "def go():\n    import late" and bodies[2].startswith("import x.y") and bodies[3] is None and bodies[4] is None and bodies[5] is None
+
+
 def test_files_and_discovery(spark, tmp_path):
     for name in ("a.py", "sub/b.py", "tests/test_c.py", "venv/d.py", "note.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
