@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from factloom.functions import intent
 from factloom.plans.registry import load, query
 from factloom.sources import python_source, sarif, text
+from factloom.storage import dealt
 
 
 def _k():
     return F.col("p_partkey")
 
 
+def _parts(spark, sf_dir):
+    """The parts, dealt over all cores for what Python parses."""
+    return dealt(load(spark, sf_dir, "part"))
+
+
 def _text(*parts):
     """A column of text from columns and strings."""
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -66,7 +72,7 @@ def tool_findings(spark, sf_dir):
 def patches(spark, sf_dir):
     n = F.col("p_size")
     diff = _text("diff --git a/src/f", n, ".py b/src/f", n, ".py\nindex 1..2 100644\n--- a/src/f", n, ".py\n+++ b/src/f", n, ".py\n@@ -", n, ",3 +", n, ",4 @@ def f():\n a\n-old\n+", F.col("p_name"), "\n+more\n z\n")
-    got = text.parse_patches(load(spark, sf_dir, "part").select(_text("p", _k()).alias("patch"), diff.alias("text")))
+    got = text.parse_patches(_parts(spark, sf_dir).select(_text("p", _k()).alias("patch"), diff.alias("text")))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return got.select("patch", "file", "buggy", "fixed", joined("buggy_lines"), joined("fixed_lines"))
 
@@ -118,14 +124,14 @@ def entry_points(spark, sf_dir):
     """Modules with a route, with a main function, and with code of their own half the time."""
     code = F.when(_k() % 3 == 0, "@app.route('/')\ndef f(*args, **kw):\n    return g()\n").when(_k() % 3 == 1, "def main():\n    return 1\n").otherwise("def h():\n    return 2\n")
     extra = F.when((_k() % 3 < 2) | (_k() % 2 == 1), "").otherwise("x = 1\n")
-    return python_source.entry_points(python_source.facts(load(spark, sf_dir, "part").select(_text("pkg/m", _k(), ".py").alias("path"), F.concat(code, extra).alias("text"))))
+    return python_source.entry_points(python_source.facts(_parts(spark, sf_dir).select(_text("pkg/m", _k(), ".py").alias("path"), F.concat(code, extra).alias("text"))))
 
 
 @query("""SELECT 'm' || CAST(p_partkey AS VARCHAR) || '.py' AS path, CASE p_partkey % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'h' WHEN 2 THEN 'i' ELSE NULL END AS called, p_partkey % 4 = 3 AS failed FROM part""")
 def repaired_calls(spark, sf_dir):
     """Code out of its place: indented, a block without a body, pieces of a diff, and text that is no code."""
     texts = F.array(*map(F.lit, ("    x = g(1)\n    return x\n", "for a in b:\nh(a)\n", "# @@ hunk @@\n    i(2)\n# @@ hunk @@\nelse_ = 3\nreturn else_\n", "not code at (")))
-    rows = load(spark, sf_dir, "part").select(_text("m", _k(), ".py").alias("path"), F.get(texts, (_k() % 4).cast("int")).alias("text"))
+    rows = _parts(spark, sf_dir).select(_text("m", _k(), ".py").alias("path"), F.get(texts, (_k() % 4).cast("int")).alias("text"))
     found = python_source.facts(rows, repair=True).where("kind in ('call', 'error')")
     return found.groupBy("path").agg(F.max(F.when(F.col("kind") == "call", F.col("name"))).alias("called"), F.some(F.col("kind") == "error").alias("failed"))
 
@@ -148,7 +154,7 @@ def patched_calls(spark, sf_dir):
     noted = F.lit("@@ -120,2 +120,2 @@\n--- old comment\n+++ new comment\n-x = 1\n+x = 2\n")
     code = F.when(_k() % 2 == 0, whole).otherwise(c(first, second))
     diff = c(head(path), code, head(F.lit("tests/test_a.py")), F.lit("@@ -1 +1 @@\n-a()\n+b()\n"), head(F.lit("notes.txt")), noted)
-    found = text.parse_patches(load(spark, sf_dir, "part").select(_text("p", _k()).alias("patch"), diff.alias("text")), only_source=True, marks=True)
+    found = text.parse_patches(_parts(spark, sf_dir).select(_text("p", _k()).alias("patch"), diff.alias("text")), only_source=True, marks=True)
     sides = found.select("file", F.explode(F.array(F.struct(F.lit("buggy").alias("side"), F.col("buggy").alias("text"), F.col("buggy_lines").alias("at")), F.struct(F.lit("fixed").alias("side"), F.col("fixed").alias("text"), F.col("fixed_lines").alias("at")))).alias("s"))
     named = sides.select(c(F.col("s.side"), F.lit(":"), F.col("file")).alias("path"), "s.text", F.get("s.at", F.lit(0)).alias("changed"))
     facts = python_source.facts(named, repair=True).where("kind in ('call', 'error')")
@@ -164,7 +170,7 @@ _MODULES = """m AS (SELECT p_partkey AS k, p_size AS n, 'src/d' || CAST(p_size A
 def _modules(spark, sf_dir):
     n = F.col("p_size")
     code = _text("import os, re as r", n, "\nfrom .a", _k(), " import (b as c,\n  d)\n\ndef helper", n, "(x):\n    return x or ", _k(), "\n\nclass C:\n    def run(self):\n        import late\n        return helper", n, "(self)\n")
-    return load(spark, sf_dir, "part").select(_text("src/d", n, "/m", _k(), ".py").alias("path"), code.alias("text"), _k().alias("k"), n.alias("n"))
+    return _parts(spark, sf_dir).select(_text("src/d", n, "/m", _k(), ".py").alias("path"), code.alias("text"), _k().alias("k"), n.alias("n"))
 
 
 @query(f"""WITH {_MODULES} SELECT path, 1 AS line, 'import os' AS statement FROM m UNION ALL SELECT path, 1, 'import re as r' || CAST(n AS VARCHAR) FROM m UNION ALL SELECT path, 2, 'from .a' || CAST(k AS VARCHAR) || ' import b as c, d' FROM m""")
@@ -202,7 +208,7 @@ def bugs_in_code(spark, sf_dir):
     ways = [_text("    x = request or ", n), F.lit("    raise ValueError(1)"), F.lit("    try:\n        import y\n    except ImportError:\n        y = 1"), F.lit("    x = 1 if request else 2"), F.lit("    x = request")]
     body = F.concat(F.lit("def f(request):\n"), F.get(F.array(*ways), (n % 5).cast("int")), F.lit("\n"))
     code = F.concat(_text("def other(a=", n % 4, "):\n    return a or 1\n"), body, F.when(_k() % 7 == 0, "x = (").otherwise(""))
-    part = load(spark, sf_dir, "part").withColumn("path", _text("src/p", _k(), ".py"))
+    part = _parts(spark, sf_dir).withColumn("path", _text("src/p", _k(), ".py"))
     texts = part.select("path", code.alias("text"))
     bug = F.get(F.array(*map(F.lit, _KINDS)), (_k() % 6).cast("int"))
     rows = part.select(_k().alias("id"), "path", bug.alias("bug"), F.lit("m.f").alias("function"), F.when(n % 2 == 0, "request.name").otherwise("in_path").alias("variable"), (4 + n % 9).cast("int").alias("line"))

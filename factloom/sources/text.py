@@ -196,21 +196,31 @@ def hunks_of(text: str, marks: bool = False) -> Iterator[tuple[str, list[str], l
 _HUNK_HEAD = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
+#: Characters of diffs whose files are gathered before they are given on.
+PATCH_BYTES = 4 << 20
+
+
 def parse_patches(patches: DataFrame, only_source: bool = False, marks: bool = False) -> DataFrame:
     """patches(patch, text) of unified diffs -> the old and new text of each file's hunks, and the changed line numbers.
 
-    only_source leaves Python files that are no tests; with marks the texts can be given to python_source.facts(repair=True).  A text gives as many rows as it names files; a batch of texts is given on
-    before the next is read.
+    only_source leaves Python files that are no tests; with marks the texts can be given to python_source.facts(repair=True).  A text gives as many rows as it names files; rows are
+    given on when the texts they are of have PATCH_BYTES characters, and at the end of a batch.
     """
 
     def run(batches):
         types = [pa.string()] * 4 + [pa.list_(pa.int32())] * 2
         names = [x.split()[0] for x in HUNK.split(", ")]
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for b in batches:
+            rows, size = [], 0
             for patch, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(patch, file, "\n".join(buggy), "\n".join(fixed), *numbers) for file, buggy, fixed, *numbers in hunks_of(text or "", marks)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                rows += [(patch, file, "\n".join(buggy), "\n".join(fixed), *numbers) for file, buggy, fixed, *numbers in hunks_of(text or "", marks)]
+                size += len(text or "")
+                if rows and size >= PATCH_BYTES:
+                    yield table(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(rows)
 
     found = patches.select("patch", "text").mapInArrow(run, HUNK)
     if not only_source:
