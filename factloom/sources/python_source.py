@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.storage import cut
+
 FACTS = "path string, kind string, qname string, name string, line int, col int, n_args int, is_method boolean, detail string"
 _NAMES = [x.split()[0] for x in FACTS.split(", ")]
 _TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
@@ -246,6 +248,7 @@ def call_sites(found: DataFrame) -> DataFrame:
 
 def entry_points(found: DataFrame) -> DataFrame:
     """(node, reason): main blocks, functions named main or tests, decorated routes or commands, and modules with code of their own or with any of these."""
+    found = cut(found.where("kind in ('function', 'entry', 'decorator', 'toplevel')").select("path", "kind", "qname", "name"), "starts")  # texts are parsed once, not for each use below
     named = found.where("kind = 'function' and (name = 'main' or name like 'test\\_%')").select(F.col("qname").alias("node"), F.lit("name").alias("reason"))
     main = found.where("kind = 'entry'").select(F.col("qname").alias("node"), F.lit("main").alias("reason"))
     routes = found.where("kind = 'decorator'").where(F.col("name").rlike(r"(^|\.)(route|get|post|put|delete|command|task)$")).select(F.col("qname").alias("node"), F.lit("decorator").alias("reason"))
