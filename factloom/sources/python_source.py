@@ -214,13 +214,18 @@ def function_sources(texts: DataFrame, found: DataFrame, wanted: DataFrame, most
     """(name, in_file, path, qname, first, last, source): the functions that wanted(name, in_file) names, with numbered lines.
 
     The last part of a dotted name counts; in_file is a part of the path, null or empty for any.  The first `most` by path and line are given;
-    names that no function has give no row, nor do null names.  Spark keeps the first of each task before it shuffles, so common names are cheap.
+    names that no function has give no row, nor do null names.  Paths are spelled out in pieces of the lengths that are asked, so that a piece finds
+    its paths by equality; Spark keeps the first of each task before it shuffles, so common names and pieces are cheap.
     """
-    asked = wanted.select("name", "in_file").distinct().withColumn("last_part", F.substring_index("name", ".", -1))
-    known = spans(found).withColumnRenamed("name", "last_part")
-    hits = asked.join(known, "last_part").where(F.col("path").contains(F.coalesce("in_file", F.lit(""))))
-    order = Window.partitionBy("name", "in_file").orderBy("path", "first", "qname")
-    picked = hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    asked = wanted.select("name", "in_file").distinct().withColumn("last_part", F.substring_index("name", ".", -1)).withColumn("piece", F.coalesce("in_file", F.lit("")))
+    lengths = asked.agg(F.collect_set(F.length("piece")).alias("lengths"))  # one row of short numbers, so that names that all files have are not brought together
+    path, size = F.col("path"), F.length("path")
+    cuts = lambda n: F.transform(F.sequence(F.lit(1), F.when(n == 0, 1).otherwise(size - n + 1)), lambda i: F.substr(path, i, n))
+    pieces = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= size), cuts)))
+    spelled = spans(found).withColumnRenamed("name", "last_part").crossJoin(F.broadcast(lengths)).select("last_part", "path", "qname", "first", "last", F.explode(pieces).alias("piece"))
+    order = Window.partitionBy("last_part", "piece").orderBy("path", "first", "qname")
+    firsts = spelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    picked = asked.join(firsts, ["last_part", "piece"])
     numbered = F.transform(_cut(), lambda x, i: F.format_string("%4d | %s", F.col("first") + i, x))
     return picked.join(texts.select("path", "text"), "path").select("name", "in_file", "path", "qname", "first", "last", F.array_join(numbered, "\n").alias("source"))
 
