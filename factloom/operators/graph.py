@@ -27,7 +27,7 @@ class Seen:
             self.parts = [cut(self.all())]
 
     def all(self) -> DataFrame:
-        return reduce(DataFrame.union, self.parts)
+        return self.parts[0] if len(self.parts) == 1 else reduce(DataFrame.union, self.parts).hint("merge")  # a union loses the hints of its parts
 
 
 def callees(edges: DataFrame, node) -> DataFrame:

@@ -36,3 +36,18 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session())
+
+
+def test_large_tables_do_not_go_through_the_driver(spark):
+    """Tables of a few MB, which Spark would broadcast in every round of a loop, are joined by merging; small ones as Spark sees fit."""
+    from factloom.operators.graph import Seen
+
+    rows = lambda n: spark.range(n).select("id", F.xxhash64("id").alias("x"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    large = storage.cut(rows(200_000))
+    seen = Seen(large)
+    seen.add(storage.cut(rows(10)))
+    for one in (large, storage.Latest().put(rows(200_000)), storage.Latest().put_count(rows(200_000))[0], seen.all()):
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            assert "BroadcastHashJoin" not in plan(rows(300_000).join(one.select("id"), "id", how)), how
+    assert "BroadcastHashJoin" in plan(rows(300_000).join(storage.cut(rows(10)).select("id"), "id"))
