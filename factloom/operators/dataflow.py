@@ -299,20 +299,20 @@ def ice_conjunction(predicates: DataFrame, implications: DataFrame | None = None
     more pres hold, so the rounds end in the largest set.  consistent is false if a negative sample passes the conjunction; where
     nothing is kept, that verdict stands in a row without a predicate.
     """
-    holds = cut(predicates.select("pred", "sample", "kind", "holds").distinct())
-    bad = holds.where("kind = 'positive' and not holds").select("pred").distinct()
-    kept, size = cut_count(holds.select("pred").distinct().join(bad, "pred", "left_anti"))
+    failed = cut(predicates.where("not holds").select("pred", "sample", "kind"))  # what holds is never looked up, so it is not written
+    bad = F.coalesce(F.bool_or((F.col("kind") == "positive") & ~F.col("holds")), F.lit(False))
+    kept, size = cut_count(predicates.groupBy("pred").agg(bad.alias("bad")).where("not bad").select("pred"))
     while implications is not None and size:
-        fails = holds.join(kept, "pred", "left_semi").where("not holds").select("sample", "pred").distinct()
+        fails = failed.join(kept, "pred", "left_semi").select("sample", "pred")
         live = implications.join(fails.select(F.col("sample").alias("pre")), "pre", "left_anti")
-        lost = fails.join(live.select(F.col("post").alias("sample")), "sample", "left_semi").select("pred")
+        lost = fails.join(live.select(F.col("post").alias("sample")), "sample", "left_semi").select("pred").distinct()
         kept, now = cut_count(kept.join(lost, "pred", "left_anti"))
         if now == size:
             break
         size = now
-    negative = holds.where("kind = 'negative'")
-    rejected = negative.join(kept, "pred", "left_semi").where("not holds").select("sample").distinct()
-    consistent = negative.select("sample").join(rejected, "sample", "left_anti").isEmpty()
+    negative = predicates.where("kind = 'negative'").select("sample").distinct()
+    rejected = failed.where("kind = 'negative'").join(kept, "pred", "left_semi").select("sample").distinct()
+    consistent = negative.join(rejected, "sample", "left_anti").isEmpty()
     if not size:
         return kept.sparkSession.createDataFrame([(consistent,)], "consistent boolean").select(F.lit(None).cast(kept.schema["pred"].dataType).alias("pred"), "consistent")
     return kept.select("pred", F.lit(consistent).alias("consistent"))

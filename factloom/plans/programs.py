@@ -9,7 +9,7 @@ from factloom.operators import baseline, concurrency, contracts, dataflow, envir
 from factloom.plans import facts as ft
 from factloom.plans.reference import _ACC, _FLOW, _SUM, _accesses, _callee, _flow, _functions
 from factloom.plans.registry import load, query
-from factloom.storage import scratch
+from factloom.storage import dealt, scratch
 
 # composed analyses ------------------------------------------------------------------------------------------------
 
@@ -280,7 +280,7 @@ def ice_conjunction(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")
     p = load(spark, sf_dir, "part")
     kind = F.when(k % 11 == 0, "positive").when(k % 13 == 0, "negative").otherwise("state")
-    rows = p.select(k.alias("k"), kind.alias("kind"), s.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(69))).alias("pred"))
+    rows = dealt(p.select(k.alias("k"), kind.alias("kind"), s.alias("s"))).select("*", F.explode(F.sequence(F.lit(0), F.lit(69))).alias("pred"))
     pred, own = F.col("pred"), F.col("k") % 11 != 0
     fails = (F.col("s") == pred) | (pred.between(60, 64) & F.pmod("k", F.lit(13)).isin(0, 12) & own) | ((pred >= 65) & (F.col("s") % 20 == pred * 7 % 20) & own)
     implied = p.where((k % 13 != 11) & (k % 11 != 0)).select(k.alias("pre"), (k + 1).alias("post"))

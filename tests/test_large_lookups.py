@@ -39,3 +39,19 @@ def test_parsing_uses_all_cores(spark):
     for name in ("file_imports", "patches"):
         assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert "RoundRobin" in _plan(registry.QUERIES["patched_calls"](spark, SF))
+
+
+def test_a_conjunction_writes_only_what_fails(spark):
+    """Samples times predicates are not shuffled as a whole: what holds is neither written nor made distinct."""
+    from factloom.operators import dataflow
+
+    written = []
+    was = dataflow.cut, dataflow.cut_count
+    count = lambda df: written.append(df.count()) or was[0](df)
+    rows = spark.range(4000).selectExpr("id % 40 as pred", "id div 40 as sample", "CASE WHEN id div 40 % 2 = 0 THEN 'positive' ELSE 'negative' END AS kind", "id % 40 <> id div 40 as holds")
+    dataflow.cut = count
+    try:
+        got = {(r.pred, r.consistent) for r in dataflow.ice_conjunction(rows.union(rows)).collect()}
+    finally:
+        dataflow.cut = was[0]
+    assert max(written) == 80 and got == {(p, False) for p in range(1, 40, 2)}
