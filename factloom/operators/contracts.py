@@ -228,11 +228,12 @@ def by_cases(calls: DataFrame, cases: DataFrame) -> DataFrame:
     open side is null.  Every summary needs a fallback, a case without bounds; a call whose name has no case, or
     that none of its cases takes, has no result.
     """
-    rows = calls.join(cases, "name")
-    inside = (F.coalesce(F.col("value") >= F.col("low"), F.col("low").isNull())) & F.coalesce(F.col("value") <= F.col("high"), F.col("high").isNull())
-    first = rows.where(inside).groupBy("call", "name", "value").agg(F.min_by(F.struct("ordinal", "add", "times"), "ordinal").alias("c"))
-    taken = first.select("call", "name", "value", F.col("c.ordinal").alias("ordinal"), (F.col("value") * F.col("c.times") + F.col("c.add")).alias("result"))
-    return calls.select("call", "name", "value").join(taken, ["call", "name", "value"], "left")
+    value = F.col("value")
+    inside = lambda c: (c["low"].isNull() | (value >= c["low"])) & (c["high"].isNull() | (value <= c["high"]))
+    of_name = cases.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "low", "high", "add", "times"))).alias("cases"))  # as long as the summary
+    rows = calls.select("call", "name", "value").join(F.broadcast(of_name), "name", "left")
+    taken = rows.withColumn("c", F.when(value.isNotNull(), F.get(F.filter("cases", inside), F.lit(0))))
+    return taken.select("call", "name", "value", F.col("c.ordinal").alias("ordinal"), (value * F.col("c.times") + F.col("c.add")).alias("result"))
 
 
 def register_cases(known: DataFrame, more: DataFrame) -> DataFrame:

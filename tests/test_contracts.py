@@ -26,3 +26,13 @@ def test_default_contract(spark):
     k = spark.createDataFrame([("a.f",), ("*.g",)], "key string")
     got = {r.name: r.key for r in contracts.contract_or_havoc(spark.createDataFrame([("a.f",), ("b.g",), ("c.h",)], "name string"), k).collect()}
     assert got == {"a.f": "a.f", "b.g": "*.g", "c.h": "<havoc>"}
+
+
+def test_calls_take_their_case_where_they_are(spark):
+    """Calls are neither grouped nor shuffled; the case with the least ordinal counts, whatever the order of the rows."""
+    cases = spark.createDataFrame([("f", 2, None, None, 7.0, 0.0), ("f", 0, None, 10.0, 0.0, 2.0), ("f", 1, 5.0, 20.0, 1.0, 1.0)], "name string, ordinal int, low double, high double, add double, times double")
+    rows = [(1, "f", 10.0), (2, "f", 20.0), (3, "f", 21.0), (4, "g", 1.0), (5, "f", None), (6, None, 1.0), (1, "f", 10.0)]
+    calls = spark.createDataFrame(rows, "call int, name string, value double").repartition(7)
+    found = contracts.by_cases(calls, cases)
+    assert sorted((r.call, r.ordinal, r.result) for r in found.collect()) == [(1, 0, 20.0), (1, 0, 20.0), (2, 1, 21.0), (3, 2, 7.0), (4, None, None), (5, None, None), (6, None, None)]
+    assert found.rdd.getNumPartitions() == 7
