@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.storage import parted
+
 # The numbers of sources, sinks and sanitizers, and the sinks that a sanitizer makes safe.
 SOURCES = (
     "HTTP_PARAM",
@@ -163,10 +165,11 @@ def apply_summary(args: DataFrame, flows: DataFrame) -> DataFrame:
 
     args(call, func, pos, tau, kappa, sigma), flows(func, pos).  Calls without a flowing argument are clean.
     """
-    moving = args.join(flows, ["func", "pos"], "left_semi")
-    joined = join_labels(moving, "call")
+    marked = args.join(flows.select("func", "pos").distinct().withColumn("moves", F.lit(True)), ["func", "pos"], "left")
+    moving = lambda c: F.when(F.col("moves") & F.col("call").isNotNull(), F.col(c)).alias(c)
+    joined = join_labels(parted(marked.select("call", moving("tau"), moving("kappa"), moving("sigma")), "call"), "call")
     zero = lambda name, v: F.coalesce(F.col(name), F.lit(v).cast("long")).alias(name)
-    return args.select("call").distinct().join(joined, "call", "left").select("call", zero("tau", 0), zero("kappa", KAPPA_ALL), zero("sigma", 0))
+    return joined.select("call", zero("tau", 0), zero("kappa", KAPPA_ALL), zero("sigma", 0))
 
 
 def results_of_calls(args: DataFrame, summaries: DataFrame) -> DataFrame:

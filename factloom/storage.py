@@ -103,6 +103,26 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism))
 
 
+#: Bytes of input files for each part that rows are dealt into before they are grouped.
+PART_BYTES = 8 << 20
+
+
+def parts(*tables: DataFrame) -> int:
+    """In how many parts to group rows of these tables: more for larger input files, so that the groups of one task stay as many; the session's number at least."""
+    spark = tables[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for file in {f for t in tables for f in t.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        size += where.getFileSystem(conf).getFileStatus(where).getLen()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
+def parted(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys into `parts` parts."""
+    return rows.repartition(parts(rows), *keys)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

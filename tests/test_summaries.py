@@ -24,3 +24,17 @@ def test_a_callee_called_clean_and_tainted(spark):
     assert at(4) == {("", "x"), ("", "u")} and at(5) == {("", "u")}  # g and the statement kill
     assert at(13) == {("p", "p"), ("p", "r")}  # entered clean it gives nothing
     assert found.where("func = 'f'").select("in_label").distinct().collect()[0][0] == 5
+
+
+def test_labels_of_large_files_are_grouped_in_more_parts(spark, tmp_path, monkeypatch):
+    """What one task groups does not grow with the table: larger files are grouped in more parts."""
+    from factloom import storage
+    from factloom.functions import taint
+
+    path = str(tmp_path / "args")
+    spark.range(20_000).selectExpr("id div 4 as call", "'f' as func", "id % 4 as pos", "1L << cast(id % 4 as int) as tau", "15L - id % 4 as kappa", "id % 4 as sigma").write.parquet(path)
+    monkeypatch.setattr(storage, "PART_BYTES", 2_000)
+    args = spark.read.parquet(path)
+    found = taint.apply_summary(args, spark.createDataFrame([("f", 1), ("f", 2), ("f", 2)], "func string, pos long"))
+    assert found.rdd.getNumPartitions() == storage.parts(args) > 4
+    assert {tuple(r)[1:] for r in found.collect()} == {(6, 14 & 13, 3)} and found.count() == 5_000
