@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.storage import parts
+
 KEY = ["file", "line", "bug_type"]
 #: Types of the right tool and the type of the left tool that they may stand for.
 RELATED = {"LOG_INJECTION": "CLEARTEXT_LOGGING"}
@@ -20,15 +22,19 @@ def loose_match(left: DataFrame, right: DataFrame, margin: int = 3, related: dic
 
     Lines are bucketed by the margin, so the join is on equal keys: a line meets its own bucket and both neighbours.
     """
-    only_l, only_r = left.select(*KEY).exceptAll(right.select(*KEY)), right.select(*KEY).exceptAll(left.select(*KEY))
+    n = parts(left, right)
+    side = lambda df, more: df.select(*KEY, F.lit(more).alias("more"))
+    alone = side(left, 1).union(side(right, -1)).repartition(n, *KEY).groupBy(*KEY).agg(F.sum("more").alias("more"))
+    only_l, only_r = alone.where("more > 0").select(*KEY), alone.where("more < 0").select(*KEY)
     width = 2 * margin + 1
     kind = F.col("bug_type")
     stands_for = F.array_compact(F.array(kind, *(F.when(kind == ours, F.lit(theirs)) for ours, theirs in related.items())))
     bucket = F.floor(F.col("line") / width)
     r = only_r.select("file", F.col("line").alias("right_line"), kind.alias("right_type"), F.explode(F.array_distinct(stands_for)).alias("bug_type"), bucket.alias("b"))
     r = r.select("file", "right_line", "right_type", "bug_type", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("bucket"))
-    near = only_l.withColumn("bucket", bucket).join(r, ["file", "bug_type", "bucket"]).where(F.abs(F.col("line") - F.col("right_line")) <= margin)
-    return near.groupBy(*KEY).agg(F.min(F.struct("right_line", "right_type")).alias("m")).select(*KEY, "m.right_line", "m.right_type")
+    place = ["file", "bug_type", "bucket"]
+    near = only_l.withColumn("bucket", bucket).repartition(n, *place).join(r.repartition(n, *place), place).where(F.abs(F.col("line") - F.col("right_line")) <= margin)
+    return near.groupBy(*KEY, "bucket").agg(F.min(F.struct("right_line", "right_type")).alias("m")).select(*KEY, "m.right_line", "m.right_type")
 
 
 def near_lines(findings: DataFrame, changed: DataFrame, margin: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.plans.registry import load
+from factloom.storage import parted
 
 #: Bug types that stand in for the event types; two of them are variants of a third.
 EVENT_BUGS = {"view": "SSRF", "click": "FULL_SSRF", "error": "DIV_ZERO", "purchase": "REFLECTED_XSS", "signup": "DOM_XSS"}
@@ -54,12 +55,9 @@ CURRENT, BASELINE = _sarif_sql("current_", ">="), _sarif_sql("baseline", "<")
 
 def line_hits(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
     """(file, line, bug_type): distinct hits of one of two tools."""
-    return (
-        load(spark, sf_dir, "lineitem")
-        .where(F.col("l_suppkey") % 2 == side)
-        .select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 2).alias("line"), F.col("l_returnflag").alias("bug_type"))
-        .distinct()
-    )
+    rows = load(spark, sf_dir, "lineitem").where(F.col("l_suppkey") % 2 == side)
+    rows = rows.select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 2).alias("line"), F.col("l_returnflag").alias("bug_type"))
+    return parted(rows, "file", "line", "bug_type").distinct()
 
 
 def _hits_sql(name: str, side: int) -> str:

@@ -51,3 +51,17 @@ def test_large_tables_do_not_go_through_the_driver(spark):
         for how in ("inner", "left", "left_semi", "left_anti"):
             assert "BroadcastHashJoin" not in plan(rows(300_000).join(one.select("id"), "id", how)), how
     assert "BroadcastHashJoin" in plan(rows(300_000).join(storage.cut(rows(10)).select("id"), "id"))
+
+
+def test_loose_matches_of_large_files_are_made_in_more_parts(spark, tmp_path, monkeypatch):
+    from factloom.operators import matching
+
+    spark.range(30_000).selectExpr("id div 10 as file", "cast(id % 10 * 4 as int) as line", "'X' as bug_type").write.parquet(str(tmp_path / "l"))
+    spark.range(30_000).selectExpr("id div 10 as file", "cast(id % 10 * 4 + id div 10 % 5 as int) as line", "'X' as bug_type").write.parquet(str(tmp_path / "r"))
+    monkeypatch.setattr(storage, "PART_BYTES", 2_000)
+    left, right = spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "r"))
+    found = matching.loose_match(left, right)
+    assert found.rdd.getNumPartitions() == storage.parts(left, right) > 4
+    # files are shifted by 0 to 4: by 0 and 4 lines are equal, but for the first or last by 4, which are 40 lines apart
+    near = found.groupBy((F.col("file") % 5).alias("shift")).agg(F.count("*").alias("n"), F.min(F.col("right_line") - F.col("line")).alias("lo"), F.max(F.col("right_line") - F.col("line")).alias("hi"))
+    assert {r["shift"]: (r.n, r.lo, r.hi) for r in near.collect()} == {1: (6000, -3, 1), 2: (6000, -2, 2), 3: (6000, -1, 3)}
