@@ -16,15 +16,18 @@ from factloom.storage import Latest, cut, cut_count
 
 
 class Seen:
-    """What a loop has found: a few written tables, made one from time to time, so that no round rewrites them all."""
+    """What a loop has found: a few written tables, made one from time to time, so that no round rewrites them all.
 
-    def __init__(self, first: DataFrame, most: int = 8):
-        self.parts, self.most = [first], most
+    merge makes one row of those that later ones have replaced, where they do.
+    """
+
+    def __init__(self, first: DataFrame, most: int = 8, merge: Callable[[DataFrame], DataFrame] | None = None):
+        self.parts, self.most, self.merge = [first], most, merge or (lambda df: df)
 
     def add(self, part: DataFrame) -> None:
         self.parts.append(part)
         if len(self.parts) > self.most:
-            self.parts = [cut(self.all())]
+            self.parts = [cut(self.merge(self.all()))]
 
     def all(self) -> DataFrame:
         return self.parts[0] if len(self.parts) == 1 else reduce(DataFrame.union, self.parts).hint("merge")  # a union loses the hints of its parts
@@ -45,21 +48,27 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-#: A frontier of at most FEW rows takes STEPS steps in one round, since a round costs more than the steps do.
-FEW, STEPS = 100_000, 4
+#: A frontier of at most FEW rows, or of one row in SHARE of those found, takes STEPS steps in one round: a round, which reads all that was found, costs more than the steps do.
+FEW, STEPS, SHARE = 100_000, 4, 16
+
+
+def steps(rows: int, found: int) -> int:
+    """How many steps a frontier takes in one round."""
+    return STEPS if rows <= max(FEW, found // SHARE) else 1
 
 
 def spread(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """start and all that step makes of it, over and over, each row once.  step gives rows with the columns of its argument."""
     keys = start.columns
     frontier, rows = cut_count(start.distinct())
-    seen = Seen(frontier)
+    seen, found = Seen(frontier), rows
     while rows:
         ahead, made = frontier, []
-        for _ in range(STEPS if rows <= FEW else 1):
+        for _ in range(steps(rows, found)):
             ahead = step(ahead).select(*keys).distinct()
             made.append(ahead)
         frontier, rows = cut_count(reduce(DataFrame.union, made).distinct().join(seen.all(), keys, "left_anti"))
+        found += rows
         if rows:
             seen.add(frontier)
     return seen.all()

@@ -2,7 +2,7 @@
 
 Joins are aggregates that Spark merges, so values of one key are joined before they are shuffled.  A round moves only what has changed:
 steps are made of the rows that grew in the round before, and what they give is joined with what was known.  Since values only grow, the
-join of all that was ever found for a key is its value, so no round rewrites the rows that stay.
+join of all that was ever found for a key is its value, so no round rewrites the rows that stay; those replaced since go when tables are made one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import FEW, STEPS, Seen
+from factloom.operators.graph import STEPS, Seen, steps
 from factloom.storage import cut_count
 
 #: aggregate(column, those): the join of a column over the rows where `those` holds.
@@ -79,11 +79,11 @@ def fixpoint(start: DataFrame, step: Step, lattice: Lattice, *keys: str, widen:
     """
     cols = lattice.columns
     frontier, rows = cut_count(lattice.joined(start.select(*keys, *cols), *keys))
-    seen, turn = Seen(frontier), 0
+    seen, turn, found = Seen(frontier, merge=lambda df: lattice.joined(df, *keys) if cols else df), 0, rows
     apart = most is not None and most**STEPS <= MULTIPLE
     while rows:
         ahead, made = frontier, []
-        for _ in range(STEPS if rows <= FEW else 1):
+        for _ in range(steps(rows, found)):
             ahead = step(ahead).select(*keys, *cols)
             ahead = ahead if apart else lattice.joined(ahead, *keys)
             made.append(ahead)
@@ -92,6 +92,7 @@ def fixpoint(start: DataFrame, step: Step, lattice: Lattice, *keys: str, widen:
             frontier, rows = cut_count(came.distinct().join(seen.all(), list(keys), "left_anti"))
         else:
             frontier, rows = cut_count(_grown(came, seen.all(), lattice, keys, widen and widen(turn)))
+        found += rows
         if rows:
             seen.add(frontier)
         turn += 1

@@ -65,3 +65,15 @@ def test_loose_matches_of_large_files_are_made_in_more_parts(spark, tmp_path, mo
     # files are shifted by 0 to 4: by 0 and 4 lines are equal, but for the first or last by 4, which are 40 lines apart
     near = found.groupBy((F.col("file") % 5).alias("shift")).agg(F.count("*").alias("n"), F.min(F.col("right_line") - F.col("line")).alias("lo"), F.max(F.col("right_line") - F.col("line")).alias("hi"))
     assert {r["shift"]: (r.n, r.lo, r.hi) for r in near.collect()} == {1: (6000, -3, 1), 2: (6000, -2, 2), 3: (6000, -1, 3)}
+
+
+def test_rounds_follow_what_was_found(spark):
+    """A frontier that is small against all that was found takes several steps, at any size; rows that later ones replace do not pile up."""
+    from factloom.operators import graph
+
+    assert graph.steps(2_000_000, 40_000_000) == graph.STEPS and graph.steps(2_000_000, 20_000_000) == 1
+    row = lambda v: storage.cut(spark.range(1).select("id", F.lit(v).alias("v")))
+    seen = graph.Seen(row(0), most=2, merge=lambda df: df.groupBy("id").agg(F.max("v").alias("v")))
+    for v in (1, 2):
+        seen.add(row(v))
+    assert [tuple(r) for r in seen.all().collect()] == [(0, 2)]
