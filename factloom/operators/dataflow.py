@@ -244,20 +244,28 @@ def type_states(blocks: DataFrame, succ: DataFrame, stores: DataFrame, tests: Da
     last = stores.groupBy("block", "var").agg(F.max_by(F.struct("type", "is_none"), "offset").alias("s"))
     kills = cut(last.select("block", "var", "s.type", "s.is_none"))
     edges = cut(succ.select("src", "dst").distinct())
-    asked = None if tests is None else cut(tests.select("src", "dst", "var", "test", "name", "holds"))
-
-    def onward(out: DataFrame) -> DataFrame:
-        moved = out.withColumnRenamed("block", "src").join(edges, "src")
-        if asked is not None:
-            moved = moved.join(asked, ["src", "dst", "var"], "left")
-            possible, type_, none = refined(*map(F.col, ("test", "name", "holds", "type", "is_none")))
+    # a row a block of what it stores, the blocks behind it and what the edges ask, so that a step is one join; as long as the block has stores and edges
+    each = edges.withColumn("asked", F.lit(None))
+    if tests is not None:
+        each = edges.join(tests.groupBy("src", "dst").agg(F.collect_list(F.struct("var", "test", "name", "holds")).alias("asked")), ["src", "dst"], "left")
+    out = each.groupBy(F.col("src").alias("block")).agg(F.collect_list(F.struct("dst", "asked")).alias("out"))
+    around = cut(out.join(kills.groupBy("block").agg(F.collect_set("var").alias("kills")), "block", "left"))
+
+    def onward(rows: DataFrame, passed: bool) -> DataFrame:
+        moved = rows.join(around, "block")
+        if passed:
+            moved = moved.where(~F.coalesce(F.array_contains("kills", F.col("var")), F.lit(False)))
+        moved = moved.select("var", "type", "is_none", F.explode("out").alias("o"))
+        if tests is not None:
+            moved = moved.withColumn("q", F.get(F.filter("o.asked", lambda q: q["var"] == F.col("var")), F.lit(0)))
+            possible, type_, none = refined(*map(F.col, ("q.test", "q.name", "q.holds", "type", "is_none")))
             moved = moved.where(possible).withColumns({"type": type_, "is_none": none})
-        return moved.select(F.col("dst").alias("block"), "var", "type", "is_none")
+        return moved.select(F.col("o.dst").alias("block"), "var", "type", "is_none")
 
     keys = ("block", "var", "type", "is_none")
     unset = reachable_variables(blocks.where("is_entry").select("block"), edges, kills.select("block", "var"))
     unknown = unset.select("block", "var", F.lit(None).cast("string").alias("type"), F.lit(None).cast("boolean").alias("is_none"))
-    atoms = _null_safe(unknown.union(onward(kills)), lambda f: onward(f.join(kills.select("block", "var"), ["block", "var"], "left_anti")), keys, fanout(edges))
+    atoms = _null_safe(unknown.union(onward(kills, False)), lambda f: onward(f, True), keys, fanout(edges))
     types = F.when(F.col("type").isNull(), F.array().cast("array<string>")).otherwise(F.array("type"))
     return merge_types(atoms.select("block", "var", types.alias("possible_types"), "is_none", F.lit(True).alias("initialized")), "block", "var")
 

@@ -179,3 +179,23 @@ def test_labels_of_instructions(spark):
     got = rows(summaries.transferred(made, spark.createDataFrame(uses, "value string, role string, of string"), known))
     both = (3, KAPPA_ALL - 3, 4)
     assert got == [("s", *both), ("t", 0, KAPPA_ALL, 0), ("u", *both), ("v", 0, KAPPA_ALL, 0), ("w", *both), ("x", *both)]
+
+
+def test_a_step_of_types_is_one_join(spark, monkeypatch, capsys):
+    """Stores, edges and tests of a block are one row, so what a round moves is shuffled once a step."""
+    from factloom.storage import cut
+
+    plans = []
+
+    def looked_at(start, step, *rest, **more):
+        capsys.readouterr()
+        step(cut(start)).explain()
+        plans.append(capsys.readouterr().out)
+        return start
+
+    monkeypatch.setattr(dataflow, "fixpoint", looked_at)
+    blocks, succ = spark.createDataFrame([(0, True), (1, False)], "block int, is_entry boolean"), spark.createDataFrame([(0, 1)], "src int, dst int")
+    stores = spark.createDataFrame([(0, "x", 1, "t", False)], "block int, var string, offset int, type string, is_none boolean")
+    tests = spark.createDataFrame([(0, 1, "x", "none", "t", False)], "src int, dst int, var string, test string, name string, holds boolean")
+    dataflow.type_states(blocks, succ, stores, tests)
+    assert [p.count("Join") for p in plans] == [1]
