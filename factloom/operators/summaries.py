@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import taint
-from factloom.operators.graph import FEW, STEPS, Seen, reachable, recursive_nodes, spread, strong_components
+from factloom.operators.graph import Seen, reachable, recursive_nodes, spread, steps, strong_components
 from factloom.operators.lattice import Lattice, fanout, fixpoint, only
 from factloom.storage import cut, cut_count
 
@@ -77,38 +77,51 @@ def tabulated(functions: DataFrame, edges: DataFrame, statements: DataFrame, cal
     # what a call hands over: (node, var) -> (callee, param), the fact ZERO as itself
     hand = args.select("node", "var", "param").union(sites.select("node", F.lit("").alias("var"), F.lit("").alias("param")))
     hand = cut(sites.join(hand, "node").join(whole.select(F.col("func").alias("callee"), "entry"), "callee").select("node", "var", "callee", "param", "entry", "target").distinct())
+    # a row a node of what it kills and what follows it, as long as its program text, so that a step inside a function is one join
+    after = flow.groupBy("src").agg(F.collect_set("dst").alias("next"))
+    after = cut(after.join(killed.groupBy(F.col("node").alias("src")).agg(F.collect_set("var").alias("gone")), "src", "left").join(done, "src", "left").withColumnRenamed("src", "node"))
     ends = cut(whole.select(F.col("func").alias("callee"), F.col("exit").alias("node"), F.col("result").alias("var")))
 
     def inside(f: DataFrame) -> DataFrame:
-        made = f.join(killed.withColumn("gone", F.lit(True)), ["node", "var"], "left").join(done, F.col("node") == F.col("src"), "left").drop("src")
+        made = f.join(after, "node")
         fact = lambda var, label: F.struct(var.alias("var"), label.alias("label"))
-        kept = F.when(F.col("gone").isNull(), fact(F.col("var"), F.col("label")))
+        kept = F.when(~F.coalesce(F.array_contains("gone", F.col("var")), F.lit(False)), fact(F.col("var"), F.col("label")))
         copied = F.when((F.col("kind") == "copy") & (F.col("value") == F.col("var")), fact(F.col("target"), F.col("label")))
         sprung = F.when((F.col("kind") == "source") & (F.col("var") == ""), fact(F.col("target"), F.col("value").try_cast("long")))
-        moved = made.select(*_FACT[:4], F.explode(F.array_compact(F.array(kept, copied, sprung))).alias("fact"))
-        return moved.join(flow, F.col("node") == F.col("src")).select(*_FACT[:3], F.col("dst").alias("node"), "fact.var", "fact.label")
+        moved = made.select(*_FACT[:3], "next", F.explode(F.array_compact(F.array(kept, copied, sprung))).alias("fact"))
+        return moved.select(*_FACT[:3], F.explode("next").alias("node"), "fact.var", "fact.label")
 
     def handed(f: DataFrame) -> DataFrame:
         return f.join(hand, ["node", "var"])
 
-    def returned(callers: DataFrame, found: DataFrame) -> DataFrame:
+    def results(found: DataFrame) -> DataFrame:
         out = found.select(F.col("func").alias("callee"), F.col("in_var").alias("param"), F.col("in_label").alias("in_l"), "node", "var", F.col("label").alias("out"))
-        out = out.join(ends, ["callee", "node", "var"]).select("callee", "param", "in_l", "out")
-        met = handed(callers).where("target is not null").withColumnRenamed("label", "in_l").join(out, ["callee", "param", "in_l"])
+        return out.join(ends, ["callee", "node", "var"]).select("callee", "param", "in_l", "out").distinct()
+
+    def returned(asking: DataFrame, out: DataFrame) -> DataFrame:
+        met = asking.where("target is not null").withColumnRenamed("label", "in_l").join(out, ["callee", "param", "in_l"])
         back = met.select(*_FACT[:4], F.col("target").alias("var"), F.col("out").alias("label"))
         return back.join(flow, F.col("node") == F.col("src")).select(*_FACT[:3], F.col("dst").alias("node"), "var", "label")
 
     zero = F.lit(ZERO[0]).alias("var"), F.lit(ZERO[1]).cast("long").alias("label")
     first = seeds.select("func", "var", F.col("label").cast("long").alias("label")).union(seeds.select("func", *zero)).join(whole, "func")
     frontier, rows = cut_count(first.select("func", F.col("var").alias("in_var"), F.col("label").alias("in_label"), F.col("entry").alias("node"), "var", "label").distinct())
-    seen = Seen(frontier)
+    seen, found = Seen(frontier), rows
+    asking, given = None, None  # facts at calls and results of functions, each found once, so that rounds do not look for them among all facts
     while rows:
-        entered = handed(frontier).select(F.col("callee").alias("func"), F.col("param").alias("in_var"), F.col("label").alias("in_label"), F.col("entry").alias("node"), F.col("param").alias("var"), "label")
-        made, ahead = entered.union(returned(frontier, seen.all())).union(returned(seen.all(), frontier)), frontier
-        for _ in range(STEPS if rows <= FEW else 1):
+        calls_now, given_now = cut(handed(frontier)), cut(results(frontier))
+        if asking is None:
+            asking, given = Seen(calls_now), Seen(given_now)
+        else:
+            asking.add(calls_now)
+            given.add(given_now)
+        entered = calls_now.select(F.col("callee").alias("func"), F.col("param").alias("in_var"), F.col("label").alias("in_label"), F.col("entry").alias("node"), F.col("param").alias("var"), "label")
+        made, ahead = entered.union(returned(calls_now, given.all())).union(returned(asking.all(), given_now)), frontier
+        for _ in range(steps(rows, found)):
             ahead = inside(ahead)
             made = made.union(ahead)
         frontier, rows = cut_count(made.distinct().join(seen.all(), _FACT, "left_anti"))
+        found += rows
         if rows:
             seen.add(frontier)
     return seen.all()

@@ -38,3 +38,31 @@ def test_labels_of_large_files_are_grouped_in_more_parts(spark, tmp_path, monkey
     found = taint.apply_summary(args, spark.createDataFrame([("f", 1), ("f", 2), ("f", 2)], "func string, pos long"))
     assert found.rdd.getNumPartitions() == storage.parts(args) > 4
     assert {tuple(r)[1:] for r in found.collect()} == {(6, 14 & 13, 3)} and found.count() == 5_000
+
+
+def test_rounds_read_all_facts_once(spark, monkeypatch):
+    """A round looks for what is new among all facts, and for calls and results in tables of their own."""
+    made = []
+
+    class Counted(summaries.Seen):
+        def __init__(self, *args, **more):
+            super().__init__(*args, **more)
+            self.read = self.added = 0
+            made.append(self)
+
+        def all(self):
+            self.read += 1
+            return super().all()
+
+        def add(self, part):
+            self.added += 1
+            self.parts.append(part)
+
+    monkeypatch.setattr(summaries, "Seen", Counted)
+    functions = spark.createDataFrame([("m", 0, 2, None), ("f", 10, 11, "p")], "func string, entry int, exit int, result string")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (10, 11)], "src int, dst int")
+    statements = spark.createDataFrame([(0, "source", "x", "5")], "node int, kind string, target string, value string")
+    calls, args = spark.createDataFrame([(1, "f", "y")], "node int, callee string, target string"), spark.createDataFrame([(1, "x", "p")], "node int, var string, param string")
+    found = summaries.tabulated(functions, edges, statements, calls, args, spark.createDataFrame([("m", "", 0)], "func string, var string, label int"))
+    assert made[0].read <= made[0].added + 2
+    assert {r["var"] for r in found.where("node = 2 and var <> ''").collect()} == {"x", "y"}
